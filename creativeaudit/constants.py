@@ -75,6 +75,11 @@ SECTIONS = [
 ]
 OTHER_SECTION = "Other"
 
+# ---- fixed values: white space at the edges of a text (Unicode White_Space and
+# the four ASCII separators) --------------------------------------------------
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+               "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
 # ---- fixed values: characters whose case folding yields ASCII letters but
 # whose lower-casing does not (Unicode CaseFolding, status F and C) -----------
 CASE_FOLDS = {

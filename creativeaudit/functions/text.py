@@ -5,25 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from creativeaudit.constants import CASE_FOLDS, SLUG_PATTERN
+from creativeaudit.constants import CASE_FOLDS, SLUG_PATTERN, WHITE_SPACE
 
-_EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
 def trim_space(c: Column) -> Column:
     """Strip every kind of white space; ``trim`` alone strips only blanks."""
-    return F.regexp_replace(c, _EDGE_SPACE, "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def fold_case(c: Column) -> Column:
     """Case folding as far as it can yield ASCII letters."""
-    one_to_one = {k: v for k, v in CASE_FOLDS.items() if len(v) == 1}
-    out = F.translate(F.lower(c), "".join(one_to_one), "".join(one_to_one.values()))
-    # 'ẞ' lower-cases to 'ß', so only lower-case keys remain to be expanded.
-    for char, folded in CASE_FOLDS.items():
-        if len(folded) > 1 and char != "ẞ":
-            out = F.replace(out, F.lit(char), F.lit(folded))
-    return out
+    folded = F.lower(c)
+    # 'ẞ' lower-cases to 'ß', so its own entry is never needed here.
+    for char, ascii_text in CASE_FOLDS.items():
+        if char != "ẞ":
+            folded = F.replace(folded, F.lit(char), F.lit(ascii_text))
+    return F.when(c.rlike(r"[^\x00-\x7f]"), folded).otherwise(F.lower(c))
 
 
 def slugify(label: Column) -> Column:

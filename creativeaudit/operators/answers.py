@@ -149,12 +149,12 @@ def tristate_strict(replies: DataFrame) -> DataFrame:
 
 def tag_groups(catalog: DataFrame) -> DataFrame:
     """Active tags under their display sections; unlisted ones go last, under Other."""
-    entries = [(slug, title, restricted, s, p)
-               for s, (title, restricted, slugs) in enumerate(C.SECTIONS)
-               for p, slug in enumerate(slugs)]
-    sections = catalog.sparkSession.createDataFrame(
-        entries, "slug string, section string, restricted boolean, section_no int, place int")
-    rows = catalog.filter(F.col("status") == "active").join(sections, "slug", "left")
+    entries = F.array(*[
+        F.struct(F.lit(slug).alias("slug"), F.lit(title).alias("section"), F.lit(restricted).alias("restricted"),
+                 F.lit(s).alias("section_no"), F.lit(p).alias("place"))
+        for s, (title, restricted, slugs) in enumerate(C.SECTIONS) for p, slug in enumerate(slugs)])
+    sections = catalog.sparkSession.range(1).select(F.inline(entries))
+    rows = catalog.filter(F.col("status") == "active").join(F.broadcast(sections), "slug", "left")
     rows = (rows.withColumn("section_no", F.coalesce("section_no", F.lit(len(C.SECTIONS))))
             .withColumn("section", F.coalesce("section", F.lit(C.OTHER_SECTION)))
             .withColumn("restricted", F.coalesce("restricted", F.lit(False)))

@@ -1,8 +1,9 @@
 """Scoring the scorer against labelled media.
 
-Long form throughout: one row per (arm, item, tag) with item, owner,
-is_positive, band and latency_ms. Every measure is a plain aggregation, so it
-combines before shuffling and takes ``arm`` as its only group.
+Input is one row per arm and item: arm, path, owner, label, bands (tag ->
+band), evidence (tag -> text), latency_ms. Item measures need no exploding,
+tag measures explode only what fired, and everything combines before it is
+shuffled by arm and tag.
 """
 
 from __future__ import annotations
@@ -10,19 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from creativeaudit.constants import CATALOG_CAP
+from creativeaudit.operators.sizing import fits, small_side
 
-def _is(band: str):
-    return F.col("band") == band
 
+def _own_band():
+    """The band an item got for the tag it is filed under."""
+    return F.try_element_at("bands", F.col("owner"))
 
-def _in_catalog(scored: DataFrame, slugs: DataFrame, column: str) -> DataFrame:
-    return scored.join(slugs.select(F.col("slug").alias(column)).distinct(), column, "left_semi")
 
-
-def long_form(scored: DataFrame) -> DataFrame:
-    """From one row per item with a map of bands to one row per item and tag."""
-    return scored.select("arm", F.col("path").alias("item"), "owner", F.col("label").alias("is_positive"),
-                         "latency_ms", F.explode("bands").alias("tag", "band"))
+def _in_catalog(rows: DataFrame, slugs: DataFrame, column: str) -> DataFrame:
+    known = small_side(slugs.select(F.col("slug").alias(column)).distinct())
+    return rows.join(known, column, "left_semi")
 
 
 def cross_fire(scored: DataFrame, slugs: DataFrame) -> DataFrame:
@@ -30,25 +30,25 @@ def cross_fire(scored: DataFrame, slugs: DataFrame) -> DataFrame:
 
     Tags that never fired are absent, the total is always there.
     """
-    fired = _in_catalog(scored.filter(_is("present") & (F.col("tag") != F.col("owner"))), slugs, "tag")
-    per_tag = fired.groupBy("arm", "tag").agg(F.count(F.lit(1)).alias("false_blocks"))
-    arms = scored.select("arm").distinct()
+    fired = F.map_keys(F.map_filter("bands", lambda tag, band: (band == "present") & (tag != F.col("owner"))))
+    rows = scored.select("arm", F.explode(fired).alias("tag"))
+    per_tag = _in_catalog(rows, slugs, "tag").groupBy("arm", "tag").agg(F.count(F.lit(1)).alias("false_blocks"))
     sums = per_tag.groupBy("arm").agg(F.sum("false_blocks").alias("false_blocks"))
-    total = arms.join(sums, "arm", "left").select(
+    total = scored.select("arm").distinct().join(sums, "arm", "left").select(
         "arm", F.lit(None).cast("string").alias("tag"), F.coalesce("false_blocks", F.lit(0)).alias("false_blocks"))
-    return per_tag.unionByName(total)
+    return per_tag.select("arm", "tag", "false_blocks").unionByName(total)
 
 
 def recall_by_tag(scored: DataFrame, slugs: DataFrame) -> DataFrame:
-    """A10: detections among a tag's own positives. Uncertain is not a detection.
+    """A10: detections among each owner's positives. Uncertain is not a detection.
 
-    Every item answers every catalog tag, so grouping all answers yields a row
-    for each tag, zeros included, without building a grid.
+    One row per arm and catalog tag that owns items; recall is 0 without positives.
     """
-    own = F.col("is_positive") & (F.col("tag") == F.col("owner"))
-    out = _in_catalog(scored, slugs, "tag").groupBy("arm", "tag").agg(
-        F.count_if(own).alias("positives"), F.count_if(own & _is("present")).alias("tp"),
-        F.count_if(own & _is("uncertain")).alias("unsure"))
+    rows = _in_catalog(scored.select("arm", F.col("owner").alias("tag"), "label", _own_band().alias("band")), slugs, "tag")
+    own = F.col("label")
+    out = rows.groupBy("arm", "tag").agg(
+        F.count_if(own).alias("positives"), F.count_if(own & (F.col("band") == "present")).alias("tp"),
+        F.count_if(own & (F.col("band") == "uncertain")).alias("unsure"))
     return out.withColumn("recall", F.when(F.col("positives") > 0, F.col("tp") / F.col("positives")).otherwise(0.0))
 
 
@@ -61,66 +61,63 @@ def mean_recall(recalls: DataFrame) -> DataFrame:
 
 def uncertain_positive_rate(scored: DataFrame, recalls: DataFrame) -> DataFrame:
     """Unsure answers of catalog tags over all positives, foreign owners included."""
-    items = scored.groupBy("arm", "item").agg(F.bool_or("is_positive").alias("is_positive"))
-    positives = items.groupBy("arm").agg(F.count_if("is_positive").alias("n"))
+    positives = scored.groupBy("arm").agg(F.count_if("label").alias("n"))
     unsure = recalls.groupBy("arm").agg(F.sum("unsure").alias("u"))
     rate = F.coalesce(F.round(F.try_divide(F.col("u"), F.col("n")), 3), F.lit(0.0))
     return positives.join(unsure, "arm", "left").select("arm", rate.alias("uncertain_positive_rate"))
 
 
-def latency_percentiles(items: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+def latency_percentiles(scored: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
     """Nearest-rank percentiles over non-zero latencies, per arm.
 
-    ``items``: arm, latency_ms, one row per item. Latencies are counted per
-    distinct millisecond first; the running count then walks that small table,
-    never the items.
+    Latencies are counted per distinct millisecond first; the running count
+    then walks that small table, never the items.
     """
-    counts = items.groupBy("arm", "latency_ms").agg(F.count(F.lit(1)).alias("c"))
-    real = counts.filter(F.coalesce(F.col("latency_ms"), F.lit(0)) != 0)
+    counts = scored.groupBy("arm", "latency_ms").agg(F.count(F.lit(1)).alias("c"))
     upto = Window.partitionBy("arm").orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)
+    real = counts.withColumn("c", F.when(F.coalesce(F.col("latency_ms"), F.lit(0)) != 0, F.col("c")).otherwise(0))
     ranked = (real.withColumn("upto", F.sum("c").over(upto))
               .withColumn("n", F.sum("c").over(Window.partitionBy("arm"))))
 
     def nearest(q: float):
         rank = F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(float(q))))
-        return F.coalesce(F.min(F.when(F.col("upto") > rank, F.col("latency_ms"))), F.lit(0)).cast("bigint")
+        hit = F.min(F.when((F.col("c") > 0) & (F.col("upto") > rank), F.col("latency_ms")))
+        return F.coalesce(hit, F.lit(0)).cast("bigint").alias(f"p{round(q * 100)}")
 
-    measures = [nearest(q).alias(f"p{round(q * 100)}") for q in quantiles]
-    out = ranked.groupBy("arm").agg(*measures, F.coalesce(F.max("latency_ms"), F.lit(0)).cast("bigint").alias("max"))
-    arms = counts.select("arm").distinct()
-    names = [f"p{round(q * 100)}" for q in quantiles] + ["max"]
-    return arms.join(out, "arm", "left").select(
-        "arm", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
+    largest = F.max(F.when(F.col("c") > 0, F.col("latency_ms")))
+    return ranked.groupBy("arm").agg(
+        *[nearest(q) for q in quantiles], F.coalesce(largest, F.lit(0)).cast("bigint").alias("max"))
 
 
 def tags_without_positives(scored: DataFrame, slugs: DataFrame) -> DataFrame:
     """Catalog tags nobody has positive media for."""
-    owners = scored.filter("is_positive").select(F.col("owner").alias("tag")).distinct()
+    owners = scored.filter("label").select(F.col("owner").alias("tag")).distinct()
     return slugs.select(F.col("slug").alias("tag")).distinct().join(owners, "tag", "left_anti").orderBy("tag")
 
 
 def gate_report(scored: DataFrame, slugs: DataFrame) -> DataFrame:
-    """One row per arm with both gate numbers and what explains them."""
+    """One row per arm with both gate numbers and what explains them.
+
+    The catalog is within its cap, so its slugs serve as one array.
+    """
+    if not fits(slugs, CATALOG_CAP):
+        raise ValueError(f"a report covers one catalog of at most {CATALOG_CAP} tags")
+    known = slugs.agg(F.array_sort(F.collect_set("slug")).alias("s")).scalar()
     recalls = recall_by_tag(scored, slugs)
-    fire = cross_fire(scored, slugs)
-    items = scored.groupBy("arm", "item").agg(
-        F.max("latency_ms").alias("latency_ms"), F.bool_or("is_positive").alias("is_positive"))
-    size = items.groupBy("arm").agg(F.count(F.lit(1)).alias("images"))
-    n_tags = slugs.agg(F.countDistinct("slug").alias("n")).scalar()
-    per_tag = fire.groupBy("arm").agg(
+    size = scored.groupBy("arm").agg(F.count(F.lit(1)).alias("images"))
+    per_tag = cross_fire(scored, slugs).groupBy("arm").agg(
         F.max(F.when(F.col("tag").isNull(), F.col("false_blocks"))).alias("cross_tag_false_blocks"),
         F.map_from_entries(F.array_sort(F.collect_list(F.when(
             F.col("tag").isNotNull(), F.struct("tag", "false_blocks"))))).alias("cross_tag_by_tag"))
     measured = F.col("positives") > 0
     recall_maps = recalls.groupBy("arm").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.when(
-            measured, F.struct("tag", F.round("recall", 3).alias("recall")))))).alias("recall_by_tag"),
-        F.array_sort(F.collect_list(F.when(~measured, F.col("tag")))).alias("tags_without_positives"))
-    out = size.withColumn("tags", n_tags)
+            measured, F.struct("tag", F.round("recall", 3).alias("recall")))))).alias("recall_by_tag"))
+    out = size.withColumn("tags", F.size(known).cast("bigint"))
     for part in (per_tag, mean_recall(recalls), recall_maps, uncertain_positive_rate(scored, recalls),
-                 latency_percentiles(items)):
+                 latency_percentiles(scored)):
         out = out.join(part, "arm", "left")
-    return out
+    return out.withColumn("tags_without_positives", F.array_except(known, F.map_keys("recall_by_tag")))
 
 
 METRICS = ("cross_tag_false_blocks", "mean_recall", "uncertain_positive_rate", "p95")
@@ -155,11 +152,12 @@ def gate_verdict(comparison: DataFrame) -> DataFrame:
 
 def label_disagreements(scored: DataFrame) -> DataFrame:
     """Items whose own-tag verdict contradicts their label; uncertain never does."""
-    own = scored.filter(F.col("tag") == F.col("owner"))
-    problem = (F.when(F.col("is_positive") & _is("absent"), "labelled POSITIVE, model says absent")
-               .when(~F.col("is_positive") & _is("present"), "labelled NEGATIVE, model says present"))
-    return own.withColumn("problem", problem).filter(F.col("problem").isNotNull()).select(
-        "item", "tag", "problem", F.coalesce("evidence", F.lit("")).alias("evidence"))
+    band = _own_band()
+    problem = (F.when(F.col("label") & (band == "absent"), "labelled POSITIVE, model says absent")
+               .when(~F.col("label") & (band == "present"), "labelled NEGATIVE, model says present"))
+    seen = F.coalesce(F.try_element_at("evidence", F.col("owner")), F.lit(""))
+    return scored.select("arm", "path", F.col("owner").alias("tag"), problem.alias("problem"),
+                         seen.alias("evidence")).filter(F.col("problem").isNotNull())
 
 
 def eval_coverage(discovered: DataFrame, golden: DataFrame) -> DataFrame:

@@ -33,49 +33,54 @@ Step = Callable[[object, dict[str, np.ndarray]], tuple[dict[str, np.ndarray], ob
 
 
 def _folder(keys: Sequence[str], outputs: dict[str, object], step: Step,
-            start: Callable[[object], object], finish: Callable[[object], object]):
+            start: Callable[[object], object], finish: Callable[[object], object] | None):
+    """The task side of ``fold``; with ``finish`` each key's last row carries the final state."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state, first, pending = None, None, None, None
+        key, state, first, pending, pending_ends = None, None, None, None, {}
 
-        def close(pdf: pd.DataFrame) -> None:
-            # The group ends with the last row of pdf: leave its final state there.
-            pdf.at[len(pdf) - 1, "_state"] = finish(state)
-            pdf.at[len(pdf) - 1, "_first"] = first
+        def closed(pdf: pd.DataFrame, ends: dict[int, tuple]) -> pd.DataFrame:
+            if finish is None:
+                return pdf
+            states = np.full(len(pdf), None, dtype=object)
+            firsts = np.full(len(pdf), None, dtype=object)
+            for row, (final, began) in ends.items():
+                states[row], firsts[row] = final, began
+            return pdf.assign(_state=pd.Series(states, dtype=object), _first=pd.Series(firsts, dtype="Int64"))
 
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             pdf = pdf.reset_index(drop=True)
-            cols = {c: pdf[c].to_numpy() for c in pdf.columns if c not in ("_carry", "_state", "_first")}
+            cols = {c: pdf[c].to_numpy() for c in pdf.columns if c != "_carry"}
             change = np.zeros(len(pdf), bool)
             change[0] = True
             for k in keys:
                 change[1:] |= cols[k][1:] != cols[k][:-1]
             bounds = [*np.flatnonzero(change), len(pdf)]
             parts: dict[str, list] = {name: [] for name in outputs}
-            pdf["_state"] = pd.Series([None] * len(pdf), dtype=object)
-            pdf["_first"] = pd.array([pd.NA] * len(pdf), dtype="Int64")
+            ends: dict[int, tuple] = {}
             for lo, hi in zip(bounds[:-1], bounds[1:]):
                 here = tuple(cols[k][lo] for k in keys)
                 if here != key:
-                    if key is not None:
+                    if key is not None and finish is not None:
                         if lo > 0:
-                            pdf.at[lo - 1, "_state"] = finish(state)
-                            pdf.at[lo - 1, "_first"] = first
+                            ends[lo - 1] = (finish(state), first)
                         else:
-                            close(pending)
-                    key, state, first = here, start(pdf["_carry"].iat[lo]), int(cols["_at"][lo])
+                            pending_ends[len(pending) - 1] = (finish(state), first)
+                    carry = pdf["_carry"].iat[lo] if "_carry" in pdf.columns else None
+                    key, state, first = here, start(carry), int(cols["_at"][lo])
                 made, state = step(state, {c: v[lo:hi] for c, v in cols.items()})
                 for name in outputs:
                     parts[name].append(made[name])
             for name in outputs:
                 pdf[name] = pd.Series(np.concatenate(parts[name]), dtype=object)
             if pending is not None:
-                yield pending
-            pending = pdf
+                yield closed(pending, pending_ends)
+            pending, pending_ends = pdf, ends
         if pending is not None:
-            close(pending)
-            yield pending
+            if finish is not None:
+                pending_ends[len(pending) - 1] = (finish(state), first)
+            yield closed(pending, pending_ends)
 
     return run
 
@@ -91,49 +96,46 @@ def fold(df: DataFrame, keys: Sequence[str], at: Column, order: Sequence[str],
     keys = list(keys)
     rows = df.withColumn("_at", at.cast("bigint"))
     group = [*keys, "_block"]
-    schema = T.StructType(
-        rows.schema.fields + [T.StructField("_block", T.LongType()), T.StructField("_carry", state_type),
-                              T.StructField("_state", state_type), T.StructField("_first", T.LongType())]
-        + [T.StructField(n, t) for n, t in outputs.items()])
-    names = [f.name for f in schema.fields]
-
-    def apply(part: DataFrame) -> DataFrame:
+    made = [T.StructField(n, t) for n, t in outputs.items()]
+    carried = [T.StructField("_block", T.LongType()), T.StructField("_carry", state_type)]
+    ends = [T.StructField("_state", state_type), T.StructField("_first", T.LongType())]
+
+    def whole(part: DataFrame) -> DataFrame:
+        """Every key in one go."""
+        schema = T.StructType(rows.schema.fields + made)
+        ordered = part.select(*rows.columns).repartition(*keys).sortWithinPartitions(*keys, "_at", *order)
+        return ordered.mapInPandas(_named(_folder(keys, outputs, step, start, None), schema.names), schema)
+
+    def in_blocks(part: DataFrame) -> DataFrame:
+        schema = T.StructType(rows.schema.fields + carried + made + ends)
         ordered = part.repartition(*group).sortWithinPartitions(*group, "_at", *order)
-        ready = (ordered.withColumn("_state", F.lit(None).cast(state_type))
-                 .withColumn("_first", F.lit(None).cast("bigint")))
-        return ready.mapInPandas(_reorder(_folder(group, outputs, step, start, finish), names), schema)
-
-    def plain(part: DataFrame) -> DataFrame:
-        return (part.withColumn("_block", F.lit(0).cast("bigint"))
-                .withColumn("_carry", F.lit(None).cast(state_type)))
+        return ordered.mapInPandas(_named(_folder(group, outputs, step, start, finish), schema.names), schema)
 
-    helpers = ["_at", "_block", "_carry", "_state", "_first"]
     heavy = rows.groupBy(*keys).count().filter(F.col("count") > max_rows).select(*keys)
     if heavy.isEmpty():
-        return apply(plain(rows)).drop(*helpers)
+        return whole(rows).drop("_at")
 
     heavy = checkpoint(heavy)
-    light = apply(plain(rows.join(heavy, keys, "left_anti").select(*rows.columns)))
+    light = whole(rows.join(heavy, keys, "left_anti"))
     blocks = checkpoint(_cut(rows.join(heavy, keys, "left_semi").select(*rows.columns), keys, max_rows))
-    result = checkpoint(apply(blocks.withColumn("_carry", F.lit(None).cast(state_type))))
+    result = checkpoint(in_blocks(blocks.withColumn("_carry", F.lit(None).cast(state_type))))
+    nothing = F.array().cast(state_type)
     while True:
         by_key = Window.partitionBy(*keys).orderBy("_block")
-        ends = result.filter(F.col("_first").isNotNull()).select(*group, "_carry", "_state", "_first")
-        ends = ends.withColumn("_before", F.lag("_state").over(by_key))
-        nothing = F.array().cast(state_type)
+        last = result.filter(F.col("_first").isNotNull()).select(*group, "_carry", "_state", "_first")
+        last = last.withColumn("_before", F.lag("_state").over(by_key))
         true_carry = F.coalesce(still_matters(F.col("_before"), F.col("_first")), nothing)
-        wrong = ends.withColumn("_new", true_carry).filter(
-            ~F.col("_new").eqNullSafe(F.coalesce("_carry", nothing))).select(*group, "_new")
-        wrong = checkpoint(wrong)
+        wrong = checkpoint(last.withColumn("_new", true_carry).filter(
+            ~F.col("_new").eqNullSafe(F.coalesce("_carry", nothing))).select(*group, "_new"))
         if wrong.isEmpty():
             break
-        again = apply(blocks.join(wrong, group).withColumnRenamed("_new", "_carry"))
-        result = checkpoint(result.join(wrong.select(*group), group, "left_anti")
-                            .select(*names).unionByName(again.select(*names)))
-    return light.unionByName(result).drop(*helpers)
+        again = in_blocks(blocks.join(wrong, group).withColumnRenamed("_new", "_carry"))
+        right = result.join(wrong.select(*group), group, "left_anti")
+        result = checkpoint(right.select(*again.columns).unionByName(again))
+    return light.drop("_at").unionByName(result.select(*light.drop("_at").columns))
 
 
-def _reorder(run, names):
+def _named(run, names):
     def wrapped(batches):
         for pdf in run(batches):
             yield pdf[names]
@@ -141,12 +143,13 @@ def _reorder(run, names):
     return wrapped
 
 
-def _cut(rows: DataFrame, keys: list[str], max_rows: int, slices_per_block: int = 64) -> DataFrame:
-    """Number the blocks: time slices are counted, then grouped up to ``max_rows``."""
-    span = rows.groupBy(*keys).agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi"),
-                                   F.count(F.lit(1)).alias("_n"))
-    wanted = F.ceil(F.col("_n") / max_rows) * slices_per_block
-    span = span.withColumn("_w", F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / wanted)))
+def _cut(rows: DataFrame, keys: list[str], max_rows: int, slices: int = 1_000_000) -> DataFrame:
+    """Number the blocks: fine time slices are counted, then grouped up to ``max_rows``.
+
+    Slices are fine so that a burst is spread over many of them.
+    """
+    span = rows.groupBy(*keys).agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
+    span = span.withColumn("_w", F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / slices)))
     cut = rows.join(span.select(*keys, "_lo", "_w"), keys).withColumn(
         "_slice", F.floor((F.col("_at") - F.col("_lo")) / F.col("_w")))
     per = cut.groupBy(*keys, "_slice").count()

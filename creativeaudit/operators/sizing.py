@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+BROADCAST_ROWS = 100_000
+
 
 def fits(df: DataFrame, rows: int) -> bool:
     """True when ``df`` has at most ``rows`` rows; reads no more than needed to know."""
     return len(df.select(F.lit(1).alias("x")).take(rows + 1)) <= rows
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The side of a join that is a catalog, a key list or the like.
+
+    Broadcast once its row count is known to be small. Otherwise left as it is:
+    the join then shuffles, and AQE splits hot keys of the other side.
+    """
+    return F.broadcast(df) if fits(df, rows) else df

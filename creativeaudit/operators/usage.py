@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from creativeaudit import constants as C
 from creativeaudit.functions.numbering import running, time_slice
+from creativeaudit.operators.sizing import small_side
 
 
 def _instant(now: datetime | str) -> Column:
@@ -78,7 +79,7 @@ def quota_ledger(charges: DataFrame, limits: DataFrame, window_s: int = C.KEY_WI
     out = running(rows, ["api_key_id", "window_start"],
                   [F.col("ts"), F.col("request_id"), F.col("part")],
                   time_slice(F.col("ts"), slice_s), amount=F.col("units"), name="running_units")
-    out = out.join(limits.select("api_key_id", "limit"), "api_key_id")
+    out = out.join(small_side(limits.select("api_key_id", "limit")), "api_key_id")
     return out.withColumn("remaining", F.greatest(
         F.lit(0).cast("bigint"), F.col("limit") - F.col("running_units")))
 
@@ -92,7 +93,7 @@ def rate_limit_fixed(requests: DataFrame, limits: DataFrame, window_s: int = C.K
     rows = requests.withColumn("window_start", window_start(F.col("ts"), window_s))
     out = running(rows, ["api_key_id", "window_start"], [F.col("ts"), F.col("request_id")],
                   time_slice(F.col("ts"), slice_s))
-    out = out.join(limits.select("api_key_id", "limit"), "api_key_id")
+    out = out.join(small_side(limits.select("api_key_id", "limit")), "api_key_id")
     left_us = F.unix_micros("window_start") + window_s * 1_000_000 - F.unix_micros("ts")
     return (out.withColumn("admitted", F.col("n") <= F.col("limit"))
             .withColumn("remaining", F.greatest(F.lit(0).cast("bigint"), F.col("limit") - F.col("n")))
@@ -103,7 +104,7 @@ def active_keys(requests: DataFrame, keys: DataFrame, on: str = "key_hash") -> D
     """Requests with their key; unknown and revoked keys get the same code."""
     live = keys.filter(F.col("revoked_at").isNull()).select(
         on, F.col("id").alias("key_id"), "name", "rate_limit_per_min")
-    out = requests.join(live, on, "left")
+    out = requests.join(small_side(live), on, "left")
     return out.withColumn("reject_code", F.when(F.col("key_id").isNull(), "INVALID_KEY"))
 
 

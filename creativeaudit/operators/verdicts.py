@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from creativeaudit import constants as C
 from creativeaudit.functions import verdict as V
+from creativeaudit.operators.sizing import small_side
 
 
 def decide(raw: DataFrame, high: float = C.CONFIDENCE_HIGH,
@@ -23,12 +24,12 @@ def decide(raw: DataFrame, high: float = C.CONFIDENCE_HIGH,
 def threshold_join(raw: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Attach calibration state; a tag without a row was never measured.
 
-    Spark broadcasts ``thresholds`` when its size statistics allow it and
-    otherwise shuffles, with skew handling for hot tags.
+    A handful of tags share all rows, so shuffling by tag would pile them onto
+    a few tasks; the threshold table travels instead as long as it is small.
     """
     t = thresholds.select(F.col("slug").alias("tag"), "calibrated", "packs_version_seen",
                           "precision", "recall")
-    joined = raw.join(t, "tag", "left")
+    joined = raw.join(small_side(t), "tag", "left")
     return joined.withColumn("calibrated", F.coalesce("calibrated", F.lit(False)))
 
 
@@ -62,21 +63,19 @@ def collapse_in_row(results: Column) -> Column:
     """A1 inside one stored analysis: array of raw rows -> array of winners.
 
     A stored row already holds every frame of its creative (at most 6 frames
-    by 100 tags), so re-deciding it needs no shuffle at all.
+    by 100 tags), so re-deciding it needs no shuffle at all. Sorted by tag,
+    band, score and position, the first row of each tag is its winner.
     """
-    ranked = F.transform(results, lambda r, i: F.struct(
-        r["tag"].alias("tag"),
-        F.struct(V.band_rank(V.band(r["present"])).alias("rank"), r["score"].alias("score"),
-                 (-i).alias("earlier")).alias("key"),
-        r.alias("row")))
-    tags = F.array_distinct(F.transform(results, lambda r: r["tag"]))
-
-    def winner(tag: Column) -> Column:
-        mine = F.filter(ranked, lambda r: r["tag"] == tag)
-        best = F.array_max(F.transform(mine, lambda r: r["key"]))
-        return F.get(F.filter(mine, lambda r: r["key"] == best), F.lit(0))["row"]
-
-    return F.transform(tags, winner)
+    ranked = F.sort_array(F.transform(results, lambda r, i: F.struct(
+        r["tag"].alias("tag"), (-V.band_rank(V.band(r["present"]))).alias("rank"),
+        (-r["score"]).alias("score"), i.alias("position"), r.alias("row"))))
+
+    def firsts(rows: Column) -> Column:
+        return F.filter(rows, lambda r, i: (i == 0) | (F.get(rows, i - 1)["tag"] != r["tag"]))
+
+    # transform over a one-element array computes the sorted list once.
+    winners = F.get(F.transform(F.array(ranked), firsts), F.lit(0))
+    return F.transform(winners, lambda r: r["row"])
 
 
 def band_counts(collapsed: DataFrame, by: str = "creative_id") -> DataFrame:

@@ -23,14 +23,15 @@ def numbered(tags: tuple[str, ...]) -> Column:
 
 
 def tags(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([
-        ("alcohol", "Alcoholic content", "Drinks and bars", "active", 1),
-        ("gambling", "Gambling and betting", "", "active", 2),
-        ("vaping", "Vaping products", "", "active", 3),
-        ("junk_food", "Junk food", "Fast food", "active", 4),
-        ("dog", "dog", "", "active", 5),
-        ("saloon", "Saloon and barber", "", "retired", 6),
-    ], "slug string, label string, description string, status string, sort_order int")
+    return spark.sql("""
+        SELECT * FROM VALUES
+          ('alcohol', 'Alcoholic content', 'Drinks and bars', 'active', 1),
+          ('gambling', 'Gambling and betting', '', 'active', 2),
+          ('vaping', 'Vaping products', '', 'active', 3),
+          ('junk_food', 'Junk food', 'Fast food', 'active', 4),
+          ('dog', 'dog', '', 'active', 5),
+          ('saloon', 'Saloon and barber', '', 'retired', 6)
+        AS t(slug, label, description, status, sort_order)""")
 
 
 def active_tags(spark: SparkSession) -> DataFrame:
@@ -38,10 +39,11 @@ def active_tags(spark: SparkSession) -> DataFrame:
 
 
 def thresholds(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([
-        ("alcohol", True, "v2", 0.69, 0.93), ("gambling", True, "v1", 0.80, 0.90),
-        ("vaping", True, None, 0.75, 0.60), ("junk_food", False, "v2", None, None),
-    ], "slug string, calibrated boolean, packs_version_seen string, precision double, recall double")
+    return spark.sql("""
+        SELECT slug, calibrated, packs_version_seen, CAST(p AS DOUBLE) AS precision, CAST(r AS DOUBLE) AS recall
+        FROM VALUES ('alcohol', true, 'v2', 0.69, 0.93), ('gambling', true, 'v1', 0.80, 0.90),
+                    ('vaping', true, NULL, 0.75, 0.60), ('junk_food', false, 'v2', NULL, NULL)
+        AS t(slug, calibrated, packs_version_seen, p, r)""")
 
 
 def catalog(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,30 +164,23 @@ def owner_of(doc_id: Column) -> Column:
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    """Two arms' answers for every labelled document and tag."""
+    """Two arms' scores of every labelled document, one row per arm and item."""
     d = table(spark, sf, "documents").select("doc_id", "n_chars", "source")
-    lab = table(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("is_positive"))
-    x = d.join(lab, "doc_id").select("*", F.inline(numbered(EVAL_TAGS)))
-
-    def arm(name: str, m: Column) -> DataFrame:
-        band = F.when(m < 2, "present").when(m == 2, "uncertain").otherwise("absent")
-        return x.select(F.lit(name).alias("arm"), F.col("doc_id").alias("item"),
-                        owner_of(F.col("doc_id")).alias("owner"), "is_positive", "tag", band.alias("band"),
-                        F.col("n_chars").alias("latency_ms"), F.col("source").alias("evidence"))
-
-    return arm("baseline", (F.col("n_chars") + F.col("ord") * 3) % 7).unionByName(
-        arm("candidate", (F.col("n_chars") + F.col("ord") * 5) % 9))
-
-
-def scored_items(spark: SparkSession, sf: str) -> DataFrame:
-    """The same answers with one row per arm and item: maps of bands and evidence."""
-    s = scored(spark, sf)
-    item = F.struct("tag", "band")
-    return s.groupBy("arm", "item", "owner", "is_positive", "latency_ms", "evidence").agg(
-        F.map_from_entries(F.collect_list(item)).alias("bands")).select(
-        "arm", F.concat(F.lit("eval/"), F.col("item")).alias("path"), "owner",
-        F.col("is_positive").alias("label"), "bands",
-        F.create_map(F.col("owner"), F.col("evidence")).alias("evidence"), "latency_ms")
+    lab = table(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("label"))
+    owner = owner_of(F.col("doc_id"))
+
+    def arm(name: str, step: int, modulus: int) -> Column:
+        def band(ord_: int) -> Column:
+            m = (F.col("n_chars") + ord_ * step) % modulus
+            return F.when(m < 2, "present").when(m == 2, "uncertain").otherwise("absent")
+
+        bands = F.create_map(*[x for i, t in enumerate(EVAL_TAGS) for x in (F.lit(t), band(i))])
+        return F.struct(F.lit(name).alias("arm"), bands.alias("bands"))
+
+    arms = F.inline(F.array(arm("baseline", 3, 7), arm("candidate", 5, 9)))
+    return d.join(lab, "doc_id").select(
+        F.concat(F.lit("eval/"), "doc_id").alias("path"), owner.alias("owner"), "label",
+        F.create_map(owner, F.col("source")).alias("evidence"), F.col("n_chars").alias("latency_ms"), arms)
 
 
 def eval_paths(spark: SparkSession, sf: str) -> DataFrame:

@@ -81,7 +81,7 @@ VIEWS = {
   SELECT arm, tag, CAST(sum(CASE WHEN is_positive AND tag = owner THEN 1 ELSE 0 END) AS BIGINT) AS positives,
          CAST(sum(CASE WHEN is_positive AND tag = owner AND band = 'present' THEN 1 ELSE 0 END) AS BIGINT) AS tp,
          CAST(sum(CASE WHEN is_positive AND tag = owner AND band = 'uncertain' THEN 1 ELSE 0 END) AS BIGINT) AS unsure
-  FROM v_eval GROUP BY arm, tag""",
+  FROM v_eval GROUP BY arm, tag HAVING count(*) FILTER (WHERE tag = owner) > 0""",
     "v_fire": """
   SELECT arm, tag, count(*) AS false_blocks FROM v_eval WHERE band = 'present' AND tag <> owner GROUP BY arm, tag""",
     "v_items": "SELECT DISTINCT arm, item, owner, is_positive, latency_ms FROM v_eval",
@@ -507,7 +507,7 @@ FROM (SELECT a.cross_tag_false_blocks < b.cross_tag_false_blocks AS fewer, b.mea
 oracle("gate_report_merge", """
 SELECT arm, CASE WHEN arm = 'candidate' THEN images ELSE -1 END AS images, cross_tag_false_blocks FROM v_report""")
 oracle("label_disagreements", """
-SELECT item, tag, CASE WHEN is_positive THEN 'labelled POSITIVE, model says absent' ELSE 'labelled NEGATIVE, model says present' END AS problem, evidence
+SELECT arm, 'eval/' || item AS path, tag, CASE WHEN is_positive THEN 'labelled POSITIVE, model says absent' ELSE 'labelled NEGATIVE, model says present' END AS problem, evidence
 FROM v_eval WHERE tag = owner AND ((is_positive AND band = 'absent') OR (NOT is_positive AND band = 'present'))""")
 oracle("eval_coverage", """
 SELECT DISTINCT owner AS slug FROM v_found
@@ -517,7 +517,7 @@ SELECT arm, tag, false_blocks, CAST(row_number() OVER (PARTITION BY arm ORDER BY
 oracle("tags_without_positives", """
 SELECT slug AS tag FROM v_tags WHERE status = 'active' EXCEPT SELECT owner FROM v_eval WHERE is_positive""")
 oracle("arms_union", """
-SELECT arm, CASE WHEN arm = 'candidate' THEN evidence END AS evidence, band, count(*) AS n FROM v_eval GROUP BY 1, 2, 3""")
+SELECT arm, CASE WHEN arm = 'candidate' THEN evidence END AS source, band, count(*) AS n FROM v_eval GROUP BY 1, 2, 3""")
 oracle("resume_todo", """
 SELECT owner, label, path FROM v_found WHERE NOT ((owner <> 'vaping' OR NOT label) AND owner <> 'alcohol')""")
 

@@ -561,7 +561,7 @@ def smoke_limit(spark, sf):
 
 @query
 def banked_scores(spark, sf):
-    s = I.scored_items(spark, sf)
+    s = I.scored(spark, sf)
     docs = s.select(F.to_json(F.create_map("arm", F.create_map("path", F.struct(
         "path", "owner", "label", "bands", "evidence", "latency_ms")))).alias("json"))
     return score_src.banked_scores(docs).select(
@@ -646,7 +646,7 @@ def label_disagreements(spark, sf):
 
 @query
 def eval_coverage(spark, sf):
-    golden = I.scored(spark, sf).filter("band = 'present' AND tag = owner AND latency_ms > 12000").select(F.col("owner").alias("slug"))
+    golden = I.scored(spark, sf).filter("bands[owner] = 'present' AND latency_ms > 12000").select(F.col("owner").alias("slug"))
     return evalgate.eval_coverage(media_src.eval_discover(I.eval_paths(spark, sf)), golden)
 
 
@@ -662,9 +662,10 @@ def tags_without_positives(spark, sf):
 
 @query
 def arms_union(spark, sf):
-    s = I.scored(spark, sf)
-    both = evalgate.arms_union(s.filter("arm = 'baseline'").drop("evidence"), s.filter("arm = 'candidate'"))
-    return both.groupBy("arm", "evidence", "band").agg(F.count(F.lit(1)).alias("n"))
+    s = I.scored(spark, sf).withColumn("source", F.element_at("evidence", F.col("owner"))).drop("evidence")
+    both = evalgate.arms_union(s.filter("arm = 'baseline'").drop("source"), s.filter("arm = 'candidate'"))
+    return both.select("arm", "source", F.explode("bands").alias("tag", "band")).groupBy("arm", "source", "band").agg(
+        F.count(F.lit(1)).alias("n"))
 
 
 @query
