@@ -9,7 +9,11 @@ from creativeaudit.constants import IMAGE_SUFFIXES
 
 
 def read_media(spark: SparkSession, root: str) -> DataFrame:
-    """S1 source: every file below ``root`` as path and content."""
+    """S1 source: every file below ``root`` as path and content.
+
+    Spark's file scan leaves out files of zero bytes; empty payloads are seen
+    (and rejected) only when media arrive as a table.
+    """
     return (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
             .select("path", "content"))
 
