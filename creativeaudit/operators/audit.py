@@ -54,8 +54,14 @@ def audit_rows(requests: DataFrame, raw: DataFrame, packs_version: str) -> DataF
         "created_at", F.to_date("created_at").alias("created_date"))
 
 
-def write_audit(rows: DataFrame, path: str) -> None:
-    """Append to the audit table, one directory per day."""
+def write_audit(rows: DataFrame, path: str, files_per_day: int | None = None) -> None:
+    """Append to the audit table, one directory per day.
+
+    ``files_per_day`` gathers each day into that many files when a batch spans
+    many days and tasks; hashing the request keeps a busy day in even parts.
+    """
+    if files_per_day:
+        rows = rows.repartition("created_date", F.pmod(F.xxhash64("request_id"), F.lit(files_per_day)))
     rows.write.mode("append").partitionBy("created_date").parquet(path)
 
 

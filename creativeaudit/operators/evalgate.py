@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from creativeaudit.constants import CATALOG_CAP
+from creativeaudit.functions.rounding import round_rate
 from creativeaudit.operators.sizing import fits, small_side
 
 
@@ -56,14 +57,14 @@ def mean_recall(recalls: DataFrame) -> DataFrame:
     """Unweighted mean over tags that have positives. Input: recall_by_tag."""
     measured = F.when(F.col("positives") > 0, F.col("recall"))
     return recalls.groupBy("arm").agg(
-        F.coalesce(F.round(F.avg(measured), 4), F.lit(0.0)).alias("mean_recall"))
+        F.coalesce(round_rate(F.avg(measured), 4), F.lit(0.0)).alias("mean_recall"))
 
 
 def uncertain_positive_rate(scored: DataFrame, recalls: DataFrame) -> DataFrame:
     """Unsure answers of catalog tags over all positives, foreign owners included."""
     positives = scored.groupBy("arm").agg(F.count_if("label").alias("n"))
     unsure = recalls.groupBy("arm").agg(F.sum("unsure").alias("u"))
-    rate = F.coalesce(F.round(F.try_divide(F.col("u"), F.col("n")), 3), F.lit(0.0))
+    rate = F.coalesce(round_rate(F.try_divide(F.col("u"), F.col("n")), 3), F.lit(0.0))
     return positives.join(unsure, "arm", "left").select("arm", rate.alias("uncertain_positive_rate"))
 
 
@@ -112,7 +113,7 @@ def gate_report(scored: DataFrame, slugs: DataFrame) -> DataFrame:
     measured = F.col("positives") > 0
     recall_maps = recalls.groupBy("arm").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.when(
-            measured, F.struct("tag", F.round("recall", 3).alias("recall")))))).alias("recall_by_tag"))
+            measured, F.struct("tag", round_rate(F.col("recall"), 3).alias("recall")))))).alias("recall_by_tag"))
     out = size.withColumn("tags", F.size(known).cast("bigint"))
     for part in (per_tag, mean_recall(recalls), recall_maps, uncertain_positive_rate(scored, recalls),
                  latency_percentiles(scored)):

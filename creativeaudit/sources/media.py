@@ -32,4 +32,4 @@ def eval_discover(paths: DataFrame, limit: int | None = None) -> DataFrame:
         F.regexp_extract("path", pattern, 1).alias("owner"),
         (F.regexp_extract("path", pattern, 2) == "pos").alias("label"), "path").filter("owner <> ''")
     ordered = found.orderBy("owner", F.desc("label"), "path")
-    return ordered if limit is None else ordered.limit(limit)
+    return ordered.limit(limit) if limit else ordered

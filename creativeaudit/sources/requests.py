@@ -26,7 +26,9 @@ def request_intake(requests: DataFrame) -> DataFrame:
     body = requests.select("request_id", F.try_parse_json("body_json").alias("body"))
     kind = F.expr("schema_of_variant(body)")
     tags_kind = F.expr("schema_of_variant(variant_get(body, '$.tags', 'variant'))")
-    items = F.expr("try_variant_get(body, '$.tags', 'array<string>')")
+    # List items count by their text; null and booleans have a text of their own.
+    items = F.expr("""transform(try_variant_get(body, '$.tags', 'array<variant>'), v -> CASE schema_of_variant(v)
+        WHEN 'VOID' THEN 'None' WHEN 'BOOLEAN' THEN initcap(CAST(v AS STRING)) ELSE try_variant_get(v, '$', 'string') END)""")
     text = F.expr("try_variant_get(body, '$.tags', 'string')")
     tags = (F.when(tags_kind == "STRING", tags_from_csv(text))
             .when(tags_kind.startswith("ARRAY"), clean_tags(items)))

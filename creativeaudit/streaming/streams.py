@@ -8,7 +8,7 @@ of the cluster.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +24,9 @@ from creativeaudit.operators.verdicts import collapse_verdicts, decide
 DAY = "1 day"
 
 
-def _sink(path: str, transform: Callable[[DataFrame, int], DataFrame] | None = None):
+def _sink(path: str):
     def write(batch: DataFrame, batch_id: int) -> None:
-        out = transform(batch, batch_id) if transform else batch
-        out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
 
@@ -139,24 +138,31 @@ def stream_admission(hits: DataFrame, path: str, checkpoint: str, *, limit: int
 def stream_cache(requests: DataFrame, path: str, checkpoint: str, *, trigger: dict | None = None) -> StreamingQuery:
     """T4: the first request for a cache key is a miss, later ones are hits.
 
-    Earlier batches' keys are read from the stream's own output; within a
-    batch the earliest request per key is found by a combining aggregate.
+    Within a batch the earliest request per key is found by a combining
+    aggregate. Earlier batches are asked through their misses, one row per key
+    ever seen; hits lie in directories of their own and are not read.
     """
     key = ["image_hash", "packs_version", "tag_key"]
 
-    def judge(batch: DataFrame, batch_id: int) -> DataFrame:
+    def write(batch: DataFrame, batch_id: int) -> None:
         rows = audit.with_cache_key(batch)
         first = rows.groupBy(*key).agg(F.min(F.struct("created_at", "request_id"))["request_id"].alias("first_id"))
         if batch_id > 0:
-            seen = (batch.sparkSession.read.parquet(path).filter((F.col("batch") < batch_id) & ~F.col("cached"))
+            seen = (batch.sparkSession.read.parquet(path).filter((F.col("batch") < batch_id) & (F.col("cached") == "false"))
                     .select(*key).withColumn("seen", F.lit(True)))
             first = first.join(seen, key, "left")
         else:
             first = first.withColumn("seen", F.lit(None).cast("boolean"))
         fresh = (F.col("request_id") == F.col("first_id")) & F.col("seen").isNull()
-        return rows.join(first, key).select("request_id", *key, (~fresh).alias("cached"))
+        judged = rows.join(first, key).select("request_id", *key, (~fresh).alias("cached"))
+        judged.write.mode("overwrite").partitionBy("cached").parquet(f"{path}/batch={batch_id}")
+
+    return _start(requests, write, checkpoint, "append", trigger)
+
 
-    return _start(requests, _sink(path, judge), checkpoint, "append", trigger)
+def read_flag(spark: SparkSession, path: str, flag: str) -> DataFrame:
+    """T4 and T5 results; a directory name carries the flag as text."""
+    return spark.read.parquet(path).withColumn(flag, F.col(flag).cast("boolean"))
 
 
 def stream_gate(requests: DataFrame, catalog: DataFrame, path: str, checkpoint: str, *,
@@ -167,8 +173,3 @@ def stream_gate(requests: DataFrame, catalog: DataFrame, path: str, checkpoint:
         judged.write.mode("overwrite").partitionBy("accepted").parquet(f"{path}/batch={batch_id}")
 
     return _start(requests, split, checkpoint, "append", trigger)
-
-
-def read_gate(spark: SparkSession, path: str) -> DataFrame:
-    """T5 result; a directory name carries ``accepted`` as text."""
-    return spark.read.parquet(path).withColumn("accepted", F.col("accepted").cast("boolean"))

@@ -91,8 +91,10 @@ VIEWS = {
     "v_report": """
   SELECT a.arm, a.images, CAST(5 AS BIGINT) AS tags,
          coalesce((SELECT CAST(sum(false_blocks) AS BIGINT) FROM v_fire f WHERE f.arm = a.arm), 0) AS cross_tag_false_blocks,
-         (SELECT round(avg(tp / positives), 4) FROM v_recall r WHERE r.arm = a.arm AND positives > 0) AS mean_recall,
-         (SELECT round(sum(unsure) / a.positives, 3) FROM v_recall r WHERE r.arm = a.arm) AS uncertain_positive_rate,
+         (SELECT CASE WHEN avg(tp / positives) * 32 = floor(avg(tp / positives) * 32) THEN round_even(avg(tp / positives), 4) ELSE round(avg(tp / positives), 4) END
+          FROM v_recall r WHERE r.arm = a.arm AND positives > 0) AS mean_recall,
+         (SELECT CASE WHEN sum(unsure) * 16 % a.positives = 0 THEN round_even(sum(unsure) / a.positives, 3) ELSE round(sum(unsure) / a.positives, 3) END
+          FROM v_recall r WHERE r.arm = a.arm) AS uncertain_positive_rate,
          (SELECT max(latency_ms) FROM v_ranked k WHERE k.arm = a.arm AND i = least(n - 1, CAST(floor(n*0.5) AS BIGINT))) AS p50,
          (SELECT max(latency_ms) FROM v_ranked k WHERE k.arm = a.arm AND i = least(n - 1, CAST(floor(n*0.95) AS BIGINT))) AS p95,
          (SELECT max(latency_ms) FROM v_ranked k WHERE k.arm = a.arm) AS "max"
@@ -200,6 +202,15 @@ FROM (SELECT c.creative_id, greatest(1, coalesce(s.n, 0)) AS analyzed, c.conside
       ON s.creative_id = c.creative_id)""")
 oracle("uncalibrated_tags", """
 SELECT creative_id, string_agg(tag, ',' ORDER BY tag) AS tags FROM v_collapsed WHERE NOT calibrated_effective GROUP BY creative_id""")
+oracle("verdict_json", """
+SELECT creative_id, '{"results":[' || string_agg('{"tag":"' || tag || '","present":' || coalesce(CAST(present AS VARCHAR), 'null') || ',"score":' || score ||
+         ',"confidence":"' || confidence || '","decided_by":"vlm","calibrated":' || calibrated_effective || ',"evidence":{"top_phrase":"' || role ||
+         ' turn","crop":null,"sigmoid":null' || CASE WHEN n > 4 THEN ',"frame":{"index":' || frame_index || ',"timestamp_s":' || (frame_index * 0.5::DOUBLE) || '}' ELSE '' END ||
+         '}}', ',' ORDER BY tag) || ']' ||
+       coalesce(',"uncalibrated_tags":[' || string_agg('"' || tag || '"', ',' ORDER BY tag) FILTER (WHERE NOT calibrated_effective) || ']', '') ||
+       CASE WHEN any_value(n) > 4 THEN ',"media":{"kind":"video","duration_s":' || (any_value(n) * 0.5::DOUBLE) || ',"frames_analyzed":' || any_value(n) ||
+            ',"frames_considered":' || any_value(n) || '}' ELSE '' END || '}' AS body_json
+FROM v_collapsed JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) s ON conv_id = creative_id GROUP BY creative_id""")
 oracle("decision_version", """
 SELECT substr(sha256('rule-1|0.85|0.6|6|0.35|8.0|' || string_agg(b || h, '' ORDER BY b) || '|fallback:=false:~:~:~'), 1, 12) AS decision_version
 FROM (SELECT substr(d, 1, 3) AS b, sha256(string_agg(d, '' ORDER BY d)) AS h

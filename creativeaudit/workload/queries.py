@@ -729,7 +729,7 @@ def stream_cache(spark, sf):
     out, state = _paths(spark, "cache")
     rows = intake.normalise_tags(I.requests_from(_stream(spark, sf, "events"))).drop("cached")
     streams.stream_cache(rows, out, state).awaitTermination()
-    return spark.read.parquet(out).select("request_id", "cached")
+    return streams.read_flag(spark, out, "cached").select("request_id", "cached")
 
 
 @query
@@ -737,7 +737,7 @@ def stream_gate(spark, sf):
     out, state = _paths(spark, "gate")
     rows = intake.normalise_tags(I.requests_from(_stream(spark, sf, "events")))
     streams.stream_gate(rows, I.tags(spark), out, state).awaitTermination()
-    return streams.read_gate(spark, out).select("request_id", joined("unknown").alias("unknown"), "accepted")
+    return streams.read_flag(spark, out, "accepted").select("request_id", joined("unknown").alias("unknown"), "accepted")
 
 
 # ------------------------------------------------------------- end to end

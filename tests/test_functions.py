@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from creativeaudit import constants as C
-from creativeaudit.functions import media, net, numbering, text, verdict
+from creativeaudit.functions import media, net, numbering, rounding, text, verdict
 
 
 def column(spark, values, type_="string"):
@@ -129,6 +129,12 @@ def test_effective_calibrated(spark):
     assert evaluate(df, verdict.effective_calibrated(F.col("c"), F.col("s"), F.col("l"))) == [r[3] for r in rows]
 
 
+def test_rates_round_exact_halves_to_even(spark):
+    values = [5 / 16, 3 / 16, 1 / 16, 0.0125, 0.6666666, 0.5, 1.0]
+    df = column(spark, values, "double")
+    assert evaluate(df, rounding.round_rate(F.col("v"), 3)) == [round(v, 3) for v in values]
+
+
 def test_running_equals_plain_window(spark):
     rng = random.Random(3)
     rows = [(rng.choice("aaab"), rng.randrange(10_000_000), i, rng.randrange(5)) for i in range(3000)]

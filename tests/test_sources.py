@@ -57,6 +57,11 @@ def test_request_bodies(spark):
                    "list": (None, None, "BAD_REQUEST"), "junk": (None, None, "BAD_REQUEST")}
 
 
+def test_list_items_count_by_their_text(spark):
+    df = spark.createDataFrame([(1, json.dumps({"image_url": "http://x", "tags": [" a ", 7, None, True, "a"]}))], "request_id int, body_json string")
+    assert requests.request_intake(df).first()["tags"] == ["a", "7", "None", "True"]
+
+
 def test_banked_scores_and_archive(spark, tmp_path):
     bank = {"x": {"p1": {"path": "p1", "owner": "a", "label": True, "bands": {"a": "present"}, "evidence": {}, "latency_ms": 5}},
             "y": {"p1": {"path": "p1", "owner": "a", "label": True, "bands": {}, "evidence": {}}}}

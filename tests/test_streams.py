@@ -85,7 +85,7 @@ def test_admission(spark, split, tmp_path):
 def test_cache(spark, split, tmp_path):
     src = intake.normalise_tags(I.requests_from(stream(spark, split, "events"))).drop("cached")
     run(streams.stream_cache(src, f"{tmp_path}/o", f"{tmp_path}/c"))
-    got = spark.read.parquet(f"{tmp_path}/o")
+    got = streams.read_flag(spark, f"{tmp_path}/o", "cached")
     distinct = got.select("image_hash", "packs_version", "tag_key").distinct().count()
     assert got.count() == I.table(spark, SF, "events").count() and got.filter("NOT cached").count() == distinct
     assert got.select("batch").distinct().count() > 1
@@ -94,7 +94,7 @@ def test_cache(spark, split, tmp_path):
 def test_gate(spark, split, tmp_path):
     src = intake.normalise_tags(I.requests_from(stream(spark, split, "events")))
     run(streams.stream_gate(src, I.tags(spark), f"{tmp_path}/o", f"{tmp_path}/c"))
-    got = streams.read_gate(spark, f"{tmp_path}/o")
+    got = streams.read_flag(spark, f"{tmp_path}/o", "accepted")
     assert got.filter("NOT accepted").count() == I.table(spark, SF, "events").filter("event_type = 'signup'").count()
 
 
