@@ -39,6 +39,14 @@ SCORER_PARALLELISM = 2
 # ---- fixed values: evaluation media ---------------------------------------
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".webp", ".bmp", ".gif")
 
+# ---- fixed values: wording of label disagreements ---------------------------
+POSITIVE_BUT_ABSENT = "labelled POSITIVE, model says absent"
+NEGATIVE_BUT_PRESENT = "labelled NEGATIVE, model says present"
+
+# ---- fixed values: wording of the fixture scorer ----------------------------
+FIXTURE_SAYS = "fixture says "
+FIXTURE_SILENT = "no fixture for this image; answering uncertain"
+
 # ---- fixed values: reject code -> response status --------------------------
 ERROR_STATUS = {
     "NOT_CONFIGURED": 409,

@@ -52,9 +52,7 @@ def fixture_scorer(frames: DataFrame, fixture: DataFrame) -> DataFrame:
     return asked.join(f, ["hash", "tag"], "left").select(
         "creative_id", "frame_index", "tag", "present",
         F.when(F.col("present").isNull(), 0.0).otherwise(1.0).alias("score"),
-        # fixed values: evidence texts
-        F.when(F.col("listed"), F.concat(F.lit("fixture says "), said))
-        .otherwise("no fixture for this image; answering uncertain").alias("top_phrase"),
+        F.when(F.col("listed"), F.concat(F.lit(C.FIXTURE_SAYS), said)).otherwise(C.FIXTURE_SILENT).alias("top_phrase"),
         F.lit(C.DECIDED_BY).alias("decided_by"))
 
 

