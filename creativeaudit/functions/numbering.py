@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def time_slice(ts: Column, seconds: int) -> Column:
-    return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("bigint")
+def floor_seconds(ts: Column, seconds: int) -> Column:
+    """Epoch second at which the ``seconds`` long window around ``ts`` starts."""
+    at = F.unix_seconds(ts)
+    return at - F.pmod(at, F.lit(seconds).cast("bigint"))
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], slice_by: Column, *,

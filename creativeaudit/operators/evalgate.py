@@ -8,12 +8,13 @@ shuffled by arm and tag.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creativeaudit import constants as C
 from creativeaudit.functions.rounding import round_rate
 from creativeaudit.operators.sizing import fits, small_side
+from creativeaudit.session import checkpoint
 
 
 def _own_band():
@@ -26,31 +27,46 @@ def _in_catalog(rows: DataFrame, slugs: DataFrame, column: str) -> DataFrame:
     return rows.join(known, column, "left_semi")
 
 
+def _fired():
+    """Tags of other owners that fired on an item."""
+    return F.map_keys(F.map_filter("bands", lambda tag, band: (band == "present") & (tag != F.col("owner"))))
+
+
+def _count_fires(rows: DataFrame, slugs: DataFrame) -> DataFrame:
+    return _in_catalog(rows, slugs, "tag").groupBy("arm", "tag").agg(F.sum("n").alias("false_blocks"))
+
+
 def cross_fire(scored: DataFrame, slugs: DataFrame) -> DataFrame:
     """Items of other owners on which a tag fired; a row without tag is the arm's total.
 
     Tags that never fired are absent, the total is always there.
     """
-    fired = F.map_keys(F.map_filter("bands", lambda tag, band: (band == "present") & (tag != F.col("owner"))))
-    rows = scored.select("arm", F.explode(fired).alias("tag"))
-    per_tag = _in_catalog(rows, slugs, "tag").groupBy("arm", "tag").agg(F.count(F.lit(1)).alias("false_blocks"))
+    rows = scored.select("arm", F.explode(_fired()).alias("tag"), F.lit(1).cast("bigint").alias("n"))
+    per_tag = _count_fires(rows, slugs)
     sums = per_tag.groupBy("arm").agg(F.sum("false_blocks").alias("false_blocks"))
     total = scored.select("arm").distinct().join(sums, "arm", "left").select(
         "arm", F.lit(None).cast("string").alias("tag"), F.coalesce("false_blocks", F.lit(0)).alias("false_blocks"))
     return per_tag.select("arm", "tag", "false_blocks").unionByName(total)
 
 
+def _count_recalls(rows: DataFrame, slugs: DataFrame) -> DataFrame:
+    def total(condition):
+        return F.sum(F.when(condition, F.col("n")).otherwise(0))
+
+    own = F.col("label")
+    out = _in_catalog(rows, slugs, "tag").groupBy("arm", "tag").agg(
+        total(own).alias("positives"), total(own & (F.col("band") == "present")).alias("tp"),
+        total(own & (F.col("band") == "uncertain")).alias("unsure"))
+    return out.withColumn("recall", F.when(F.col("positives") > 0, F.col("tp") / F.col("positives")).otherwise(0.0))
+
+
 def recall_by_tag(scored: DataFrame, slugs: DataFrame) -> DataFrame:
     """A10: detections among each owner's positives. Uncertain is not a detection.
 
     One row per arm and catalog tag that owns items; recall is 0 without positives.
     """
-    rows = _in_catalog(scored.select("arm", F.col("owner").alias("tag"), "label", _own_band().alias("band")), slugs, "tag")
-    own = F.col("label")
-    out = rows.groupBy("arm", "tag").agg(
-        F.count_if(own).alias("positives"), F.count_if(own & (F.col("band") == "present")).alias("tp"),
-        F.count_if(own & (F.col("band") == "uncertain")).alias("unsure"))
-    return out.withColumn("recall", F.when(F.col("positives") > 0, F.col("tp") / F.col("positives")).otherwise(0.0))
+    return _count_recalls(scored.select("arm", F.col("owner").alias("tag"), "label", _own_band().alias("band"),
+                                        F.lit(1).cast("bigint").alias("n")), slugs)
 
 
 def mean_recall(recalls: DataFrame) -> DataFrame:
@@ -64,61 +80,99 @@ def uncertain_positive_rate(scored: DataFrame, recalls: DataFrame) -> DataFrame:
     """Unsure answers of catalog tags over all positives, foreign owners included."""
     positives = scored.groupBy("arm").agg(F.count_if("label").alias("n"))
     unsure = recalls.groupBy("arm").agg(F.sum("unsure").alias("u"))
-    rate = F.coalesce(round_rate(F.try_divide(F.col("u"), F.col("n")), 3), F.lit(0.0))
-    return positives.join(unsure, "arm", "left").select("arm", rate.alias("uncertain_positive_rate"))
+    return positives.join(unsure, "arm", "left").select(
+        "arm", _rate(F.col("u"), F.col("n")).alias("uncertain_positive_rate"))
 
 
-def latency_percentiles(scored: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    """Nearest-rank percentiles over non-zero latencies, per arm.
+def _rate(part: Column, whole: Column) -> Column:
+    return F.coalesce(round_rate(F.try_divide(part, whole), 3), F.lit(0.0))
 
-    Latencies are counted per distinct millisecond first; the running count
-    then walks that small table, never the items.
-    """
-    counts = scored.groupBy("arm", "latency_ms").agg(F.count(F.lit(1)).alias("c"))
+
+def _percentiles(counts: DataFrame, quantiles: tuple[float, ...]) -> DataFrame:
+    """Nearest rank over a small table of (arm, latency_ms, n)."""
     upto = Window.partitionBy("arm").orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)
-    real = counts.withColumn("c", F.when(F.coalesce(F.col("latency_ms"), F.lit(0)) != 0, F.col("c")).otherwise(0))
-    ranked = (real.withColumn("upto", F.sum("c").over(upto))
-              .withColumn("n", F.sum("c").over(Window.partitionBy("arm"))))
+    real = counts.withColumn("n", F.when(F.coalesce(F.col("latency_ms"), F.lit(0)) != 0, F.col("n")).otherwise(0))
+    ranked = (real.withColumn("upto", F.sum("n").over(upto))
+              .withColumn("all", F.sum("n").over(Window.partitionBy("arm"))))
 
-    def nearest(q: float):
-        rank = F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(float(q))))
-        hit = F.min(F.when((F.col("c") > 0) & (F.col("upto") > rank), F.col("latency_ms")))
+    def nearest(q: float) -> Column:
+        rank = F.least(F.col("all") - 1, F.floor(F.col("all") * F.lit(float(q))))
+        hit = F.min(F.when((F.col("n") > 0) & (F.col("upto") > rank), F.col("latency_ms")))
         return F.coalesce(hit, F.lit(0)).cast("bigint").alias(f"p{round(q * 100)}")
 
-    largest = F.max(F.when(F.col("c") > 0, F.col("latency_ms")))
+    largest = F.max(F.when(F.col("n") > 0, F.col("latency_ms")))
     return ranked.groupBy("arm").agg(
         *[nearest(q) for q in quantiles], F.coalesce(largest, F.lit(0)).cast("bigint").alias("max"))
 
 
+def latency_percentiles(scored: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """Nearest-rank percentiles over non-zero latencies, per arm.
+
+    Latencies are counted per distinct millisecond first; the running count
+    then walks that small table, never the items.
+    """
+    return _percentiles(scored.groupBy("arm", "latency_ms").agg(F.count(F.lit(1)).alias("n")), quantiles)
+
+
 def tags_without_positives(scored: DataFrame, slugs: DataFrame) -> DataFrame:
     """Catalog tags nobody has positive media for."""
     owners = scored.filter("label").select(F.col("owner").alias("tag")).distinct()
     return slugs.select(F.col("slug").alias("tag")).distinct().join(owners, "tag", "left_anti").orderBy("tag")
 
 
+def _tally(scored: DataFrame) -> DataFrame:
+    """Everything a report needs, counted in one pass over the items and one shuffle.
+
+    Each item gives its owner's verdict, its latency and the tags that fired.
+    The counts are few (tags, bands, distinct milliseconds) and are read
+    several times, so they are stored.
+    """
+    none = F.lit(None)
+
+    def fact(kind: str, key: Column, label: Column, band: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"),
+                        label.cast("boolean").alias("label"), band.cast("string").alias("band"))
+
+    facts = F.concat(F.array(fact("own", F.col("owner"), F.col("label"), _own_band()),
+                             fact("ms", F.col("latency_ms"), none, none)),
+                     F.transform(_fired(), lambda tag: fact("fire", tag, none, none)))
+    counted = scored.select("arm", F.inline(facts)).groupBy("arm", "kind", "key", "label", "band").agg(
+        F.count(F.lit(1)).alias("n"))
+    return checkpoint(counted)
+
+
 def gate_report(scored: DataFrame, slugs: DataFrame) -> DataFrame:
     """One row per arm with both gate numbers and what explains them.
 
-    The catalog is within its cap, so its slugs serve as one array.
+    The catalog is within its cap, so its slugs serve as one array. Reads the
+    items once, when the plan is built.
     """
     if not fits(slugs, C.CATALOG_CAP):
         raise ValueError(f"a report covers one catalog of at most {C.CATALOG_CAP} tags")
     known = slugs.agg(F.array_sort(F.collect_set("slug")).alias("s")).scalar()
-    recalls = recall_by_tag(scored, slugs)
-    size = scored.groupBy("arm").agg(F.count(F.lit(1)).alias("images"))
-    per_tag = cross_fire(scored, slugs).groupBy("arm").agg(
-        F.max(F.when(F.col("tag").isNull(), F.col("false_blocks"))).alias("cross_tag_false_blocks"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(
-            F.col("tag").isNotNull(), F.struct("tag", "false_blocks"))))).alias("cross_tag_by_tag"))
+    tally = _tally(scored)
+    own = tally.filter("kind = 'own'").withColumnRenamed("key", "tag")
+    size = own.groupBy("arm").agg(F.sum("n").alias("images"), F.sum(F.when(F.col("label"), F.col("n")).otherwise(0)).alias("positives"))
     measured = F.col("positives") > 0
-    recall_maps = recalls.groupBy("arm").agg(
+    recalls = _count_recalls(own, slugs).groupBy("arm").agg(
+        F.coalesce(round_rate(F.avg(F.when(measured, F.col("recall"))), 4), F.lit(0.0)).alias("mean_recall"),
+        F.sum("unsure").alias("unsure"),
         F.map_from_entries(F.array_sort(F.collect_list(F.when(
             measured, F.struct("tag", round_rate(F.col("recall"), 3).alias("recall")))))).alias("recall_by_tag"))
-    out = size.withColumn("tags", F.size(known).cast("bigint"))
-    for part in (per_tag, mean_recall(recalls), recall_maps, uncertain_positive_rate(scored, recalls),
-                 latency_percentiles(scored)):
-        out = out.join(part, "arm", "left")
-    return out.withColumn("tags_without_positives", F.array_except(known, F.map_keys("recall_by_tag")))
+    fires = _count_fires(tally.filter("kind = 'fire'").withColumnRenamed("key", "tag"), slugs).groupBy("arm").agg(
+        F.sum("false_blocks").alias("cross_tag_false_blocks"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "false_blocks")))).alias("cross_tag_by_tag"))
+    waits = _percentiles(tally.filter("kind = 'ms'").select("arm", F.col("key").cast("bigint").alias("latency_ms"), "n"), (0.5, 0.95))
+    out = size.join(recalls, "arm", "left").join(fires, "arm", "left").join(waits, "arm", "left")
+    no_map = F.create_map().cast("map<string,bigint>")
+    recall_map = F.coalesce("recall_by_tag", F.create_map().cast("map<string,double>"))
+    return out.select(
+        "arm", "images", F.size(known).cast("bigint").alias("tags"),
+        F.coalesce("cross_tag_false_blocks", F.lit(0)).alias("cross_tag_false_blocks"),
+        F.coalesce("mean_recall", F.lit(0.0)).alias("mean_recall"),
+        F.coalesce("cross_tag_by_tag", no_map).alias("cross_tag_by_tag"), recall_map.alias("recall_by_tag"),
+        F.array_except(known, F.map_keys(recall_map)).alias("tags_without_positives"),
+        _rate(F.coalesce("unsure", F.lit(0)), F.col("positives")).alias("uncertain_positive_rate"), "p50", "p95", "max")
 
 
 METRICS = ("cross_tag_false_blocks", "mean_recall", "uncertain_positive_rate", "p95")

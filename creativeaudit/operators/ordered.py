@@ -278,13 +278,13 @@ def _as_list(carry) -> list[int]:
 # ------------------------------------------------------------------ frames
 
 
-def _select_step(gap_us: int, max_mad: float):
+def _select_step(gap_s: float, max_mad: float):
     def step(state, cols):
         kept_at, kept_sig, kept_id = state
         keep = np.zeros(len(cols["_at"]), bool)
         same_as = np.full(len(keep), None, dtype=object)
-        for i, at in enumerate(cols["_at"]):
-            if kept_at and at - kept_at[-1] < gap_us:
+        for i, at in enumerate(cols["timestamp_s"]):
+            if kept_at and at - kept_at[-1] < gap_s:
                 continue
             sig = np.asarray(cols["signature"][i], dtype=np.float64)
             match = None
@@ -294,7 +294,7 @@ def _select_step(gap_us: int, max_mad: float):
                     break
             if match is None:
                 keep[i] = True
-                kept_at.append(int(at))
+                kept_at.append(float(at))
                 kept_sig.append(sig)
                 kept_id.append(int(cols["frame_id"][i]))
             else:
@@ -306,7 +306,7 @@ def _select_step(gap_us: int, max_mad: float):
 
 def _open_frames(carry):
     rows = [] if carry is None else list(carry)
-    return ([int(r["at"]) for r in rows], [np.asarray(r["signature"], dtype=np.float64) for r in rows],
+    return ([float(r["at"]) for r in rows], [np.asarray(r["signature"], dtype=np.float64) for r in rows],
             [int(r["frame_id"]) for r in rows])
 
 
@@ -322,10 +322,10 @@ def mark_frames(frames: DataFrame, gap_s: float, max_mad: float, max_rows: int =
     With at most 60 seconds and a gap of 0.35 a creative keeps at most 172 frames.
     """
     state = T.ArrayType(T.StructType([
-        T.StructField("at", T.LongType()), T.StructField("signature", T.ArrayType(T.DoubleType())),
+        T.StructField("at", T.DoubleType()), T.StructField("signature", T.ArrayType(T.DoubleType())),
         T.StructField("frame_id", T.LongType())]))
     micros = F.round(F.col("timestamp_s") * 1_000_000)
     return fold(frames, ["creative_id"], micros, ["frame_id"],
                 {"kept": T.BooleanType(), "same_as": T.LongType()},
-                _select_step(round(gap_s * 1_000_000), max_mad), _open_frames, _close_frames, state,
+                _select_step(gap_s, max_mad), _open_frames, _close_frames, state,
                 still_matters=lambda kept, first: kept, max_rows=max_rows)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creativeaudit import constants as C
-from creativeaudit.functions.numbering import running, time_slice
+from creativeaudit.functions.numbering import floor_seconds, running
 from creativeaudit.operators.sizing import small_side
 
 
@@ -17,7 +17,7 @@ def _instant(now: datetime | str) -> Column:
 
 
 def window_start(ts: Column, seconds: int = C.KEY_WINDOW_S) -> Column:
-    return F.timestamp_seconds(F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)) * seconds)
+    return F.timestamp_seconds(floor_seconds(ts, seconds))
 
 
 def usage_counters(requests: DataFrame, window_s: int = C.KEY_WINDOW_S) -> DataFrame:
@@ -78,7 +78,7 @@ def quota_ledger(charges: DataFrame, limits: DataFrame, window_s: int = C.KEY_WI
     rows = charges.withColumn("window_start", window_start(F.col("ts"), window_s))
     out = running(rows, ["api_key_id", "window_start"],
                   [F.col("ts"), F.col("request_id"), F.col("part")],
-                  time_slice(F.col("ts"), slice_s), amount=F.col("units"), name="running_units")
+                  floor_seconds(F.col("ts"), slice_s), amount=F.col("units"), name="running_units")
     out = out.join(small_side(limits.select("api_key_id", "limit")), "api_key_id")
     return out.withColumn("remaining", F.greatest(
         F.lit(0).cast("bigint"), F.col("limit") - F.col("running_units")))
@@ -92,7 +92,7 @@ def rate_limit_fixed(requests: DataFrame, limits: DataFrame, window_s: int = C.K
     """
     rows = requests.withColumn("window_start", window_start(F.col("ts"), window_s))
     out = running(rows, ["api_key_id", "window_start"], [F.col("ts"), F.col("request_id")],
-                  time_slice(F.col("ts"), slice_s))
+                  floor_seconds(F.col("ts"), slice_s))
     out = out.join(small_side(limits.select("api_key_id", "limit")), "api_key_id")
     left_us = F.unix_micros("window_start") + window_s * 1_000_000 - F.unix_micros("ts")
     return (out.withColumn("admitted", F.col("n") <= F.col("limit"))

@@ -139,7 +139,7 @@ def test_running_equals_plain_window(spark):
     rng = random.Random(3)
     rows = [(rng.choice("aaab"), rng.randrange(10_000_000), i, rng.randrange(5)) for i in range(3000)]
     df = spark.createDataFrame(rows, "k string, us bigint, id int, amount bigint").withColumn("ts", F.timestamp_micros("us"))
-    got = numbering.running(df, ["k"], [F.col("ts"), F.col("id")], numbering.time_slice(F.col("ts"), 1),
+    got = numbering.running(df, ["k"], [F.col("ts"), F.col("id")], numbering.floor_seconds(F.col("ts"), 1),
                             amount=F.col("amount"), name="run", total="all")
     want, sums = {}, {}
     for k, us, i, a in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
