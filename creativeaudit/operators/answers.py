@@ -70,16 +70,21 @@ def reply_completeness(frames: DataFrame, wanted: DataFrame, answers: DataFrame)
     the reply), slug. When a frame index is answered twice the last one counts.
     Lists are bounded: a creative's answers come from one reply document.
     """
-    got = answers.groupBy("creative_id", "frame_index", "reply_frame").agg(
-        F.collect_set("slug").alias("seen"))
-    got = got.groupBy("creative_id", "frame_index").agg(
-        F.max_by("seen", "reply_frame").alias("seen"), F.count(F.lit(1)).alias("reply_frames"))
-    sent = frames.select("creative_id", "frame_index", F.lit(True).alias("sent")).distinct()
-    grid = sent.join(got, ["creative_id", "frame_index"], "full_outer")
-    grid = grid.join(wanted.select("creative_id", F.col("tags").alias("wanted")), "creative_id", "left")
     empty = F.array().cast("array<string>")
-    grid = tag_set_diff(grid.withColumn("seen", F.coalesce("seen", empty))
-                        .withColumn("wanted", F.when(F.col("sent"), F.col("wanted")).otherwise(empty)))
+    answer = F.struct(F.col("reply_frame").alias("nth"), "slug")
+    rows = frames.select("creative_id", "frame_index", F.lit(True).alias("sent"),
+                         F.lit(None).cast("int").alias("reply_frame"), F.lit(None).cast("string").alias("slug"))
+    rows = rows.unionByName(answers.select("creative_id", "frame_index", F.lit(False).alias("sent"),
+                                           F.col("reply_frame").cast("int").alias("reply_frame"), "slug"))
+    grid = rows.groupBy("creative_id", "frame_index").agg(
+        F.bool_or("sent").alias("sent"),
+        F.collect_set(F.when(F.col("reply_frame").isNotNull(), answer)).alias("answers"))
+    last = F.array_max(F.transform("answers", lambda a: a["nth"]))
+    seen = F.transform(F.filter("answers", lambda a: (a["nth"] == last) & a["slug"].isNotNull()), lambda a: a["slug"])
+    grid = grid.select("creative_id", "frame_index", "sent", seen.alias("seen"),
+                       F.size(F.array_distinct(F.transform("answers", lambda a: a["nth"]))).alias("reply_frames"))
+    grid = grid.join(wanted.select("creative_id", F.col("tags").alias("wanted")), "creative_id", "left")
+    grid = tag_set_diff(grid.withColumn("wanted", F.when(F.col("sent"), F.col("wanted")).otherwise(empty)))
     label = lambda tags: F.transform(
         tags, lambda t: F.concat(F.col("frame_index").cast("string"), F.lit(":"), t))
     # A reply for a frame never sent is not read, but its count must not differ.
@@ -88,7 +93,7 @@ def reply_completeness(frames: DataFrame, wanted: DataFrame, answers: DataFrame)
         F.array_sort(F.flatten(F.collect_list(label(F.col("missing"))))).alias("missing"),
         F.array_sort(F.flatten(F.collect_list(unexpected))).alias("unexpected"),
         F.count_if(F.col("sent")).alias("frames_sent"),
-        F.coalesce(F.sum("reply_frames"), F.lit(0)).alias("frames_answered"))
+        F.sum("reply_frames").alias("frames_answered"))
     complete = ((F.size("missing") == 0) & (F.size("unexpected") == 0)
                 & (F.col("frames_sent") == F.col("frames_answered")))
     return out.withColumn("complete", complete)

@@ -41,12 +41,17 @@ def cross_fire(scored: DataFrame, slugs: DataFrame) -> DataFrame:
 
     Tags that never fired are absent, the total is always there.
     """
-    rows = scored.select("arm", F.explode(_fired()).alias("tag"), F.lit(1).cast("bigint").alias("n"))
-    per_tag = _count_fires(rows, slugs)
-    sums = per_tag.groupBy("arm").agg(F.sum("false_blocks").alias("false_blocks"))
-    total = scored.select("arm").distinct().join(sums, "arm", "left").select(
-        "arm", F.lit(None).cast("string").alias("tag"), F.coalesce("false_blocks", F.lit(0)).alias("false_blocks"))
-    return per_tag.select("arm", "tag", "false_blocks").unionByName(total)
+    # Each item also counts 0 under no tag, so that every arm has a total; one scan serves both.
+    tags = F.concat(F.array(F.lit(None).cast("string")), _fired())
+    counted = scored.select("arm", F.explode(tags).alias("tag")).groupBy("arm", "tag").agg(
+        F.count("tag").alias("n"))
+    known = slugs.select(F.col("slug").alias("tag")).distinct().withColumn("known", F.lit(True))
+    known_n = F.when(F.col("known"), F.col("n")).otherwise(0)
+    no_tag = F.lit(None).cast("string")
+    both = F.array(F.struct(no_tag.alias("tag"), known_n.alias("n")), F.struct("tag", known_n.alias("n")))
+    own_row = F.when(F.col("known"), both).otherwise(F.slice(both, 1, 1))
+    rows = counted.join(small_side(known), "tag", "left").select("arm", F.inline(own_row))
+    return rows.groupBy("arm", "tag").agg(F.sum("n").alias("false_blocks"))
 
 
 def _count_recalls(rows: DataFrame, slugs: DataFrame) -> DataFrame:
