@@ -197,7 +197,8 @@ def _cut(rows: DataFrame, keys: list[str], max_rows: int, slices: int = 1_000_00
 # ------------------------------------------------------------------ limiters
 
 
-def _sliding_step(limit: int, span: int):
+def sliding_step(limit: int, span: int):
+    """The sliding limit over sorted instants; ``span`` in the unit of ``_at``."""
     def step(live: list[int], cols):
         at = cols["_at"]
         admitted = np.zeros(len(at), bool)
@@ -231,7 +232,7 @@ def sliding_admission(hits: DataFrame, limit: int, span_s: float, identity: str
     """
     span = int(span_s * 1_000_000)
     return fold(hits, [identity], F.unix_micros("ts"), order, {"admitted": T.BooleanType()},
-                _sliding_step(limit, span), _as_list, list, T.ArrayType(T.LongType()),
+                sliding_step(limit, span), _as_list, list, T.ArrayType(T.LongType()),
                 still_matters=_live_after(span), max_rows=max_rows)
 
 

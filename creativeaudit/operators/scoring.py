@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from creativeaudit import constants as C
 
 ANSWER = ("creative_id bigint, frame_index bigint, tag string, present boolean, score double, "
-          "top_phrase string, decided_by string, error string")
+          "top_phrase string, decided_by string, latency_ms bigint, error string")
 
 
 class ScorerBusy(Exception):
@@ -39,8 +39,11 @@ def score_batch(frames: DataFrame, tags: list[str], scorer: Scorer, *,
 
     def ask(creative_id: int, items: list[dict]) -> list[dict]:
         for attempt in range(retries):
+            started = time.monotonic()
             try:
-                return scorer(creative_id, items, tags)
+                rows = scorer(creative_id, items, tags)
+                took = int((time.monotonic() - started) * 1000)
+                return [{"latency_ms": took, **row} for row in rows]
             except ScorerBusy:
                 time.sleep(backoff_s * (attempt + 1))
             except Exception as exc:  # any failure means no verdict for this creative
@@ -60,6 +63,7 @@ def score_batch(frames: DataFrame, tags: list[str], scorer: Scorer, *,
             for text in ("tag", "top_phrase", "decided_by", "error"):
                 out[text] = out[text].astype(object)
             out["frame_index"] = out["frame_index"].astype("Int64")
+            out["latency_ms"] = out["latency_ms"].astype("Int64")
             out["present"] = out["present"].astype("boolean")
             yield out
 

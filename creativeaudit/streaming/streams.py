@@ -19,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from creativeaudit import constants as C
 from creativeaudit.functions import verdict as V
 from creativeaudit.operators import answers, audit, usage
+from creativeaudit.operators.ordered import sliding_step
 from creativeaudit.operators.verdicts import collapse_verdicts, decide
 
 DAY = "1 day"
@@ -97,25 +98,20 @@ def read_collapsed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _admit(limit: int, span_ms: int):
+    step = sliding_step(limit, span_ms * 1000)
+
     def run(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         live = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(pdfs)).sort_values(["ts_us", "id"])
-        verdicts = []
-        for now in pdf["ts_us"].to_numpy():
-            now = int(now)
-            while live and now - live[0] > span_ms * 1000:
-                live.pop(0)
-            verdicts.append(len(live) < limit)
-            if verdicts[-1]:
-                live.append(now)
+        pdf = pd.concat([p[["identity", "id", "ts_us"]] for p in pdfs]).sort_values(["ts_us", "id"])
+        made, live = step(live, {"_at": pdf["ts_us"].to_numpy()})
         state.update((live,))
         if live:
             due = live[-1] // 1000 + span_ms + 1
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pdf[["identity", "id"]].assign(admitted=verdicts)
+        yield pdf[["identity", "id"]].assign(admitted=made["admitted"])
 
     return run
 

@@ -31,7 +31,12 @@ MAD = 0.13
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    def in_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
+        # Windows and days are UTC, whatever zone the session was started with.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = in_utc
     return fn
 
 
