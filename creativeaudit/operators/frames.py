@@ -47,7 +47,7 @@ def frame_select(frames: DataFrame, gap_s: float = C.MIN_FRAME_GAP_S,
     ``considered`` counts the distinct frames before the cap, so partial
     coverage can be told from full coverage.
     """
-    marked = mark_frames(frames, gap_s, max_mad, max_rows).filter("kept").drop("kept", "same_as")
+    marked = mark_frames(frames, gap_s, max_mad, max_rows).filter("kept").drop("kept", "same_as", "mad")
     numbered = running(marked, ["creative_id"], [F.col("timestamp_s"), F.col("frame_id")],
                        _slice("timestamp_s"), name="_nth", total="considered")
     chosen = F.array_contains(spread_positions(F.col("considered"), limit), F.col("_nth") - 1)
@@ -62,7 +62,7 @@ def near_duplicate_frames(frames: DataFrame, max_mad: float = C.SAME_PICTURE_MAX
     not every pair of a group, whose number grows with its square.
     """
     marked = mark_frames(frames, 0.0, max_mad, max_rows)
-    return marked.filter(F.col("same_as").isNotNull()).select("creative_id", "same_as", "frame_id")
+    return marked.filter(F.col("same_as").isNotNull()).select("creative_id", "same_as", "frame_id", "mad")
 
 
 def same_picture(left: Column, right: Column, max_mad: float = C.SAME_PICTURE_MAX_MAD) -> Column:

@@ -283,24 +283,22 @@ def _select_step(gap_s: float, max_mad: float):
     def step(state, cols):
         kept_at, kept_sig, kept_id = state
         keep = np.zeros(len(cols["_at"]), bool)
-        same_as = np.full(len(keep), None, dtype=object)
+        same_as, mads = np.full(len(keep), None, dtype=object), np.full(len(keep), None, dtype=object)
         for i, at in enumerate(cols["timestamp_s"]):
             if kept_at and at - kept_at[-1] < gap_s:
                 continue
             sig = np.asarray(cols["signature"][i], dtype=np.float64)
-            match = None
             for other, name in zip(kept_sig, kept_id):
-                if len(other) == len(sig) and np.abs(other - sig).sum() / len(sig) <= max_mad:
-                    match = name
+                mad = np.abs(other - sig).sum() / len(sig) if len(other) == len(sig) else None
+                if mad is not None and mad <= max_mad:
+                    same_as[i], mads[i] = name, float(mad)
                     break
-            if match is None:
+            else:
                 keep[i] = True
                 kept_at.append(float(at))
                 kept_sig.append(sig)
                 kept_id.append(int(cols["frame_id"][i]))
-            else:
-                same_as[i] = match
-        return {"kept": keep, "same_as": same_as}, state
+        return {"kept": keep, "same_as": same_as, "mad": mads}, state
 
     return step
 
@@ -319,7 +317,7 @@ def mark_frames(frames: DataFrame, gap_s: float, max_mad: float, max_rows: int =
     """Greedy pass over each creative's frames in time order.
 
     Adds ``kept`` and, for frames that repeat a kept one, its id as
-    ``same_as``. ``frames``: creative_id, frame_id, timestamp_s, signature.
+    ``same_as`` and the mean absolute difference as ``mad``. ``frames``: creative_id, frame_id, timestamp_s, signature.
     With at most 60 seconds and a gap of 0.35 a creative keeps at most 172 frames.
     """
     state = T.ArrayType(T.StructType([
@@ -327,6 +325,6 @@ def mark_frames(frames: DataFrame, gap_s: float, max_mad: float, max_rows: int =
         T.StructField("frame_id", T.LongType())]))
     micros = F.round(F.col("timestamp_s") * 1_000_000)
     return fold(frames, ["creative_id"], micros, ["frame_id"],
-                {"kept": T.BooleanType(), "same_as": T.LongType()},
+                {"kept": T.BooleanType(), "same_as": T.LongType(), "mad": T.DoubleType()},
                 _select_step(gap_s, max_mad), _open_frames, _close_frames, state,
                 still_matters=lambda kept, first: kept, max_rows=max_rows)

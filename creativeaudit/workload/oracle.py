@@ -195,11 +195,8 @@ oracle("band_counts", """
 SELECT creative_id, count(*) FILTER (WHERE band = 'present') AS present, count(*) FILTER (WHERE band = 'uncertain') AS uncertain,
        count(*) FILTER (WHERE band = 'absent') AS absent FROM v_collapsed GROUP BY creative_id""")
 oracle("frame_coverage", """
-SELECT creative_id, analyzed, greatest(considered, analyzed) AS considered, considered > analyzed AS partial
-FROM (SELECT c.creative_id, greatest(1, coalesce(s.n, 0)) AS analyzed, c.considered
-      FROM (SELECT conv_id AS creative_id, count(*) + min(turn) AS considered FROM conversations GROUP BY conv_id) c
-      LEFT JOIN (SELECT creative_id, count(DISTINCT frame_index) AS n FROM v_raw WHERE score < 0.5 GROUP BY creative_id) s
-      ON s.creative_id = c.creative_id)""")
+SELECT conv_id AS creative_id, n AS analyzed, greatest(n, c) AS considered, c > n AS partial
+FROM (SELECT conv_id, count(DISTINCT turn) AS n, count(*) - 1 + max(length(text)) % 3 AS c FROM conversations GROUP BY conv_id)""")
 oracle("uncalibrated_tags", """
 SELECT creative_id, string_agg(tag, ',' ORDER BY tag) AS tags FROM v_collapsed WHERE NOT calibrated_effective GROUP BY creative_id""")
 oracle("verdict_json", """
@@ -392,14 +389,17 @@ SELECT creative_id, frame_id, considered FROM (
   FROM sel WHERE kept)
 WHERE considered <= 6 OR list_contains(list_transform(range(6), lambda j: CAST(round_even(j * ((considered - 1) / 5.0::DOUBLE), 0) AS BIGINT)), i - 1)""",
        _SELECT.replace("{gap}", "0.35"))
-oracle("near_duplicate_frames", "SELECT creative_id, same_as, frame_id FROM sel WHERE same_as IS NOT NULL", _SELECT.replace("{gap}", "0.0"))
+oracle("near_duplicate_frames", """
+SELECT s.creative_id, s.same_as, s.frame_id,
+       round(list_sum(list_transform(list_zip(a.signature, b.signature), lambda p: abs(p[1]::DOUBLE - p[2]::DOUBLE))) / 64, 6) AS mad
+FROM sel s JOIN v_frames a ON a.frame_id = s.same_as JOIN v_frames b ON b.frame_id = s.frame_id""", _SELECT.replace("{gap}", "0.0"))
 oracle("frame_fallback_merge", """
 SELECT creative_id, frame_id FROM (
   SELECT *, count(*) FILTER (WHERE signature[1] > 0.2) OVER (PARTITION BY creative_id) AS k FROM v_frames)
 WHERE signature[1] > 0.2 OR (k < 2 AND (n <= 6 OR list_contains(list_transform(range(6), lambda i: CAST(round_even(i * ((n - 1) / 5.0::DOUBLE), 0) AS BIGINT)), rn - 1)))""")
 oracle("payload_dedupe", """
 SELECT creative_id, frame_id, row_number() OVER (PARTITION BY creative_id ORDER BY frame_id) - 1 AS frame_index
-FROM (SELECT conv_id AS creative_id, min(turn) AS frame_id FROM conversations GROUP BY conv_id, right(text, 1))""")
+FROM (SELECT conv_id AS creative_id, min(turn) AS frame_id FROM conversations GROUP BY conv_id, role, length(text) % 4)""")
 
 # ---- audit
 oracle("cache_lookup", """

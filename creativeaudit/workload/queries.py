@@ -94,9 +94,9 @@ def band_counts(spark, sf):
 
 @query
 def frame_coverage(spark, sf):
-    considered = I.frames_sent(spark, sf).groupBy("creative_id").agg((F.count(F.lit(1)) + F.min("frame_index")).alias("considered"))
-    raw = I.raw_answers(spark, sf).filter("score < 0.5")
-    return verdicts.frame_coverage(raw, considered)
+    considered = I.frames_sent(spark, sf).groupBy("creative_id").agg(
+        (F.count(F.lit(1)) - 1 + F.max(F.length("text")) % 3).alias("considered"))
+    return verdicts.frame_coverage(I.raw_answers(spark, sf), considered)
 
 
 @query
@@ -397,7 +397,7 @@ def frame_select(spark, sf):
 
 @query
 def near_duplicate_frames(spark, sf):
-    return frames.near_duplicate_frames(I.frames(spark, sf), max_mad=MAD)
+    return frames.near_duplicate_frames(I.frames(spark, sf), max_mad=MAD).withColumn("mad", F.round("mad", 6))
 
 
 @query
@@ -411,7 +411,7 @@ def frame_fallback_merge(spark, sf):
 def payload_dedupe(spark, sf):
     c = I.frames_sent(spark, sf).select(
         "creative_id", F.col("frame_index").alias("frame_id"), (F.col("frame_index") * 0.5).alias("timestamp_s"),
-        F.md5(F.substring("text", -1, 1).cast("binary")).alias("payload_hash"))
+        F.md5(F.concat("role", F.length("text") % 4).cast("binary")).alias("payload_hash"))
     return frames.payload_dedupe(c).select("creative_id", "frame_id", "frame_index")
 
 
