@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creativeaudit.llm import exact, mixing
+from creativeaudit.llm import exact, mixing, pieces, topk, warc
 from creativeaudit.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,7 +22,25 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_mix_sources, op5_exact_dedup)}
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.encoded_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The pages have no time of capture: one a second.
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("page_id"))
+    out = warc.capture_histories(table(spark, sf_dir, "pages"), at)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op2_sentencepiece, op3_mix_sources, op5_exact_dedup, op7_top_k, op8_warc)}
 
 #: Hashes, running sums and one boundary row per source; what the histograms find without sorting.
 MIX_SQL = r"""
@@ -65,4 +83,29 @@ k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DE
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM k
 """
 
-ORACLE: dict[str, str] = {"op3_mix_sources": MIX_SQL, "op5_exact_dedup": EXACT_SQL}
+TOP_K_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+#: DuckDB has no base 32: the digest is SHA-1 in hexadecimal, forty bits at a time as eight base-32 letters.
+WARC_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS hexed FROM p),
+g AS (SELECT *, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        ((('0x' || substr(hexed, (1 + 10 * (i // 8))::BIGINT, 10))::BIGINT >> (35 - 5 * (i % 8))::BIGINT) & 31)::BIGINT + 1, 1)), 'string_agg', '') AS payload_digest
+      FROM h),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY hexed) AS best, count(*) OVER (PARTITION BY hexed) AS n FROM g)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN n > 1 AND best IS NOT NULL AND page_id IS DISTINCT FROM best THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n > 1 AND page_id IS DISTINCT FROM best THEN best END AS refers_to
+FROM w
+"""
+
+ORACLE: dict[str, str] = {"op7_top_k": TOP_K_SQL, "op8_warc": WARC_SQL, "op3_mix_sources": MIX_SQL, "op5_exact_dedup": EXACT_SQL}
