@@ -123,28 +123,32 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Words:
     """The words of some texts: 64-bit hashes, places in the bytes, and where each text's words start."""
 
-    def __init__(self, column, lower: bool = False) -> None:
-        self.data, offsets = text_bytes(column)
-        data = _LOWER[self.data] if lower else self.data
-        n = len(data)
+    def __init__(self, column, lower: bool = False, most: int = 1 << 21) -> None:
+        self.data, self.offsets = text_bytes(column)
+        found, text, n = [], 0, len(self.offsets) - 1
+        while text < n:  # a few MB at a time: what is held for each byte is many times the text
+            stop = max(text + 1, int(np.searchsorted(self.offsets, self.offsets[text] + most, "right")) - 1)
+            found.append(self._scan(self.offsets[text:stop + 1], lower))
+            text = stop
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        self.start, self.end, self.hash = (np.concatenate(x) for x in zip(none, *found))
+        self.first = np.searchsorted(self.start, self.offsets)
+
+    def _scan(self, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        base, data = offsets[0], self.data[offsets[0]:offsets[-1]]
+        data = _LOWER[data] if lower else data
         word = ~_IS_SPACE[data]
-        first = word.copy()
+        some = np.flatnonzero(np.diff(offsets))
+        first, last = word.copy(), word.copy()
         first[1:] &= ~word[:-1]
-        heads = offsets[:-1][offsets[:-1] < offsets[1:]]
-        first[heads] = word[heads]
-        self.start = np.flatnonzero(first)
-        last = word.copy()
         last[:-1] &= ~word[1:]
-        tails = offsets[1:][offsets[:-1] < offsets[1:]] - 1
-        last[tails] = word[tails]
-        self.end = np.flatnonzero(last) + 1
-        self.first = np.searchsorted(self.start, offsets)
-        if len(self.start):
-            value = _LETTER[data] * _UP(n)
-            total = np.add.reduceat(value, self.start)
-            self.hash = mixed(total * _DOWN(n)[self.start] + (self.end - self.start).astype(np.uint64))
-        else:
-            self.hash = np.zeros(0, np.uint64)
+        heads, tails = offsets[some] - base, offsets[some + 1] - base - 1
+        first[heads], last[tails] = word[heads], word[tails]
+        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        if not len(start):
+            return start, end, np.zeros(0, np.uint64)
+        total = np.add.reduceat(_LETTER[data] * _UP(len(data)), start)
+        return start + base, end + base, mixed(total * _DOWN(len(data))[start] + (end - start).astype(np.uint64))
 
     def __len__(self) -> int:
         return len(self.start)
@@ -152,6 +156,10 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def room(self) -> np.ndarray:
+        """How many words a text has from each of its words on."""
+        return np.repeat(self.first[1:], self.counts()) - np.arange(len(self))
+
     def owner(self) -> np.ndarray:
         """The text that each word belongs to."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
@@ -161,8 +169,7 @@ class Words:
         n = len(self) - k + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        room = np.repeat(self.first[1:], self.counts()) - np.arange(len(self))
-        at = np.flatnonzero(room[:n] >= k)
+        at = np.flatnonzero(self.room()[:n] >= k)
         factor = np.uint64((0xD6E8FEB86659FD93 + 2 * seed * 0x9FB21C651E98DF25) % (1 << 64) | 1)
         total = np.zeros(n, np.uint64)
         for i in range(k):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creativeaudit.llm import exact, mixing, pieces, topk, warc
+from creativeaudit.llm import exact, mixing, passages, pieces, topk, warc
 from creativeaudit.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -40,7 +44,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_sentencepiece, op3_mix_sources, op5_exact_dedup, op7_top_k, op8_warc)}
+    op2_sentencepiece, op3_mix_sources, op5_exact_dedup, op6_substring_dedup, op7_top_k, op8_warc)}
 
 #: Hashes, running sums and one boundary row per source; what the histograms find without sorting.
 MIX_SQL = r"""
