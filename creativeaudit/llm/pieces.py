@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Units that a Python worker remembers with their ids. It starts anew when full.
-REMEMBERED = 400_000
+#: Units that a Python worker remembers with their ids: those met since as many others were.
+REMEMBERED = 500_000
 
 
 class Codec:
@@ -61,7 +61,9 @@ class Codec:
         self.automaton.make_automaton()
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if n == 1 or p[:n] in self.usable), None) for p in usable}
         self.compatible: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.recent: dict[str, tuple[str, int, bytes]] = {}
+        self.older: dict[str, tuple[str, int, bytes]] = {}
+        self.written = {p: (str(i), p.replace(SPACE, " ").encode()) for p, i in self.ids.items()}
 
     # ------------------------------------------------------------- encoding
 
@@ -92,19 +94,23 @@ class Codec:
         n = len(text)
         if n < 2:
             return [text] if n else []
-        if text in self.usable:
-            return [text]
         longest = [1] * n
+        last = -1
         for end, length in self.automaton.iter(text[::-1]):
-            at = n - 1 - end
-            if length > longest[at]:
-                longest[at] = length
+            if end != last:  # of all that end here the longest comes first
+                longest[n - 1 - end] = length
+                last = end
+        if longest[0] == n:
+            return [text]
         failed = 0  # bit i: no sequence leads from place i to the end
         out: list[str] = []
+        compatible = self.compatible.get
         at, piece = 0, text[:longest[0]]
         while True:
             end = at + len(piece)
-            if not failed >> end & 1 and (not out or self.fits(out[-1], piece)):
+            if out and (good := compatible((out[-1], piece))) is None:
+                good = self.fits(out[-1], piece)
+            if (not out or good) and not (failed and failed >> end & 1):
                 out.append(piece)
                 if end == n:
                     return out
@@ -119,8 +125,13 @@ class Codec:
 
     def _unit(self, unit: str) -> tuple[str, int, bytes]:
         """(ids joined by commas, how many, decoded bytes) of a unit that nothing merges out of."""
-        ids = self.ids_of(unit)
-        return ",".join(map(str, ids)), len(ids), self.decoded(ids)
+        pieces = self.split(unit)
+        try:
+            ids, back = zip(*[self.written[p] for p in pieces])
+        except KeyError:  # characters without a piece
+            ids = self.ids_of(unit)
+            return ",".join(map(str, ids)), len(ids), self.decoded(ids)
+        return ",".join(ids), len(ids), b"".join(back)
 
     def ids_of(self, unit: str) -> list[int]:
         ids: list[int] = []
@@ -174,15 +185,16 @@ class Codec:
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """(number of ids, SHA-256 of the ids, SHA-256 of the text decoded from them)."""
-        known, found = self.known, []
+        recent, found = self.recent, []
         for unit in self.units(text or ""):
-            hit = known.get(unit)
+            hit = recent.get(unit)
             if hit is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                hit = self._unit(unit)
+                hit = self.older.get(unit) or self._unit(unit)
                 if len(unit) < 64:
-                    known[unit] = hit
+                    recent[unit] = hit
+                    if len(recent) >= REMEMBERED // 2:
+                        self.older, self.recent = recent, {}
+                        recent = self.recent
             found.append(hit)
         ids = ",".join([x[0] for x in found])
         back = self.bare(b"".join([x[2] for x in found]))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creativeaudit.llm import exact, mixing, passages, pieces, topk, warc
+from creativeaudit.llm import exact, minhash, mixing, passages, pieces, topk, warc
 from creativeaudit.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,8 +43,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_sentencepiece, op3_mix_sources, op5_exact_dedup, op6_substring_dedup, op7_top_k, op8_warc)}
+    op2_sentencepiece, op3_mix_sources, op5_exact_dedup, op6_substring_dedup, op7_top_k, op8_warc, op10_near_duplicates)}
 
 #: Hashes, running sums and one boundary row per source; what the histograms find without sorting.
 MIX_SQL = r"""
