@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creativeaudit.llm import exact, minhash, mixing, passages, pieces, topk, warc
+from creativeaudit.llm import exact, minhash, mixing, passages, pieces, quality, topk, warc
 from creativeaudit.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,16 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What people called good and not toxic: the text that quality is measured against."""
+    return table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.classified(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
+    return out.select("doc_id", "lang", "units", "perplexity", "threshold", "kept")
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,7 +58,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_sentencepiece, op3_mix_sources, op5_exact_dedup, op6_substring_dedup, op7_top_k, op8_warc, op10_near_duplicates)}
+    op1_quality, op2_sentencepiece, op3_mix_sources, op5_exact_dedup, op6_substring_dedup, op7_top_k, op8_warc, op10_near_duplicates)}
 
 #: Hashes, running sums and one boundary row per source; what the histograms find without sorting.
 MIX_SQL = r"""
