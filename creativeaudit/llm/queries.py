@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creativeaudit.llm import exact, minhash, mixing, passages, pieces, quality, topk, warc
+from creativeaudit.llm import exact, lines, minhash, mixing, passages, pieces, quality, topk, warc
 from creativeaudit.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -58,7 +63,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_quality, op2_sentencepiece, op3_mix_sources, op5_exact_dedup, op6_substring_dedup, op7_top_k, op8_warc, op10_near_duplicates)}
+    op1_quality, op2_sentencepiece, op3_mix_sources, op4_line_dedup, op5_exact_dedup, op6_substring_dedup, op7_top_k, op8_warc, op10_near_duplicates)}
 
 #: Hashes, running sums and one boundary row per source; what the histograms find without sorting.
 MIX_SQL = r"""
@@ -92,6 +97,21 @@ SELECT doc_id, size, source_size, target,
 FROM b
 """
 
+#: Runs of two lines, blank ones skipped over; a line goes if a run over it also starts earlier.
+LINES_SQL = r"""
+WITH d AS (SELECT doc_id, text, list_zip(str_split(text, chr(10)), range(len(str_split(text, chr(10))))) AS xs FROM documents),
+l AS (SELECT doc_id, unnest(list_filter(xs, lambda x: regexp_matches(x[1], '[^\x20\x09-\x0D]'))) AS x FROM d),
+p AS (SELECT doc_id, x[1] AS line, x[2] AS nth, row_number() OVER w AS pos, lead(x[1]) OVER w AS next_line
+      FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY x[2])),
+f AS (SELECT *, next_line IS NOT NULL AND row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, pos) > 1 AS late FROM p),
+g AS (SELECT *, late OR coalesce(lag(late) OVER (PARTITION BY doc_id ORDER BY pos), false) AS gone FROM f),
+r AS (SELECT doc_id, list(nth) AS ats FROM g WHERE gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(r.ats), 0)::BIGINT AS n_lines_removed,
+       sha256(CASE WHEN r.ats IS NULL THEN d.text ELSE
+              coalesce(list_aggregate(list_transform(list_filter(d.xs, lambda x: NOT list_contains(r.ats, x[2])), lambda x: x[1]), 'string_agg', chr(10)), '') END) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
 EXACT_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, sha256(translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS text_sha256
@@ -126,4 +146,4 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM w
 """
 
-ORACLE: dict[str, str] = {"op7_top_k": TOP_K_SQL, "op8_warc": WARC_SQL, "op3_mix_sources": MIX_SQL, "op5_exact_dedup": EXACT_SQL}
+ORACLE: dict[str, str] = {"op7_top_k": TOP_K_SQL, "op8_warc": WARC_SQL, "op3_mix_sources": MIX_SQL, "op4_line_dedup": LINES_SQL, "op5_exact_dedup": EXACT_SQL}
