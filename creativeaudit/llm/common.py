@@ -121,6 +121,10 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[ord(c) for c in SPACES]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Lower case, and ASCII punctuation as white space.
+_BARE = _LOWER.copy()
+_BARE[[i for i in range(33, 127) if not chr(i).isalnum()]] = 32
+FOLDS = {"": None, "lower": _LOWER, "bare": _BARE}
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _LETTER = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LETTER[_IS_SPACE] = 0
@@ -161,20 +165,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Words:
     """The words of some texts: 64-bit hashes, places in the bytes, and where each text's words start."""
 
-    def __init__(self, column, lower: bool = False, most: int = 1 << 21) -> None:
+    def __init__(self, column, fold: str = "", most: int = 1 << 21) -> None:
         self.data, self.offsets = text_bytes(column)
         found, text, n = [], 0, len(self.offsets) - 1
         while text < n:  # a few MB at a time: what is held for each byte is many times the text
             stop = max(text + 1, int(np.searchsorted(self.offsets, self.offsets[text] + most, "right")) - 1)
-            found.append(self._scan(self.offsets[text:stop + 1], lower))
+            found.append(self._scan(self.offsets[text:stop + 1], FOLDS[fold]))
             text = stop
         none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
         self.start, self.end, self.hash = (np.concatenate(x) for x in zip(none, *found))
         self.first = np.searchsorted(self.start, self.offsets)
 
-    def _scan(self, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _scan(self, offsets: np.ndarray, fold: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         base, data = offsets[0], self.data[offsets[0]:offsets[-1]]
-        data = _LOWER[data] if lower else data
+        data = data if fold is None else fold[data]
         word = ~_IS_SPACE[data]
         some = np.flatnonzero(np.diff(offsets))
         first, last = word.copy(), word.copy()

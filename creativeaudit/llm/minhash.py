@@ -82,7 +82,7 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
             for piece in pieces_of([batch]):
                 ids = batch.column(0).slice(row, piece.num_rows)
                 row += piece.num_rows
-                at, h = shingles(Words(piece.column(1), lower=True), k)
+                at, h = shingles(Words(piece.column(1), "lower"), k)
                 sets = [h[a:b] for a, b in zip(at[:-1], at[1:])]
                 signs = [minima(s) if len(s) else None for s in sets]
                 digest = [int(np.bitwise_xor.reduce(mixed(s * np.uint64(0xA24BAED4963EE407) + np.uint64(5)), initial=0)) for s in sets]
@@ -105,7 +105,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
             for piece in pieces_of([batch]):
                 ids = batch.column(0).slice(row, piece.num_rows)
                 row += piece.num_rows
-                at, h = shingles(Words(piece.column(1), lower=True), k)
+                at, h = shingles(Words(piece.column(1), "lower"), k)
                 yield pa.RecordBatch.from_arrays([ids, pa.array([packed(h[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary())],
                                                  names=["id", "members"])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creativeaudit.llm import exact, lines, minhash, mixing, passages, pieces, quality, topk, warc
+from creativeaudit.llm import exact, licences, lines, minhash, mixing, passages, pieces, quality, topk, warc
 from creativeaudit.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,12 +58,16 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_quality, op2_sentencepiece, op3_mix_sources, op4_line_dedup, op5_exact_dedup, op6_substring_dedup, op7_top_k, op8_warc, op10_near_duplicates)}
+    op1_quality, op2_sentencepiece, op3_mix_sources, op4_line_dedup, op5_exact_dedup, op6_substring_dedup, op7_top_k, op8_warc, op9_licence_scan, op10_near_duplicates)}
 
 #: Hashes, running sums and one boundary row per source; what the histograms find without sorting.
 MIX_SQL = r"""
