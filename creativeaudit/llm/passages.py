@@ -6,7 +6,7 @@ count those chosen phrases, about one for every six words. Phrases that come
 more than once are confirmed; for each block of documents the ones it holds are
 compiled into an Aho-Corasick automaton over words, and every document of the
 block is streamed through it. A window that holds no confirmed phrase occurs
-once. The others are compared by a 128-bit hash of their words, first within
+once. The others are compared by a 96-bit hash of their words, first within
 the block, then, one row per block and window, with all other blocks.
 """
 
@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creativeaudit.llm.common import NO_ID, Words, block_of, packed, pieces_of, stored, text_parts
+from creativeaudit.llm.common import NO_ID, Words, blocked, loaded, mixed, pack, packed, pieces_of, stored, unpacked
 
 WINDOW = 20
 #: Bytes of text that a block holds on average. All documents of a block meet in one task.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 4_000_000
 
 
 def _sizes(window: int) -> tuple[int, int]:
@@ -116,14 +116,9 @@ def _unique(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return blocks[at], h[at], np.diff(at, append=len(h))
 
 
-def _load(table: pa.Table, column: str, kind) -> np.ndarray:
-    found = [np.frombuffer(x.as_buffer(), kind) for x in table.column(column)]
-    return np.concatenate(found) if found else np.zeros(0, kind)
-
-
 def _confirmed(rows):
     """Of one bucket, the phrases that come at least twice, packed for each block that holds them."""
-    h, block, n = _load(rows, "h", np.uint64), _load(rows, "block", np.int32), _load(rows, "n", np.uint8)
+    h, block, n = loaded(rows, "h", np.uint64), loaded(rows, "block", np.int32), loaded(rows, "n", np.uint8)
     by = np.argsort(h, kind="stable")
     h, block, n = h[by], block[by], n[by]
     first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
@@ -146,32 +141,46 @@ def _found(words: Words, keys: np.ndarray, window: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     near = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
     seen = keys[near] == h
+    if not seen.any():
+        return np.zeros(0, np.int64)
     _, one = np.unique(h[seen], return_index=True)
-    letters = (words.hash & np.uint64(0x7FFFFFFF)).astype(np.int64)
+    starts = at[seen][one]
+    # Nodes of the automaton search their children one by one. So a word is two letters of a small alphabet each, the
+    # second from a range of its own; words of no phrase share a letter that leads nowhere, as does the end of a text.
+    known = np.unique(words.hash[(starts[:, None] + np.arange(phrase)).ravel()])
+    near = np.minimum(np.searchsorted(known, words.hash), len(known) - 1)
+    inside = known[near] == words.hash
+    wide = int(np.ceil(np.sqrt(len(known))))
+    letters = np.stack([near // wide, near % wide + wide], axis=1)
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for start in at[seen][one].tolist():
-        automaton.add_word(tuple(letters[start:start + phrase].tolist()), True)
+    for start in starts.tolist():
+        automaton.add_word(tuple(letters[start:start + phrase].ravel().tolist()), True)
     automaton.make_automaton()
+    # Each word in its text, then one letter for its end.
+    nowhere = 2 * wide
+    letters[~inside] = nowhere
+    last = np.zeros(len(words), bool)
+    last[words.first[1:][words.counts() > 0] - 1] = True
+    used = np.stack([np.ones(len(words), bool), inside, last], axis=1)
+    stream = np.concatenate([letters, np.full((len(words), 1), nowhere)], axis=1)[used]
+    word_of = np.repeat(np.arange(len(words)), used.sum(axis=1))
+    ends = np.fromiter((end for end, _ in automaton.iter(tuple(stream.tolist()))), np.int64)
     hit = np.zeros(len(words) + 1, np.int64)
-    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
-        if b - a >= window:
-            ends = [end for end, _ in automaton.iter(tuple(letters[a:b].tolist()))]
-            if ends:
-                hit[np.array(ends) + (a - phrase + 1)] = 1
+    hit[word_of[ends] - (phrase - 1)] = 1
     total = np.concatenate(([0], np.cumsum(hit)))
     start, _ = words.runs(window, seed=5)
     return start[total[np.minimum(start + among, len(words))] > total[start]]
 
 
 def _windows(words: Words, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for each of the windows."""
+    """96 bits for each of the windows."""
     out = []
     for factor in (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)):
         total = np.zeros(len(start), np.uint64)
         for i in range(window):
             total = total * factor + words.hash[start + i]
-        out.append(total)
-    return out[0], out[1]
+        out.append(mixed(total))
+    return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
 
 
 def _sha(words: list[bytes]) -> str:
@@ -197,9 +206,9 @@ def _locate(window: int, n_buckets: int):
         if not docs.num_rows:
             return schema.empty_table()
         block = docs.column("block")[0].as_py()
-        docs = docs.sort_by("doc_id")
+        docs = pa.Table.from_batches(unpacked(docs.column("body"))).sort_by("doc_id")
         text = docs.column("text").combine_chunks()
-        keys = np.unique(_load(found, "h", np.uint64))
+        keys = np.unique(loaded(found, "h", np.uint64))
         words = Words(text)
         starts = _found(words, keys, window)
         h1, h2 = _windows(words, starts, window)
@@ -253,7 +262,7 @@ def _bucket(h: np.ndarray, n: int) -> np.ndarray:
 
 def _later(rows):
     """Of one bucket, the windows whose words also start earlier in another block, packed by block."""
-    h1, h2, ids = _load(rows, "h1", np.uint64), _load(rows, "h2", np.uint64), _load(rows, "ids", np.int64)
+    h1, h2, ids = loaded(rows, "h1", np.uint64), loaded(rows, "h2", np.uint32), loaded(rows, "ids", np.int64)
     pairs = [np.frombuffer(x.as_buffer(), np.int32).reshape(2, -1) for x in rows.column("starts")]
     seq, place = (np.concatenate(x) for x in zip(*pairs))
     block = np.repeat(np.asarray(rows.column("block")), [p.shape[1] for p in pairs])
@@ -314,11 +323,10 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_
     ``with_text`` text: the kept words, null where nothing was taken out.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n_blocks = text_parts(base, per_part=block_bytes)
-    base = base.withColumn("block", block_of(F.col("doc_id"), n_blocks))
+    base, n_blocks = blocked(base, block_bytes)
     phrases = _phrases(base, window, n_blocks)
     keys = stored(phrases.groupBy("bucket").applyInArrow(_confirmed, "block int, h binary"), "phrases")
-    located = stored(base.groupBy("block").cogroup(keys.groupBy("block")).applyInArrow(_locate(window, n_blocks), OUT), "located")
+    located = stored(pack(base).groupBy("block").cogroup(keys.groupBy("block")).applyInArrow(_locate(window, max(1, n_blocks // 4)), OUT), "located")
     late = located.filter("kind = 1").groupBy("seq").applyInArrow(_later, "block int, marks binary")
     open_docs = located.filter("kind = 0 AND kept_sha256 IS NULL").select("block", "seq", "doc_id", "n_words", "text", "starts")
     columns = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", text string" if with_text else "")
