@@ -105,21 +105,26 @@ def url_host(url: Column) -> Column:
     authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
     host_port = F.regexp_replace(authority, "^.*@", "")
     bracketed = F.regexp_extract(host_port, r"^\[([^\]]*)\]", 1)
+    # A trailing dot names the same host.
     return F.lower(F.when(bracketed != "", bracketed)
-                   .otherwise(F.regexp_replace(host_port, ":.*$", "")))
+                   .otherwise(F.regexp_replace(F.regexp_replace(host_port, ":.*$", ""), r"\.\z", "")))
 
 
 def looks_like_literal_ip(host: Column) -> Column:
-    # All-digit labels are numeric host forms ("127.1", "2130706433").
-    return host.contains(":") | host.rlike(r"^[0-9]+(\.[0-9]+)*\z") | host.rlike(r"^0x[0-9a-f]+\z")
+    # Labels of digits, also octal or hexadecimal ones, are numeric host forms ("127.1", "0x7f.0.0.1", "2130706433").
+    return host.contains(":") | host.rlike(r"^(0x[0-9a-f]*|[0-9]+)(\.(0x[0-9a-f]*|[0-9]+))*\z")
 
 
 def url_allowed(url: Column, addresses: Column | None = None) -> Column:
-    """P5: scheme, host and every resolved address must be acceptable."""
+    """P5: scheme, host and every resolved address must be acceptable.
+
+    What isn't resolved is refused: a NULL or empty list, and without a list of
+    addresses every host that isn't itself a public address.
+    """
     scheme, host = url_scheme(url), url_host(url)
     ok = scheme.isin("http", "https") & (host != "")
+    if addresses is None:
+        return F.coalesce(ok & is_public_address(host), F.lit(False))
     ok = ok & (~looks_like_literal_ip(host) | is_public_address(host))
-    if addresses is not None:
-        ok = ok & F.coalesce(F.forall(addresses, lambda a: is_public_address(trim_space(a))),
-                             F.lit(False))
+    ok = ok & (F.size(addresses) > 0) & F.forall(addresses, lambda a: is_public_address(trim_space(a)))
     return F.coalesce(ok, F.lit(False))

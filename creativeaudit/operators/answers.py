@@ -17,21 +17,23 @@ def unknown_tag_gate(requests: DataFrame, catalog: DataFrame,
                      inline_up_to: int = C.CATALOG_CAP) -> DataFrame:
     """One unknown tag rejects the whole request.
 
-    Adds ``unknown`` (in request order) and ``accepted``. A catalog within the
-    cap is inlined as one array and costs no shuffle; a larger one is joined.
-    ``requests``: request_id, tags, ...
+    Adds ``unknown`` (in request order, each once) and ``accepted``. A catalog
+    within the cap is inlined as one array and costs no shuffle; a larger one
+    is joined, which gives the same answer. ``requests``: request_id, tags, ...
     """
     known = active_slugs(catalog)
     if fits(known, inline_up_to):
         as_array = known.agg(F.sort_array(F.collect_set("slug")).alias("known")).scalar()
         out = requests.withColumn("unknown", F.array_except("tags", as_array))
     else:
-        asked = requests.select("request_id", F.posexplode("tags").alias("pos", "slug"))
+        # What is unknown depends on the list of tags alone, so each different list is looked up once.
+        lists = requests.select("tags").distinct().filter(F.col("tags").isNotNull())
+        asked = lists.select("tags", F.posexplode("tags").alias("pos", "slug"))
         missing = asked.join(known.distinct(), "slug", "left_anti")
-        lists = missing.groupBy("request_id").agg(F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", "slug"))), lambda s: s["slug"]).alias("unknown"))
-        out = requests.join(lists, "request_id", "left").withColumn(
-            "unknown", F.coalesce("unknown", F.array().cast("array<string>")))
+        found = missing.groupBy("tags").agg(F.array_distinct(F.transform(
+            F.array_sort(F.collect_list(F.struct("pos", "slug"))), lambda s: s["slug"])).alias("unknown"))
+        out = requests.join(found, "tags", "left").select(*requests.columns, F.when(
+            F.col("tags").isNotNull(), F.coalesce("unknown", F.array().cast("array<string>"))).alias("unknown"))
     return out.withColumn("accepted", F.size("unknown") == 0)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from creativeaudit import constants as C
 from creativeaudit.functions.rounding import round_rate
-from creativeaudit.operators.sizing import fits, small_side
+from creativeaudit.operators.sizing import small_side
 from creativeaudit.session import checkpoint
 
 
@@ -149,11 +149,10 @@ def _tally(scored: DataFrame) -> DataFrame:
 def gate_report(scored: DataFrame, slugs: DataFrame) -> DataFrame:
     """One row per arm with both gate numbers and what explains them.
 
-    The catalog is within its cap, so its slugs serve as one array. Reads the
-    items once, when the plan is built.
+    The slugs of one catalog, of any size, serve as one array: the report's
+    lists and maps are by tag as well. Reads the items once, when the plan is
+    built.
     """
-    if not fits(slugs, C.CATALOG_CAP):
-        raise ValueError(f"a report covers one catalog of at most {C.CATALOG_CAP} tags")
     known = slugs.agg(F.array_sort(F.collect_set("slug")).alias("s")).scalar()
     tally = _tally(scored)
     own = tally.filter("kind = 'own'").withColumnRenamed("key", "tag")

@@ -79,6 +79,11 @@ def rejects(*rejected: DataFrame) -> DataFrame:
     return rows.select("request_id", F.col("reject_code").alias("code"), status.alias("status"))
 
 
+def first_reject(df: DataFrame, *codes: str) -> DataFrame:
+    """Each rejected request once, with the first of ``codes`` (columns, most urgent first) that isn't NULL."""
+    return rejects(df.withColumn("reject_code", F.coalesce(*codes)))
+
+
 def reject_counts(reject_rows: DataFrame) -> DataFrame:
     """Rejects per code."""
     return reject_rows.groupBy("code", "status").agg(F.count(F.lit(1)).alias("n"))

@@ -69,34 +69,42 @@ def quota_units(audit: DataFrame, window_s: int = C.KEY_WINDOW_S) -> DataFrame:
         F.sum("units").alias("units"))
 
 
+def _with_limit(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """Every row with its key's limit; limit_known is false, and nothing is left, where the key has none."""
+    out = rows.join(small_side(limits.select("api_key_id", "limit")), "api_key_id", "left")
+    return out.withColumn("limit_known", F.col("limit").isNotNull())
+
+
 def quota_ledger(charges: DataFrame, limits: DataFrame, window_s: int = C.KEY_WINDOW_S,
-                 slice_s: int = 3600) -> DataFrame:
+                 slice_s: int = 1) -> DataFrame:
     """Running units within each key's window and what is left after each charge.
 
-    ``limits``: api_key_id, limit.
+    ``limits``: api_key_id, limit. A window is cut into slices of ``slice_s``
+    seconds, so that a key's busy minute spreads over tasks.
     """
     rows = charges.withColumn("window_start", window_start(F.col("ts"), window_s))
     out = running(rows, ["api_key_id", "window_start"],
                   [F.col("ts"), F.col("request_id"), F.col("part")],
                   floor_seconds(F.col("ts"), slice_s), amount=F.col("units"), name="running_units")
-    out = out.join(small_side(limits.select("api_key_id", "limit")), "api_key_id")
-    return out.withColumn("remaining", F.greatest(
-        F.lit(0).cast("bigint"), F.col("limit") - F.col("running_units")))
+    return _with_limit(out, limits).withColumn("remaining", F.greatest(
+        F.lit(0).cast("bigint"), F.coalesce(F.col("limit"), F.lit(0)) - F.col("running_units")))
 
 
 def rate_limit_fixed(requests: DataFrame, limits: DataFrame, window_s: int = C.KEY_WINDOW_S,
-                     slice_s: int = 3600) -> DataFrame:
+                     slice_s: int = 1) -> DataFrame:
     """Fixed windows per key. Every arrival counts, also one that is refused.
 
-    ``requests``: request_id, api_key_id, ts. ``limits``: api_key_id, limit.
+    ``requests``: request_id, api_key_id, ts. ``limits``: api_key_id, limit. A
+    key without a limit is refused: limit_known is false.
     """
     rows = requests.withColumn("window_start", window_start(F.col("ts"), window_s))
     out = running(rows, ["api_key_id", "window_start"], [F.col("ts"), F.col("request_id")],
                   floor_seconds(F.col("ts"), slice_s))
-    out = out.join(small_side(limits.select("api_key_id", "limit")), "api_key_id")
+    out = _with_limit(out, limits)
+    allowed = F.coalesce(F.col("limit"), F.lit(0))
     left_us = F.unix_micros("window_start") + window_s * 1_000_000 - F.unix_micros("ts")
-    return (out.withColumn("admitted", F.col("n") <= F.col("limit"))
-            .withColumn("remaining", F.greatest(F.lit(0).cast("bigint"), F.col("limit") - F.col("n")))
+    return (out.withColumn("admitted", F.col("n") <= allowed)
+            .withColumn("remaining", F.greatest(F.lit(0).cast("bigint"), allowed - F.col("n")))
             .withColumn("retry_after_s", F.greatest(F.lit(1).cast("bigint"), F.ceil(left_us / 1_000_000))))
 
 

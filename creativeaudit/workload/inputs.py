@@ -226,8 +226,10 @@ def fetch_urls(spark: SparkSession, sf: str) -> DataFrame:
            .otherwise(F.col("url")))
     second = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("192.168.0."), F.col("page_id") % 250)).otherwise(
         F.lit("2606:2800:220:1:248:1893:25c8:1946"))
-    return p.select("page_id", url.alias("url"), F.array(
-        F.concat(F.lit("93.184.216."), F.col("page_id") % 250), second).alias("addresses"))
+    found = F.array(F.concat(F.lit("93.184.216."), F.col("page_id") % 250), second)
+    # Some hosts resolve to nothing, for some nobody asked.
+    addresses = F.when(F.col("page_id") % 13 == 0, F.lit(None)).when(F.col("page_id") % 7 == 0, F.array().cast("array<string>")).otherwise(found)
+    return p.select("page_id", url.alias("url"), addresses.alias("addresses"))
 
 
 def change_log(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -91,9 +91,9 @@ VIEWS = {
     "v_report": """
   SELECT a.arm, a.images, CAST(5 AS BIGINT) AS tags,
          coalesce((SELECT CAST(sum(false_blocks) AS BIGINT) FROM v_fire f WHERE f.arm = a.arm), 0) AS cross_tag_false_blocks,
-         (SELECT CASE WHEN avg(tp / positives) * 32 = floor(avg(tp / positives) * 32) THEN round_even(avg(tp / positives), 4) ELSE round(avg(tp / positives), 4) END
+         (SELECT CAST(format('{:.4f}', avg(tp / positives)) AS DOUBLE)
           FROM v_recall r WHERE r.arm = a.arm AND positives > 0) AS mean_recall,
-         (SELECT CASE WHEN sum(unsure) * 16 % a.positives = 0 THEN round_even(sum(unsure) / a.positives, 3) ELSE round(sum(unsure) / a.positives, 3) END
+         (SELECT CAST(format('{:.3f}', sum(unsure) / a.positives) AS DOUBLE)
           FROM v_recall r WHERE r.arm = a.arm) AS uncertain_positive_rate,
          (SELECT max(latency_ms) FROM v_ranked k WHERE k.arm = a.arm AND i = least(n - 1, CAST(floor(n*0.5) AS BIGINT))) AS p50,
          (SELECT max(latency_ms) FROM v_ranked k WHERE k.arm = a.arm AND i = least(n - 1, CAST(floor(n*0.95) AS BIGINT))) AS p95,
@@ -125,11 +125,11 @@ VIEWS = {
   UNION ALL
   SELECT request_id, api_key_id, 1, created_at + to_milliseconds(latency_ms), frames - 1 FROM v_requests WHERE NOT cached AND frames > 1""",
     "v_fixed": """
-  SELECT request_id, n, n <= lim AS admitted, greatest(0, lim - n) AS remaining,
+  SELECT request_id, n, lim IS NOT NULL AS limit_known, n <= coalesce(lim, 0) AS admitted, greatest(0, coalesce(lim, 0) - n) AS remaining,
          greatest(1, CAST(ceil((epoch_us(w) + 86400000000 - epoch_us(ts)) / 1000000) AS BIGINT)) AS retry_after_s
   FROM (SELECT event_id AS request_id, ts, date_trunc('day', ts)::TIMESTAMP AS w, 1 + c_custkey % 3 AS lim,
                row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) AS n
-        FROM events JOIN customer ON user_id = c_custkey)""",
+        FROM events LEFT JOIN customer ON user_id = c_custkey)""",
     "v_counters": """
   SELECT user_id AS api_key_id, date_trunc('minute', ts)::TIMESTAMP AS window_start, count(*) AS "count" FROM events GROUP BY ALL""",
     "v_cached": """
@@ -349,7 +349,7 @@ SELECT page_id, scheme, host, allowed, CASE WHEN NOT allowed THEN 'INVALID_IMAGE
   SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'ftp' WHEN page_id % 11 = 0 THEN 'http' ELSE split_part(url, ':', 1) END AS scheme,
          CASE WHEN page_id % 9 = 0 THEN 'x.example' WHEN page_id % 11 = 0 THEN '10.1.2.' || page_id % 200
               ELSE lower(regexp_extract(url, '^https?://([^/:?#]*)', 1)) END AS host,
-         page_id % 9 <> 0 AND page_id % 11 <> 0 AND page_id % 5 <> 0 AS allowed FROM pages)""")
+         page_id % 9 <> 0 AND page_id % 11 <> 0 AND page_id % 5 <> 0 AND page_id % 7 <> 0 AND page_id % 13 <> 0 AS allowed FROM pages)""")
 oracle("request_intake", """
 SELECT doc_id AS request_id, CASE WHEN k = 1 THEN 'alcohol,vaping' WHEN k IN (2,3,4,6) THEN 'dog' ELSE '' END AS tags,
        CASE WHEN k IN (1,2,5) THEN sha256(text) END AS media_hash, CASE WHEN k = 3 THEN 'http://a.example/x' END AS media_url,
@@ -363,10 +363,11 @@ SELECT event_id, '10.0.0.1' AS hops0,
        CASE WHEN event_id % 11 = 0 OR event_id % 7 = 0 THEN '10.0.0.1' ELSE '10.9.9.' || event_id % 9 END AS hops5 FROM events""")
 oracle("tag_key", "SELECT sorted_tags AS tag_key, count(*) AS requests FROM v_requests GROUP BY 1")
 oracle("rejects", """
-SELECT code, CAST(status AS INT) AS status, count(*) AS n FROM (
-  SELECT 'UNKNOWN_TAG' AS code, 400 AS status FROM v_requests WHERE tags LIKE '%alcohool%'
-  UNION ALL SELECT 'INVALID_KEY', 401 FROM v_requests r WHERE NOT EXISTS (SELECT 1 FROM v_keys k WHERE k.id = r.api_key_id AND k.revoked_at IS NULL)
-  UNION ALL SELECT 'RATE_LIMITED', 429 FROM v_fixed WHERE NOT admitted) GROUP BY code, status""")
+SELECT request_id, code, CAST(CASE code WHEN 'INVALID_KEY' THEN 401 WHEN 'RATE_LIMITED' THEN 429 ELSE 400 END AS INT) AS status FROM (
+  SELECT r.request_id, CASE WHEN k.id IS NULL THEN 'INVALID_KEY'
+           WHEN row_number() OVER (PARTITION BY r.api_key_id, date_trunc('day', r.created_at) ORDER BY r.created_at, r.request_id) > k.rate_limit_per_min THEN 'RATE_LIMITED'
+           WHEN r.tags LIKE '%alcohool%' THEN 'UNKNOWN_TAG' END AS code
+  FROM v_requests r LEFT JOIN v_keys k ON k.id = r.api_key_id AND k.revoked_at IS NULL) WHERE code IS NOT NULL""")
 
 # ---- frames
 oracle("frame_thin", """
@@ -399,7 +400,7 @@ SELECT creative_id, frame_id FROM (
 WHERE signature[1] > 0.2 OR (k < 2 AND (n <= 6 OR list_contains(list_transform(range(6), lambda i: CAST(round_even(i * ((n - 1) / 5.0::DOUBLE), 0) AS BIGINT)), rn - 1)))""")
 oracle("payload_dedupe", """
 SELECT creative_id, frame_id, row_number() OVER (PARTITION BY creative_id ORDER BY frame_id) - 1 AS frame_index
-FROM (SELECT conv_id AS creative_id, min(turn) AS frame_id FROM conversations GROUP BY conv_id, role, length(text) % 4)""")
+FROM (SELECT conv_id AS creative_id, min(turn) AS frame_id FROM conversations GROUP BY conv_id, role || text)""")
 
 # ---- audit
 oracle("cache_lookup", """
@@ -444,10 +445,10 @@ SELECT api_key_id, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS wi
 FROM v_charges GROUP BY 1, 2"""
 oracle("quota_units", _UNITS)
 oracle("quota_ledger", """
-SELECT request_id, part, running_units, greatest(0, 1 + api_key_id % 3 - running_units) AS remaining FROM (
+SELECT request_id, part, running_units, c_custkey IS NOT NULL AS limit_known, greatest(0, coalesce(1 + c_custkey % 3, 0) - running_units) AS remaining FROM (
   SELECT *, CAST(sum(units) OVER (PARTITION BY api_key_id, date_trunc('day', ts) ORDER BY ts, request_id, part
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running_units FROM v_charges)
-WHERE api_key_id IN (SELECT c_custkey FROM customer)""")
+LEFT JOIN customer ON api_key_id = c_custkey""")
 oracle("rate_limit_fixed", "SELECT * FROM v_fixed")
 _HITS = "hits AS (SELECT user_id, event_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)"
 _SLIDE = _HITS + """,

@@ -374,12 +374,16 @@ def tag_key(spark, sf):
 
 @query
 def rejects(spark, sf):
-    asked = _requests_with_tags(spark, sf)
-    gate = answers.unknown_tag_gate(asked, I.tags(spark)).filter("NOT accepted").select(
-        "request_id", F.lit("UNKNOWN_TAG").alias("reject_code"))
-    auth = _authenticated(spark, sf).select("request_id", "reject_code")
-    limited = _fixed_window(spark, sf).filter("NOT admitted").select("request_id", F.lit("RATE_LIMITED").alias("reject_code"))
-    return intake.reject_counts(intake.rejects(asked.select("request_id", "reject_code"), gate, auth, limited))
+    # One pass in the order of the service: key, rate limit of valid keys, intake, tags. The first code counts.
+    asked = _requests_with_tags(spark, sf).withColumnRenamed("reject_code", "intake_code").withColumn("ts", F.col("created_at"))
+    live = I.keys(spark, sf).filter("revoked_at IS NULL").select(F.col("id").alias("api_key_id"), F.col("rate_limit_per_min").alias("limit"))
+    judged = usage.rate_limit_fixed(asked, live, DAY_S)
+    judged = answers.unknown_tag_gate(judged, I.tags(spark))
+    judged = judged.select("request_id", F.when(~F.col("limit_known"), "INVALID_KEY").alias("key_code"),
+                           F.when(~F.col("admitted"), "RATE_LIMITED").alias("rate_code"), "intake_code",
+                           F.when(~F.col("accepted"), "UNKNOWN_TAG").alias("tag_code"))
+    out = intake.first_reject(judged, "key_code", "rate_code", "intake_code", "tag_code")
+    return out.select("request_id", "code", "status")
 
 
 # ------------------------------------------------------------- frames
@@ -411,7 +415,7 @@ def frame_fallback_merge(spark, sf):
 def payload_dedupe(spark, sf):
     c = I.frames_sent(spark, sf).select(
         "creative_id", F.col("frame_index").alias("frame_id"), (F.col("frame_index") * 0.5).alias("timestamp_s"),
-        F.md5(F.concat("role", F.length("text") % 4).cast("binary")).alias("payload_hash"))
+        F.sha2(F.concat("role", "text").cast("binary"), 256).alias("payload_hash"))
     return frames.payload_dedupe(c).select("creative_id", "frame_id", "frame_index")
 
 
@@ -485,7 +489,7 @@ def quota_units(spark, sf):
 @query
 def quota_ledger(spark, sf):
     charges = usage.quota_charges(I.requests(spark, sf))
-    return usage.quota_ledger(charges, I.limits(spark, sf), DAY_S).select("request_id", "part", "running_units", "remaining")
+    return usage.quota_ledger(charges, I.limits(spark, sf), DAY_S).select("request_id", "part", "running_units", "limit_known", "remaining")
 
 
 def _fixed_window(spark: SparkSession, sf: str) -> DataFrame:
@@ -494,7 +498,7 @@ def _fixed_window(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def rate_limit_fixed(spark, sf):
-    return _fixed_window(spark, sf).select("request_id", "n", "admitted", "remaining", "retry_after_s")
+    return _fixed_window(spark, sf).select("request_id", "n", "limit_known", "admitted", "remaining", "retry_after_s")
 
 
 @query

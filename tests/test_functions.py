@@ -18,9 +18,9 @@ def evaluate(df, expr):
 
 
 def test_slugify(spark):
-    cases = {"Pet supplies": "pet_supplies", "Alcoholic content": "alcoholic_content",
-             "  Junk & Fast Food!! ": "junk_fast_food", "Pet_Supplies": "pet_supplies",
-             "3D printing": "d_printing", "123": "", "": "", "Straße": "strasse", "ﬁsh": "fish",
+    cases = {"Garden tools": "garden_tools", "Loud colours": "loud_colours",
+             "  Salt & Sour Sweets!! ": "salt_sour_sweets", "Garden_Tools": "garden_tools",
+             "7Up cans": "up_cans", "123": "", "": "", "Straße": "strasse", "ﬁsh": "fish",
              "\tTabs ": "tabs", "ſalt": "salt", "STRAẞE": "strasse"}
     df = column(spark, list(cases))
     assert evaluate(df, text.slugify(F.col("v"))) == list(cases.values())
@@ -78,18 +78,22 @@ def test_addresses_against_the_standard_library(spark):
 
 
 def test_urls(spark):
-    cases = {"file:///etc/passwd": False, "gopher://x/": False, "ftp://x/": False, "HTTPS://Example.com/a": True,
+    cases = {"file:///etc/passwd": False, "gopher://x/": False, "ftp://x/": False, "HTTPS://8.8.8.8/a": True, "https://example.com/a": False,
              "http://": False, "http://user:pw@10.0.0.1/": False, "http://[::1]:80/": False, "http://2130706433/": False,
-             "http://0x7f000001/": False, "http://ok.example:8080/x?y#z": True, "example.com": False,
+             "http://0x7f000001/": False, "http://9.9.9.9:8080/x?y#z": True, "example.com": False, "http://localhost/": False, "http://127.0.0.1./": False,
+             "http://0x7f.0.0.1/": False, "http://0177.0.0.1/": False,
              "http://[2606:4700:4700::1111]/": True}
     df = column(spark, list(cases))
     assert evaluate(df, net.url_allowed(F.col("v"))) == list(cases.values())
 
 
 def test_every_address_must_be_public(spark):
-    df = spark.createDataFrame([("http://a.example", ["8.8.8.8", "10.0.0.1"]), ("http://a.example", ["8.8.8.8"])],
-                               "u string, a array<string>")
-    assert [r[0] for r in df.select(net.url_allowed(F.col("u"), F.col("a"))).collect()] == [False, True]
+    public = ["8.8.8.8"]
+    cases = [("http://a.example", ["8.8.8.8", "10.0.0.1"], False), ("http://a.example", public, True), ("http://a.example", [], False),
+             ("http://a.example", None, False), ("http://a.example.", public, True), ("http://0x7f.0.0.1/", public, False),
+             ("http://127.0.0.1./", public, False), ("http://a.example", [None], False)]
+    df = spark.createDataFrame(cases, "u string, a array<string>, ok boolean")
+    assert [r[0] for r in df.select(net.url_allowed(F.col("u"), F.col("a"))).collect()] == [c[2] for c in cases]
 
 
 def test_magic_bytes(spark):
@@ -130,9 +134,11 @@ def test_effective_calibrated(spark):
 
 
 def test_rates_round_exact_halves_to_even(spark):
-    values = [5 / 16, 3 / 16, 1 / 16, 0.0125, 0.6666666, 0.5, 1.0]
+    values = sorted({k / n for n in range(1, 400) for k in range(n + 1)})
     df = column(spark, values, "double")
-    assert evaluate(df, rounding.round_rate(F.col("v"), 3)) == [round(v, 3) for v in values]
+    for digits in (3, 4):
+        assert evaluate(df, rounding.round_rate(F.col("v"), digits)) == [round(v, digits) for v in values]
+    assert (round(3 / 80, 3), round(3 / 160, 4)) == (0.037, 0.0187)
 
 
 def test_running_equals_plain_window(spark):

@@ -92,10 +92,10 @@ CATALOG_SCHEMA = "slug string, label string, description string, status string,
 @pytest.mark.parametrize("bound", [100, 1])
 def test_unknown_tag_gate_both_plans(spark, bound):
     cat = spark.createDataFrame(CATALOG, CATALOG_SCHEMA)
-    req = spark.createDataFrame([(1, ["alcohol", "dog"]), (2, ["zebra", "dog", "ant"]), (3, ["saloon"]), (4, [])], "request_id int, tags array<string>")
+    req = spark.createDataFrame([(1, ["alcohol", "dog"]), (2, ["zebra", "dog", "ant", "zebra"]), (2, ["cow"]), (3, ["saloon"]), (4, [])], "request_id int, tags array<string>")
     out = answers.unknown_tag_gate(req, cat, inline_up_to=bound)
     assert rows(out, "request_id", "unknown", "accepted") == [
-        (1, [], True), (2, ["zebra", "ant"], False), (3, ["saloon"], False), (4, [], True)]
+        (1, [], True), (2, ["cow"], False), (2, ["zebra", "ant"], False), (3, ["saloon"], False), (4, [], True)]
 
 
 def replies(spark, *docs):
@@ -380,6 +380,14 @@ def test_fixed_window_counts_refused_calls(spark):
         (0, 1, True, 1, 60), (1, 2, True, 0, 59), (2, 3, False, 0, 58), (3, 4, False, 0, 1), (4, 1, True, 1, 60)]
 
 
+def test_a_key_without_limit_keeps_its_rows(spark):
+    df = spark.createDataFrame([(1, "k", 0), (2, "stray", 0)], "request_id int, api_key_id string, s int").withColumn("ts", F.timestamp_seconds("s"))
+    lim = spark.createDataFrame([("k", 2)], "api_key_id string, limit bigint")
+    assert rows(usage.rate_limit_fixed(df, lim), "request_id", "limit_known", "admitted", "remaining") == [(1, True, True, 1), (2, False, False, 0)]
+    charges = df.select("*", F.lit(0).alias("part"), F.lit(1).cast("bigint").alias("units"))
+    assert rows(usage.quota_ledger(charges, lim), "request_id", "limit_known", "remaining") == [(1, True, 1), (2, False, 0)]
+
+
 def test_mean_latency_rounds_half_away_from_zero(spark):
     df = spark.createDataFrame([("k", 2, False), ("k", 3, True), ("j", None, False)], "api_key_id string, latency_ms int, cached boolean")
     got = usage.analyses_today(df.withColumn("created_at", F.lit("2024-01-02 05:00:00").cast("timestamp")), "2024-01-02 06:00:00")
