@@ -20,8 +20,8 @@ from creativeaudit.operators.sizing import fits
 
 #: 40 bands of 6 minima: two sets of similarity 0.85 share no band with probability 6e-9, of 0.8 with 6e-6.
 BANDS, ROWS = 40, 6
-#: Pairs whose minima agree in less than the asked share less this margin aren't compared as sets (5.5 standard deviations).
-MARGIN = 0.13
+#: Pairs whose minima agree in less than the asked share less this margin aren't compared as sets (4.5 standard deviations).
+MARGIN = 0.105
 #: Classes of a bucket that one task compares with as many others.
 CHUNK = 2048
 #: Ids that are broadcast at most, 8 bytes each.
@@ -185,12 +185,17 @@ def _chunks(strangers: DataFrame, members: DataFrame, percent: int) -> DataFrame
     def run(left, right):
         out_a, out_b = [], []
         if left.num_rows and right.num_rows:
-            x, y = ({c: np.asarray(t.column(c)) for c in ("class", "component", "n")} for t in (left, right))
+            x, y = ({c: np.asarray(t.column(c)) for c in ("band", "class", "component", "main", "n")} for t in (left, right))
             s, t = (np.frombuffer(b"".join(z.column("sign").to_pylist()), np.uint8).reshape(z.num_rows, -1) for z in (left, right))
             for i in range(len(s)):
                 other = np.flatnonzero((y["component"] != x["component"][i])
                                        & (100 * np.minimum(y["n"], x["n"][i]) >= percent * np.maximum(y["n"], x["n"][i])))
-                other = other[_agree(t[other], s[i]) >= percent / 100 - MARGIN]
+                # Two strangers meet twice, and most pairs in several bands: each pair counts in its first one, once.
+                other = other[(y["component"][other] == y["main"][other]) | (y["class"][other] > x["class"][i])]
+                same = t[other] == s[i]
+                first = np.argmax(same.reshape(len(other), BANDS, ROWS).all(axis=2), axis=1)
+                good = ((same.mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= percent / 100 - MARGIN) & (first == x["band"][i])
+                other = other[good]
                 out_a += [np.full(len(other), x["class"][i])]
                 out_b += [y["class"][other]]
         a, b = (np.concatenate(z).astype(np.int64) if z else np.zeros(0, np.int64) for z in (out_a, out_b))
@@ -217,12 +222,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, doc_id: str
     full = profiles.filter("n > 0 AND doc_id IS NOT NULL")
     # A class of equal sets is known by its smallest id; a digest has one row for each task in the shuffle.
     least = full.groupBy("digest").agg(F.min("doc_id").alias("class"))
-    named = stored(full.select("doc_id", "digest").join(least, "digest").select("doc_id", "class", "digest").distinct(), "classes")
-    first = named.filter("doc_id = class").select("class", "digest")
+    named = stored(full.select("doc_id", "digest").join(least, "digest").select("doc_id", "class", "digest"), "classes")
+    first = named.filter("doc_id = class").select("class", "digest").distinct()
     reps = full.join(first, (F.col("doc_id") == F.col("class")) & (full["digest"] == first["digest"])).select(
         "class", "n", "sign", "keys").dropDuplicates(["class"])
     reps = stored(reps, "representatives")
-    met = reps.select("class", F.explode("keys").alias("key"))
+    met = reps.select("class", F.posexplode("keys").alias("band", "key"))
     often = met.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     buckets = stored(met.join(often, "key"), "buckets")
     meta = reps.select("class", "n", "sign")
@@ -257,7 +262,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, doc_id: str
     part = lambda n: F.pmod(F.xxhash64("class", F.lit(3)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     cols = F.ceil(F.col("size") / CHUNK).cast("int")
-    columns = ("key", "i", "j", "class", "component", "n", "sign")
+    columns = ("key", "i", "j", "band", "class", "component", "main", "n", "sign")
     strangers = alien.join(n_of, "key").withColumn("cols", cols).select("*", part("rows").alias("i"), every("cols").alias("j")).select(*columns).toDF(*columns)
     members = open_.join(n_of, "key").withColumn("cols", cols).select("*", part("cols").alias("j"), every("rows").alias("i")).select(*columns).toDF(*columns)
     rest = stored(_chunks(strangers, members, percent).join(pairs, ["a", "b"], "left_anti"), "rest")
