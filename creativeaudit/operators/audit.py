@@ -16,15 +16,16 @@ def with_cache_key(df: DataFrame) -> DataFrame:
 
 
 def newest_analysis(audit: DataFrame) -> DataFrame:
-    """Newest analysis per cache key. Combines on the map side; ties go to the larger id."""
+    """Newest analysis per cache key, with its results if there are any. Combines on the map side; ties go to the larger id."""
     keyed = with_cache_key(audit.filter(F.col("packs_version").isNotNull()))
-    latest = F.max(F.struct("created_at", "request_id"))
+    order = F.struct("created_at", "request_id")
+    results = [F.max_by("results", order).alias("results")] if "results" in audit.columns else []
     return keyed.groupBy("image_hash", "packs_version", "tag_key").agg(
-        latest["request_id"].alias("hit_request_id"))
+        F.max(order)["request_id"].alias("hit_request_id"), *results)
 
 
 def cache_lookup(requests: DataFrame, audit: DataFrame, packs_version: str) -> DataFrame:
-    """The stored analysis each request can be answered from, if any.
+    """The stored analysis each request can be answered from, if any, with its raw results.
 
     ``requests``: request_id, image_hash, tags. Only audit rows of the live
     version are read. The audit side has one row per key, so a hot creative

@@ -130,6 +130,16 @@ VIEWS = {
   FROM (SELECT event_id AS request_id, ts, date_trunc('day', ts)::TIMESTAMP AS w, 1 + c_custkey % 3 AS lim,
                row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) AS n
         FROM events LEFT JOIN customer ON user_id = c_custkey)""",
+    "v_outcome": """
+  SELECT q.request_id, q.wanted, c.tag, c.frame_index, c.band, c.score, c.confidence,
+         CASE WHEN q.hit THEN 'stored' ELSE c.role || ' turn' END AS top_phrase, c.calibrated_effective, q.hit AS cached
+  FROM (SELECT r.request_id, r.creative_id, r.tags, len(string_split(r.tags, ',')) AS wanted, EXISTS (
+          SELECT 1 FROM v_requests h WHERE h.creative_id = r.creative_id AND h.sorted_tags = r.sorted_tags AND h.packs_version = 'v2'
+            AND h.created_at < TIMESTAMP '2024-01-20' AND h.creative_id % 3 <> 0 AND h.creative_id IN (SELECT conv_id FROM conversations)) AS hit
+        FROM v_requests r WHERE r.tags NOT LIKE '%alcohool%') q
+  LEFT JOIN v_collapsed c ON c.creative_id = q.creative_id AND list_contains(string_split(q.tags, ','), c.tag)
+       AND (q.hit OR (c.creative_id % 11 <> 0 AND NOT (c.creative_id % 7 = 3 AND c.tag = 'vaping' AND EXISTS (
+              SELECT 1 FROM conversations v WHERE v.conv_id = c.creative_id AND v.turn % 2 = 1))))""",
     "v_counters": """
   SELECT user_id AS api_key_id, date_trunc('minute', ts)::TIMESTAMP AS window_start, count(*) AS "count" FROM events GROUP BY ALL""",
     "v_cached": """
@@ -409,7 +419,8 @@ FROM v_requests r LEFT JOIN (SELECT DISTINCT request_id, hit FROM v_cached) h ON
 WHERE r.created_at >= TIMESTAMP '2024-01-20'""")
 oracle("audit_rows", """
 SELECT q.request_id, sha256(CAST(q.creative_id AS VARCHAR)) AS image_hash, q.sorted_tags AS tags_requested, CAST(count(r.tag) AS INT) AS n_rows,
-       CAST(count(*) FILTER (WHERE r.present) AS INT) AS n_present, 'v1' AS packs_version, q.latency_ms, q.cached,
+       coalesce(string_agg(r.frame_index || ':' || r.tag || ':' || coalesce(CAST(r.present AS VARCHAR), 'null') || ':' || CAST(round(r.score * 20) AS INT) || ':' || r.role || ' turn', '|'
+                           ORDER BY r.frame_index, r.tag), '') AS rows, 'v1' AS packs_version, q.latency_ms, q.cached,
        strftime(q.created_at, '%Y-%m-%d') AS created_date
 FROM v_requests q JOIN (SELECT DISTINCT creative_id FROM v_raw) has ON has.creative_id = q.creative_id
 LEFT JOIN v_raw r ON r.creative_id = q.creative_id AND list_contains(string_split(q.tags, ','), r.tag)
@@ -545,7 +556,8 @@ SELECT request_id, CASE WHEN tags LIKE '%alcohool%' THEN 'alcohool' ELSE '' END
 
 # ---- end to end
 oracle("analyze", """
-SELECT q.request_id, c.tag, c.frame_index, c.band, c.score, c.confidence, c.calibrated_effective,
-       q.request_id IN (SELECT request_id FROM v_cached) AS cached
-FROM v_requests q JOIN v_collapsed c ON c.creative_id = q.creative_id
-WHERE list_contains(string_split(q.tags, ','), c.tag) AND q.tags NOT LIKE '%alcohool%'""")
+SELECT request_id, tag, frame_index, band, score, confidence, top_phrase, calibrated_effective, cached, NULL AS reject_code
+FROM (SELECT *, count(tag) OVER (PARTITION BY request_id) AS n FROM v_outcome) WHERE n = wanted
+UNION ALL SELECT DISTINCT request_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'INFERENCE_FAILED'
+FROM (SELECT *, count(tag) OVER (PARTITION BY request_id) AS n FROM v_outcome) WHERE n < wanted
+UNION ALL SELECT request_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'UNKNOWN_TAG' FROM v_requests WHERE tags LIKE '%alcohool%'""")

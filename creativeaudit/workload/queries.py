@@ -434,7 +434,9 @@ def cache_lookup(spark, sf):
 def audit_rows(spark, sf):
     out = _stored(spark, sf)
     return out.select("request_id", "image_hash", joined("tags_requested").alias("tags_requested"),
-                      F.size("results").alias("n_rows"), F.size(F.filter("results", lambda r: r["present"])).alias("n_present"),
+                      F.size("results").alias("n_rows"), joined(F.transform("results", lambda r: F.concat_ws(
+                          ":", r["frame_index"].cast("string"), r["tag"], F.coalesce(r["present"].cast("string"), F.lit("null")),
+                          F.round(r["score"] * 20).cast("int").cast("string"), r["top_phrase"])), "|").alias("rows"),
                       "packs_version", "latency_ms", "cached", F.col("created_date").cast("string").alias("created_date"))
 
 
@@ -754,7 +756,13 @@ def stream_gate(spark, sf):
 
 @query
 def analyze(spark, sf):
+    """Every request, answered or rejected. Some creatives have no answers left, some lack a tag on a frame."""
     rows = I.requests(spark, sf).drop("cached", "packs_version")
-    stored = _requests_with_tags(spark, sf).filter(F.col("created_at") < F.lit("2024-01-20").cast("timestamp"))
-    answered, _ = analyze_requests(rows, I.tags(spark), stored, I.raw_answers(spark, sf), I.thresholds(spark), I.LIVE)
-    return answered.select("request_id", "tag", "frame_index", "band", "score", "confidence", "calibrated_effective", "cached")
+    past = _requests_with_tags(spark, sf).filter((F.col("created_at") < F.lit("2024-01-20").cast("timestamp")) & (F.col("packs_version") == I.LIVE))
+    everything = I.raw_answers(spark, sf)
+    stored = audit.audit_rows(past.filter("creative_id % 3 <> 0"), everything.withColumn("top_phrase", F.lit("stored")), I.LIVE).withColumnRenamed("tags_requested", "tags")
+    raw = everything.filter("creative_id % 11 <> 0 AND NOT (creative_id % 7 = 3 AND tag = 'vaping' AND frame_index % 2 = 1)")
+    answered, rejected = analyze_requests(rows, I.tags(spark), stored, raw, I.thresholds(spark), I.LIVE)
+    out = answered.select("request_id", "tag", "frame_index", "band", "score", "confidence", "top_phrase", "calibrated_effective", "cached",
+                          F.lit(None).cast("string").alias("reject_code"))
+    return out.unionByName(rejected, allowMissingColumns=True)
