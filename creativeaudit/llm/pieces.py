@@ -14,9 +14,11 @@ import hashlib
 import re
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -183,8 +185,8 @@ class Codec:
 
     # ------------------------------------------------------------- whole texts
 
-    def digests(self, text: str | None) -> tuple[int, str, str]:
-        """(number of ids, SHA-256 of the ids, SHA-256 of the text decoded from them)."""
+    def joined(self, text: str | None) -> tuple[int, str, bytes]:
+        """(number of ids, ids joined by commas, the text decoded from them in UTF-8)."""
         recent, found = self.recent, []
         for unit in self.units(text or ""):
             hit = recent.get(unit)
@@ -196,9 +198,12 @@ class Codec:
                         self.older, self.recent = recent, {}
                         recent = self.recent
             found.append(hit)
-        ids = ",".join([x[0] for x in found])
-        back = self.bare(b"".join([x[2] for x in found]))
-        return (sum([x[1] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest())
+        return (sum([x[1] for x in found]), ",".join([x[0] for x in found]), self.bare(b"".join([x[2] for x in found])))
+
+    def digests(self, text: str | None) -> tuple[int, str, str]:
+        """(number of ids, SHA-256 of the ids, SHA-256 of the text decoded from them)."""
+        n, ids, back = self.joined(text)
+        return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()
 
 
 _BEFORE_SPACE = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -237,12 +242,19 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") ->
     No begin or end ids, no sampling. A column of that name is replaced.
     ``model`` must be readable by this path on every machine.
     """
-    @F.pandas_udf("array<int>")
-    def run(texts):
-        made = codec(model)
-        return texts.map(lambda t: made.encode(t or ""))
+    kept = [c for c in docs.columns if c not in (ids, "__text")]
 
-    return docs.withColumn(ids, run(F.col(text)))
+    def run(batches):
+        made = codec(model)
+        for batch in batches:
+            found = [made.joined(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            at = np.concatenate(([0], np.cumsum([n for n, _, _ in found]))).astype(np.int32)
+            flat = np.fromstring(",".join([x for n, x, _ in found if n]), dtype=np.int32, sep=",") if at[-1] else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=[*kept, ids])
+
+    out = docs.select(*kept, F.col(text).alias("__text"))
+    schema = StructType([*docs.select(*kept).schema.fields, StructField(ids, ArrayType(IntegerType()))])
+    return out.mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
