@@ -178,9 +178,12 @@ class Codec:
         return "".join(out).encode()
 
     def decode(self, ids: list[int]) -> str:
-        return self.bare(self.decoded(ids)).decode()
+        first = next((self.pieces[i] for i in ids if i not in self.silent), "")
+        text = self.decoded(ids)
+        return (self.bare(text) if first.startswith(SPACE) else text).decode()
 
     def bare(self, decoded: bytes) -> bytes:
+        """Without the space that encoding puts before a text."""
         return decoded[1:] if self.prefix and decoded.startswith(b" ") else decoded
 
     # ------------------------------------------------------------- whole texts

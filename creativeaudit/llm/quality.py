@@ -246,8 +246,8 @@ def classified(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, slac
     known = stored(trusted.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct(), "trusted")
     out_of_model = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(HELD_OUT)) == 0
     model = Model(gram_counts(rows.join(_small(known.filter(~out_of_model)), "doc_id", "left_semi")))
-    scores = stored(bits_of(rows, model).withColumn("rate", F.col("bits") / F.col("units"))
-                    .withColumn("margin", F.lit(SPREAD) / F.sqrt("units")), "scores")
+    scores = stored(bits_of(rows, model).withColumn("rate", F.try_divide("bits", "units"))
+                    .withColumn("margin", F.try_divide(F.lit(SPREAD), F.sqrt("units"))), "scores")
     held = scores.filter("units > 0").join(known.filter(out_of_model), "doc_id", "left_semi")
     # The quantile from a histogram: its size depends on the rates that occur, not on the documents.
     steps = held.groupBy("lang", F.ceil((F.col("rate") - F.col("margin")) * STEPS).alias("step")).agg(F.count(F.lit(1)).alias("n"))
