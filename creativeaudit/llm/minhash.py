@@ -20,8 +20,8 @@ from creativeaudit.operators.sizing import fits
 
 #: 40 bands of 6 minima: two sets of similarity 0.85 share no band with probability 6e-9, of 0.8 with 6e-6.
 BANDS, ROWS = 40, 6
-#: Pairs whose minima agree in less than the asked share less this margin aren't compared as sets (4.5 standard deviations).
-MARGIN = 0.105
+#: Pairs whose minima agree in so many standard deviations less than the asked share aren't compared as sets.
+DEVIATIONS = 4.5
 #: Classes of a bucket that one task compares with as many others.
 CHUNK = 2048
 #: Ids that are broadcast at most, 8 bytes each.
@@ -112,12 +112,17 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "id long, members binary")
 
 
+def _least_agreement(percent: int) -> float:
+    p = percent / 100
+    return p - DEVIATIONS * (p * (1 - p) / (BANDS * ROWS)) ** 0.5
+
+
 def _likely(percent: int):
     """Of candidate pairs, those whose sizes allow a link and whose minima don't speak against it."""
     def run(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (2, 3))
-            good = _agree(a, b) >= percent / 100 - MARGIN
+            good = _agree(a, b) >= _least_agreement(percent)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
 
     return run
@@ -194,7 +199,7 @@ def _chunks(strangers: DataFrame, members: DataFrame, percent: int) -> DataFrame
                 other = other[(y["component"][other] == y["main"][other]) | (y["class"][other] > x["class"][i])]
                 same = t[other] == s[i]
                 first = np.argmax(same.reshape(len(other), BANDS, ROWS).all(axis=2), axis=1)
-                good = ((same.mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= percent / 100 - MARGIN) & (first == x["band"][i])
+                good = ((same.mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= _least_agreement(percent)) & (first == x["band"][i])
                 other = other[good]
                 out_a += [np.full(len(other), x["class"][i])]
                 out_b += [y["class"][other]]
@@ -221,8 +226,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, doc_id: str
     profiles = stored(_profiles(base, k), "profiles")
     full = profiles.filter("n > 0 AND doc_id IS NOT NULL")
     # A class of equal sets is known by its smallest id; a digest has one row for each task in the shuffle.
-    least = full.groupBy("digest").agg(F.min("doc_id").alias("class"))
-    named = stored(full.select("doc_id", "digest").join(least, "digest").select("doc_id", "class", "digest"), "classes")
+    least = full.groupBy("digest").agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("copies"))
+    least = stored(least.filter("copies > 1").select("digest", "class"), "copies")
+    named = full.select("doc_id", "digest").join(least, "digest", "left").select(
+        "doc_id", F.coalesce("class", "doc_id").alias("class"), "digest")
+    named = stored(named, "classes")
     first = named.filter("doc_id = class").select("class", "digest").distinct()
     reps = full.join(first, (F.col("doc_id") == F.col("class")) & (full["digest"] == first["digest"])).select(
         "class", "n", "sign", "keys").dropDuplicates(["class"])
@@ -281,3 +289,9 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents with these ids. The ids travel if they are few enough, else both sides meet in a shuffle."""
     ids = stored(ids.select(F.col("class").alias("doc_id")), "touched")
     return docs.join(F.broadcast(ids) if fits(ids, IDS) else ids, "doc_id", "left_semi")
+
+
+def without(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The documents whose id isn't in ``ids`` (doc_id); those without an id stay."""
+    ids = stored(ids.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return docs.join(F.broadcast(ids) if fits(ids, IDS) else ids, F.col(doc_id) == F.col("__gone"), "left_anti")
