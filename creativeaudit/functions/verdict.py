@@ -40,6 +40,6 @@ def token(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("~"))
 
 
-def number_token(c: Column, digits: int = 9) -> Column:
-    """A float as fingerprint text with a fixed number of decimals."""
-    return token(c.cast(f"decimal(30,{digits})"))
+def number_token(c: Column) -> Column:
+    """A float as fingerprint text: the one that reads back as the same double, so that any edit shows."""
+    return token(c.cast("double").cast("string"))

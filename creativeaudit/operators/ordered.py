@@ -5,7 +5,9 @@ only: neither is a window aggregate. The rows of a key are therefore read in
 order by a task that keeps nothing but the rule's own small state (at most
 ``limit`` instants, or the kept frames).
 
-A key with very many rows does not go to one task. Its time line is cut into
+A key with very many rows does not go to one task. Where a pause makes a rule
+forget all that came before, the key falls into pieces that are keys of their
+own. What is still too long is cut into
 blocks of about ``max_rows`` rows. First only the state at the end of each
 block is worked out, all blocks at once, as if nothing came before them; then
 each block whose true starting state differs from the assumed one is folded
@@ -112,9 +114,12 @@ def _ends(keys: Sequence[str], step: Step, start, finish):
 
 def fold(df: DataFrame, keys: Sequence[str], at: Column, order: Sequence[str],
          outputs: dict[str, T.DataType], step: Step, start, finish, state_type: T.DataType, *,
-         still_matters: Callable[[Column, Column], Column], max_rows: int = MAX_ROWS) -> DataFrame:
+         still_matters: Callable[[Column, Column], Column], max_rows: int = MAX_ROWS,
+         forgets_after: int | None = None) -> DataFrame:
     """Run ``step`` over each key's rows in order of ``at`` (an integer) and ``order``.
 
+    ``forgets_after``: a longer pause than this leaves no state.
+
     ``still_matters(state, first)`` reduces a carried state to what can affect
     a block starting at instant ``first``. Keys must not be NULL. Finding the
     heavy keys counts rows per key once when the plan is built.
@@ -137,6 +142,11 @@ def fold(df: DataFrame, keys: Sequence[str], at: Column, order: Sequence[str],
     # At most one key in max_rows rows is heavy, so this list is short; small_side checks it.
     heavy = small_side(checkpoint(heavy))
     light = whole(rows.join(heavy, keys, "left_anti"))
+    if forgets_after:
+        pieces = _pieces(rows.join(heavy, keys, "left_semi"), keys, forgets_after).drop("_at")
+        cut = fold(pieces, [*keys, "_piece"], at, order, outputs, step, start, finish, state_type,
+                   still_matters=still_matters, max_rows=max_rows)
+        return light.unionByName(cut.drop("_piece"))
     spark = df.sparkSession
     table = fresh_path(spark, "blocks")
     cut = _cut(rows.join(heavy, keys, "left_semi").select(*rows.columns), keys, max_rows)
@@ -178,6 +188,19 @@ def fold(df: DataFrame, keys: Sequence[str], at: Column, order: Sequence[str],
     return light.unionByName(result.drop("_at"))
 
 
+def _pieces(rows: DataFrame, keys: list[str], pause: int) -> DataFrame:
+    """Rows with the number of their piece: a piece ends where a slice as long as the pause has no rows.
+
+    Slices are counted with a map-side combine; the window sees one row per slice.
+    """
+    sliced = rows.withColumn("_slice", F.floor(F.col("_at") / pause))
+    order = Window.partitionBy(*keys).orderBy("_slice")
+    slices = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    new = F.coalesce((F.col("_slice") - F.lag("_slice").over(order) > 1).cast("bigint"), F.lit(0))
+    slices = slices.withColumn("_new", new).withColumn("_piece", F.sum("_new").over(order))
+    return sliced.join(checkpoint(slices.select(*keys, "_slice", "_piece")), [*keys, "_slice"]).drop("_slice")
+
+
 def _cut(rows: DataFrame, keys: list[str], max_rows: int, slices: int = 1_000_000) -> DataFrame:
     """Number the blocks: fine time slices are counted, then grouped up to ``max_rows``.
 
@@ -233,7 +256,7 @@ def sliding_admission(hits: DataFrame, limit: int, span_s: float, identity: str
     span = int(span_s * 1_000_000)
     return fold(hits, [identity], F.unix_micros("ts"), order, {"admitted": T.BooleanType()},
                 sliding_step(limit, span), _as_list, list, T.ArrayType(T.LongType()),
-                still_matters=_live_after(span), max_rows=max_rows)
+                still_matters=_live_after(span), max_rows=max_rows, forgets_after=max(1, span))
 
 
 def _lockout_step(limit: int, span: int):
@@ -269,7 +292,7 @@ def login_lockout(attempts: DataFrame, limit: int, span_s: float, identity: str
     span = int(span_s * 1_000_000)
     return fold(attempts, [identity], F.unix_micros("ts"), order, {"locked": T.BooleanType()},
                 _lockout_step(limit, span), _as_list, list, T.ArrayType(T.LongType()),
-                still_matters=_live_after(span), max_rows=max_rows)
+                still_matters=_live_after(span), max_rows=max_rows, forgets_after=max(1, span))
 
 
 def _as_list(carry) -> list[int]:
@@ -279,38 +302,70 @@ def _as_list(carry) -> list[int]:
 # ------------------------------------------------------------------ frames
 
 
+class _Kept:
+    """The frames kept so far: instants, ids, and per signature length a growing matrix with the means of its rows."""
+
+    def __init__(self) -> None:
+        self.at: list[float] = []
+        self.ids: list[int] = []
+        self.signatures: list[np.ndarray] = []
+        self.by_length: dict[int, list] = {}
+
+    def add(self, at: float, frame_id: int, signature: np.ndarray) -> None:
+        held = self.by_length.setdefault(len(signature), [np.empty((8, len(signature))), np.empty(8), [], 0])
+        matrix, means, places, n = held
+        if n == len(means):
+            held[0], held[1] = np.concatenate((matrix, matrix)), np.concatenate((means, means))
+        held[0][n], held[1][n] = signature, signature.mean() if len(signature) else 0.0
+        places.append(len(self.ids))
+        held[3] = n + 1
+        self.at.append(at)
+        self.ids.append(frame_id)
+        self.signatures.append(signature)
+
+    def first_alike(self, signature: np.ndarray, max_mad: float) -> tuple[int, float] | None:
+        """(place, difference) of the earliest kept frame within ``max_mad``. Means differ by no more than the frames do."""
+        if not len(signature) or len(signature) not in self.by_length:
+            return None
+        matrix, means, places, n = self.by_length[len(signature)]
+        near = np.flatnonzero(np.abs(means[:n] - signature.mean()) <= max_mad + 1e-9)
+        for i in range(0, len(near), 256):
+            part = near[i:i + 256]
+            mad = np.abs(matrix[part] - signature).sum(axis=1) / len(signature)
+            hit = np.flatnonzero(mad <= max_mad)
+            if len(hit):
+                return places[part[hit[0]]], float(mad[hit[0]])
+        return None
+
+
 def _select_step(gap_s: float, max_mad: float):
-    def step(state, cols):
-        kept_at, kept_sig, kept_id = state
+    def step(state: _Kept, cols):
         keep = np.zeros(len(cols["_at"]), bool)
         same_as, mads = np.full(len(keep), None, dtype=object), np.full(len(keep), None, dtype=object)
         for i, at in enumerate(cols["timestamp_s"]):
-            if kept_at and at - kept_at[-1] < gap_s:
+            if state.at and at - state.at[-1] < gap_s:
                 continue
             sig = np.asarray(cols["signature"][i], dtype=np.float64)
-            for other, name in zip(kept_sig, kept_id):
-                mad = np.abs(other - sig).sum() / len(sig) if len(other) == len(sig) else None
-                if mad is not None and mad <= max_mad:
-                    same_as[i], mads[i] = name, float(mad)
-                    break
+            hit = state.first_alike(sig, max_mad)
+            if hit:
+                same_as[i], mads[i] = state.ids[hit[0]], hit[1]
             else:
                 keep[i] = True
-                kept_at.append(float(at))
-                kept_sig.append(sig)
-                kept_id.append(int(cols["frame_id"][i]))
+                state.add(float(at), int(cols["frame_id"][i]), sig)
         return {"kept": keep, "same_as": same_as, "mad": mads}, state
 
     return step
 
 
 def _open_frames(carry):
-    rows = [] if carry is None else list(carry)
-    return ([float(r["at"]) for r in rows], [np.asarray(r["signature"], dtype=np.float64) for r in rows],
-            [int(r["frame_id"]) for r in rows])
+    state = _Kept()
+    for r in [] if carry is None else list(carry):
+        state.add(float(r["at"]), int(r["frame_id"]), np.asarray(r["signature"], dtype=np.float64))
+    return state
 
 
-def _close_frames(state):
-    return [{"at": a, "signature": s.tolist(), "frame_id": f} for a, s, f in zip(*state)]
+def _close_frames(state: _Kept):
+    return [{"at": a, "signature": s.tolist(), "frame_id": f} for a, s, f in zip(state.at, state.signatures, state.ids)]
 
 
 def mark_frames(frames: DataFrame, gap_s: float, max_mad: float, max_rows: int = MAX_ROWS) -> DataFrame:

@@ -23,8 +23,9 @@ def build(master: str, app: str = "creativeaudit", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and streaming state.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in tests on one machine, a temporary folder is made.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset
+    and the master is local, as in tests on one machine, a temporary folder is
+    made; on a cluster executors could not see it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir")
@@ -32,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
         path = configured
     elif spark.sparkContext.getCheckpointDir():
         return spark.sparkContext.getCheckpointDir()
+    elif not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     else:
         path = tempfile.mkdtemp(prefix="creativeaudit-")
     if not spark.sparkContext.getCheckpointDir():

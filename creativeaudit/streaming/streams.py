@@ -101,33 +101,28 @@ def _admit(limit: int, span_ms: int):
     step = sliding_step(limit, span_ms * 1000)
 
     def run(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         live = list(state.get[0]) if state.exists else []
         pdf = pd.concat([p[["identity", "id", "ts_us"]] for p in pdfs]).sort_values(["ts_us", "id"])
         made, live = step(live, {"_at": pdf["ts_us"].to_numpy()})
         state.update((live,))
-        if live:
-            due = live[-1] // 1000 + span_ms + 1
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         yield pdf[["identity", "id"]].assign(admitted=made["admitted"])
 
     return run
 
 
 def stream_admission(hits: DataFrame, path: str, checkpoint: str, *, limit: int = C.IDENTITY_LIMIT,
-                     span_s: float = C.IDENTITY_SPAN_S, late: str = "1 minute",
-                     trigger: dict | None = None) -> StreamingQuery:
+                     span_s: float = C.IDENTITY_SPAN_S, trigger: dict | None = None) -> StreamingQuery:
     """The sliding limit with the admitted instants of each identity as state.
 
-    Hits are judged in time order within a micro-batch, whose size the source
-    options bound; the state of an identity that went quiet times out.
+    Every hit is answered, late ones as well: there is no watermark to drop
+    them. Hits are judged in time order within a micro-batch, whose size the
+    source options bound, and batches in the order in which they come. The
+    state is one list of at most ``limit`` instants for each identity.
     """
-    rows = hits.select("identity", "id", "ts", F.unix_micros("ts").alias("ts_us"))
-    judged = rows.withWatermark("ts", late).groupBy("identity").applyInPandasWithState(
+    rows = hits.select("identity", "id", F.unix_micros("ts").alias("ts_us"))
+    judged = rows.groupBy("identity").applyInPandasWithState(
         _admit(limit, int(span_s * 1000)), "identity bigint, id bigint, admitted boolean",
-        "live array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+        "live array<bigint>", "append", GroupStateTimeout.NoTimeout)
     return _start(judged, _sink(path), checkpoint, "append", trigger)
 
 

@@ -147,14 +147,17 @@ VIEWS = {
   FROM v_requests r JOIN v_requests h ON h.creative_id = r.creative_id AND h.sorted_tags = r.sorted_tags
        AND h.packs_version = 'v2' AND h.created_at < TIMESTAMP '2024-01-20'""",
     "v_reply": """
-  SELECT conv_id AS creative_id, turn AS frame_index, role, length(text) AS n FROM conversations""",
+  SELECT conv_id AS creative_id, turn AS frame_index, role, length(text) AS n, conv_id % 13 = 5 AS broken, conv_id % 17 = 4 AS odd FROM conversations""",
     "v_answers": """
   SELECT creative_id, frame_index, role, n, 'alcohol' AS slug,
          CASE WHEN n % 11 IN (0,1) THEN NULL WHEN n % 3 = 0 THEN true WHEN n % 3 = 1 THEN NULL ELSE false END AS present,
          CASE WHEN n % 11 = 0 THEN 'present is not true, false or null' WHEN n % 11 = 1 THEN 'present missing' END AS error
-  FROM v_reply WHERE n % 29 <> 0
-  UNION ALL SELECT creative_id, frame_index, role, n, 'vaping', false, NULL FROM v_reply WHERE n % 29 <> 0 AND n % 13 <> 0
-  UNION ALL SELECT creative_id, frame_index, role, n, 'surprise', true, NULL FROM v_reply WHERE n % 29 <> 0 AND n % 17 = 0""",
+  FROM v_reply WHERE n % 29 <> 0 AND NOT broken
+  UNION ALL SELECT creative_id, frame_index, role, n, 'vaping', false, NULL FROM v_reply WHERE n % 29 <> 0 AND n % 13 <> 0 AND NOT broken
+  UNION ALL SELECT creative_id, frame_index, role, n, 'surprise', true, NULL FROM v_reply WHERE n % 29 <> 0 AND n % 17 = 0 AND NOT broken
+  UNION ALL SELECT creative_id, NULL, NULL, NULL, NULL, NULL, 'reply is not a frame list' FROM v_reply WHERE broken GROUP BY creative_id
+  UNION ALL SELECT creative_id, NULL, NULL, NULL, NULL, NULL, 'frame index missing or not an integer' FROM v_reply WHERE odd AND NOT broken GROUP BY creative_id
+  UNION ALL SELECT creative_id, NULL, NULL, NULL, NULL, NULL, NULL FROM v_reply WHERE NOT odd AND NOT broken GROUP BY creative_id HAVING bool_and(n % 29 = 0)""",
 }
 
 
@@ -222,7 +225,7 @@ oracle("decision_version", """
 SELECT substr(sha256('rule-1|0.85|0.6|6|0.35|8.0|' || string_agg(b || h, '' ORDER BY b) || '|fallback:=false:~:~:~'), 1, 12) AS decision_version
 FROM (SELECT substr(d, 1, 3) AS b, sha256(string_agg(d, '' ORDER BY d)) AS h
       FROM (SELECT sha256('=' || slug || ':=' || calibrated || ':' || coalesce('=' || packs_version_seen, '~') || ':' ||
-                          coalesce('=' || CAST("precision" AS DECIMAL(30,9)), '~') || ':' || coalesce('=' || CAST(recall AS DECIMAL(30,9)), '~')) AS d
+                          coalesce('=' || CAST("precision" AS VARCHAR), '~') || ':' || coalesce('=' || CAST(recall AS VARCHAR), '~')) AS d
             FROM v_part_thresholds) GROUP BY 1)""")
 oracle("verdict_display", """
 SELECT creative_id, band, tag, score, CAST(row_number() OVER (PARTITION BY creative_id, band ORDER BY score DESC, tag) AS INT) AS position
@@ -254,12 +257,13 @@ oracle("tristate_strict", """
 SELECT creative_id, frame_index, slug, present, round((10 + n % 80) / 100.0::DOUBLE, 2) AS confidence, role AS evidence, error FROM v_answers""")
 oracle("reply_completeness", """
 SELECT f.creative_id, m.missing = '' AND u.unexpected = '' AND f.sent = f.answered AS complete, m.missing, u.unexpected
-FROM (SELECT creative_id, count(*) AS sent, count(*) FILTER (WHERE n % 29 <> 0) AS answered FROM v_reply GROUP BY creative_id) f
+FROM (SELECT creative_id, count(*) AS sent,
+             count(*) FILTER (WHERE n % 29 <> 0 AND NOT broken) + max(CASE WHEN odd AND NOT broken THEN 1 ELSE 0 END) AS answered FROM v_reply GROUP BY creative_id) f
 JOIN (SELECT creative_id, coalesce(string_agg(x, ',' ORDER BY x), '') AS missing FROM (
-        SELECT creative_id, CASE WHEN n % 29 = 0 THEN frame_index || ':alcohol' END AS x FROM v_reply
-        UNION ALL SELECT creative_id, CASE WHEN n % 29 = 0 OR n % 13 = 0 THEN frame_index || ':vaping' END FROM v_reply) GROUP BY creative_id) m
+        SELECT creative_id, CASE WHEN broken OR n % 29 = 0 THEN frame_index || ':alcohol' END AS x FROM v_reply
+        UNION ALL SELECT creative_id, CASE WHEN broken OR n % 29 = 0 OR n % 13 = 0 THEN frame_index || ':vaping' END FROM v_reply) GROUP BY creative_id) m
   ON m.creative_id = f.creative_id
-JOIN (SELECT creative_id, coalesce(string_agg(CASE WHEN n % 29 <> 0 AND n % 17 = 0 THEN frame_index || ':surprise' END, ',' ORDER BY frame_index), '') AS unexpected
+JOIN (SELECT creative_id, coalesce(string_agg(CASE WHEN NOT broken AND n % 29 <> 0 AND n % 17 = 0 THEN frame_index || ':surprise' END, ',' ORDER BY frame_index), '') AS unexpected
       FROM v_reply GROUP BY creative_id) u ON u.creative_id = f.creative_id""")
 oracle("tag_set_diff", """
 SELECT request_id, array_to_string(list_sort(list_filter(w, lambda x: NOT list_contains(s, x))), ',') AS missing,
@@ -288,6 +292,7 @@ SELECT id, slug, reason IS NULL AS accepted, reason AS reject_reason FROM (
   SELECT p_partkey AS id, s AS slug,
     CASE WHEN p_size % 7 = 0 THEN 'bad slug'
          WHEN p_size % 2 = 0 AND p_size % 5 = 0 THEN CASE WHEN p_size > 40 THEN 'slug retired' ELSE 'slug in use' END
+         WHEN p_size % 2 = 0 AND p_partkey % 2 = 1 AND (SELECT count(*) FROM part WHERE p_size <= 40) >= 100 THEN 'catalog full'
          WHEN p_size % 2 = 1 AND p_size % 5 <> 0 THEN 'slug cannot change'
          WHEN p_size % 11 = 0 THEN 'label required' END AS reason
   FROM (SELECT *, CASE WHEN p_size % 7 = 0 THEN '9' || b WHEN p_size % 5 = 0 THEN b ELSE b || '_new' END AS s
@@ -546,7 +551,9 @@ SELECT owner, label, path FROM v_found WHERE NOT ((owner <> 'vaping' OR NOT labe
 
 # ---- streams: the same results as their batch twins
 oracle("stream_usage", f"""SELECT api_key_id, {STAMP.format('window_start')} AS window_start, "count" FROM v_counters""")
-oracle("stream_late", _UNITS)
+oracle("stream_late", """
+SELECT api_key_id, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS window_start, CAST(sum(units) AS BIGINT) AS units
+FROM v_charges WHERE request_id NOT IN (SELECT request_id FROM v_requests WHERE created_at < TIMESTAMP '2024-01-01 06:00:00') GROUP BY 1, 2""")
 oracle("stream_collapse", "SELECT creative_id, tag, frame_index, present, score, confidence, band FROM v_collapsed")
 oracle("stream_admission", "SELECT user_id AS identity, event_id AS id, admitted FROM adm", _SLIDE)
 oracle("stream_cache", """
