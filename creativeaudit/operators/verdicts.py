@@ -59,25 +59,6 @@ def collapse_verdicts(verdicts: DataFrame, keys: Sequence[str] = ("creative_id",
     return out.select(*keys, "w.*", "first_position")
 
 
-def collapse_in_row(results: Column) -> Column:
-    """A1 inside one stored analysis: array of raw rows -> array of winners.
-
-    A stored row already holds every frame of its creative (at most 6 frames
-    by 100 tags), so re-deciding it needs no shuffle at all. Sorted by tag,
-    band, score and position, the first row of each tag is its winner.
-    """
-    ranked = F.sort_array(F.transform(results, lambda r, i: F.struct(
-        r["tag"].alias("tag"), (-V.band_rank(V.band(r["present"]))).alias("rank"),
-        (-r["score"]).alias("score"), i.alias("position"), r.alias("row"))))
-
-    def firsts(rows: Column) -> Column:
-        return F.filter(rows, lambda r, i: (i == 0) | (F.get(rows, i - 1)["tag"] != r["tag"]))
-
-    # transform over a one-element array computes the sorted list once.
-    winners = F.get(F.transform(F.array(ranked), firsts), F.lit(0))
-    return F.transform(winners, lambda r: r["row"])
-
-
 def band_counts(collapsed: DataFrame, by: str = "creative_id") -> DataFrame:
     """A2: verdicts per band."""
     return collapsed.groupBy(by).agg(
@@ -202,13 +183,13 @@ def redecide(audit: DataFrame, thresholds: DataFrame, live: str) -> DataFrame:
     """Apply today's rule to stored raw answers and show what it changes.
 
     ``audit``: request_id, results (array of raw rows), previous (map tag ->
-    band at the time). The collapse happens within the row; the only join is
-    with the threshold table.
+    band at the time). The winner of each tag is picked by A1, so both have one
+    order; the verdicts at the time meet it afterwards, one row per tag.
     """
-    rows = audit.select("request_id", "previous",
-                        F.inline(collapse_in_row(F.col("results"))))
-    now = effective_calibrated(threshold_join(decide(rows), thresholds), live)
-    old = F.try_element_at("previous", F.col("tag"))
-    return now.select("request_id", "tag", old.alias("old_band"), F.col("band").alias("new_band"),
-                      "confidence", "calibrated_effective",
-                      (~old.eqNullSafe(F.col("band"))).alias("flipped"))
+    flat = audit.select("request_id", F.inline("results")).select("request_id", "tag", "frame_index", "present", "score")
+    winners = collapse_verdicts(decide(flat), keys=("request_id", "tag"), carry=["band", "confidence"])
+    now = effective_calibrated(threshold_join(winners, thresholds), live)
+    old = audit.select("request_id", F.explode("previous").alias("tag", "old_band"))
+    both = now.join(old, ["request_id", "tag"], "left")
+    return both.select("request_id", "tag", "old_band", F.col("band").alias("new_band"), "confidence", "calibrated_effective",
+                       (~F.col("old_band").eqNullSafe(F.col("band"))).alias("flipped"))

@@ -32,20 +32,22 @@ def test_collapse(spark, given, want):
     one = verdicts.collapse_verdicts(decided).collect()
     assert [(r["band"], r["frame_index"]) for r in one] == [want]
     assert one[0]["score"] == given[want[1]][1]
-    packed = raw.groupBy("creative_id").agg(F.array_sort(F.collect_list(F.struct("frame_index", "tag", "present", "score"))).alias("results"))
-    in_row = packed.select(F.inline(verdicts.collapse_in_row(F.col("results")))).collect()
-    assert [r["frame_index"] for r in in_row] == [want[1]]
 
 
-def test_collapse_in_row_agrees_with_grouping(spark):
+def test_redecide_picks_the_winners_of_a1(spark):
     rng = random.Random(1)
-    data = [(c, f, t, rng.choice([True, False, None]), rng.randrange(4) / 4)
-            for c in range(40) for f in range(6) for t in "abcd"]
-    raw = spark.createDataFrame(data, "creative_id int, frame_index int, tag string, present boolean, score double")
-    grouped = verdicts.collapse_verdicts(verdicts.decide(raw))
-    packed = raw.groupBy("creative_id").agg(F.array_sort(F.collect_list(F.struct("frame_index", "tag", "present", "score"))).alias("results"))
-    in_row = packed.select("creative_id", F.inline(verdicts.collapse_in_row(F.col("results"))))
-    assert rows(grouped, "creative_id", "tag", "frame_index", "score") == rows(in_row, "creative_id", "tag", "frame_index", "score")
+    scores = [0.0, .25, .25, .75, None, float("nan")]
+    data = [(c, f, t, rng.choice([True, False, None]), rng.choice(scores)) for c in range(40) for f in range(6) for t in "abcd"]
+    rng.shuffle(data)
+    raw = spark.createDataFrame(data, "request_id int, frame_index int, tag string, present boolean, score double")
+    want = verdicts.collapse_verdicts(verdicts.decide(raw), keys=("request_id", "tag"))
+    audit_ = raw.groupBy("request_id").agg(F.collect_list(F.struct("score", "tag", "present", "frame_index")).alias("results"))
+    audit_ = audit_.withColumn("previous", F.create_map(F.lit("a"), F.lit("present")))
+    none = spark.createDataFrame([], "slug string, calibrated boolean, packs_version_seen string, precision double, recall double")
+    got = verdicts.redecide(audit_, none, "v").withColumnsRenamed({"new_band": "band"})
+    assert rows(got, "request_id", "tag", "band", "confidence") == rows(want, "request_id", "tag", "band", "confidence")
+    assert {r["old_band"] for r in got.filter("tag = 'a'").collect()} == {"present"}
+    assert got.filter("tag = 'b' AND (old_band IS NOT NULL OR NOT flipped)").isEmpty()
 
 
 def test_verdict_json_layouts(spark):
