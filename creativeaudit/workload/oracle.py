@@ -338,12 +338,18 @@ cat AS (
 oracle("catalog_changes", "SELECT catalog_id, seq, op, slug, reason AS reject_reason FROM cat WHERE reason IS NOT NULL", _LOG)
 oracle("catalog_snapshot", """
 SELECT f.catalog_id, u.slug, coalesce('Label ' || e.seq, 'Seeded') AS label,
+       coalesce(d.event_type, '') AS description,
        CASE WHEN list_contains(f.act, u.slug) THEN 'active' ELSE 'retired' END AS status,
-       CAST(list_position(f.known, u.slug) AS BIGINT) AS sort_order
+       CAST(list_position(f.known, u.slug) AS BIGINT) AS sort_order,
+       CASE WHEN a.seq IS NOT NULL THEN 'admin' END AS updated_by, strftime(w.ts, '%Y-%m-%d %H:%M:%S') AS updated_at
 FROM (SELECT *, row_number() OVER (PARTITION BY catalog_id ORDER BY rn DESC) AS back FROM cat) f
 CROSS JOIN LATERAL (SELECT unnest(f.known) AS slug) u
 LEFT JOIN (SELECT catalog_id, slug, max(seq) AS seq FROM cat WHERE reason IS NULL AND op IN ('create','update') GROUP BY catalog_id, slug) e
   ON e.catalog_id = f.catalog_id AND e.slug = u.slug
+LEFT JOIN events d ON d.event_id = e.seq
+LEFT JOIN (SELECT catalog_id, slug, max(seq) AS seq FROM cat WHERE reason IS NULL AND op IS NOT NULL GROUP BY catalog_id, slug) a
+  ON a.catalog_id = f.catalog_id AND a.slug = u.slug
+LEFT JOIN events w ON w.event_id = a.seq
 WHERE f.back = 1""", _LOG)
 
 # ---- intake

@@ -304,7 +304,7 @@ def catalog_changes(spark, sf):
 def catalog_snapshot(spark, sf):
     snapshot, log = I.change_log(spark, sf)
     after, _ = changes.catalog_changes(snapshot, log, cap=4, by="catalog_id")
-    return after.select("catalog_id", "slug", "label", "status", "sort_order")
+    return after.select("catalog_id", "slug", "label", "description", "status", "sort_order", "updated_by", stamp("updated_at").alias("updated_at"))
 
 
 # ------------------------------------------------------------- intake
