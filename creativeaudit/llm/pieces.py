@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from creativeaudit.llm.common import pieces_of
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Units that a Python worker remembers with their ids: those met since as many others were.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 class Codec:
@@ -203,6 +205,10 @@ class Codec:
             found.append(hit)
         return (sum([x[1] for x in found]), ",".join([x[0] for x in found]), self.bare(b"".join([x[2] for x in found])))
 
+    def rest(self) -> None:
+        """After a task: the worker stays, and other work needs its memory."""
+        self.older = {}
+
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """(number of ids, SHA-256 of the ids, SHA-256 of the text decoded from them)."""
         n, ids, back = self.joined(text)
@@ -250,10 +256,15 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") ->
     def run(batches):
         made = codec(model)
         for batch in batches:
-            found = [made.joined(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            at = np.concatenate(([0], np.cumsum([n for n, _, _ in found]))).astype(np.int32)
-            flat = np.fromstring(",".join([x for n, x, _ in found if n]), dtype=np.int32, sep=",") if at[-1] else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=[*kept, ids])
+            row = 0
+            for piece in pieces_of([batch.select([batch.num_columns - 1]).rename_columns(["text"])]):
+                found = [made.joined(t)[:2] for t in piece.column(0).to_pylist()]
+                at = np.concatenate(([0], np.cumsum([n for n, _ in found]))).astype(np.int32)
+                flat = np.fromstring(",".join([x for n, x in found if n]), dtype=np.int32, sep=",") if at[-1] else np.zeros(0, np.int32)
+                coded = pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*[c.slice(row, piece.num_rows) for c in batch.columns[:-1]], coded], names=[*kept, ids])
+                row += piece.num_rows
+        made.rest()
 
     out = docs.select(*kept, F.col(text).alias("__text"))
     schema = StructType([*docs.select(*kept).schema.fields, StructField(ids, ArrayType(IntegerType()))])
@@ -280,11 +291,12 @@ def encoded_digests(docs: DataFrame, model: str, doc_id: str = "doc_id", text: s
     def run(batches):
         made = codec(model)
         for batch in batches:
-            found = [made.digests(t) for t in batch.column(1).to_pylist()]
+            found = [made.digests(t.as_py()) for t in batch.column(1)]
             n, ids, back = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        made.rest()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
