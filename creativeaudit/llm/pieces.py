@@ -24,8 +24,8 @@ from creativeaudit.llm.common import pieces_of
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Units that a Python worker remembers with their ids: those met since as many others were.
-REMEMBERED = 300_000
+#: Words that a Python worker remembers with their ids, the latest half of them at least.
+REMEMBERED = 400_000
 
 
 class Codec:
@@ -56,6 +56,8 @@ class Codec:
         # Where no piece holds two characters side by side, a text can be cut: nothing merges across.
         self.cut_before_space = not any(b == SPACE != a for p in self.ids for a, b in zip(p, p[1:]))
         self.lines_alone = not any("\n" in p and len(p) > 1 for p in self.ids)
+        # All text but escaped spaces comes back from its ids, so that words can be remembered by their ids alone.
+        self.plain = self.fallback and self.prefix and self.cut_before_space and self.lines_alone
         # A piece that merging its own text does not give back never occurs.
         usable = [p for p in self.ids if len(p) == 1 or self.merged(p) == [p]]
         self.usable = set(usable)
@@ -65,8 +67,8 @@ class Codec:
         self.automaton.make_automaton()
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if n == 1 or p[:n] in self.usable), None) for p in usable}
         self.compatible: dict[tuple[str, str], bool] = {}
-        self.recent: dict[str, tuple[str, int, bytes]] = {}
-        self.older: dict[str, tuple[str, int, bytes]] = {}
+        self.recent: dict[str, str] = {}
+        self.older: dict[str, str] = {}
         self.written = {p: (str(i), p.replace(SPACE, " ").encode()) for p, i in self.ids.items()}
 
     # ------------------------------------------------------------- encoding
@@ -130,6 +132,8 @@ class Codec:
     def _unit(self, unit: str) -> tuple[str, int, bytes]:
         """(ids joined by commas, how many, decoded bytes) of a unit that nothing merges out of."""
         pieces = self.split(unit)
+        if not pieces:
+            return "", 0, b""
         try:
             ids, back = zip(*[self.written[p] for p in pieces])
         except KeyError:  # characters without a piece
@@ -192,22 +196,45 @@ class Codec:
 
     def joined(self, text: str | None) -> tuple[int, str, bytes]:
         """(number of ids, ids joined by commas, the text decoded from them in UTF-8)."""
-        recent, found = self.recent, []
-        for unit in self.units(text or ""):
-            hit = recent.get(unit)
-            if hit is None:
-                hit = self.older.get(unit) or self._unit(unit)
-                if len(unit) < 64:
-                    recent[unit] = hit
-                    if len(recent) >= REMEMBERED // 2:
-                        self.older, self.recent = recent, {}
-                        recent = self.recent
-            found.append(hit)
-        return (sum([x[1] for x in found]), ",".join([x[0] for x in found]), self.bare(b"".join([x[2] for x in found])))
+        text = text or ""
+        if not text or not self.plain or SPACE in text:
+            found = [self._unit(u) for u in self.units(text)]
+            return (sum(n for _, n, _ in found), ",".join([i for i, n, _ in found if n]), self.bare(b"".join([x for _, _, x in found])))
+        # A word stands for itself and the space before it, a line break for itself and the word after it. More spaces
+        # than one stay with the word that they stand before.
+        if "  " in text or text[0] == " ":
+            words = _SPACED.findall(" " + text)
+        else:
+            words = text.replace("\n", " \n").split(" ")
+        found = list(map(self.recent.get, words))
+        if None in found:
+            found = [hit or self._remembered(word) for hit, word in zip(found, words)]
+        ids = ",".join(found)
+        # Each word was decoded when it was met first and gave its own text again.
+        return ids.count(",") + 1, ids, text.encode()
+
+    def _remembered(self, word: str) -> str:
+        hit = self.recent.get(word) or self.older.get(word) or self._word(word)
+        if len(word) < 64:
+            self.recent[word] = hit
+            if len(self.recent) >= REMEMBERED // 2:
+                self.older, self.recent = self.recent, {}
+        return hit
+
+    def _word(self, word: str) -> str:
+        if word[:1] == "\n":
+            units, text = ["\n", word[1:]], word
+        else:
+            text = word if word[:1] == " " else " " + word
+            units = [text.replace(" ", SPACE)]
+        ids, _, back = zip(*map(self._unit, units))
+        if b"".join(back) != text.encode():
+            raise ValueError(f"{text!r} does not come back from its ids")
+        return ",".join(filter(None, ids))
 
     def rest(self) -> None:
         """After a task: the worker stays, and other work needs its memory."""
-        self.older = {}
+        self.recent, self.older = {}, {}
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """(number of ids, SHA-256 of the ids, SHA-256 of the text decoded from them)."""
@@ -215,6 +242,7 @@ class Codec:
         return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()
 
 
+_SPACED = re.compile(r" +[^ \n]*|\n[^ \n]*")
 _BEFORE_SPACE = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
