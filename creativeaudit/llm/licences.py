@@ -223,9 +223,14 @@ def _pairs(text: str) -> frozenset[tuple[str, str]]:
 
 
 def negative_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", most: int = NEGATIVE_DOCS) -> list[str]:
-    """Paragraphs of the ``most`` documents with the smallest hash of their id: a bounded sample, for training only."""
-    chosen = docs.select(F.xxhash64(doc_id, F.lit("licences")).alias("h"), F.col(text).alias("text")).orderBy("h").limit(most)
-    return [p for r in chosen.collect() for p in (r["text"] or "").split("\n")]
+    """Paragraphs of the ``most`` documents with the smallest hashes: a bounded sample, for training only."""
+    rows = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("h"), F.col(text).alias("text"))
+    # The hashes first, then the texts of those that were chosen: tasks send no texts that aren't used.
+    last = rows.select("h").distinct().orderBy("h").limit(most).agg(F.max("h").alias("h")).first()["h"]
+    if last is None:
+        return []
+    chosen = rows.filter(F.col("h") <= last).dropDuplicates(["h"]).orderBy("h").collect()
+    return [p for r in chosen for p in (r["text"] or "").split("\n")]
 
 
 def scan(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
