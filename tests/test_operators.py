@@ -390,6 +390,18 @@ def test_a_key_without_limit_keeps_its_rows(spark):
     assert rows(usage.quota_ledger(charges, lim), "request_id", "limit_known", "remaining") == [(1, True, 1), (2, False, 0)]
 
 
+def test_a_busy_minute_spreads_over_tasks(spark):
+    df = spark.range(6000).select(F.col("id").alias("request_id"), F.lit("k").alias("api_key_id"), F.timestamp_millis(F.col("id") * 10).alias("ts"))
+    lim = spark.createDataFrame([("k", 2)], "api_key_id string, limit bigint")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        per_task = usage.rate_limit_fixed(df, lim).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert sum(r["count"] for r in per_task) == 6000 and max(r["count"] for r in per_task) < 2000
+
+
 def test_mean_latency_rounds_half_away_from_zero(spark):
     df = spark.createDataFrame([("k", 2, False), ("k", 3, True), ("j", None, False)], "api_key_id string, latency_ms int, cached boolean")
     got = usage.analyses_today(df.withColumn("created_at", F.lit("2024-01-02 05:00:00").cast("timestamp")), "2024-01-02 06:00:00")

@@ -82,6 +82,17 @@ def test_admission(spark, split, tmp_path):
     assert rows(spark.read.parquet(f"{tmp_path}/o").select("identity", "id", "admitted")) == rows(want)
 
 
+def test_late_hits_are_answered(spark, tmp_path):
+    hits = spark.createDataFrame([(1, i, 100_000 + i) for i in range(4)], "identity long, id long, s long")
+    late = spark.createDataFrame([(1, 10, 5), (2, 11, 6)], "identity long, id long, s long")
+    for i, part in enumerate((hits, late)):
+        part.select("identity", "id", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/in/part{i}")
+    source = spark.readStream.schema("identity long, id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/part*")
+    run(streams.stream_admission(source, f"{tmp_path}/o", f"{tmp_path}/c", limit=9, span_s=60))
+    got = spark.read.parquet(f"{tmp_path}/o")
+    assert sorted(r["id"] for r in got.collect()) == [0, 1, 2, 3, 10, 11] and got.filter("NOT admitted").isEmpty()
+
+
 def test_cache(spark, split, tmp_path):
     src = intake.normalise_tags(I.requests_from(stream(spark, split, "events"))).drop("cached")
     run(streams.stream_cache(src, f"{tmp_path}/o", f"{tmp_path}/c"))
