@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of the batches that Python gets while a table is made. Whole texts are rows: the usual 10,000 hold too much.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """BATCHES hold within, the session's own settings after."""
+    before = {k: spark.conf.get(k, None) for k in BATCHES}
+    for k, v in BATCHES.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: later steps read it and don't repeat what made it."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -45,6 +64,11 @@ def block_of(doc_id: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(run), F.lit(n)).cast("int")
 
 
+def small(table: DataFrame, rows: int) -> DataFrame:
+    """A stored table, to be broadcast if it has at most ``rows`` rows; else a join with it shuffles."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def blocked(docs: DataFrame, per_block: int, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
     """``docs`` with a column "block" and the number of blocks, each of about ``per_block`` bytes of text.
 
@@ -86,7 +110,7 @@ def unpacked(bodies):
 # ------------------------------------------------------------------ texts in tasks
 
 
-def pieces_of(batches, most: int = 1 << 21):
+def pieces_of(batches, most: int = 1 << 20):
     """Record batches cut so that each holds about ``most`` bytes of its column "text", or one text."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -165,7 +189,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Words:
     """The words of some texts: 64-bit hashes, places in the bytes, and where each text's words start."""
 
-    def __init__(self, column, fold: str = "", most: int = 1 << 21) -> None:
+    def __init__(self, column, fold: str = "", most: int = 1 << 20) -> None:
         self.data, self.offsets = text_bytes(column)
         found, text, n = [], 0, len(self.offsets) - 1
         while text < n:  # a few MB at a time: what is held for each byte is many times the text

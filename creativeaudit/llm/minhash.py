@@ -15,8 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creativeaudit.llm.common import Words, mixed, packed, pieces_of, stored
-from creativeaudit.operators.sizing import fits
+from creativeaudit.llm.common import Words, mixed, packed, pieces_of, small, stored
 
 #: 40 bands of 6 minima: two sets of similarity 0.85 share no band with probability 6e-9, of 0.8 with 6e-6.
 BANDS, ROWS = 40, 6
@@ -163,10 +162,11 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Stored, as are the minima below: the join can then split an id with very many links.
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = stored(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         moved = large.join(least, "u")
         small = moved.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).filter("u <> v")
         edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
@@ -288,10 +288,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, doc_id: str
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents with these ids. The ids travel if they are few enough, else both sides meet in a shuffle."""
     ids = stored(ids.select(F.col("class").alias("doc_id")), "touched")
-    return docs.join(F.broadcast(ids) if fits(ids, IDS) else ids, "doc_id", "left_semi")
+    return docs.join(small(ids, IDS), "doc_id", "left_semi")
 
 
 def without(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The documents whose id isn't in ``ids`` (doc_id); those without an id stay."""
     ids = stored(ids.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(F.broadcast(ids) if fits(ids, IDS) else ids, F.col(doc_id) == F.col("__gone"), "left_anti")
+    return docs.join(small(ids, IDS), F.col(doc_id) == F.col("__gone"), "left_anti")

@@ -7,8 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creativeaudit.llm.common import blocked, loaded, mixed, pack, packed, pieces_of, stored, unpacked
-from creativeaudit.operators.sizing import fits
+from creativeaudit.llm.common import blocked, loaded, mixed, pack, packed, pieces_of, small, stored, unpacked
 
 #: Four UTF-16 units make 64 bits, so a gram is its own key.
 ORDER = 4
@@ -220,10 +219,6 @@ def _bucketed(n: int):
     return run
 
 
-def _small(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if fits(ids, IDS) else ids
-
-
 def classified(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, slack: float = 1.2, doc_id: str = "doc_id",
                text: str = "text", lang: str = "lang") -> DataFrame:
     """Perplexity of each document under a model of trusted text, and whether it stays.
@@ -245,7 +240,8 @@ def classified(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, slac
     rows = _rows_of(docs, doc_id, text, lang)
     known = stored(trusted.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct(), "trusted")
     out_of_model = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(HELD_OUT)) == 0
-    model = Model(gram_counts(rows.join(_small(known.filter(~out_of_model)), "doc_id", "left_semi")))
+    taught = stored(known.filter(~out_of_model), "taught")
+    model = Model(gram_counts(rows.join(small(taught, IDS), "doc_id", "left_semi")))
     scores = stored(bits_of(rows, model).withColumn("rate", F.try_divide("bits", "units"))
                     .withColumn("margin", F.try_divide(F.lit(SPREAD), F.sqrt("units"))), "scores")
     held = scores.filter("units > 0").join(known.filter(out_of_model), "doc_id", "left_semi")
@@ -280,4 +276,4 @@ def keep_good(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, slack
     bad = classified(docs, trusted, quantile, slack, doc_id, text, lang).filter("NOT kept")
     bad = stored(bad.select(F.col("doc_id").alias("bad_id"), F.col("mark").alias("bad_mark")).distinct(), "rejected")
     same = F.col(doc_id).cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64(F.col(lang), F.col(text)) == F.col("bad_mark"))
-    return docs.join(_small(bad), same, "left_anti")
+    return docs.join(small(bad, IDS), same, "left_anti")
