@@ -34,7 +34,6 @@ LOGIN_LIMIT = 5
 # ---- fixed values: scoring a batch ----------------------------------------
 SCORER_RETRIES = 4
 SCORER_BACKOFF_S = 3
-SCORER_PARALLELISM = 2
 
 # ---- fixed values: evaluation media ---------------------------------------
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".webp", ".bmp", ".gif")

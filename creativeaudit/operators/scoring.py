@@ -6,10 +6,12 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creativeaudit import constants as C
+from creativeaudit.session import fresh_path
 
 ANSWER = ("creative_id bigint, frame_index bigint, tag string, present boolean, score double, "
           "top_phrase string, decided_by string, latency_ms bigint, error string")
@@ -24,14 +26,16 @@ Scorer = Callable[[int, list[dict], list[str]], list[dict]]
 
 
 def score_batch(frames: DataFrame, tags: list[str], scorer: Scorer, *,
-                parallelism: int = C.SCORER_PARALLELISM, retries: int = C.SCORER_RETRIES,
+                parallelism: int | None = None, retries: int = C.SCORER_RETRIES,
                 backoff_s: float = C.SCORER_BACKOFF_S) -> DataFrame:
     """one call per creative with all its frames and tags.
 
     ``frames``: creative_id, frame_index and whatever the scorer reads. The
     sampler caps a creative at 6 frames, so one call stays small. A busy
     scorer is asked again; any other failure gives one row with ``error`` and
-    no verdict. ``parallelism`` bounds the calls in flight.
+    no verdict. ``parallelism`` bounds the calls in flight; by default the
+    cluster's cores do. Creatives are dealt out by their id, so that a repeated
+    task asks about the same ones.
     """
     columns = [c for c in frames.columns if c != "creative_id"]
     calls = frames.groupBy("creative_id").agg(
@@ -48,7 +52,7 @@ def score_batch(frames: DataFrame, tags: list[str], scorer: Scorer, *,
                 time.sleep(backoff_s * (attempt + 1))
             except Exception as exc:  # any failure means no verdict for this creative
                 return [{"error": f"{type(exc).__name__}: {exc}"}]
-        return [{"error": f"still busy after {retries} attempts"}]
+        return [{"error": f"scorer had no time in {retries} tries"}]
 
     names = [p.strip().split(" ")[0] for p in ANSWER.split(",")]
 
@@ -67,22 +71,36 @@ def score_batch(frames: DataFrame, tags: list[str], scorer: Scorer, *,
             out["present"] = out["present"].astype("boolean")
             yield out
 
-    return calls.repartition(parallelism).mapInPandas(run, ANSWER)
+    tasks = parallelism or frames.sparkSession.sparkContext.defaultParallelism
+    return calls.repartition(tasks, "creative_id").mapInPandas(run, ANSWER)
+
+
+def _finished(spark: SparkSession, path: str) -> DataFrame | None:
+    """Creatives with verdicts under ``path``; None if nothing was written there. Any other fault of the read is raised."""
+    try:
+        return spark.read.schema(ANSWER).parquet(path).filter("error IS NULL").select("creative_id").distinct()
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def score_resumable(frames: DataFrame, tags: list[str], scorer: Scorer, path: str, *,
                     chunks: int = 16, **options) -> DataFrame:
     """F1 in chunks: each is written before the next starts, finished creatives are not asked again.
 
-    Failed creatives are asked again by the next run.
+    Failed creatives are asked again by the next run. The frames are read once
+    and kept by chunk in the shared folder.
     """
     spark = frames.sparkSession
+    parts = fresh_path(spark, "frames-to-score")
+    chunk_of = F.pmod(F.xxhash64("creative_id"), F.lit(chunks)).cast("int")
+    frames.withColumn("_chunk", chunk_of).write.partitionBy("_chunk").parquet(parts)
+    kept = spark.read.schema(frames.withColumn("_chunk", chunk_of).schema).parquet(parts)
     for chunk in range(chunks):
-        todo = frames.filter(F.pmod(F.xxhash64("creative_id"), F.lit(chunks)) == chunk)
-        try:
-            done = spark.read.schema(ANSWER).parquet(path).filter("error IS NULL").select("creative_id").distinct()
+        todo = kept.filter(F.col("_chunk") == chunk).drop("_chunk")
+        done = _finished(spark, path)
+        if done is not None:
             todo = todo.join(done, "creative_id", "left_anti")
-        except Exception:  # nothing written yet
-            pass
         score_batch(todo, tags, scorer, **options).write.mode("append").parquet(path)
     return spark.read.schema(ANSWER).parquet(path)

@@ -151,7 +151,7 @@ def test_score_batch_retries_and_fails_per_creative(spark):
 
     got = scoring.score_batch(fr, ["a", "b"], scorer, backoff_s=0.0).collect()
     errors = {r["creative_id"]: r["error"] for r in got if r["error"]}
-    assert set(errors) == {1, 2} and "still busy after 4" in errors[1] and "KeyError" in errors[2]
+    assert set(errors) == {1, 2} and "no time in 4 tries" in errors[1] and "KeyError" in errors[2]
     assert sum(1 for r in got if not r["error"]) == 8 and all(r["present"] is None for r in got)
 
 
