@@ -41,17 +41,24 @@ def frame_thin(frames: DataFrame, limit: int = C.MAX_FRAMES) -> DataFrame:
 
 def frame_select(frames: DataFrame, gap_s: float = C.MIN_FRAME_GAP_S,
                  max_mad: float = C.SAME_PICTURE_MAX_MAD, limit: int = C.MAX_FRAMES,
-                 max_rows: int = MAX_ROWS) -> DataFrame:
+                 max_rows: int = MAX_ROWS, creatives: DataFrame | None = None) -> DataFrame:
     """Distinct frames in time order, capped by W4.
 
     ``considered`` counts the distinct frames before the cap, so partial
-    coverage can be told from full coverage.
+    coverage can be told from full coverage. ``creatives`` (creative_id) names
+    what frames were sought in: one without any has a row with reject_code
+    INVALID_VIDEO, which is NULL otherwise.
     """
     marked = mark_frames(frames, gap_s, max_mad, max_rows).filter("kept").drop("kept", "same_as", "mad")
     numbered = running(marked, ["creative_id"], [F.col("timestamp_s"), F.col("frame_id")],
                        _slice("timestamp_s"), name="_nth", total="considered")
     chosen = F.array_contains(spread_positions(F.col("considered"), limit), F.col("_nth") - 1)
-    return numbered.filter(chosen).drop("_nth")
+    out = numbered.filter(chosen).drop("_nth").withColumn("reject_code", F.lit(None).cast("string"))
+    if creatives is None:
+        return out
+    empty = creatives.select("creative_id").distinct().join(frames.select("creative_id").distinct(), "creative_id", "left_anti")
+    empty = empty.select("creative_id", F.lit(0).cast("bigint").alias("considered"), F.lit("INVALID_VIDEO").alias("reject_code"))
+    return out.unionByName(empty, allowMissingColumns=True)
 
 
 def near_duplicate_frames(frames: DataFrame, max_mad: float = C.SAME_PICTURE_MAX_MAD,
@@ -65,13 +72,6 @@ def near_duplicate_frames(frames: DataFrame, max_mad: float = C.SAME_PICTURE_MAX
     return marked.filter(F.col("same_as").isNotNull()).select("creative_id", "same_as", "frame_id", "mad")
 
 
-def same_picture(left: Column, right: Column, max_mad: float = C.SAME_PICTURE_MAX_MAD) -> Column:
-    """Mean absolute difference within the bound; signatures of other lengths never match."""
-    total = F.aggregate(F.zip_with(left, right, lambda a, b: F.abs(a.cast("double") - b.cast("double"))),
-                        F.lit(0.0), lambda acc, d: acc + d)
-    return (F.size(left) == F.size(right)) & (total / F.size(left) <= max_mad)
-
-
 def frame_fallback_merge(keyframes: DataFrame, all_frames: DataFrame,
                          count: int = C.MAX_FRAMES) -> DataFrame:
     """Creatives with fewer than two keyframes get evenly spread frames as well.

@@ -406,10 +406,11 @@ sel AS (
                list_filter(s.held, lambda h: list_sum(list_transform(list_zip(h.sig, f.signature), lambda p: abs(p[1]::DOUBLE - p[2]::DOUBLE))) / len(f.signature) <= 0.13)[1].id AS hit
         FROM sel s JOIN v_frames f ON f.creative_id = s.creative_id AND f.rn = s.rn + 1))"""
 oracle("frame_select", """
-SELECT creative_id, frame_id, considered FROM (
+SELECT creative_id, frame_id, considered, NULL AS reject_code FROM (
   SELECT creative_id, frame_id, row_number() OVER (PARTITION BY creative_id ORDER BY rn) AS i, count(*) OVER (PARTITION BY creative_id) AS considered
   FROM sel WHERE kept)
-WHERE considered <= 6 OR list_contains(list_transform(range(6), lambda j: CAST(round_even(j * ((considered - 1) / 5.0::DOUBLE), 0) AS BIGINT)), i - 1)""",
+WHERE considered <= 6 OR list_contains(list_transform(range(6), lambda j: CAST(round_even(j * ((considered - 1) / 5.0::DOUBLE), 0) AS BIGINT)), i - 1)
+UNION ALL SELECT -vec_id - 1, NULL, 0, 'INVALID_VIDEO' FROM embeddings WHERE vec_id % 90 = 0""",
        _SELECT.replace("{gap}", "0.35"))
 oracle("near_duplicate_frames", """
 SELECT s.creative_id, s.same_as, s.frame_id,

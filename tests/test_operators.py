@@ -345,11 +345,6 @@ def test_a_scene_that_returns_is_kept_once(spark):
     assert rows(frames.near_duplicate_frames(df), "same_as", "frame_id") == [(0, 2), (0, 4), (1, 3)]
 
 
-def test_same_picture(spark):
-    df = spark.createDataFrame([([0, 0], [8, 8]), ([0, 0], [8, 9]), ([0], [0, 0])], "l array<int>, r array<int>")
-    assert [r[0] for r in df.select(frames.same_picture(F.col("l"), F.col("r"))).collect()] == [True, False, False]
-
-
 def test_fallback_merge(spark):
     every = spark.createDataFrame([(c, i, i * 0.5) for c in (1, 2) for i in range(11)], "creative_id int, frame_id int, timestamp_s double")
     keyed = spark.createDataFrame([(1, 0, 0.0), (2, 0, 0.0), (2, 5, 2.5)], every.schema)
