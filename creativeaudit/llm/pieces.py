@@ -25,7 +25,7 @@ from creativeaudit.llm.common import pieces_of
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words that a Python worker remembers with their ids, the latest half of them at least.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 class Codec:
@@ -69,6 +69,7 @@ class Codec:
         self.compatible: dict[tuple[str, str], bool] = {}
         self.recent: dict[str, str] = {}
         self.older: dict[str, str] = {}
+        self.number = {p: str(i) for p, i in self.ids.items()}
         self.written = {p: (str(i), p.replace(SPACE, " ").encode()) for p, i in self.ids.items()}
 
     # ------------------------------------------------------------- encoding
@@ -227,6 +228,13 @@ class Codec:
         else:
             text = word if word[:1] == " " else " " + word
             units = [text.replace(" ", SPACE)]
+            pieces = self.split(units[0])
+            try:  # ids of pieces that together are the word bring it back
+                ids = ",".join([self.number[p] for p in pieces])
+                if "".join(pieces) == units[0]:
+                    return ids
+            except KeyError:  # characters without a piece
+                pass
         ids, _, back = zip(*map(self._unit, units))
         if b"".join(back) != text.encode():
             raise ValueError(f"{text!r} does not come back from its ids")
