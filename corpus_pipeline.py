@@ -45,7 +45,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: the ids of every text."""
-    out = pieces.encode(docs, public_tokenizers.path(MODEL))
+    out = pieces.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path(MODEL), keep_text=False)
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

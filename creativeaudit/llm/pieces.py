@@ -26,6 +26,8 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words that a Python worker remembers with their ids, the latest half of them at least.
 REMEMBERED = 300_000
+#: Fewer where ids are the result: their lists need the memory.
+REMEMBERED_WITH_IDS = 60_000
 
 
 class Codec:
@@ -67,6 +69,7 @@ class Codec:
         self.automaton.make_automaton()
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if n == 1 or p[:n] in self.usable), None) for p in usable}
         self.compatible: dict[tuple[str, str], bool] = {}
+        self.most = REMEMBERED
         self.recent: dict[str, str] = {}
         self.older: dict[str, str] = {}
         self.number = {p: str(i) for p, i in self.ids.items()}
@@ -218,7 +221,7 @@ class Codec:
         hit = self.recent.get(word) or self.older.get(word) or self._word(word)
         if len(word) < 64:
             self.recent[word] = hit
-            if len(self.recent) >= REMEMBERED // 2:
+            if len(self.recent) >= self.most // 2:
                 self.older, self.recent = self.recent, {}
         return hit
 
@@ -281,16 +284,20 @@ def codec(model: str) -> Codec:
     return _CODECS[model]
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", keep_text: bool = True) -> DataFrame:
     """``docs`` with the ids of each whole text in an array column; a null text has none.
 
+    Without ``keep_text`` the text goes to Python once and does not come back.
+
     No begin or end ids, no sampling. A column of that name is replaced.
     ``model`` must be readable by this path on every machine.
     """
-    kept = [c for c in docs.columns if c not in (ids, "__text")]
+    kept = [c for c in docs.columns if c not in (ids, "__text") and (keep_text or c != text)]
 
     def run(batches):
         made = codec(model)
+        made.most = REMEMBERED_WITH_IDS
+        pa.default_memory_pool().release_unused()  # what earlier work of this process left
         for batch in batches:
             row = 0
             for piece in pieces_of([batch.select([batch.num_columns - 1]).rename_columns(["text"])]):
@@ -326,6 +333,7 @@ def encoded_digests(docs: DataFrame, model: str, doc_id: str = "doc_id", text: s
     """
     def run(batches):
         made = codec(model)
+        made.most = REMEMBERED
         for batch in batches:
             found = [made.digests(t.as_py()) for t in batch.column(1)]
             n, ids, back = zip(*found) if found else ((), (), ())
