@@ -192,15 +192,15 @@ def _chunks(strangers: DataFrame, members: DataFrame, percent: int) -> DataFrame
         if left.num_rows and right.num_rows:
             x, y = ({c: np.asarray(t.column(c)) for c in ("band", "class", "component", "main", "n")} for t in (left, right))
             s, t = (np.frombuffer(b"".join(z.column("sign").to_pylist()), np.uint8).reshape(z.num_rows, -1) for z in (left, right))
+            k, m = (np.asarray(pa.compute.list_flatten(z.column("keys"))).reshape(z.num_rows, BANDS) for z in (left, right))
             for i in range(len(s)):
                 other = np.flatnonzero((y["component"] != x["component"][i])
                                        & (100 * np.minimum(y["n"], x["n"][i]) >= percent * np.maximum(y["n"], x["n"][i])))
                 # Two strangers meet twice, and most pairs in several bands: each pair counts in its first one, once.
                 other = other[(y["component"][other] == y["main"][other]) | (y["class"][other] > x["class"][i])]
-                same = t[other] == s[i]
-                first = np.argmax(same.reshape(len(other), BANDS, ROWS).all(axis=2), axis=1)
-                good = ((same.mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= _least_agreement(percent)) & (first == x["band"][i])
-                other = other[good]
+                other = other[_agree(t[other], s[i]) >= _least_agreement(percent)]
+                # Keys make the buckets, so they name the band: bytes of minima may agree where the minima don't.
+                other = other[np.argmax(m[other] == k[i], axis=1) == x["band"][i]]
                 out_a += [np.full(len(other), x["class"][i])]
                 out_b += [y["class"][other]]
         a, b = (np.concatenate(z).astype(np.int64) if z else np.zeros(0, np.int64) for z in (out_a, out_b))
@@ -238,7 +238,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, doc_id: str
     met = reps.select("class", F.posexplode("keys").alias("band", "key"))
     often = met.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     buckets = stored(met.join(often, "key"), "buckets")
-    meta = reps.select("class", "n", "sign")
+    meta = reps.select("class", "n", "sign", "keys")
 
     # The member that meets most others is in the middle of its bucket.
     score = buckets.groupBy("class").agg(F.sum("size").alias("score"))
@@ -270,7 +270,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, doc_id: str
     part = lambda n: F.pmod(F.xxhash64("class", F.lit(3)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     cols = F.ceil(F.col("size") / CHUNK).cast("int")
-    columns = ("key", "i", "j", "band", "class", "component", "main", "n", "sign")
+    columns = ("key", "i", "j", "band", "class", "component", "main", "n", "sign", "keys")
     strangers = alien.join(n_of, "key").withColumn("cols", cols).select("*", part("rows").alias("i"), every("cols").alias("j")).select(*columns).toDF(*columns)
     members = open_.join(n_of, "key").withColumn("cols", cols).select("*", part("cols").alias("j"), every("rows").alias("i")).select(*columns).toDF(*columns)
     rest = stored(_chunks(strangers, members, percent).join(pairs, ["a", "b"], "left_anti"), "rest")

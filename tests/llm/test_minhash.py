@@ -41,6 +41,19 @@ def test_components(spark, percent):
     assert Counter(map(tuple, got.select("doc_id", "n_shingles", "component_id", "kept").collect())) == model(rows, percent)
 
 
+def test_a_pair_counts_in_the_first_band_whose_keys_agree(spark):
+    """Band 0 agrees in the last bytes of its minima but not in the minima: its bucket holds one of the two only."""
+    shared = 3
+    keys = [[100 * i + b for b in range(minhash.BANDS)] for i in (1, 2)]
+    keys[1][shared] = keys[0][shared]
+    sign = bytearray(range(minhash.BANDS * minhash.ROWS))
+    rows = [(keys[0][shared], 0, 0, shared, i, i, 1, 50, sign, keys[i - 1]) for i in (1, 2)]
+    both = spark.createDataFrame(rows, "key long, i int, j int, band int, class long, component long, main long, n long, sign binary, keys array<long>")
+    assert list(map(tuple, minhash._chunks(both.filter("class = 2"), both, 85).collect())) == [(1, 2)]
+    early = both.withColumn("band", both["band"] + 1)
+    assert minhash._chunks(early.filter("class = 2"), early, 85).collect() == []
+
+
 def test_long_paths_end_at_the_smallest_id(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(200, 100), (150, 200), (7, 7)], "a long, b long")
     got = dict(map(tuple, minhash.connected_components(links).collect()))
