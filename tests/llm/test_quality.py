@@ -103,3 +103,28 @@ def test_quantile_from_steps(spark, q):
     values = [random.Random(i).randint(0, 40) for i in range(500)]
     df = spark.createDataFrame([(v, 1) for v in values], "step int, n int").groupBy("step").agg(F.sum("n").alias("n"))
     assert quality._quantile(df, [], q).first()["step"] == np.sort(values)[math.ceil(q * len(values)) - 1]
+
+
+def test_threshold_is_the_quantile_and_a_share_of_the_spread(spark):
+    """Many rates: next to the quantile, however high it is. Few: further up, by their spread."""
+    def limit(values):
+        df = spark.createDataFrame(list(Counter(values).items()), "step int, n int")
+        return quality._quantile(df, [], 0.99).first()
+
+    rng = random.Random(2)
+    many, few = [round(rng.gauss(3000, 100)) for _ in range(20000)], [round(rng.gauss(3000, 100)) for _ in range(15)]
+    assert 0 <= limit(many)["limit"] - limit(many)["step"] < 0.05 * 100
+    assert 0.5 < (limit(few)["limit"] - limit(few)["step"]) / np.std(few) < 3
+    assert limit([3000] * 5)["limit"] == 3000 and limit([3000, 3001])["limit"] is None
+
+
+def test_text_well_above_the_quantile_goes(spark):
+    """Words with one letter in ten replaced: a fifth more bits than clean text or less, but above all held-out rates."""
+    rng = random.Random(8)
+    words = "the cat and dog walk over green hills while rain falls on old roofs".split()
+    clean = lambda: " ".join(rng.choice(words) for _ in range(400))
+    spoilt = lambda: "".join(rng.choice("abcdefghij") if rng.random() < 0.02 else c for c in clean())
+    rows = [(i, clean() if i < 300 else spoilt(), "en", "s", 1) for i in range(320)]
+    trusted = spark.createDataFrame([(i,) for i in range(250)], "doc_id long")
+    out = quality.classified(messy.frame(spark, rows), trusted).collect()
+    assert {r["doc_id"] for r in out if not r["kept"]} == set(range(300, 320))
