@@ -73,6 +73,13 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return mixed(total + np.arange(BANDS, dtype=np.uint64)).astype(np.int64)
 
 
+def _digests(sets: list[np.ndarray]) -> list[bytes]:
+    """128 bits of each set."""
+    one = [int(np.bitwise_xor.reduce(mixed(s * np.uint64(0xA24BAED4963EE407) + np.uint64(5)), initial=0)) for s in sets]
+    two = [int(np.add.reduce(mixed(s + np.uint64(0x9FB21C651E98DF25)), initial=np.uint64(0))) for s in sets]
+    return [x.to_bytes(8, "big") + y.to_bytes(8, "big") for x, y in zip(one, two)]
+
+
 def _profiles(docs: DataFrame, k: int) -> DataFrame:
     """Size and 128-bit digest of each document's set, its minima, and a byte of each of them."""
     def run(batches):
@@ -84,11 +91,9 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
                 at, h = shingles(Words(piece.column(1), "lower"), k)
                 sets = [h[a:b] for a, b in zip(at[:-1], at[1:])]
                 signs = [minima(s) if len(s) else None for s in sets]
-                digest = [int(np.bitwise_xor.reduce(mixed(s * np.uint64(0xA24BAED4963EE407) + np.uint64(5)), initial=0)) for s in sets]
-                other = [int(np.add.reduce(mixed(s + np.uint64(0x9FB21C651E98DF25)), initial=np.uint64(0))) for s in sets]
                 yield pa.RecordBatch.from_arrays([
                     ids, pa.array(np.diff(at), pa.int64()),
-                    pa.array([x.to_bytes(8, "big") + y.to_bytes(8, "big") for x, y in zip(digest, other)], pa.binary()),
+                    pa.array(_digests(sets), pa.binary()),
                     pa.array([None if s is None else packed((s & np.uint32(255)).astype(np.uint8)) for s in signs], pa.binary()),
                     pa.array([None if s is None else band_keys(s).tolist() for s in signs], pa.list_(pa.int64()))],
                     names=["doc_id", "n", "digest", "sign", "keys"])
@@ -105,10 +110,11 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 ids = batch.column(0).slice(row, piece.num_rows)
                 row += piece.num_rows
                 at, h = shingles(Words(piece.column(1), "lower"), k)
-                yield pa.RecordBatch.from_arrays([ids, pa.array([packed(h[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary())],
-                                                 names=["id", "members"])
+                sets = [h[a:b] for a, b in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(_digests(sets), pa.binary()), pa.array([packed(s) for s in sets], pa.binary())],
+                                                 names=["id", "digest", "members"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, members binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "id long, digest binary, members binary")
 
 
 def _least_agreement(percent: int) -> float:
@@ -231,10 +237,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, doc_id: str
     named = full.select("doc_id", "digest").join(least, "digest", "left").select(
         "doc_id", F.coalesce("class", "doc_id").alias("class"), "digest")
     named = stored(named, "classes")
-    first = named.filter("doc_id = class").select("class", "digest").distinct()
-    reps = full.join(first, (F.col("doc_id") == F.col("class")) & (full["digest"] == first["digest"])).select(
-        "class", "n", "sign", "keys").dropDuplicates(["class"])
-    reps = stored(reps, "representatives")
+    first = named.filter("doc_id = class").select(F.col("class").alias("id"), "digest").distinct()
+    # An id that stands for several sets lends its name to one of them; the others are known by a hash until the end.
+    several = first.groupBy("id").agg(F.min("digest").alias("lead"), F.count(F.lit(1)).alias("sets")).filter("sets > 1")
+    others = stored(first.join(several, "id").filter("digest <> lead").select("id", "digest", F.xxhash64("id", "digest").alias("class")), "others")
+    reps = full.withColumnRenamed("doc_id", "id").join(first, ["id", "digest"]).select("id", "digest", "n", "sign", "keys").dropDuplicates(["id", "digest"])
+    reps = stored(reps.join(small(others, IDS), ["id", "digest"], "left").withColumn("class", F.coalesce("class", "id")), "representatives")
     met = reps.select("class", F.posexplode("keys").alias("band", "key"))
     often = met.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     buckets = stored(met.join(often, "key"), "buckets")
@@ -246,8 +254,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, doc_id: str
         F.max(F.struct("score", F.bitwise_not("class").alias("back"))).alias("best")).select("key", F.bitwise_not("best.back").alias("pivot"))
     pairs = buckets.join(pivots, "key").filter("class <> pivot").select(
         F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
-    touched = buckets.select("class").distinct()
-    sets = stored(_sets(_only(base, touched), k).dropDuplicates(["id"]), "sets")
+    touched = stored(reps.join(buckets.select("class").distinct(), "class", "left_semi").select("id", "digest", "class"), "touched")
+    sets = _sets(_only(base, touched.select("id").distinct()), k).dropDuplicates(["id", "digest"])
+    sets = stored(sets.join(touched, ["id", "digest"]).select(F.col("class").alias("id"), "members"), "sets")
 
     def checked(candidates: DataFrame, name: str) -> DataFrame:
         one, two = (meta.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("sign").alias(f"s_{x}")) for x in "ab")
@@ -278,16 +287,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, doc_id: str
 
     # Rows of one id may hold different sets: the id links their classes.
     own = named.filter("doc_id <> class").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
-    everything = links.unionByName(more).unionByName(own)
+    everything = _by_id(links.unionByName(more), others).unionByName(own)
     final = connected_components(everything).select(F.col("id").alias("doc_id"), "component")
     out = profiles.select("doc_id", F.col("n").alias("n_shingles")).join(final, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+def _by_id(links: DataFrame, others: DataFrame) -> DataFrame:
+    """Links between classes as links between the ids that stand for them."""
+    for end in "ab":
+        known = small(others.select(F.col("class").alias(end), "id"), IDS)
+        links = links.join(known, end, "left").withColumn(end, F.coalesce("id", end)).drop("id")
+    return links.select("a", "b")
+
+
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents with these ids. The ids travel if they are few enough, else both sides meet in a shuffle."""
-    ids = stored(ids.select(F.col("class").alias("doc_id")), "touched")
+    ids = stored(ids.select(F.col("id").alias("doc_id")), "touched-ids")
     return docs.join(small(ids, IDS), "doc_id", "left_semi")
 
 

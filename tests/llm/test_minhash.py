@@ -54,6 +54,18 @@ def test_a_pair_counts_in_the_first_band_whose_keys_agree(spark):
     assert minhash._chunks(early.filter("class = 2"), early, 85).collect() == []
 
 
+def test_each_text_of_an_id_has_its_links(spark):
+    """Two texts of one id that nobody else holds; one that somebody with a smaller id holds too."""
+    def text(name, end="."):
+        return " ".join([f"{name}{i}" for i in range(100)] + [end])
+
+    rows = [(20, text("a"), "en", "s", 1), (20, text("b"), "en", "s", 1), (20, text("c"), "en", "s", 1), (31, text("a", "x"), "en", "s", 1), (11, text("b", "x"), "en", "s", 1),
+            (12, text("c"), "en", "s", 1), (40, text("d"), "en", "s", 1), (40, text("e"), "en", "s", 1), (41, text("d"), "en", "s", 1),
+            (41, text("e"), "en", "s", 1), (35, text("d", "x"), "en", "s", 1), (36, text("e", "x"), "en", "s", 1)]
+    got = minhash.near_duplicates(messy.frame(spark, rows))
+    assert Counter(map(tuple, got.select("doc_id", "n_shingles", "component_id", "kept").collect())) == model(rows, 85)
+
+
 def test_long_paths_end_at_the_smallest_id(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(200, 100), (150, 200), (7, 7)], "a long, b long")
     got = dict(map(tuple, minhash.connected_components(links).collect()))
