@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creativeaudit.llm.common import Words, pieces_of
+from creativeaudit.llm.common import _IS_SPACE, Words, pieces_of
 
 # Short notices of licences as their stewards or users word them.
 TEMPLATES = {
@@ -49,15 +49,34 @@ CONFIRMED, LICENCE_LIKE = 0.75, 0.4
 CALIBRATION = 0.95
 
 
-def windows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word, end) of the windows that cover each text."""
-    n = words.counts()
+def windows(words: Words, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, end) of the windows that cover each text, or each part if ``first`` says where parts begin and the last ends."""
+    first = words.first if first is None else first
+    n = np.diff(first)
     k = np.maximum(1, -(-(n - WINDOW) // STEP) + 1)
     k[n == 0] = 0
     text = np.repeat(np.arange(len(n)), k)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(k) - k, k)
-    start = words.first[:-1][text] + nth * STEP
-    return text, start, np.minimum(start + WINDOW, words.first[1:][text])
+    start = first[:-1][text] + nth * STEP
+    return text, start, np.minimum(start + WINDOW, first[1:][text])
+
+
+def layout(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line of each word in its text, where lines with words begin and the last ends, the same of paragraphs).
+
+    Paragraphs end at blank lines and with the text.
+    """
+    breaks = np.flatnonzero(words.data == 10)
+    upto = np.concatenate(([0], np.cumsum(~_IS_SPACE[words.data])))
+    blank = np.concatenate(([0, 0], np.cumsum(upto[breaks[1:]] == upto[breaks[:-1]])))[:len(breaks) + 1]
+    line, owner = np.searchsorted(breaks, words.start), words.owner()
+    new_text = owner[1:] != owner[:-1]
+    new_line = new_text | (line[1:] != line[:-1])
+    # Lines i + 1 to j - 1 lie between words of lines i and j.
+    between = blank[line[1:]] - blank[np.minimum(line[:-1] + 1, line[1:])]
+    new_paragraph = new_text | (between > 0)
+    ends = lambda x: np.concatenate(([0], np.flatnonzero(x) + 1, [len(words)]))
+    return line - np.searchsorted(breaks, words.offsets[:-1])[owner], ends(new_line), ends(new_paragraph)
 
 
 def features(words: Words) -> np.ndarray:
@@ -211,17 +230,44 @@ class Templates:
         own = _pairs(text)
         return max(len(p & own) / len(p) for p in [*self.general, *(p for _, p in self.pairs)])
 
+    def matches(self, words: list[str]) -> list[tuple[float, str, frozenset[int]]]:
+        """(share, family, places of its word pairs) of every notice whose pairs the words have by CONFIRMED."""
+        folded = [(w, i) for i, word in enumerate(words) for w in _folded(word)]
+        at: dict[tuple[str, str], list[int]] = {}
+        for j, ((a, _), (b, _)) in enumerate(zip(folded, folded[1:])):
+            at.setdefault((a, b), []).append(j)
+        out = []
+        for family, pairs in self.pairs:
+            found = pairs & at.keys()
+            if len(found) / len(pairs) >= CONFIRMED:
+                # The shortest stretch that has all of them: a pair may come again in another notice.
+                hits = sorted((j, x) for x in found for j in at[x])
+                held, low, best = dict.fromkeys(found, 0), 0, None
+                for high, (j, x) in enumerate(hits):
+                    held[x] += 1
+                    while held[hits[low][1]] > 1:
+                        held[hits[low][1]] -= 1
+                        low += 1
+                    if all(held.values()) and (best is None or j - hits[low][0] < best[1] - best[0]):
+                        best = (hits[low][0], j)
+                out.append((len(found) / len(pairs), family, frozenset(folded[j][1] for j, _ in hits if best[0] <= j <= best[1])))
+        return out
+
     def best(self, text: str, family: str | None = None) -> tuple[str, float]:
         own = _pairs(text)
         return max(((f, len(p & own) / len(p)) for f, p in self.pairs if family in (None, f)), key=lambda x: x[1])
 
 
 def _pairs(text: str) -> frozenset[tuple[str, str]]:
-    bare = "".join(c if c.isalnum() or ord(c) > 127 else " " for c in text).lower().split()
-    words = ["0" if w.isdigit() else w for w in bare]
+    words = _folded(text)
     return frozenset(zip(words, words[1:]))
 
 
+def _folded(text: str) -> list[str]:
+    bare = "".join(c if c.isalnum() or ord(c) > 127 else " " for c in text).lower().split()
+    return ["0" if w.isdigit() else w for w in bare]
+
+
 def negative_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", most: int = NEGATIVE_DOCS) -> list[str]:
     """Paragraphs of the ``most`` documents with the smallest hashes: a bounded sample, for training only."""
     rows = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("h"), F.col(text).alias("text"))
@@ -236,16 +282,17 @@ def negative_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_
 def scan(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every paragraph that holds a licence: its family, or unknown.
 
-    Paragraphs are lines. Each is covered by overlapping windows of 32 words,
-    and all of them are classified. A family is named when its probability
-    reaches the calibrated threshold and a template of it agrees with the
-    window; what is rather a licence than none, and words it like one, but no
-    family is sure of is unknown. Of the windows of a paragraph that name one family, the best
+    Paragraphs end at blank lines. They, and their lines, are covered by
+    overlapping windows of 32 words, and all of them are classified. In a
+    window that is likely a licence every family with a template that agrees is
+    named, unless most of the agreeing words belong to a better match; what is
+    worded like a licence, but not close to a known one in its paragraph, is
+    unknown. Of the matches of a family that begin in one line, the best
     counts. Nothing is shuffled.
 
     Null and empty texts have none. Repeated rows and ids each have their own
     findings. No rows give no rows; further columns are ignored. Columns:
-    doc_id, paragraph (from 0), family, probability, similarity, confirmed.
+    doc_id, paragraph (the line, from 0, in which the notice begins), family, probability, similarity, confirmed.
     """
     weights, bias, temperature, least = model.weights, model.bias, model.temperature, model.least
     kept = np.flatnonzero(weights.any(axis=1))
@@ -260,39 +307,52 @@ def scan(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", text: str =
             for piece in pieces_of([batch], 1 << 20):
                 ids = batch.column(0).slice(row, piece.num_rows)
                 row += piece.num_rows
-                lines = pa.compute.split_pattern(pa.compute.fill_null(piece.column(1), ""), "\n")
-                owner = np.repeat(np.arange(piece.num_rows), np.asarray(pa.compute.list_value_length(lines)))
-                nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
-                words = Words(lines.flatten(), "bare")
-                line, start, end = windows(words)
-                if not len(line):
+                words = Words(piece.column(1), "bare")
+                if not len(words):
                     continue
+                owner, (nth, lines, paragraphs) = words.owner(), layout(words)
+                # Windows of lines as well as of paragraphs: a short line has one of its own, whatever stands around it.
+                spans = np.unique(np.concatenate([np.stack(windows(words, x)[1:], axis=1) for x in (lines, paragraphs)]), axis=0)
+                start, end = spans[:, 0], spans[:, 1]
+                paragraph = np.searchsorted(paragraphs, np.arange(len(words)), "right")
                 p = own.probabilities(own.logits(words, start, end))
-                out: dict[tuple[int, str], tuple] = {}
-                for i in np.flatnonzero(p[:, 0] < 0.5):
-                    part = words.data[words.start[start[i]]:words.end[end[i] - 1]].tobytes().decode()
-                    best = 2 + int(np.argmax(p[i, 2:]))
-                    family, alike = CLASSES[best], 0.0
-                    if p[i, best] >= own.least:
-                        alike = compare.best(part, family)[1]
-                    if alike < CONFIRMED:  # the template of another family may still fit
-                        other, alike_other = compare.best(part)
-                        family, alike = (other, alike_other) if alike_other >= CONFIRMED and p[i, CLASSES.index(other)] >= 0.05 else (UNKNOWN, alike_other)
-                    sure = family != UNKNOWN
-                    if not sure and (alike := compare.like_a_licence(part)) < LICENCE_LIKE:
+                likely = np.flatnonzero(p[:, 0] < 0.5)
+                said = lambda a, b: [words.data[x:y].tobytes().decode() for x, y in zip(words.start[a:b], words.end[a:b])]
+                seen = []
+                for i in likely:
+                    for alike, family, at in compare.matches(said(start[i], end[i])):
+                        at = frozenset(int(start[i]) + x for x in at)
+                        seen.append((alike, family, at, i))
+                if seen:
+                    a, b = (np.array([f(x[2]) for x in seen]) for f in (min, max))
+                    near = own.probabilities(own.logits(words, a, b + 2))
+                # A family that the classifier is sure of comes first, then the closer and longer match.
+                order = [(near[n, CLASSES.index(f)] >= own.least, alike, len(at), -n) for n, (alike, f, at, _) in enumerate(seen)]
+                taken: dict[int, str] = {}
+                out: dict[tuple[int, int, str], tuple] = {}
+                for n in sorted(range(len(seen)), key=order.__getitem__, reverse=True):
+                    alike, family, at, i = seen[n]
+                    if 2 * sum(x in taken for x in at) > len(at):
+                        continue  # the same words already name a family
+                    value, first = float(max(near[n, CLASSES.index(family)], p[i, CLASSES.index(family)])), min(at)
+                    rival = CLASSES[2 + int(np.argmax(near[n, 2:]))]
+                    if value < 0.05 and not any(f == rival and at & z for _, f, z, _ in seen):
                         continue
-                    value = float(p[i, CLASSES.index(family)] if sure else 1 - p[i, 0])
-                    key = (int(line[i]), family)
-                    if key not in out or (alike, value) > out[key][:2]:
-                        out[key] = (alike, value)
-                # A paragraph with a known family isn't unknown as well, for a window that cuts its notice off.
-                named = {k for k, f in out if f != UNKNOWN}
-                found = [(k, f, *v) for (k, f), v in sorted(out.items()) if f != UNKNOWN or k not in named]
+                    taken |= dict.fromkeys(at, family)
+                    key = (int(owner[first]), int(nth[first]), family)
+                    out[key] = max(out.get(key, (0.0, 0.0)), (alike, value))
+                named = np.unique(paragraph[list(taken)]) if taken else []
+                for i in likely:
+                    # A paragraph with a known family isn't unknown as well, for a window that cuts its notice off.
+                    close = paragraph[start[i]] in named and any(x in taken for x in range(start[i] - WINDOW, end[i] + WINDOW))
+                    if not close and (alike := compare.like_a_licence(" ".join(said(start[i], end[i])))) >= LICENCE_LIKE:
+                        key = (int(owner[start[i]]), int(nth[start[i]]), UNKNOWN)
+                        out[key] = max(out.get(key, (0.0, 0.0)), (alike, 1 - float(p[i, 0])))
+                found = [(k, line, f, *v) for (k, line, f), v in sorted(out.items())]
                 if found:
-                    k, family, alike, value = zip(*found)
-                    at = owner[list(k)]
+                    k, line, family, alike, value = zip(*found)
                     yield pa.RecordBatch.from_arrays([
-                        ids.take(pa.array(at)), pa.array(nth[list(k)], pa.int64()), pa.array(family, pa.string()),
+                        ids.take(pa.array(k)), pa.array(line, pa.int64()), pa.array(family, pa.string()),
                         pa.array(value, pa.float64()), pa.array(alike, pa.float64()), pa.array([f != UNKNOWN for f in family], pa.bool_())],
                         names=["doc_id", "paragraph", "family", "probability", "similarity", "confirmed"])
 

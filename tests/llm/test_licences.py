@@ -47,6 +47,23 @@ def test_every_notice_is_found(spark, model):
     assert all(r["confirmed"] == (r["family"] != "unknown") for r in got)
 
 
+def found(spark, model, texts):
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    return {(r["doc_id"], r["paragraph"], r["family"]) for r in licences.scan(messy.frame(spark, rows), model).collect()}
+
+
+def test_wrapped_notices(spark, model):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software)"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    assert found(spark, model, ["head\n\n" + mit, gpl, bsd + "\n \nend"]) == {(0, 2, "MIT"), (1, 0, "GPL"), (2, 0, "BSD")}
+
+
+def test_two_notices_in_one_window(spark, model):
+    both = "Licensed under the MIT License. Licensed under the Apache License, Version 2.0."
+    assert found(spark, model, [both, "Licensed under CC BY-SA 4.0."]) == {(0, 0, "MIT"), (0, 0, "Apache"), (1, 0, "CC-BY-SA")}
+
+
 def test_nothing_in_nothing_out(spark, model):
     assert licences.scan(messy.frame(spark, []), model).collect() == []
     assert licences.scan_licences(messy.frame(spark, [])).collect() == []
