@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creativeaudit.llm import exact, licences, lines, minhash, mixing, passages, pieces, quality, topk, warc
+from creativeaudit.llm import exact, licences, lines, minhash, mixing, negatives, passages, pieces, quality, topk, warc
 from creativeaudit.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,8 +66,14 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_quality, op2_sentencepiece, op3_mix_sources, op4_line_dedup, op5_exact_dedup, op6_substring_dedup, op7_top_k, op8_warc, op9_licence_scan, op10_near_duplicates)}
+    op1_quality, op2_sentencepiece, op3_mix_sources, op4_line_dedup, op5_exact_dedup, op6_substring_dedup, op7_top_k, op8_warc, op9_licence_scan, op10_near_duplicates,
+    op12_hard_negatives)}
 
 #: Hashes, running sums and one boundary row per source; what the histograms find without sorting.
 MIX_SQL = r"""
@@ -150,4 +156,24 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM w
 """
 
-ORACLE: dict[str, str] = {"op7_top_k": TOP_K_SQL, "op8_warc": WARC_SQL, "op3_mix_sources": MIX_SQL, "op4_line_dedup": LINES_SQL, "op5_exact_dedup": EXACT_SQL}
+NEGATIVES_SQL = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.e, c.e)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id AND len(a.e) = len(c.e)),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score,
+         row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS nth
+  FROM s WHERE same QUALIFY nth <= 5)
+SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score,
+       row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND s.score * 100 BETWEEN 80 * p.positive_score AND 100 * p.positive_score
+QUALIFY rank <= 5
+"""
+
+ORACLE: dict[str, str] = {"op7_top_k": TOP_K_SQL, "op8_warc": WARC_SQL, "op3_mix_sources": MIX_SQL, "op4_line_dedup": LINES_SQL, "op5_exact_dedup": EXACT_SQL,
+                          "op12_hard_negatives": NEGATIVES_SQL}
