@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creativeaudit.llm import exact, licences, lines, minhash, mixing, negatives, passages, pieces, quality, topk, warc
+from creativeaudit.llm import exact, licences, lines, minhash, mixing, negatives, passages, pieces, quality, spelling, topk, warc
 from creativeaudit.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved)
@@ -73,7 +77,7 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_quality, op2_sentencepiece, op3_mix_sources, op4_line_dedup, op5_exact_dedup, op6_substring_dedup, op7_top_k, op8_warc, op9_licence_scan, op10_near_duplicates,
-    op12_hard_negatives)}
+    op11_spelling_variants, op12_hard_negatives)}
 
 #: Hashes, running sums and one boundary row per source; what the histograms find without sorting.
 MIX_SQL = r"""
@@ -156,6 +160,38 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM w
 """
 
+#: crc32 from its table of 256 remainders, byte by byte; words one edit apart share what one deletion leaves of them.
+SPELLING_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+           lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS rest),
+r AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY 1, 2),
+x AS (SELECT run, k, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS hexed FROM r),
+h AS (
+  SELECT run, k, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(length(hexed) // 2), lambda i: ('0x' || substr(hexed, 2 * i + 1, 2))::BIGINT)),
+           lambda c, b: xor(c >> 8, rest[(xor(c, b) & 255) + 1]))) AS h
+  FROM x, t),
+w AS (
+  SELECT word, sum(k)::BIGINT AS n FROM (
+    SELECT k, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+d AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS less FROM (SELECT *, unnest(range(length(word))) AS i FROM w)),
+p AS (
+  SELECT DISTINCT a.word, b.word AS near, b.n FROM d a JOIN d b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION SELECT DISTINCT d.word, w.word, w.n FROM d JOIN w ON d.less = w.word
+  UNION SELECT DISTINCT w.word, d.word, d.n FROM d JOIN w ON d.less = w.word),
+b AS (SELECT word, count(*) AS n_near, max(n) AS best_n, arg_min(near, (-n, encode(near))) AS best FROM p GROUP BY word),
+f AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN b.best_n >= 2 * w.n THEN b.best END AS form,
+         CASE WHEN b.best_n >= 2 * w.n THEN b.best_n END AS form_n
+  FROM w LEFT JOIN b USING (word)),
+c AS (SELECT word, form, word AS root FROM f UNION ALL SELECT c.word, f.form, f.word FROM c JOIN f ON c.form = f.word)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM f JOIN c ON f.word = c.word AND c.form IS NULL
+"""
+
 NEGATIVES_SQL = r"""
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -176,4 +212,4 @@ QUALIFY rank <= 5
 """
 
 ORACLE: dict[str, str] = {"op7_top_k": TOP_K_SQL, "op8_warc": WARC_SQL, "op3_mix_sources": MIX_SQL, "op4_line_dedup": LINES_SQL, "op5_exact_dedup": EXACT_SQL,
-                          "op12_hard_negatives": NEGATIVES_SQL}
+                          "op11_spelling_variants": SPELLING_SQL, "op12_hard_negatives": NEGATIVES_SQL}
