@@ -27,11 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
+#: Files of shuffles go as soon as the table that they led to is written.
+TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 @contextmanager
-def small_batches(spark: SparkSession):
-    """BATCHES hold within, the session's own settings after."""
-    before = {k: spark.conf.get(k, None) for k in BATCHES}
-    for k, v in BATCHES.items():
+def small_batches(spark: SparkSession, **more: str):
+    """BATCHES and ``more`` hold within, the session's own settings after."""
+    held = BATCHES | more
+    before = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
         spark.conf.set(k, v)
     try:
         yield
@@ -40,10 +45,10 @@ def small_batches(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
     """``df`` as a table in the shared folder: later steps read it and don't repeat what made it."""
     path = fresh_path(df.sparkSession, name)
-    with small_batches(df.sparkSession):
+    with small_batches(df.sparkSession, **TIDY if tidy else {}):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creativeaudit.llm import exact, licences, lines, minhash, mixing, negatives, passages, pieces, quality, spelling, topk, warc
+from creativeaudit.llm import exact, katz, licences, lines, minhash, mixing, negatives, passages, pieces, quality, spelling, topk, warc
 from creativeaudit.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,9 +75,14 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved)
 
 
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
+    return katz.scores(table(spark, sf_dir, "documents"), held_out)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_quality, op2_sentencepiece, op3_mix_sources, op4_line_dedup, op5_exact_dedup, op6_substring_dedup, op7_top_k, op8_warc, op9_licence_scan, op10_near_duplicates,
-    op11_spelling_variants, op12_hard_negatives)}
+    op11_spelling_variants, op12_hard_negatives, op13_language_model)}
 
 #: Hashes, running sums and one boundary row per source; what the histograms find without sorting.
 MIX_SQL = r"""
