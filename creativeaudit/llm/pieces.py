@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from creativeaudit.llm.common import pieces_of
 
@@ -58,7 +58,7 @@ class Codec:
         # Where no piece holds two characters side by side, a text can be cut: nothing merges across.
         self.cut_before_space = not any(b == SPACE != a for p in self.ids for a, b in zip(p, p[1:]))
         self.lines_alone = not any("\n" in p and len(p) > 1 for p in self.ids)
-        # All text but escaped spaces comes back from its ids, so that words can be remembered by their ids alone.
+        # Words can be encoded and decoded one by one.
         self.plain = self.fallback and self.prefix and self.cut_before_space and self.lines_alone
         # A piece that merging its own text does not give back never occurs.
         usable = [p for p in self.ids if len(p) == 1 or self.merged(p) == [p]]
@@ -70,10 +70,11 @@ class Codec:
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if n == 1 or p[:n] in self.usable), None) for p in usable}
         self.compatible: dict[tuple[str, str], bool] = {}
         self.most = REMEMBERED
-        self.recent: dict[str, str] = {}
-        self.older: dict[str, str] = {}
-        self.number = {p: str(i) for p, i in self.ids.items()}
-        self.written = {p: (str(i), p.replace(SPACE, " ").encode()) for p, i in self.ids.items()}
+        self.recent: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
+        self.number = {p: (str(i), i) for p, i in self.ids.items()}
+        #: What each id of a usual piece stands for.
+        self.surface = {i: p.replace(SPACE, " ").encode() for p, i in self.ids.items()}
 
     # ------------------------------------------------------------- encoding
 
@@ -133,17 +134,14 @@ class Codec:
                 at -= len(last)
                 piece = self.shorter.get(last)
 
-    def _unit(self, unit: str) -> tuple[str, int, bytes]:
-        """(ids joined by commas, how many, decoded bytes) of a unit that nothing merges out of."""
-        pieces = self.split(unit)
-        if not pieces:
-            return "", 0, b""
+    def _unit(self, unit: str) -> tuple[str, bytes]:
+        """(ids joined by commas, the bytes decoded from them) of a unit that nothing merges out of."""
         try:
-            ids, back = zip(*[self.written[p] for p in pieces])
+            found = [self.number[p] for p in self.split(unit)]
         except KeyError:  # characters without a piece
             ids = self.ids_of(unit)
-            return ",".join(map(str, ids)), len(ids), self.decoded(ids)
-        return ",".join(ids), len(ids), b"".join(back)
+            return ",".join(map(str, ids)), self.decoded(ids)
+        return ",".join([text for text, _ in found]), b"".join([self.surface[i] for _, i in found])
 
     def ids_of(self, unit: str) -> list[int]:
         ids: list[int] = []
@@ -174,6 +172,10 @@ class Codec:
 
     def decoded(self, ids: list[int]) -> bytes:
         """The text of ids in UTF-8, with the space that was put before it."""
+        try:
+            return b"".join([self.surface[i] for i in ids])
+        except KeyError:  # ids that are no usual pieces
+            pass
         out, raw = [], bytearray()
         for i in [*ids, None]:
             if i in self.byte_of:
@@ -202,22 +204,24 @@ class Codec:
         """(number of ids, ids joined by commas, the text decoded from them in UTF-8)."""
         text = text or ""
         if not text or not self.plain or SPACE in text:
-            found = [self._unit(u) for u in self.units(text)]
-            return (sum(n for _, n, _ in found), ",".join([i for i, n, _ in found if n]), self.bare(b"".join([x for _, _, x in found])))
-        # A word stands for itself and the space before it, a line break for itself and the word after it. More spaces
-        # than one stay with the word that they stand before.
-        if "  " in text or text[0] == " ":
-            words = _SPACED.findall(" " + text)
+            found = [u for u in map(self._unit, self.units(text)) if u[0]]
         else:
-            words = text.replace("\n", " \n").split(" ")
-        found = list(map(self.recent.get, words))
-        if None in found:
-            found = [hit or self._remembered(word) for hit, word in zip(found, words)]
-        ids = ",".join(found)
-        # Each word was decoded when it was met first and gave its own text again.
-        return ids.count(",") + 1, ids, text.encode()
-
-    def _remembered(self, word: str) -> str:
+            # A word stands for itself and the space before it, a line break for itself and the word after it. More spaces
+            # than one stay with the word that they stand before.
+            if "  " in text or text[0] == " ":
+                words = _SPACED.findall(" " + text)
+            else:
+                words = text.replace("\n", " \n").split(" ")
+            found = list(map(self.recent.get, words))
+            if None in found:
+                found = [hit or self._remembered(word) for hit, word in zip(found, words)]
+        if not found:
+            return 0, "", b""
+        ids, back = zip(*found)
+        ids = ",".join(ids)
+        return ids.count(",") + 1, ids, self.bare(b"".join(back))
+
+    def _remembered(self, word: str) -> tuple[str, bytes]:
         hit = self.recent.get(word) or self.older.get(word) or self._word(word)
         if len(word) < 64:
             self.recent[word] = hit
@@ -225,23 +229,12 @@ class Codec:
                 self.older, self.recent = self.recent, {}
         return hit
 
-    def _word(self, word: str) -> str:
-        if word[:1] == "\n":
-            units, text = ["\n", word[1:]], word
-        else:
-            text = word if word[:1] == " " else " " + word
-            units = [text.replace(" ", SPACE)]
-            pieces = self.split(units[0])
-            try:  # ids of pieces that together are the word bring it back
-                ids = ",".join([self.number[p] for p in pieces])
-                if "".join(pieces) == units[0]:
-                    return ids
-            except KeyError:  # characters without a piece
-                pass
-        ids, _, back = zip(*map(self._unit, units))
-        if b"".join(back) != text.encode():
-            raise ValueError(f"{text!r} does not come back from its ids")
-        return ",".join(filter(None, ids))
+    def _word(self, word: str) -> tuple[str, bytes]:
+        """The ids of a word, and what these ids give back."""
+        if word[:1] != "\n":
+            return self._unit((word if word[:1] == " " else " " + word).replace(" ", SPACE))
+        ids, back = zip(*map(self._unit, ("\n", word[1:])))
+        return ",".join(filter(None, ids)), b"".join(back)
 
     def rest(self) -> None:
         """After a task: the worker stays, and other work needs its memory."""
@@ -284,15 +277,17 @@ def codec(model: str) -> Codec:
     return _CODECS[model]
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", keep_text: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", keep_text: bool = True, digest: str | None = None) -> DataFrame:
     """``docs`` with the ids of each whole text in an array column; a null text has none.
 
     Without ``keep_text`` the text goes to Python once and does not come back.
+    ``digest`` names a further column for the SHA-256 of the text that the ids decode to.
 
-    No begin or end ids, no sampling. A column of that name is replaced.
+    No begin or end ids, no sampling. A column of these names is replaced.
     ``model`` must be readable by this path on every machine.
     """
-    kept = [c for c in docs.columns if c not in (ids, "__text") and (keep_text or c != text)]
+    made_here = [ids] + ([digest] if digest else [])
+    kept = [c for c in docs.columns if c not in (*made_here, "__text") and (keep_text or c != text)]
 
     def run(batches):
         made = codec(model)
@@ -301,17 +296,19 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", ke
         for batch in batches:
             row = 0
             for piece in pieces_of([batch.select([batch.num_columns - 1]).rename_columns(["text"])]):
-                found = [made.joined(t)[:2] for t in piece.column(0).to_pylist()]
-                at = np.concatenate(([0], np.cumsum([n for n, _ in found]))).astype(np.int32)
-                flat = np.fromstring(",".join([x for n, x in found if n]), dtype=np.int32, sep=",") if at[-1] else np.zeros(0, np.int32)
-                coded = pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*[c.slice(row, piece.num_rows) for c in batch.columns[:-1]], coded], names=[*kept, ids])
+                found = [made.joined(t) for t in piece.column(0).to_pylist()]
+                at = np.concatenate(([0], np.cumsum([n for n, _, _ in found]))).astype(np.int32)
+                flat = np.fromstring(",".join([x for n, x, _ in found if n]), dtype=np.int32, sep=",") if at[-1] else np.zeros(0, np.int32)
+                coded = [pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
+                if digest:
+                    coded.append(pa.array([hashlib.sha256(back).hexdigest() for _, _, back in found]))
+                yield pa.RecordBatch.from_arrays([*[c.slice(row, piece.num_rows) for c in batch.columns[:-1]], *coded], names=[*kept, *made_here])
                 row += piece.num_rows
         made.rest()
 
     out = docs.select(*kept, F.col(text).alias("__text"))
-    schema = StructType([*docs.select(*kept).schema.fields, StructField(ids, ArrayType(IntegerType()))])
-    return out.mapInArrow(run, schema)
+    made_fields = [StructField(ids, ArrayType(IntegerType()))] + ([StructField(digest, StringType())] if digest else [])
+    return out.mapInArrow(run, StructType([*docs.select(*kept).schema.fields, *made_fields]))
 
 
 def decode(docs: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -37,6 +37,17 @@ def test_same_ids_and_texts_as_the_library(library):
         assert back == hashlib.sha256(library.decode(want).encode()).hexdigest()
 
 
+def test_decoded_texts_come_from_ids(library):
+    """One wrong entry of the table of ids changes each decoded text that the id is in, usual words included."""
+    codec, text = pieces.Codec(MODEL), "this is the usual text of usual words"
+    ids = library.encode(text)
+    assert codec.joined(text) == (len(ids), ",".join(map(str, ids)), text.encode())
+    broken = pieces.Codec(MODEL)
+    broken.surface[ids[1]] = b"#"
+    assert broken.joined(text)[:2] == codec.joined(text)[:2]
+    assert broken.joined(text)[2] == b"".join([codec.surface[ids[0]][1:], b"#", *[codec.surface[i] for i in ids[2:]]]) != text.encode()
+
+
 def test_decoding_of_any_ids(library):
     codec, rng = pieces.Codec(MODEL), random.Random(3)
     for _ in range(500):
@@ -70,5 +81,8 @@ def test_round_trip_of_documents(spark, library):
     assert {r["block"] for r in coded} == {"extra block"}
     digests = pieces.encoded_digests(docs, MODEL).collect()
     assert sorted((messy.key(r["doc_id"]), r["n_tokens"]) for r in digests) == sorted((messy.key(r[0]), len(library.encode(r[1] or ""))) for r in rows)
+    both = pieces.encode(docs, MODEL, keep_text=False, digest="target").collect()
+    decoded = {messy.key(r["doc_id"]) + tuple(r["ids"]): hashlib.sha256(r["decoded"].encode()).hexdigest() for r in coded}
+    assert all(r["target"] == decoded[messy.key(r["doc_id"]) + tuple(r["ids"])] for r in both) and len(both) == len(rows)
     assert pieces.encoded_digests(messy.frame(spark, []), MODEL).collect() == []
     assert pieces.encode(messy.frame(spark, []), MODEL).collect() == []
