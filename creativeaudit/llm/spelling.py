@@ -22,7 +22,7 @@ from creativeaudit.llm.common import stored
 
 #: A run of letters; all of them are single bytes in Latin-1.
 RUN = "[A-Za-zÀ-ÿ]+"
-#: Words of a cell, about; words that its planes are drawn from at most, over all lengths; words of a leaf within a cell.
+#: Words of a cell, about; words that its planes are drawn from, about, over all lengths; words of a leaf within a cell.
 CELL, SAMPLE, LEAF = 1 << 15, 200_000, 6
 #: Letters a to z, and the others by their code point modulo six.
 DIMS = 32
@@ -186,7 +186,9 @@ def _matched(cell: pa.Table) -> pa.Table:
 def _cells(words: DataFrame) -> dict[int, tuple[int, Tree]]:
     """For each length its first cell and the tree of planes: a few rows, and a sample of SAMPLE words at most."""
     sizes = {r["length"]: r["n"] for r in words.groupBy(F.length("word").alias("length")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    drawn = [r["word"].encode("latin-1") for r in words.select("word").orderBy(F.xxhash64("word"), "word").limit(SAMPLE).collect()] if sizes else []
+    share = min(1.0, SAMPLE / max(1, sum(sizes.values())))
+    lot = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(share * (1 << 30))
+    drawn = [r["word"].encode("latin-1") for r in words.select("word").filter(lot).limit(2 * SAMPLE).collect()] if sizes else []
     sample = {length: [drawn[p] for p in places] for length, places in _by_length(drawn).items()}
     out, first = {}, 0
     for length in sorted(sizes):
