@@ -8,8 +8,9 @@ lowest order knows each word of the training text and one class for all others.
 The model is three tables: words (hash, id, n), pairs by bucket of their
 context, and weights by bucket. Texts are cut into blocks. A block sends each
 of its distinct pairs once, with its count in training text, to the pair's
-bucket, and gets one logarithm back for it. So a shuffle holds distinct pairs,
-as small numbers, and not tokens.
+bucket, and gets one logarithm back for it, in an order that the block's texts
+alone determine. So a shuffle holds distinct pairs, as small numbers, and not
+tokens.
 """
 
 from __future__ import annotations
@@ -21,18 +22,18 @@ from pyspark.sql import functions as F
 
 from creativeaudit.llm.common import Words, blocked, mixed, pack, parts, pieces_of, stored, unpacked
 
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 12_000_000
 #: Words whose ids are given out in one window.
 NUMBERED = 1_000_000
-#: A context with more than this part of all training tokens is dealt out over the buckets; there are 2 * HOT at most.
+#: A context with more than this part of all training tokens is dealt out over the buckets; there are HOT at most.
 HOT = 2048
 #: Counts above TOP are trusted as they are.
 TOP = 5
 #: The end of a text, as a word; no hash of one.
 END = np.uint64(0x454E44)
-#: Ids: all words that training text lacks, and what stands before a text.
+#: Ids: all words that training text lacks, and what stands before a text; words have higher ones.
 UNKNOWN, START = 0, 1
-_FLUSH = 3_000_000
+_FLUSH = 1_000_000
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -113,13 +114,14 @@ def _count_words(batches):
 
 
 def word_table(texts: DataFrame) -> DataFrame:
-    """(hash, id, n) of all words of the texts, lower-cased, and of their ends; ids are dense, from 2 on.
+    """(hash, id, n) of all words of the texts, lower-cased, and of their ends; ids are dense, from 2 on, in the order of hashes.
 
     A word is its 64-bit hash: among a billion different words two share one with a probability of 3 percent.
     """
     counted = stored(texts.select("text").mapInArrow(_count_words, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "words", tidy=True)
     n = parts(counted, F.lit(1), NUMBERED)
-    dealt = counted.withColumn("part", F.pmod(F.xxhash64("hash"), F.lit(n)).cast("int"))
+    bits = max(0, (n - 1).bit_length())
+    dealt = counted.withColumn("part", F.shiftright("hash", 64 - bits).cast("int") if bits else F.lit(0))
     before = START
     offsets = []  # one row per million words
     for r in dealt.groupBy("part").count().orderBy("part").collect():
@@ -164,35 +166,33 @@ def _block_words(batches):
     yield from flush()
 
 
+def _fewest(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the fewest bytes that hold them all."""
+    low, high = int(x.min(initial=0)), int(x.max(initial=0))
+    return x.astype(np.min_scalar_type(high) if low >= 0 else np.result_type(np.min_scalar_type(low), np.min_scalar_type(-high - 1)))
+
+
 def _body(**columns) -> bytes:
-    """Columns of one length as a compressed Arrow stream; whole numbers in the fewest bytes that hold them all."""
-    made = {}
-    for name, x in columns.items():
-        if isinstance(x, np.ndarray) and x.dtype.kind in "iu":
-            x = x.astype(np.min_scalar_type(int(x.max(initial=0)))) if x.min(initial=0) >= 0 else x
-        made[name] = x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x)
-    table = pa.table(made)
+    """Columns of one length as a compressed Arrow stream; of "v" the steps."""
+    made = {c: np.diff(x, prepend=0) if c == "v" else x for c, x in columns.items()}
+    table = pa.table({c: pa.array(_fewest(x) if x.dtype.kind in "iu" else x) for c, x in made.items()})
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
 
-def _loaded(body) -> dict[str, np.ndarray]:
-    with pa.ipc.open_stream(body.as_buffer()) as stream:
-        table = stream.read_all()
-    return {c: np.asarray(table.column(c)) for c in table.column_names}
-
-
-def _numbers(bodies, names: list[str]) -> list[np.ndarray]:
-    """Columns of whole numbers (``v`` from its steps) of several bodies, one after the other."""
-    found = [_loaded(b) for b in bodies]
-    column = lambda f, c: np.cumsum(f["step"].astype(np.int64)) if c == "v" else f[c].astype(bool if c == "hot" else np.int64)
-    return [np.concatenate([column(f, c) for f in found]) if found else np.zeros(0, np.int64) for c in names]
-
-
-def _steps(v: np.ndarray) -> np.ndarray:
-    return np.diff(v, prepend=0)
+def _loaded(bodies, names: list[str]) -> list[np.ndarray]:
+    """Columns of several bodies, one after the other."""
+    found: list[list[np.ndarray]] = [[] for _ in names]
+    for body in bodies:
+        with pa.ipc.open_stream(body.as_buffer()) as stream:
+            table = stream.read_all()
+        for column, name in zip(found, names):
+            x = np.asarray(table.column(name))
+            x = x.astype(np.int64) if x.dtype.kind in "iu" else x
+            column.append(np.cumsum(x) if name == "v" else x)
+    return [np.concatenate(column) if column else np.zeros(0, np.int64) for column in found]
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -204,59 +204,68 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-ENCODED = "block int, bucket int, asks binary, tokens binary"
-
-
-def _encoded(n_buckets: int, hot: float, n_taught: int, lower: Unigrams):
-    """Turns a block's texts into numbers: its distinct pairs by bucket, and for each token the place of its pair among them."""
+class Block:
+    """The distinct words of some texts, and their distinct pairs by bucket, in the order of their words' hashes."""
+
+    def __init__(self, bodies, n_buckets: int, hot: np.ndarray) -> None:
+        """``hot``: hashes of contexts whose pairs are dealt out by both words; so are those of starts."""
+        found, size, ids, taught = [], [], [], []
+        for body in bodies:
+            for batch in unpacked([body]):
+                for piece in pieces_of([batch]):
+                    words = Words(piece.column(piece.schema.get_field_index("text")), "lower")
+                    n = words.counts() + 1
+                    token = np.full(int(n.sum()), END, np.uint64)
+                    last = np.zeros(len(token), bool)
+                    last[np.cumsum(n) - 1] = True
+                    token[~last] = words.hash
+                    found.append(token), size.append(n)
+                    ids.append(piece.column(piece.schema.get_field_index("doc_id")))
+                    taught.append(np.asarray(piece.column(piece.schema.get_field_index("taught"))))
+        self.ids = pa.chunked_array(ids, pa.int64())
+        self.taught = np.concatenate(taught)
+        self.size = np.concatenate(size)
+        self.head = np.cumsum(self.size) - self.size
+        self.hash, word = np.unique(np.concatenate(found).view(np.int64), return_inverse=True)
+        found.clear()
+        n = len(self.hash)
+        before = np.roll(word, 1)
+        before[self.head] = n  # the start, after all words
+        pair, self.place = np.unique(before * (n + 1) + word, return_inverse=True)
+        self.v, self.w = pair // (n + 1), pair % (n + 1)
+        own = np.append(self.hash, 0).view(np.uint64)
+        spread = np.append(np.isin(self.hash, hot), True)
+        key = own[self.v] + np.where(spread[self.v], mixed(own[self.w] + np.uint64(1)), np.uint64(0))
+        self.spread = spread[self.v]
+        self.bucket = (mixed(key) % np.uint64(n_buckets)).astype(np.int32)
+        #: Pairs by bucket, and where each bucket begins.
+        self.by = np.argsort(self.bucket, kind="stable")
+        self.cuts = np.append(_runs(self.bucket[self.by]), len(self.by))
+
+    def per_text(self, x: np.ndarray) -> np.ndarray:
+        """Sums over the tokens of each text of a value of each pair."""
+        return np.add.reduceat(x[self.place], self.head)
+
+
+def _asked(n_buckets: int, hot: np.ndarray):
+    """The distinct pairs of a block by bucket: ids, the count of the second word, and that of the pair in the block's training text."""
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
-        key, first = np.unique(np.asarray(known.column("hash")).view(np.uint64), return_index=True)
-        ids, counts = (np.append(np.asarray(known.column(c))[first], 0) for c in ("id", "n"))  # the last stands for unknown words
-        prev, word, taught, c_prev, c_word, size, rest = [], [], [], [], [], [], []
-        for batch in unpacked(docs.column("body")):
-            for piece in pieces_of([batch]):
-                words = Words(piece.column(piece.schema.get_field_index("text")), "lower")
-                n = words.counts() + 1
-                stop = np.cumsum(n)
-                token = np.empty(int(stop[-1]), np.uint64)
-                ends = np.zeros(len(token), bool)
-                ends[stop - 1] = True
-                token[ends], token[~ends] = END, words.hash
-                at = np.minimum(np.searchsorted(key, token), max(len(key) - 1, 0))
-                at[(key[at] != token) if len(key) else slice(None)] = len(key)
-                before = np.roll(at, 1)
-                head = stop - n
-                v, c = ids[before], counts[before]
-                v[head], c[head] = START, n_taught
-                prev.append(v), word.append(ids[at]), c_prev.append(c), c_word.append(counts[at]), size.append(n)
-                own = np.asarray(piece.column(piece.schema.get_field_index("taught")))
-                taught.append(np.repeat(own, n))
-                rest.append(pa.table({
-                    "doc_id": piece.column(piece.schema.get_field_index("doc_id")), "held_out": pa.array(~own), "n_tokens": pa.array(n),
-                    "n_known": pa.array(np.add.reduceat((counts[at] > 0).astype(np.int64), head)), "base_score": pa.array(np.add.reduceat(lower.base(counts[at]), head))}))
-        if not size:
-            return pa.table([pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.binary()), pa.array([], pa.binary())], names=["block", "bucket", "asks", "tokens"])
-        v, w, taught, cv, cw = (np.concatenate(x) for x in (prev, word, taught, c_prev, c_word))
-        spread = cv > hot
-        bucket = (mixed(v.astype(np.uint64) + np.where(spread, mixed(w.astype(np.uint64) + np.uint64(1)), np.uint64(0))) % np.uint64(n_buckets)).astype(np.int32)
-        asked = np.flatnonzero(v != UNKNOWN)  # after an unknown word there is only the order below
-        by = asked[np.lexsort((w[asked], v[asked], bucket[asked]))]
-        start = _runs(v[by], w[by])
-        place = np.full(len(v), len(start), np.int32)
-        place[by] = np.repeat(np.arange(len(start), dtype=np.int32), np.diff(np.append(start, len(by))))
-        r = np.add.reduceat(taught[by].astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
-        one = by[start]
-        cuts = np.append(_runs(bucket[one]), len(one))
-        asks = [_body(step=_steps(v[one[a:b]]), w=w[one[a:b]], c=cw[one[a:b]], r=r[a:b], hot=spread[one[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
-        # Tokens after an unknown word point past the pairs and have their logarithm here.
-        alone = np.where(v == UNKNOWN, np.log10(lower.p(cw)), 0.0)
-        n = np.concatenate(size)
-        table = pa.concat_tables(rest).append_column("alone", pa.array(np.add.reduceat(alone, np.cumsum(n) - n)))
-        table = table.append_column("places", pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(place)))
-        block = docs.column("block")[0].as_py()
-        return pa.table([pa.array([block] * (len(asks) + 1), pa.int32()), pa.array([*bucket[one[cuts[:-1]]].tolist(), None], pa.int32()),
-                         pa.array([*asks, None], pa.binary()), pa.array([None] * len(asks) + [_body(**{c: table.column(c) for c in table.column_names})], pa.binary())],
-                        names=["block", "bucket", "asks", "tokens"])
+        out: list[tuple] = []
+        if docs.num_rows:
+            b = Block(docs.column("body"), n_buckets, hot)
+            key, first = np.unique(np.asarray(known.column("hash")), return_index=True)
+            at = np.searchsorted(key, b.hash)
+            at[at == len(key)] = 0
+            has = key[at] == b.hash if len(key) else np.zeros(len(at), bool)
+            ids, counts = (np.where(has, np.asarray(known.column(c))[first][at] if len(key) else 0, 0) for c in ("id", "n"))
+            ids = np.append(ids, START)
+            r = np.bincount(b.place, weights=np.repeat(b.taught, b.size), minlength=len(b.v)).astype(np.int64)
+            for i, j in zip(b.cuts[:-1], b.cuts[1:]):
+                own = b.by[i:j]
+                out.append((docs.column("block")[0].as_py(), int(b.bucket[own[0]]),
+                            _body(v=ids[b.v[own]], w=ids[b.w[own]], c=counts[b.w[own]], r=r[own], hot=b.spread[own])))
+        cols = list(zip(*out)) if out else [[], [], []]
+        return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["block", "bucket", "asks"])
 
     return run
 
@@ -268,15 +277,15 @@ PAIRS = "bucket int, pairs binary, seen array<long>"
 
 def _merged(asks: pa.Table) -> pa.Table:
     """The distinct pairs of training text in a bucket with their counts, and how many have the counts 1 to TOP + 1."""
-    v, w, c, r, hot = _numbers(asks.column("asks"), ["v", "w", "c", "r", "hot"])
-    by = np.lexsort((w, v))
-    by = by[r[by] > 0]
+    v, w, c, r, hot = _loaded(asks.column("asks"), ["v", "w", "c", "r", "hot"])
+    by = np.flatnonzero(r > 0)
+    by = by[np.lexsort((w[by], v[by]))]
     v, w, c, r, hot = (x[by] for x in (v, w, c, r, hot))
     start = _runs(v, w)
     r = np.add.reduceat(r, start) if len(start) else r
     v, w, c, hot = (x[start] for x in (v, w, c, hot))
     seen = np.bincount(np.minimum(r, TOP + 2), minlength=TOP + 3)[1:TOP + 2]
-    return pa.table([pa.array([asks.column("bucket")[0].as_py()], pa.int32()), pa.array([_body(step=_steps(v), w=w, c=c, r=r, hot=hot)], pa.binary()),
+    return pa.table([pa.array([asks.column("bucket")[0].as_py()], pa.int32()), pa.array([_body(v=v, w=w, c=c, r=r, hot=hot)], pa.binary()),
                      pa.array([seen.tolist()], pa.list_(pa.int64()))], names=["bucket", "pairs", "seen"])
 
 
@@ -293,14 +302,14 @@ def _weighed(order: Discounted, lower: Unigrams):
     def run(batches):
         for batch in batches:
             for bucket, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                v, c, r, hot = _numbers([body], ["v", "c", "r", "hot"])
+                v, c, r, hot = _loaded([body], ["v", "c", "r", "hot"])
                 start = _runs(v)
                 count, kept, below = (np.add.reduceat(x, start) if len(start) else x.astype(float) for x in (r, order.kept(r), lower.p(c)))
-                v, hot = v[start], hot[start]
+                v, hot = v[start], hot[start].astype(bool)
                 own = ~hot
                 rows = np.flatnonzero(hot)
                 n = len(rows)
-                body = _body(step=_steps(v[own]), total=total(count[own], kept[own]), weight=_weigh(count[own], kept[own], below[own]))
+                body = _body(v=v[own], total=total(count[own], kept[own]), weight=_weigh(count[own], kept[own], below[own]))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([bucket] * (n + 1), pa.int32()), pa.array([body] + [None] * n, pa.binary()), pa.array([None, *v[rows].tolist()], pa.int64()),
                     pa.array([None, *count[rows].tolist()], pa.int64()), pa.array([None, *kept[rows].tolist()], pa.float64()),
@@ -327,10 +336,8 @@ def _answered(order: Discounted, lower: Unigrams, hot: dict[int, tuple[float, fl
     hot_total, hot_weight = (np.array([hot[int(v)][i] for v in hot_v], float) for i in (0, 1))
 
     def run(asks: pa.Table, model: pa.Table) -> pa.Table:
-        pv, pw, pr = _numbers(model.column("pairs").drop_null(), ["v", "w", "r"])
-        found = [_loaded(b) for b in model.column("weights").drop_null()]
-        contexts = np.concatenate([np.zeros(0, np.int64), *[np.cumsum(f["step"].astype(np.int64)) for f in found]])
-        totals, weights = (np.concatenate([np.zeros(0), *[f[c] for f in found]]) for c in ("total", "weight"))
+        pv, pw, pr = _loaded(model.column("pairs").drop_null(), ["v", "w", "r"])
+        contexts, totals, weights = _loaded(model.column("weights").drop_null(), ["v", "total", "weight"])
         # What was never a context leaves all to the order below.
         contexts, totals, weights = np.concatenate((contexts, hot_v)), np.concatenate((totals, hot_total)), np.concatenate((weights, hot_weight))
         by = np.argsort(contexts)
@@ -338,30 +345,37 @@ def _answered(order: Discounted, lower: Unigrams, hot: dict[int, tuple[float, fl
         p = np.append(np.log10(order.kept(pr) / totals[_at((contexts,), (pv,))]), 0.0)
         out = []
         for block, bucket, body in zip(asks.column("block").to_pylist(), asks.column("bucket").to_pylist(), asks.column("asks")):
-            v, w, c = _numbers([body], ["v", "w", "c"])
+            v, w, c = _loaded([body], ["v", "w", "c"])
             at = _at((pv, pw), (v, w))
             backed = np.log10(lower.p(c)) + np.log10(weights[_at((contexts,), (v,))])
-            out.append((block, bucket, _body(logs=np.where(at < len(pv), p[at], backed))))
-        cols = list(zip(*out)) if out else [[], [], []]
-        return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["block", "bucket", "logs"])
+            # The same few values come again and again: they are sent once, and their numbers.
+            value, nth = np.unique(np.where(at < len(pv), p[at], backed), return_inverse=True)
+            out.append((block, bucket, _body(nth=nth, c=c), _body(value=value)))
+        cols = list(zip(*out)) if out else [[]] * 4
+        return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())],
+                        names=["block", "bucket", "nth", "logs"])
 
     return run
 
 
-def _scored(tokens: pa.Table, answers: pa.Table) -> pa.Table:
-    """The scores of a block's documents."""
-    by = np.argsort(np.asarray(answers.column("bucket")), kind="stable")
-    logs = np.concatenate([*[_loaded(answers.column("logs")[int(i)])["logs"] for i in by], np.zeros(1)])
-    out = []
-    for body in tokens.column("tokens"):
-        with pa.ipc.open_stream(body.as_buffer()) as stream:
-            table = stream.read_all()
-        places = table.column("places").combine_chunks()
-        n = np.asarray(table.column("n_tokens"), np.int64)
-        score = np.add.reduceat(logs[np.asarray(places.flatten())], np.cumsum(n) - n) + np.asarray(table.column("alone"))
-        out.append(pa.table([table.column("doc_id"), table.column("held_out"), table.column("n_tokens").cast(pa.int64()), table.column("n_known").cast(pa.int64()),
-                             table.column("base_score"), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]))
-    return pa.concat_tables(out)
+def _scored(n_buckets: int, hot: np.ndarray, lower: Unigrams):
+    """The scores of a block's documents: its pairs anew, in the order in which they were asked."""
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        b = Block(docs.column("body"), n_buckets, hot)
+        logs, counts = np.empty(len(b.v)), np.empty(len(b.v), np.int64)
+        at = 0
+        for i in np.argsort(np.asarray(answers.column("bucket")), kind="stable").tolist():
+            nth, c = _loaded([answers.column("nth")[i]], ["nth", "c"])
+            value, = _loaded([answers.column("logs")[i]], ["value"])
+            own = b.by[at:at + len(nth)]
+            logs[own], counts[own] = value[nth], c
+            at += len(nth)
+        assert at == len(b.v), "a pair lacks its answer"
+        return pa.table([b.ids, pa.array(~b.taught), pa.array(b.size), pa.array(b.per_text((counts > 0).astype(np.int64))),
+                         pa.array(b.per_text(lower.base(counts))), pa.array(b.per_text(logs))],
+                        names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    return run
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -391,20 +405,19 @@ def scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     asked = rows.select("block", "text").mapInArrow(_block_words, "block int, hash long")
     known = asked.join(words, "hash").select("block", "hash", "id", "n")
     texts = pack(rows.select("block", "doc_id", "taught", "text"))
-    encoded = stored(texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
-        _encoded(n, (lower.tokens + n_taught) / HOT, n_taught, lower), ENCODED), "encoded", tidy=True)
-    asks = encoded.filter("asks IS NOT NULL").select("block", "bucket", "asks")
+    share = (lower.tokens + n_taught) / HOT
+    hot_words = np.array(sorted(r["hash"] for r in words.filter(F.col("n") > share).select("hash").collect()), np.int64)  # fewer than HOT
+    asks = stored(texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_asked(n, hot_words), "block int, bucket int, asks binary"), "asks", tidy=True)
     pairs = stored(asks.groupBy("bucket").applyInArrow(_merged, PAIRS), "pairs", tidy=True)
     seen = pairs.agg(*[F.sum(F.col("seen")[i]).alias(f"n{i}") for i in range(TOP + 1)]).first()
     order = Discounted([x or 0 for x in seen])
     weights = stored(pairs.select("bucket", "pairs").mapInArrow(_weighed(order, lower), WEIGHTS), "weights", tidy=True)
-    # One row for each context that more than a share of all tokens follow: 2 * HOT at most.
+    # One row for each context that more than a share of all tokens follow, and for the start: HOT at most.
     hot = weights.filter("v IS NOT NULL").groupBy("v").agg(F.sum("count").alias("count"), F.sum("kept").alias("kept"), F.sum("lower").alias("lower")).collect()
     hot = {r["v"]: (float(total(r["count"], r["kept"])), float(_weigh(r["count"], r["kept"], r["lower"]))) for r in hot}
     none = F.lit(None).cast("binary")
     model = pairs.select("bucket", "pairs", none.alias("weights")).unionByName(weights.filter("weights IS NOT NULL").select("bucket", none.alias("pairs"), "weights"))
     answers = stored(asks.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(
-        _answered(order, lower, hot), "block int, bucket int, logs binary"), "logarithms", tidy=True)
-    tokens = encoded.filter("tokens IS NOT NULL").select("block", "tokens")
-    out = tokens.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored, SCORES)
+        _answered(order, lower, hot), "block int, bucket int, nth binary, logs binary"), "answers", tidy=True)
+    out = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(n, hot_words, lower), SCORES)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(lower.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -133,9 +133,11 @@ def test_nothing_to_learn_from_and_nothing_at_all(spark):
 
 
 def test_numbers_survive_packing():
-    v, w = np.array([0, 0, 5, 2 ** 40]), np.array([3, 300, 70000, 2 ** 35])
-    body = katz._body(step=katz._steps(v), w=w, hot=np.array([True, False, True, False]))
     import pyarrow as pa
 
-    got = katz._numbers([pa.scalar(body)], ["v", "w", "hot"])
-    assert got[0].tolist() == v.tolist() and got[1].tolist() == w.tolist() and got[2].tolist() == [True, False, True, False]
+    v, w = np.array([7, 7, 0, 2 ** 40]), np.array([3, 300, 70000, 2 ** 35])
+    body = katz._body(v=v, w=w, hot=np.array([True, False, True, False]), p=np.array([.1, .2, .3, -1]))
+    got = katz._loaded([pa.scalar(body)] * 2, ["v", "w", "hot", "p"])
+    assert [x.tolist() for x in got] == [[*x, *x] for x in ([7, 7, 0, 2 ** 40], [3, 300, 70000, 2 ** 35], [True, False, True, False], [.1, .2, .3, -1])]
+    for x in ([-1, 127], [-129, 0], [0, 255], [-1, 128], [-2 ** 31, 2 ** 31 - 1], [-1, 2 ** 31]):
+        assert katz._fewest(np.array(x)).tolist() == x
