@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 
 from creativeaudit.llm.common import Words, blocked, mixed, pack, parts, pieces_of, stored, unpacked
 
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 8_000_000
 #: Words whose ids are given out in one window.
 NUMBERED = 1_000_000
+#: The most frequent words, so many at most, are broadcast with their ids and counts (24 bytes each); others meet the texts in a join.
+COMMON = 1 << 19
 #: A context with more than this part of all training tokens is dealt out over the buckets; there are HOT at most.
 HOT = 2048
 #: Counts above TOP are trusted as they are.
@@ -143,27 +145,45 @@ def unigrams(words: DataFrame) -> Unigrams:
 # ---------------------------------------------------------------- blocks
 
 
-def _block_words(batches):
-    """(block, hash) of the distinct words of each block and task, and of the end."""
-    held: dict[int, list[np.ndarray]] = {}
+def common_words(words: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, ids and counts of the words with at least so many occurrences that there are COMMON at most, and of the end, by hash."""
+    powers = range(63)
+    many = words.agg(*[F.count_if(F.col("n") >= 1 << k).alias(f"k{k}") for k in powers]).first()
+    least = 1 << next((k for k in powers if many[k] <= COMMON), 63)
+    found = words.filter((F.col("n") >= least) | (F.col("hash") == int(END))).select("hash", "id", "n").toArrow()
+    hashes, ids, n = (np.asarray(found.column(c)) for c in ("hash", "id", "n"))
+    by = np.argsort(hashes)
+    return hashes[by], ids[by], n[by]
 
-    def flush():
-        for block, found in held.items():
-            key = np.unique(np.concatenate(found))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block, np.int32)), pa.array(key.view(np.int64))], names=["block", "hash"])
 
-    for piece in pieces_of(batches):
-        block = np.asarray(piece.column(0))
-        words = Words(piece.column(1), "lower")
-        owner = block[words.owner()]
-        for b in np.unique(block):
-            held.setdefault(int(b), [np.array([END])]).append(np.unique(words.hash[owner == b]))
-        if sum(len(k) for v in held.values() for k in v) > _FLUSH:
-            held = {b: [np.unique(np.concatenate(v))] for b, v in held.items()}
-            if sum(len(v[0]) for v in held.values()) > _FLUSH // 2:
-                yield from flush()
-                held = {}
-    yield from flush()
+def _rare_words(common):
+    """(block, hash) of the distinct words of each block and task that aren't common."""
+    def run(batches):
+        known = common.value[0]
+        held: list[np.ndarray] = []
+
+        def rows(found):
+            pair = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pair[:, 0].astype(np.int32)), pa.array(pair[:, 1])], names=["block", "hash"])
+
+        for piece in pieces_of(batches):
+            words = Words(piece.column(1), "lower")
+            block = np.asarray(piece.column(0))[words.owner()]
+            key = words.hash.view(np.int64)
+            rare = ~_has(known, key)
+            held.append(np.stack((block[rare].astype(np.int64), key[rare]), axis=1))
+            if sum(map(len, held)) > _FLUSH:
+                yield rows(held)
+                held = []
+        yield rows(held)
+
+    return run
+
+
+def _has(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
 
 
 def _fewest(x: np.ndarray) -> np.ndarray:
@@ -231,8 +251,13 @@ class Block:
         n = len(self.hash)
         before = np.roll(word, 1)
         before[self.head] = n  # the start, after all words
-        pair, self.place = np.unique(before * (n + 1) + word, return_inverse=True)
-        self.v, self.w = pair // (n + 1), pair % (n + 1)
+        before *= n + 1
+        before += word
+        del word
+        pair, place = np.unique(before, return_inverse=True)
+        self.place = place.astype(np.int32)
+        del before, place
+        self.v, self.w = (x.astype(np.int32) for x in np.divmod(pair, n + 1))
         own = np.append(self.hash, 0).view(np.uint64)
         spread = np.append(np.isin(self.hash, hot), True)
         key = own[self.v] + np.where(spread[self.v], mixed(own[self.w] + np.uint64(1)), np.uint64(0))
@@ -247,18 +272,18 @@ class Block:
         return np.add.reduceat(x[self.place], self.head)
 
 
-def _asked(n_buckets: int, hot: np.ndarray):
+def _asked(n_buckets: int, hot: np.ndarray, common):
     """The distinct pairs of a block by bucket: ids, the count of the second word, and that of the pair in the block's training text."""
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if docs.num_rows:
             b = Block(docs.column("body"), n_buckets, hot)
-            key, first = np.unique(np.asarray(known.column("hash")), return_index=True)
-            at = np.searchsorted(key, b.hash)
-            at[at == len(key)] = 0
-            has = key[at] == b.hash if len(key) else np.zeros(len(at), bool)
-            ids, counts = (np.where(has, np.asarray(known.column(c))[first][at] if len(key) else 0, 0) for c in ("id", "n"))
-            ids = np.append(ids, START)
+            ids, counts = (np.zeros(len(b.hash) + 1, np.int64) for _ in range(2))  # 0 for words that training text lacks
+            ids[-1] = START
+            for key, number, n in (common.value, [np.asarray(known.column(c)) for c in ("hash", "id", "n")]):
+                here = _has(b.hash, key)
+                at = np.searchsorted(b.hash, key[here])
+                ids[at], counts[at] = number[here], n[here]
             r = np.bincount(b.place, weights=np.repeat(b.taught, b.size), minlength=len(b.v)).astype(np.int64)
             for i, j in zip(b.cuts[:-1], b.cuts[1:]):
                 own = b.by[i:j]
@@ -402,12 +427,13 @@ def scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     lower = unigrams(words)
     n_taught = rows.filter("taught").count()
     rows, n = blocked(rows, BLOCK_BYTES)
-    asked = rows.select("block", "text").mapInArrow(_block_words, "block int, hash long")
+    common = docs.sparkSession.sparkContext.broadcast(common_words(words))
+    asked = rows.select("block", "text").mapInArrow(_rare_words(common), "block int, hash long")
     known = asked.join(words, "hash").select("block", "hash", "id", "n")
     texts = pack(rows.select("block", "doc_id", "taught", "text"))
     share = (lower.tokens + n_taught) / HOT
     hot_words = np.array(sorted(r["hash"] for r in words.filter(F.col("n") > share).select("hash").collect()), np.int64)  # fewer than HOT
-    asks = stored(texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_asked(n, hot_words), "block int, bucket int, asks binary"), "asks", tidy=True)
+    asks = stored(texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_asked(n, hot_words, common), "block int, bucket int, asks binary"), "asks", tidy=True)
     pairs = stored(asks.groupBy("bucket").applyInArrow(_merged, PAIRS), "pairs", tidy=True)
     seen = pairs.agg(*[F.sum(F.col("seen")[i]).alias(f"n{i}") for i in range(TOP + 1)]).first()
     order = Discounted([x or 0 for x in seen])

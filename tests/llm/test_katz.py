@@ -92,8 +92,9 @@ def is_held():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-@pytest.mark.parametrize("block, hot", [(16_000_000, 2048), (3000, 2048), (3000, 3)])
-def test_same_as_plain_model(spark, monkeypatch, block, hot):
+@pytest.mark.parametrize("block, hot, common", [(16_000_000, 2048, 1 << 19), (3000, 2048, 20), (3000, 3, 0)])
+def test_same_as_plain_model(spark, monkeypatch, block, hot, common):
+    monkeypatch.setattr(katz, "COMMON", common)
     monkeypatch.setattr(katz, "BLOCK_BYTES", block), monkeypatch.setattr(katz, "HOT", hot), monkeypatch.setattr(katz, "NUMBERED", 50)
     rows = messy.documents(n=60)
     docs = messy.frame(spark, rows).select("*", *[F.lit("x").alias(c) for c in ("taught", "hash", "part", "asks")])
