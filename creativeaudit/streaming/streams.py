@@ -8,21 +8,24 @@ of the cluster.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from creativeaudit import constants as C
 from creativeaudit.functions import verdict as V
 from creativeaudit.operators import answers, audit, usage
 from creativeaudit.operators.ordered import sliding_step
-from creativeaudit.operators.verdicts import collapse_verdicts, decide
+from creativeaudit.operators.verdicts import collapse_verdicts, decide, effective_calibrated, threshold_join
+from creativeaudit.streaming.arrivals import late_rows
 
 DAY = "1 day"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _sink(path: str):
@@ -37,6 +40,18 @@ def _start(stream: DataFrame, write, checkpoint: str, mode: str, trigger: dict |
     return writer.trigger(**(trigger or {"availableNow": True})).foreachBatch(write).start()
 
 
+@contextmanager
+def _rocksdb(spark: SparkSession):
+    """State with timers and lifetimes needs this store; a stream keeps the one that it was started with."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Newest version of each key in an update-mode sink."""
     rows = spark.read.parquet(path)
@@ -54,30 +69,38 @@ def stream_usage(requests: DataFrame, path: str, checkpoint: str, *, window: str
     return _start(counts, _sink(path), checkpoint, "update", trigger)
 
 
-def stream_quota(audited: DataFrame, path: str, checkpoint: str, *, window: str = "1 minute",
+def stream_units(charges: DataFrame, path: str, checkpoint: str, *, window: str = "1 minute",
                  late: str = DAY, trigger: dict | None = None) -> StreamingQuery:
-    """Units per key and minute, top-ups booked when the request ends.
+    """Units per key and minute of ``usage.quota_charges``; top-ups are booked when the request ends.
 
     Charges older than a day behind the newest one are dropped by the
-    watermark; ``dropped_late`` reports how many.
+    watermark; ``dropped_late`` reports how many. Feed it with
+    ``arrivals.in_time`` to have them as rows.
     """
-    units = (usage.quota_charges(audited).withWatermark("ts", late)
+    units = (charges.withWatermark("ts", late)
              .groupBy("api_key_id", F.window("ts", window)).agg(F.sum("units").alias("units"))
              .select("api_key_id", F.col("window.start").alias("window_start"), "units"))
     return _start(units, _sink(path), checkpoint, "update", trigger)
 
 
+def stream_quota(audited: DataFrame, path: str, checkpoint: str, **how) -> StreamingQuery:
+    """T6 from requests."""
+    return stream_units(usage.quota_charges(audited), path, checkpoint, **how)
+
+
 def dropped_late(query: StreamingQuery) -> int:
     """Rows a finished or running query has dropped for being too late."""
     return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
 
 
-def stream_collapse(raw: DataFrame, path: str, checkpoint: str, *, late: str = DAY,
-                    trigger: dict | None = None) -> StreamingQuery:
+def stream_collapse(raw: DataFrame, path: str, checkpoint: str, *, thresholds: Callable[[SparkSession], DataFrame] | None = None,
+                    live: str | None = None, late: str = DAY, trigger: dict | None = None) -> StreamingQuery:
     """Decide frames as they arrive and collapse them per creative, tag and day.
 
     The day lets the watermark drop finished creatives from the state.
-    ``raw`` carries an event time ``ts``.
+    ``raw`` carries an event time ``ts``. ``thresholds`` loads the calibration
+    table; it is asked for every micro-batch, so that a verdict has the state
+    of its tag at the time of its latest frame.
     """
     order = F.struct(V.band_rank(F.col("band")).alias("r"), F.col("score").alias("s"),
                      (-F.col("frame_index")).alias("p"))
@@ -86,7 +109,14 @@ def stream_collapse(raw: DataFrame, path: str, checkpoint: str, *, late: str = D
              .groupBy("creative_id", "tag", F.window("ts", DAY))
              .agg(winner.alias("w"), F.min("frame_index").alias("first_seen"))
              .select("creative_id", "tag", F.col("window.start").alias("day"), "w.*", "first_seen"))
-    return _start(daily, _sink(path), checkpoint, "update", trigger)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if thresholds is not None:
+            joined = effective_calibrated(threshold_join(batch, thresholds(batch.sparkSession)), live)
+            batch = joined.select(*batch.columns, "calibrated_effective")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return _start(daily, write, checkpoint, "update", trigger)
 
 
 def read_collapsed(spark: SparkSession, path: str) -> DataFrame:
@@ -97,62 +127,130 @@ def read_collapsed(spark: SparkSession, path: str) -> DataFrame:
     return winners.drop("first_position").join(first, ["creative_id", "tag"])
 
 
-def _admit(limit: int, span_ms: int):
-    step = sliding_step(limit, span_ms * 1000)
+class _Admission(StatefulProcessor):
+    """Hits wait until the watermark has passed them, and are judged in their order; then an idle identity is forgotten."""
 
-    def run(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        live = list(state.get[0]) if state.exists else []
-        pdf = pd.concat([p[["identity", "id", "ts_us"]] for p in pdfs]).sort_values(["ts_us", "id"])
-        made, live = step(live, {"_at": pdf["ts_us"].to_numpy()})
-        state.update((live,))
-        yield pdf[["identity", "id"]].assign(admitted=made["admitted"])
+    def __init__(self, limit: int, span_us: int) -> None:
+        self.span, self.step = span_us, sliding_step(limit, span_us)
 
-    return run
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, id long")
+        self.live = handle.getValueState("live", "at array<long>")
 
+    def _wake(self, at_us: int) -> None:
+        self.handle.registerTimer(at_us // 1000 + 1)
 
-def stream_admission(hits: DataFrame, path: str, checkpoint: str, *, limit: int = C.IDENTITY_LIMIT,
-                     span_s: float = C.IDENTITY_SPAN_S, trigger: dict | None = None) -> StreamingQuery:
-    """The sliding limit with the admitted instants of each identity as state.
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # Nobody's hits only move the watermark. A filter would be pushed below it.
+        for pdf in rows if key[0] is not None else ():
+            self.waiting.appendList(list(zip(pdf["ts_us"].tolist(), pdf["id"].tolist())))
+            self._wake(int(pdf["ts_us"].min()))
+        return iter(())
 
-    Every hit is answered, late ones as well: there is no watermark to drop
-    them. Hits are judged in time order within a micro-batch, whose size the
-    source options bound, and batches in the order in which they come. The
-    state is one list of at most ``limit`` instants for each identity.
-    """
-    rows = hits.select("identity", "id", F.unix_micros("ts").alias("ts_us"))
-    judged = rows.groupBy("identity").applyInPandasWithState(
-        _admit(limit, int(span_s * 1000)), "identity bigint, id bigint, admitted boolean",
-        "live array<bigint>", "append", GroupStateTimeout.NoTimeout)
-    return _start(judged, _sink(path), checkpoint, "append", trigger)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        hits = np.array(sorted(self.waiting.get()), np.int64).reshape(-1, 2)
+        due = int(np.searchsorted(hits[:, 0], now, "left"))
+        live = list(self.live.get()[0]) if self.live.exists() else []
+        made, live = self.step(live, {"_at": hits[:due, 0]})
+        live = [t for t in live if t + self.span >= now]
+        if due:
+            self.waiting.put([tuple(h) for h in hits[due:].tolist()]) if due < len(hits) else self.waiting.clear()
+        self.live.update((live,)) if live else self.live.clear()
+        if due < len(hits) or live:
+            self._wake(int(hits[due, 0]) if due < len(hits) else live[-1] + self.span)
+        if due:
+            yield pd.DataFrame({"identity": key[0], "id": hits[:due, 1], "admitted": made["admitted"]})
 
+    def close(self) -> None:
+        pass
 
-def stream_cache(requests: DataFrame, path: str, checkpoint: str, *, trigger: dict | None = None) -> StreamingQuery:
-    """T4: the first request for a cache key is a miss, later ones are hits.
 
-    Within a batch the earliest request per key is found by a combining
-    aggregate. Earlier batches are asked through their misses, one row per key
-    ever seen; hits lie in directories of their own and are not read.
+def stream_admission(hits: DataFrame, path: str, checkpoint: str, *, limit: int = C.IDENTITY_LIMIT,
+                     span_s: float = C.IDENTITY_SPAN_S, delay: str = "1 minute", trigger: dict | None = None) -> StreamingQuery:
+    """The sliding limit in event time, over batches in any order.
+
+    ``hits``: identity, id, ts; those that are not in time are to be split off
+    before, see ``arrivals``. A hit is answered once the watermark, ``delay``
+    behind the newest hit, has passed it; then all earlier ones are known, and
+    the answers are those of W2. State of an identity: its hits that wait, and at
+    most ``limit`` instants, dropped when they are older than the span. A hit without an identity
+    is not judged.
+    """
+    rows = hits.withWatermark("ts", delay).select(
+        F.col("identity").cast("long").alias("identity"), F.col("id").cast("long").alias("id"), "ts", F.unix_micros("ts").alias("ts_us"))
+    judged = rows.groupBy("identity").transformWithStateInPandas(
+        _Admission(limit, int(span_s * 1_000_000)), "identity long, id long, admitted boolean", "append", "eventTime")
+    with _rocksdb(hits.sparkSession):
+        return _start(judged, _sink(path), checkpoint, "append", trigger)
+
+
+def read_admission(spark: SparkSession, path: str, arrivals: str, schema) -> DataFrame:
+    """T3 result: judged hits, and those that came too late with the code LATE."""
+    judged = spark.read.parquet(path).select("identity", "id", "admitted", F.lit(None).cast("string").alias("reject_code"))
+    late = late_rows(spark, arrivals, schema).select("identity", "id", F.lit(False).alias("admitted"), F.lit("LATE").alias("reject_code"))
+    return judged.unionByName(late)
+
+
+class _Sights(StatefulProcessor):
+    """The instant at which a key's entry was made. It serves for a horizon and is then forgotten."""
+
+    def __init__(self, horizon_us: int) -> None:
+        self.horizon = horizon_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.made = handle.getValueState("made", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat([p[["at", "request_id"]] for p in rows]).sort_values(["at", "request_id"])
+        at = pdf["at"].to_numpy()
+        cached = np.ones(len(at), bool)
+        made = self.made.get()[0] if self.made.exists() else None
+        i = 0 if made is None else int(np.searchsorted(at, made + self.horizon, "right"))
+        while i < len(at):
+            made, cached[i] = int(at[i]), False
+            i = int(np.searchsorted(at, made + self.horizon, "right"))
+        self.made.update((made,))
+        self.handle.registerTimer((made + self.horizon) // 1000 + 1)
+        yield pdf[["request_id"]].assign(cached=cached)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # What comes from now on is later than the watermark: an entry that ends before serves nobody.
+        if self.made.exists() and self.made.get()[0] + self.horizon < timerValues.getCurrentWatermarkInMs() * 1000:
+            self.made.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_cache(requests: DataFrame, path: str, checkpoint: str, *, horizon_s: float = 30 * 86400, delay: str = "1 minute",
+                 trigger: dict | None = None) -> StreamingQuery:
+    """T4: a request is a miss if its key has no entry, or one that was made more than ``horizon_s`` before it.
+
+    A miss makes the entry. Batches are judged as they come, each in the order of
+    (created_at, request_id). Requests that are not in time are to be split off
+    before, see ``arrivals``. State is one instant per key and is dropped once the watermark, ``delay``
+    behind the newest request, has passed its horizon; earlier answers are not read.
     """
-    key = ["image_hash", "packs_version", "tag_key"]
+    rows = audit.with_cache_key(requests.withWatermark("created_at", delay)).select(
+        F.col("request_id").cast("long").alias("request_id"), "image_hash", "packs_version", "tag_key", "created_at", F.unix_micros("created_at").alias("at"))
+    judged = rows.groupBy("image_hash", "packs_version", "tag_key").transformWithStateInPandas(
+        _Sights(int(horizon_s * 1_000_000)), "request_id long, cached boolean", "append", "eventTime")
+    with _rocksdb(requests.sparkSession):
+        return _start(judged, _sink(path), checkpoint, "append", trigger)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        rows = audit.with_cache_key(batch)
-        first = rows.groupBy(*key).agg(F.min(F.struct("created_at", "request_id"))["request_id"].alias("first_id"))
-        if batch_id > 0:
-            seen = (batch.sparkSession.read.parquet(path).filter((F.col("batch") < batch_id) & (F.col("cached") == "false"))
-                    .select(*key).withColumn("seen", F.lit(True)))
-            first = first.join(seen, key, "left")
-        else:
-            first = first.withColumn("seen", F.lit(None).cast("boolean"))
-        fresh = (F.col("request_id") == F.col("first_id")) & F.col("seen").isNull()
-        judged = rows.join(first, key).select("request_id", *key, (~fresh).alias("cached"))
-        judged.write.mode("overwrite").partitionBy("cached").parquet(f"{path}/batch={batch_id}")
 
-    return _start(requests, write, checkpoint, "append", trigger)
+def read_cache(spark: SparkSession, path: str, arrivals: str, schema) -> DataFrame:
+    """T4 result: judged requests, and as misses those that came too late to be served."""
+    late = late_rows(spark, arrivals, schema).select("request_id", F.lit(False).alias("cached"))
+    return spark.read.parquet(path).select("request_id", "cached").unionByName(late)
 
 
 def read_flag(spark: SparkSession, path: str, flag: str) -> DataFrame:
-    """T4 and T5 results; a directory name carries the flag as text."""
+    """T5 result; a directory name carries the flag as text."""
     return spark.read.parquet(path).withColumn(flag, F.col(flag).cast("boolean"))
 
 

@@ -559,12 +559,23 @@ SELECT owner, label, path FROM v_found WHERE NOT ((owner <> 'vaping' OR NOT labe
 # ---- streams: the same results as their batch twins
 oracle("stream_usage", f"""SELECT api_key_id, {STAMP.format('window_start')} AS window_start, "count" FROM v_counters""")
 oracle("stream_late", """
-SELECT api_key_id, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS window_start, CAST(sum(units) AS BIGINT) AS units
-FROM v_charges WHERE request_id NOT IN (SELECT request_id FROM v_requests WHERE created_at < TIMESTAMP '2024-01-01 06:00:00') GROUP BY 1, 2""")
-oracle("stream_collapse", "SELECT creative_id, tag, frame_index, present, score, confidence, band FROM v_collapsed")
-oracle("stream_admission", "SELECT user_id AS identity, event_id AS id, admitted FROM adm", _SLIDE)
-oracle("stream_cache", """
-SELECT request_id, row_number() OVER (PARTITION BY creative_id, packs_version, sorted_tags ORDER BY created_at, request_id) > 1 AS cached FROM v_requests""")
+SELECT api_key_id, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS window_start, CAST(sum(units) AS BIGINT) AS units, late
+FROM (SELECT c.*, r.created_at < TIMESTAMP '2024-01-01 06:00:00' AS late FROM v_charges c JOIN v_requests r USING (request_id)) GROUP BY ALL""")
+oracle("stream_collapse", "SELECT creative_id, tag, frame_index, present, score, confidence, band, calibrated_effective FROM v_collapsed")
+_LATE = "event_id % 97 = 5 AND ts < TIMESTAMP '2024-01-20'"
+oracle("stream_admission", f"""
+SELECT user_id AS identity, event_id AS id, admitted, NULL::VARCHAR AS reject_code FROM adm
+UNION ALL SELECT user_id, event_id, false, 'LATE' FROM events WHERE {_LATE}""", _SLIDE.replace("FROM events)", f"FROM events WHERE NOT ({_LATE}))"))
+oracle("stream_cache", "SELECT request_id, cached FROM seen UNION ALL SELECT event_id, false FROM events WHERE event_id % 89 = 7 AND ts < TIMESTAMP '2024-01-20'", """
+q AS (SELECT request_id, created_at, creative_id, packs_version, sorted_tags,
+             row_number() OVER (PARTITION BY creative_id, packs_version, sorted_tags ORDER BY created_at, request_id) AS rn
+      FROM v_requests WHERE NOT (request_id % 89 = 7 AND created_at < TIMESTAMP '2024-01-20')),
+seen AS (
+  SELECT request_id, creative_id, packs_version, sorted_tags, rn, false AS cached, created_at AS made FROM q WHERE rn = 1
+  UNION ALL
+  SELECT q.request_id, q.creative_id, q.packs_version, q.sorted_tags, q.rn, q.created_at - s.made <= INTERVAL 72 HOUR,
+         CASE WHEN q.created_at - s.made <= INTERVAL 72 HOUR THEN s.made ELSE q.created_at END
+  FROM seen s JOIN q ON q.creative_id = s.creative_id AND q.packs_version = s.packs_version AND q.sorted_tags = s.sorted_tags AND q.rn = s.rn + 1)""")
 oracle("stream_gate", """
 SELECT request_id, CASE WHEN tags LIKE '%alcohool%' THEN 'alcohool' ELSE '' END AS unknown, tags NOT LIKE '%alcohool%' AS accepted FROM v_requests""")
 

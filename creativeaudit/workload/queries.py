@@ -19,7 +19,7 @@ from creativeaudit.session import fresh_path
 from creativeaudit.sources import media as media_src
 from creativeaudit.sources import requests as request_src
 from creativeaudit.sources import scores as score_src
-from creativeaudit.streaming import streams
+from creativeaudit.streaming import arrivals, streams
 from creativeaudit.workload import inputs as I
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -701,24 +701,29 @@ def resume_todo(spark, sf):
 # ------------------------------------------------------------- streams
 
 
-def _stream(spark: SparkSession, sf: str, name: str, by: str, batches: int = 3, late: str = "false") -> DataFrame:
-    """A table as a stream of several micro-batches, cut along ``by``: one file each, the earliest first.
+def _slices(rows: DataFrame, by: str, n: int, last: str = "false") -> list[DataFrame]:
+    """``rows`` cut into ``n`` even ranges of ``by``, the earliest first; rows without it are in the last of them.
 
-    Rows for which ``late`` (SQL) holds come in a batch of their own at the end.
+    Rows for which ``last`` (SQL) holds are a further slice at the end.
     """
-    whole = I.table(spark, sf, name)
-    rows = whole.filter(~F.expr(late))
-    lo, hi = rows.agg(F.min(by), F.max(by)).first()
-    step = (hi - lo) / batches
+    usual = rows.filter(~F.expr(last))
+    lo, hi = usual.agg(F.min(F.expr(by)), F.max(F.expr(by))).first()
+    edges = [] if lo is None else [lo + (hi - lo) / n * (i + 1) for i in range(n - 1)]
+    nth = F.lit(n - 1)
+    for i in reversed(range(len(edges))):
+        nth = F.when(F.expr(by) < F.lit(edges[i]), F.lit(i)).otherwise(nth)
+    usual = usual.withColumn("_nth", nth)
+    out = [usual.filter(F.col("_nth") == i).drop("_nth") for i in range(n)]
+    return out if last == "false" else [*out, rows.filter(F.expr(last))]
+
+
+def _feed(spark: SparkSession, name: str, slices: list[DataFrame], *steps: Callable[[DataFrame], object]) -> None:
+    """Each slice, in all its partitions, becomes one micro-batch of a stream; ``steps`` start what reads it, one after the other."""
     source = fresh_path(spark, f"source-{name}")
-    for i in range(batches):
-        part = rows if i + 1 == batches else rows.filter(F.col(by) < F.lit(lo + step * (i + 1)))
-        part = part if i == 0 else part.filter(F.col(by) >= F.lit(lo + step * i))
-        part.coalesce(1).write.parquet(f"{source}/part={i}")
-    if late != "false":
-        whole.filter(F.expr(late)).coalesce(1).write.parquet(f"{source}/part={batches}")
-    return (spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", "*.parquet").parquet(source))
+    for part in slices:
+        part.write.mode("append").parquet(source)
+        for step in steps:
+            step(spark.readStream.schema(slices[0].schema).parquet(source)).awaitTermination()
 
 
 def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
@@ -729,52 +734,74 @@ def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
 @query
 def stream_usage(spark, sf):
     out, state = _paths(spark, "usage")
-    rows = I.requests_from(_stream(spark, sf, "events", "ts")).select("api_key_id", F.col("created_at").alias("ts"))
-    streams.stream_usage(rows, out, state).awaitTermination()
+    _feed(spark, "events", _slices(I.table(spark, sf, "events"), "ts", 3), lambda events: streams.stream_usage(
+        I.requests_from(events).select("api_key_id", F.col("created_at").alias("ts")), out, state))
     latest = streams.read_latest(spark, out, ["api_key_id", "window_start"])
     return latest.select("api_key_id", stamp("window_start").alias("window_start"), "count")
 
 
 @query
 def stream_late(spark, sf):
+    """Units in time, and the late charges, together all that was charged."""
     out, state = _paths(spark, "quota")
+    split, split_state = _paths(spark, "charges")
+    charges = usage.quota_charges(I.requests(spark, sf)).schema
     # The requests of the first morning arrive weeks later, after the watermark has passed them.
-    rows = I.requests_from(_stream(spark, sf, "events", "ts", late="ts < TIMESTAMP_NTZ '2024-01-01 06:00:00'"))
-    streams.stream_quota(rows, out, state).awaitTermination()
-    latest = streams.read_latest(spark, out, ["api_key_id", "window_start"])
-    return latest.select("api_key_id", stamp("window_start").alias("window_start"), "units")
+    slices = _slices(I.table(spark, sf, "events"), "ts", 3, "ts < TIMESTAMP_NTZ '2024-01-01 06:00:00'")
+    _feed(spark, "events", slices,
+          lambda events: arrivals.split_late(usage.quota_charges(I.requests_from(events)), split, split_state),
+          lambda _: streams.stream_units(arrivals.in_time(spark, split, charges), out, state))
+    kept = streams.read_latest(spark, out, ["api_key_id", "window_start"]).withColumn("late", F.lit(False))
+    late = arrivals.late_rows(spark, split, charges).groupBy("api_key_id", usage.window_start(F.col("ts")).alias("window_start")).agg(
+        F.sum("units").alias("units")).withColumn("late", F.lit(True))
+    return kept.unionByName(late).select("api_key_id", stamp("window_start").alias("window_start"), "units", "late")
 
 
 @query
 def stream_collapse(spark, sf):
     out, state = _paths(spark, "collapse")
-    raw = I.raw_from(_stream(spark, sf, "conversations", "conv_id")).withColumn(
-        "ts", F.timestamp_seconds(F.col("creative_id") * 60 + F.col("frame_index")))
-    streams.stream_collapse(raw, out, state).awaitTermination()
-    return streams.read_collapsed(spark, out).select("creative_id", "tag", "frame_index", "present", "score", "confidence", "band")
+    _feed(spark, "conversations", _slices(I.table(spark, sf, "conversations"), "conv_id", 3), lambda turns: streams.stream_collapse(
+        I.raw_from(turns).withColumn("ts", F.timestamp_seconds(F.col("creative_id") * 60 + F.col("frame_index"))),
+        out, state, thresholds=I.thresholds, live=I.LIVE))
+    return streams.read_collapsed(spark, out).select(
+        "creative_id", "tag", "frame_index", "present", "score", "confidence", "band", "calibrated_effective")
 
 
 @query
 def stream_admission(spark, sf):
+    """Hits that come up to three hours out of order, some weeks late."""
     out, state = _paths(spark, "admission")
-    hits = I.hits_from(_stream(spark, sf, "events", "ts"))
-    streams.stream_admission(hits, out, state, limit=2, span_s=10 * HOUR_S).awaitTermination()
-    return spark.read.parquet(out).select("identity", "id", "admitted")
+    split, split_state = _paths(spark, "hits")
+    events = I.table(spark, sf, "events")
+    hits = I.hits_from(events).schema
+    slices = _slices(events, "ts + make_interval(0, 0, 0, 0, CAST(event_id % 4 AS INT))", 3, "event_id % 97 = 5 AND ts < TIMESTAMP_NTZ '2024-01-20'")
+    # Nobody's hit, years later, lets the watermark pass all others.
+    end = events.limit(1).select(*[F.col(c) if c != "user_id" else F.lit(None).cast("long").alias(c) for c in events.columns]).withColumn(
+        "ts", F.expr("ts + INTERVAL 10 YEARS"))
+    _feed(spark, "events", [*slices, end],
+          lambda rows: arrivals.split_late(I.hits_from(rows), split, split_state, delay="4 hours"),
+          lambda _: streams.stream_admission(arrivals.in_time(spark, split, hits), out, state, limit=2, span_s=10 * HOUR_S, delay="4 hours"))
+    return streams.read_admission(spark, out, split, hits).select("identity", "id", "admitted", "reject_code")
 
 
 @query
 def stream_cache(spark, sf):
+    """Entries serve for three days; some requests come weeks late and are not served."""
     out, state = _paths(spark, "cache")
-    rows = intake.normalise_tags(I.requests_from(_stream(spark, sf, "events", "ts"))).drop("cached")
-    streams.stream_cache(rows, out, state).awaitTermination()
-    return streams.read_flag(spark, out, "cached").select("request_id", "cached")
+    split, split_state = _paths(spark, "requests")
+    asked = lambda events: intake.normalise_tags(I.requests_from(events)).drop("cached")
+    events = I.table(spark, sf, "events")
+    _feed(spark, "events", _slices(events, "ts", 3, "event_id % 89 = 7 AND ts < TIMESTAMP_NTZ '2024-01-20'"),
+          lambda rows: arrivals.split_late(asked(rows), split, split_state, at="created_at"),
+          lambda _: streams.stream_cache(arrivals.in_time(spark, split, asked(events).schema), out, state, horizon_s=3 * DAY_S, delay="1 day"))
+    return streams.read_cache(spark, out, split, asked(events).schema)
 
 
 @query
 def stream_gate(spark, sf):
     out, state = _paths(spark, "gate")
-    rows = intake.normalise_tags(I.requests_from(_stream(spark, sf, "events", "ts")))
-    streams.stream_gate(rows, I.tags(spark), out, state).awaitTermination()
+    _feed(spark, "events", _slices(I.table(spark, sf, "events"), "ts", 3), lambda events: streams.stream_gate(
+        intake.normalise_tags(I.requests_from(events)), I.tags(spark), out, state))
     return streams.read_flag(spark, out, "accepted").select("request_id", joined("unknown").alias("unknown"), "accepted")
 
 
