@@ -25,7 +25,7 @@ from creativeaudit.llm.common import pieces_of
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words that a Python worker remembers with their ids, the latest half of them at least.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 #: Fewer where ids are the result: their lists need the memory.
 REMEMBERED_WITH_IDS = 60_000
 
