@@ -502,6 +502,10 @@ SELECT k.id, {STAMP.format('coalesce(r.at, k.revoked_at)')} AS revoked_at FROM v
 LEFT JOIN (SELECT api_key_id, max(created_at) AS at FROM v_requests WHERE tags = 'junk_food' AND frames = 6 GROUP BY api_key_id) r ON r.api_key_id = k.id""")
 oracle("prune_usage", f"""
 SELECT api_key_id, {STAMP.format('window_start')} AS window_start, "count" FROM v_counters WHERE window_start >= TIMESTAMP '2024-01-19 12:00:00'""")
+oracle("counters_stored", f"""
+SELECT user_id AS api_key_id, {STAMP.format("date_trunc('minute', ts)")} AS window_start, count(*) AS "count" FROM events
+WHERE (event_id % 3 <> 0 OR ts >= TIMESTAMP '2024-01-19' AND ts < TIMESTAMP '2024-01-21') AND date_trunc('minute', ts) >= TIMESTAMP '2024-01-19 12:00:00'
+GROUP BY 1, 2""")
 oracle("prune_usage_deleted", "SELECT count(*) AS n_deleted FROM v_counters WHERE window_start < TIMESTAMP '2024-01-19 12:00:00'")
 
 # ---- evaluation

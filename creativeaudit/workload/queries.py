@@ -16,6 +16,7 @@ from creativeaudit.operators import (answers, audit, catalog, changes, evalgate,
                                      ordered, scoring, usage, verdicts)
 from creativeaudit.plans.analyze import analyze_requests
 from creativeaudit.session import fresh_path
+from creativeaudit.sources import counters
 from creativeaudit.sources import media as media_src
 from creativeaudit.sources import requests as request_src
 from creativeaudit.sources import scores as score_src
@@ -568,6 +569,17 @@ def prune_usage_deleted(spark, sf):
     return usage.prune_usage(usage.usage_counters(_arrivals(spark, sf)), NOW)[1]
 
 
+@query
+def counters_stored(spark, sf):
+    """A stored table to which two days are added, and from which what is older than a day is pruned."""
+    path = fresh_path(spark, "counters")
+    rows = I.requests(spark, sf).select("request_id", "api_key_id", F.col("created_at").alias("ts"))
+    counters.create_counters(usage.usage_counters(rows.filter("request_id % 3 <> 0")), path)
+    counters.upsert(usage.usage_counters(rows.filter("request_id % 3 = 0 AND ts >= '2024-01-19' AND ts < '2024-01-21'")), path)
+    counters.prune(spark, path, NOW)
+    return counters.read_counters(spark, path).select("api_key_id", stamp("window_start").alias("window_start"), "count")
+
+
 # ------------------------------------------------------------- evaluation
 
 

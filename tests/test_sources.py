@@ -78,3 +78,28 @@ def test_an_empty_report_is_not_written(spark, tmp_path):
     empty = spark.range(0).select(F.lit("x").alias("arm"))
     assert not scores.write_report(empty, str(tmp_path / "r")) and not (tmp_path / "r").exists()
     assert scores.write_report(spark.range(1), str(tmp_path / "r")) and (tmp_path / "r").exists()
+
+
+def test_stored_counters_touch_only_days_that_change(spark, tmp_path):
+    from datetime import datetime
+    from pathlib import Path
+
+    from creativeaudit.operators import usage
+    from creativeaudit.sources import counters
+
+    path = f"{tmp_path}/counters"
+    day = lambda d, h, k, n: [(k, f"2024-01-{d:02} {h:02}:00:{i:02}") for i in range(n)]
+    table = lambda rows: usage.usage_counters(spark.createDataFrame(rows, "api_key_id long, t string").select("api_key_id", F.col("t").cast("timestamp").alias("ts")))
+    files = lambda d: sorted(p.name for p in Path(path, f"day=2024-01-{d:02}").glob("*.parquet"))
+    got = lambda: sorted((r["api_key_id"], str(r["window_start"]), r["count"]) for r in counters.read_counters(spark, path).collect())
+    counters.create_counters(table(day(10, 1, 1, 2) + day(11, 1, 1, 3) + day(11, 23, 2, 1) + day(12, 5, 1, 1)), path)
+    before = {d: files(d) for d in (10, 11, 12)}
+    counters.upsert(table(day(12, 5, 1, 4) + day(12, 6, 2, 2) + day(13, 1, 3, 1)), path)
+    assert files(10) == before[10] and files(11) == before[11] and files(12) != before[12]
+    assert got() == [(1, "2024-01-10 01:00:00", 2), (1, "2024-01-11 01:00:00", 3), (1, "2024-01-12 05:00:00", 5), (2, "2024-01-11 23:00:00", 1),
+                     (2, "2024-01-12 06:00:00", 2), (3, "2024-01-13 01:00:00", 1)]
+    kept = files(12), files(13)
+    assert counters.prune(spark, path, datetime(2024, 1, 12, 12)) == 2
+    assert (files(12), files(13)) == kept and files(10) == [] and files(11) != before[11] and len(got()) == 4
+    assert counters.prune(spark, path, datetime(2024, 1, 13)) == 1 and not Path(path, "day=2024-01-11").exists()
+    assert counters.prune(spark, path, datetime(2024, 1, 13)) == 0 and (files(12), files(13)) == kept
