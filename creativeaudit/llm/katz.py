@@ -193,11 +193,16 @@ def _fewest(x: np.ndarray) -> np.ndarray:
 
 
 def _body(**columns) -> bytes:
-    """Columns of one length as a compressed Arrow stream; of "v" the steps."""
-    made = {c: np.diff(x, prepend=0) if c == "v" else x for c, x in columns.items()}
-    table = pa.table({c: pa.array(_fewest(x) if x.dtype.kind in "iu" else x) for c, x in made.items()})
+    """Columns of one length, compressed; of "v" the steps. The first bytes of all numbers come first, then the second ones:
+    so few bits of small numbers are kept."""
+    made = {}
+    for c, x in columns.items():
+        x = _fewest(np.diff(x, prepend=0) if c == "v" else x) if x.dtype.kind in "iu" else x
+        planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T)
+        made[f"{c} {x.dtype.str} {len(x)}"] = pa.array([pa.compress(planes.tobytes(), codec="zstd", asbytes=True)], pa.binary())
+    table = pa.table(made)
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -208,10 +213,14 @@ def _loaded(bodies, names: list[str]) -> list[np.ndarray]:
     for body in bodies:
         with pa.ipc.open_stream(body.as_buffer()) as stream:
             table = stream.read_all()
-        for column, name in zip(found, names):
-            x = np.asarray(table.column(name))
-            x = x.astype(np.int64) if x.dtype.kind in "iu" else x
-            column.append(np.cumsum(x) if name == "v" else x)
+        for field in table.column_names:
+            name, kind, n = field.split(" ")
+            if name in names:
+                kind, n = np.dtype(kind), int(n)
+                planes = np.frombuffer(pa.decompress(table.column(field)[0].as_buffer(), n * kind.itemsize, codec="zstd"), np.uint8)
+                x = np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind).reshape(n)
+                x = x.astype(np.int64) if kind.kind in "iu" else x
+                found[names.index(name)].append(np.cumsum(x) if name == "v" else x)
     return [np.concatenate(column) if column else np.zeros(0, np.int64) for column in found]
 
 
@@ -297,12 +306,16 @@ def _asked(n_buckets: int, hot: np.ndarray, common):
 
 # ---------------------------------------------------------------- pairs
 
-PAIRS = "bucket int, pairs binary, seen array<long>"
+PAIRS = "bucket int, pairs binary, seen array<long>, blocks array<int>, sizes array<int>, asks binary"
 
 
 def _merged(asks: pa.Table) -> pa.Table:
-    """The distinct pairs of training text in a bucket with their counts, and how many have the counts 1 to TOP + 1."""
-    v, w, c, r, hot = _loaded(asks.column("asks"), ["v", "w", "c", "r", "hot"])
+    """The distinct pairs of training text in a bucket with their counts, how many have the counts 1 to TOP + 1, and what was asked."""
+    one = np.argsort(np.asarray(asks.column("block")), kind="stable")
+    bodies = [asks.column("asks")[i] for i in one.tolist()]
+    v, w, c, r, hot = _loaded(bodies, ["v", "w", "c", "r", "hot"])
+    sizes = [len(_loaded([body], ["hot"])[0]) for body in bodies]
+    asked = _body(v=v, w=w, c=c)
     by = np.flatnonzero(r > 0)
     by = by[np.lexsort((w[by], v[by]))]
     v, w, c, r, hot = (x[by] for x in (v, w, c, r, hot))
@@ -311,7 +324,9 @@ def _merged(asks: pa.Table) -> pa.Table:
     v, w, c, hot = (x[start] for x in (v, w, c, hot))
     seen = np.bincount(np.minimum(r, TOP + 2), minlength=TOP + 3)[1:TOP + 2]
     return pa.table([pa.array([asks.column("bucket")[0].as_py()], pa.int32()), pa.array([_body(v=v, w=w, c=c, r=r, hot=hot)], pa.binary()),
-                     pa.array([seen.tolist()], pa.list_(pa.int64()))], names=["bucket", "pairs", "seen"])
+                     pa.array([seen.tolist()], pa.list_(pa.int64())), pa.array([np.asarray(asks.column("block"))[one].tolist()], pa.list_(pa.int32())),
+                     pa.array([sizes], pa.list_(pa.int32())), pa.array([asked], pa.binary())],
+                    names=["bucket", "pairs", "seen", "blocks", "sizes", "asks"])
 
 
 WEIGHTS = "bucket int, weights binary, v long, count long, kept double, lower double"
@@ -360,22 +375,25 @@ def _answered(order: Discounted, lower: Unigrams, hot: dict[int, tuple[float, fl
     hot_v = np.array(sorted(hot), np.int64)
     hot_total, hot_weight = (np.array([hot[int(v)][i] for v in hot_v], float) for i in (0, 1))
 
-    def run(asks: pa.Table, model: pa.Table) -> pa.Table:
-        pv, pw, pr = _loaded(model.column("pairs").drop_null(), ["v", "w", "r"])
-        contexts, totals, weights = _loaded(model.column("weights").drop_null(), ["v", "total", "weight"])
-        # What was never a context leaves all to the order below.
-        contexts, totals, weights = np.concatenate((contexts, hot_v)), np.concatenate((totals, hot_total)), np.concatenate((weights, hot_weight))
-        by = np.argsort(contexts)
-        contexts, totals, weights = contexts[by], np.append(totals[by], 1.0), np.append(weights[by], 1.0)
-        p = np.append(np.log10(order.kept(pr) / totals[_at((contexts,), (pv,))]), 0.0)
+    def run(rows: pa.Table, weights: pa.Table) -> pa.Table:
         out = []
-        for block, bucket, body in zip(asks.column("block").to_pylist(), asks.column("bucket").to_pylist(), asks.column("asks")):
-            v, w, c = _loaded([body], ["v", "w", "c"])
+        if rows.num_rows:
+            pv, pw, pr = _loaded(rows.column("pairs"), ["v", "w", "r"])
+            contexts, totals, shares = _loaded(weights.column("weights"), ["v", "total", "weight"])
+            # What was never a context leaves all to the order below.
+            contexts, totals, shares = np.concatenate((contexts, hot_v)), np.concatenate((totals, hot_total)), np.concatenate((shares, hot_weight))
+            by = np.argsort(contexts)
+            contexts, totals, shares = contexts[by], np.append(totals[by], 1.0), np.append(shares[by], 1.0)
+            p = np.append(np.log10(order.kept(pr) / totals[_at((contexts,), (pv,))]), 0.0)
+            v, w, c = _loaded(rows.column("asks"), ["v", "w", "c"])
             at = _at((pv, pw), (v, w))
-            backed = np.log10(lower.p(c)) + np.log10(weights[_at((contexts,), (v,))])
-            # The same few values come again and again: they are sent once, and their numbers.
-            value, nth = np.unique(np.where(at < len(pv), p[at], backed), return_inverse=True)
-            out.append((block, bucket, _body(nth=nth, c=c), _body(value=value)))
+            logs = np.where(at < len(pv), p[at], np.log10(lower.p(c)) + np.log10(shares[_at((contexts,), (v,))]))
+            a = 0
+            for block, n in zip(rows.column("blocks")[0].as_py(), rows.column("sizes")[0].as_py()):
+                # The same few values come again and again: they are sent once, and their numbers.
+                value, nth = np.unique(logs[a:a + n], return_inverse=True)
+                out.append((block, rows.column("bucket")[0].as_py(), _body(nth=nth, c=c[a:a + n]), _body(value=value)))
+                a += n
         cols = list(zip(*out)) if out else [[]] * 4
         return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())],
                         names=["block", "bucket", "nth", "logs"])
@@ -433,7 +451,8 @@ def scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     texts = pack(rows.select("block", "doc_id", "taught", "text"))
     share = (lower.tokens + n_taught) / HOT
     hot_words = np.array(sorted(r["hash"] for r in words.filter(F.col("n") > share).select("hash").collect()), np.int64)  # fewer than HOT
-    asks = stored(texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_asked(n, hot_words, common), "block int, bucket int, asks binary"), "asks", tidy=True)
+    n_buckets = max(1, n // 2)
+    asks = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_asked(n_buckets, hot_words, common), "block int, bucket int, asks binary")
     pairs = stored(asks.groupBy("bucket").applyInArrow(_merged, PAIRS), "pairs", tidy=True)
     seen = pairs.agg(*[F.sum(F.col("seen")[i]).alias(f"n{i}") for i in range(TOP + 1)]).first()
     order = Discounted([x or 0 for x in seen])
@@ -441,9 +460,7 @@ def scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     # One row for each context that more than a share of all tokens follow, and for the start: HOT at most.
     hot = weights.filter("v IS NOT NULL").groupBy("v").agg(F.sum("count").alias("count"), F.sum("kept").alias("kept"), F.sum("lower").alias("lower")).collect()
     hot = {r["v"]: (float(total(r["count"], r["kept"])), float(_weigh(r["count"], r["kept"], r["lower"]))) for r in hot}
-    none = F.lit(None).cast("binary")
-    model = pairs.select("bucket", "pairs", none.alias("weights")).unionByName(weights.filter("weights IS NOT NULL").select("bucket", none.alias("pairs"), "weights"))
-    answers = stored(asks.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(
+    answers = stored(pairs.groupBy("bucket").cogroup(weights.filter("weights IS NOT NULL").groupBy("bucket")).applyInArrow(
         _answered(order, lower, hot), "block int, bucket int, nth binary, logs binary"), "answers", tidy=True)
-    out = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(n, hot_words, lower), SCORES)
+    out = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(n_buckets, hot_words, lower), SCORES)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(lower.tokens).cast("long").alias("train_tokens"), "base_score", "score")
