@@ -9,7 +9,7 @@ A key with very many rows does not go to one task. Where a pause makes a rule
 forget all that came before, the key falls into pieces that are keys of their
 own. What is still too long is cut into
 blocks of about ``max_rows`` rows. First only the state at the end of each
-block is worked out, all blocks at once, as if nothing came before them; then
+block (blocks may end within an instant) is worked out, all blocks at once, as if nothing came before them; then
 each block whose true starting state differs from the assumed one is folded
 again, until nothing differs. Blocks after a quiet period are right the first
 time. The first block is right from the start and each round settles at least
@@ -149,7 +149,7 @@ def fold(df: DataFrame, keys: Sequence[str], at: Column, order: Sequence[str],
         return light.unionByName(cut.drop("_piece"))
     spark = df.sparkSession
     table = fresh_path(spark, "blocks")
-    cut = _cut(rows.join(heavy, keys, "left_semi").select(*rows.columns), keys, max_rows)
+    cut = _cut(rows.join(heavy, keys, "left_semi").select(*rows.columns), keys, order, max_rows)
     cut.write.partitionBy("_block").parquet(table)
     blocks = spark.read.parquet(table).withColumn("_block", F.col("_block").cast("bigint"))
     blocks = blocks.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema.fields], "_block")
@@ -201,22 +201,47 @@ def _pieces(rows: DataFrame, keys: list[str], pause: int) -> DataFrame:
     return sliced.join(checkpoint(slices.select(*keys, "_slice", "_piece")), [*keys, "_slice"]).drop("_slice")
 
 
-def _cut(rows: DataFrame, keys: list[str], max_rows: int, slices: int = 1_000_000) -> DataFrame:
+def _cut(rows: DataFrame, keys: list[str], order: Sequence[str], max_rows: int, slices: int = 1_000_000) -> DataFrame:
     """Number the blocks: fine time slices are counted, then grouped up to ``max_rows``.
 
-    Slices are fine so that a burst is spread over many of them.
+    Slices are fine so that a burst is spread over many of them. What is still
+    too much is cut at quantiles of its instants, and a single instant at quantiles of the
+    first column of ``order``: a rule's state may be carried on within an instant as well.
     """
     span = rows.groupBy(*keys).agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
     span = span.withColumn("_w", F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / slices)))
     cut = rows.join(small_side(checkpoint(span.select(*keys, "_lo", "_w"))), keys).withColumn(
         "_slice", F.floor((F.col("_at") - F.col("_lo")) / F.col("_w")))
-    per = cut.groupBy(*keys, "_slice").count()
-    upto = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    cut = _finer(cut, [*keys, "_slice"], "_at", "_part", max_rows)
+    cut = _finer(cut, [*keys, "_slice", "_part"], order[0], "_piece_of", max_rows) if order else cut.withColumn("_piece_of", F.lit(0))
+    place = ["_slice", "_part", "_piece_of"]
+    per = cut.groupBy(*keys, *place).count()
+    upto = Window.partitionBy(*keys).orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_block", F.floor(F.coalesce(F.sum("count").over(upto), F.lit(0)) / max_rows))
-    return (cut.join(per.select(*keys, "_slice", "_block"), [*keys, "_slice"])
+    return (cut.join(per.select(*keys, *place, "_block"), [*keys, *place])
             .select(*rows.columns, F.col("_block").cast("bigint").alias("_block")))
 
 
+def _finer(rows: DataFrame, group: list[str], column: str, name: str, max_rows: int) -> DataFrame:
+    """Cuts groups of more than ``max_rows`` rows at approximate quantiles of a column; sketches combine before the shuffle.
+
+    Columns without quantiles (text) leave their groups whole.
+    """
+    whole = rows.withColumn(name, F.lit(0))
+    if not isinstance(rows.schema[column].dataType, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return whole
+    big = checkpoint(rows.groupBy(*group).count().filter(F.col("count") > max_rows))
+    most = big.agg(F.max("count")).first()[0]
+    if most is None:
+        return whole
+    n = 2 * -(-most // max_rows)
+    cuts = rows.join(small_side(big.select(*group)), group, "left_semi").groupBy(*group).agg(
+        F.percentile_approx(column, [i / n for i in range(1, n)], 20 * n).alias("_cuts"))
+    cut = rows.join(small_side(checkpoint(cuts)), group, "left")
+    nth = F.size(F.filter("_cuts", lambda c: c < F.col(column)))
+    return cut.withColumn(name, F.when(F.col("_cuts").isNull(), 0).otherwise(nth)).drop("_cuts")
+
+
 # ------------------------------------------------------------------ limiters
 
 

@@ -283,6 +283,33 @@ def test_lockout_against_a_deque(spark, max_rows, horizon):
     assert {r["id"]: r["locked"] for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("rule", ["admission", "lockout"])
+def test_one_hot_instant_is_spread_over_blocks(spark, monkeypatch, rule):
+    """A third of all rows at one instant, and a tenth within ten of them."""
+    rng = random.Random(3)
+    at = lambda i: 500 if i % 3 == 0 else 700 + rng.randrange(10) if i % 10 == 1 else rng.randrange(1000)
+    data = [("a", at(i), i, rng.random() < .3) for i in range(6000)] + [("b", rng.randrange(9000), 9000 + i, False) for i in range(300)]
+    blocks = []
+    cut = ordered._cut
+    monkeypatch.setattr(ordered, "_cut", lambda *a: blocks.append(cut(*a)) or blocks[-1])
+    if rule == "admission":
+        got = {r["id"]: r["admitted"] for r in ordered.sliding_admission(frame_of(spark, data), 4, 60, max_rows=300).collect()}
+    else:
+        got = {r["id"]: r["locked"] for r in ordered.login_lockout(frame_of(spark, data), 4, 60, max_rows=300).collect()}
+    want, live = {}, {"a": deque(), "b": deque()}
+    for who, s, i, ok in sorted(data, key=lambda r: (r[1], r[2])):
+        q = live[who]
+        while q and s - q[0] > 60:
+            q.popleft()
+        full = len(q) >= 4
+        want[i] = full if rule == "lockout" else not full
+        if not full:
+            q.clear() if ok and rule == "lockout" else q.append(s)
+    assert got == want
+    sizes = [r["count"] for b in blocks for r in b.groupBy("identity", "_block").count().collect()]
+    assert len(sizes) > 12 and max(sizes) <= 2 * 300
+
+
 def test_an_age_of_exactly_the_span_still_counts(spark):
     data = [("a", 0, 1, False), ("a", 60, 2, False), ("a", 61, 3, False)]
     got = ordered.sliding_admission(frame_of(spark, data), 1, 60)
