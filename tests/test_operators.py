@@ -239,6 +239,46 @@ def test_catalog_changes_against_a_plain_loop(spark, max_rows):
     assert {r["slug"]: (r["status"] == "active", r["sort_order"], r["label"]) for r in after.collect()} == want
 
 
+@pytest.mark.parametrize("slices", [7])
+def test_catalogs_below_their_cap_are_judged_slug_by_slug(spark, monkeypatch, slices):
+    """Same rows as the plain loop, and as many jobs for a log of any length; one catalog of two goes over its cap."""
+    monkeypatch.setattr(changes, "SLICES", slices)
+    rng = random.Random(9)
+    start = [(f"t{i}", "active" if i % 3 else "retired", i, "L") for i in range(6)]
+    ops = ["create", "update", "retire", "restore", "rename", None]
+
+    def logs(n, names, catalogs):
+        return [(c, i, rng.choice(ops), rng.choice(["hot", f"t{rng.randrange(names)}", "Bad Slug!"]), rng.choice(["A", " B ", " ", None])) for c in catalogs for i in range(n)]
+
+    def run(log, cap):
+        cat = spark.createDataFrame([(c, s, lab, "", st, o) for c in {r[0] for r in log} for s, st, o, lab in start], f"cat string, {CATALOG_SCHEMA}")
+        ch = spark.createDataFrame(log, "cat string, seq bigint, op string, slug string, label string").select(
+            "*", F.lit("").alias("description"), F.lit("me").alias("actor"), F.timestamp_seconds("seq").alias("at"))
+        after, rejected = changes.catalog_changes(cat, ch, cap=cap, by="cat", max_rows=10)
+        return {(r["cat"], r["slug"]): (r["status"] == "active", r["sort_order"], r["label"]) for r in after.collect()}, sorted((r["cat"], r["seq"]) for r in rejected.collect())
+
+    def plain(log, cap):
+        after, rejected = {}, []
+        for c in sorted({r[0] for r in log}):
+            own = [(i, op, slug, label or "") for k, i, op, slug, label in log if k == c]
+            never = [i for i, op, slug, _ in own if op in ("rename", None) or slug == "Bad Slug!"]
+            state, bad = apply_changes_plainly(start, [r for r in own if r[0] not in never], cap)
+            after |= {(c, s): e for s, e in state.items()}
+            rejected += [(c, i) for i in sorted(bad + never)]
+        return after, rejected
+
+    for log, cap in ((logs(60, 20, "a") + logs(90, 3, "b"), 9),):
+        assert run(log, cap) == plain(log, cap)
+    jobs = []
+    for n in (40, 400):  # with max_rows=10 these were 4 and 40 blocks to fold
+        group = f"jobs {n} {slices}"
+        spark.sparkContext.setJobGroup(group, group)
+        run(logs(n, 9, "a"), 100)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+    spark.sparkContext.setJobGroup("other", "other")
+    assert jobs[1] <= jobs[0] + 10  # plans adapt to sizes; the fold took a round or more for each of the 36 further blocks
+
+
 # ---------------------------------------------------------------- sequential rules
 
 
