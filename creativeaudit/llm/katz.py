@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from creativeaudit.llm.common import Words, blocked, mixed, pack, parts, pieces_of, stored, unpacked
 
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 #: Words whose ids are given out in one window.
 NUMBERED = 1_000_000
 #: The most frequent words, so many at most, are broadcast with their ids and counts (24 bytes each); others meet the texts in a join.
@@ -160,22 +160,25 @@ def _rare_words(common):
     """(block, hash) of the distinct words of each block and task that aren't common."""
     def run(batches):
         known = common.value[0]
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def rows(found):
-            pair = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pair[:, 0].astype(np.int32)), pa.array(pair[:, 1])], names=["block", "hash"])
+            block, key = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+            by = np.lexsort((key, block))
+            block, key = block[by], key[by]
+            new = _runs(block, key)
+            return pa.RecordBatch.from_arrays([pa.array(block[new]), pa.array(key[new])], names=["block", "hash"])
 
         for piece in pieces_of(batches):
             words = Words(piece.column(1), "lower")
-            block = np.asarray(piece.column(0))[words.owner()]
             key = words.hash.view(np.int64)
-            rare = ~_has(known, key)
-            held.append(np.stack((block[rare].astype(np.int64), key[rare]), axis=1))
-            if sum(map(len, held)) > _FLUSH:
+            rare = np.flatnonzero(~_has(known, key))
+            held.append((np.asarray(piece.column(0))[words.owner()[rare]], key[rare]))
+            if sum(len(k) for _, k in held) > _FLUSH:
                 yield rows(held)
                 held = []
         yield rows(held)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -299,6 +302,7 @@ def _asked(n_buckets: int, hot: np.ndarray, common):
                 out.append((docs.column("block")[0].as_py(), int(b.bucket[own[0]]),
                             _body(v=ids[b.v[own]], w=ids[b.w[own]], c=counts[b.w[own]], r=r[own], hot=b.spread[own])))
         cols = list(zip(*out)) if out else [[], [], []]
+        pa.default_memory_pool().release_unused()  # a worker goes on to the next block, the JVM needs the rest
         return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["block", "bucket", "asks"])
 
     return run
@@ -451,7 +455,7 @@ def scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     texts = pack(rows.select("block", "doc_id", "taught", "text"))
     share = (lower.tokens + n_taught) / HOT
     hot_words = np.array(sorted(r["hash"] for r in words.filter(F.col("n") > share).select("hash").collect()), np.int64)  # fewer than HOT
-    n_buckets = max(1, n // 2)
+    n_buckets = max(1, n // 4)
     asks = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_asked(n_buckets, hot_words, common), "block int, bucket int, asks binary")
     pairs = stored(asks.groupBy("bucket").applyInArrow(_merged, PAIRS), "pairs", tidy=True)
     seen = pairs.agg(*[F.sum(F.col("seen")[i]).alias(f"n{i}") for i in range(TOP + 1)]).first()
