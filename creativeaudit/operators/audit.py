@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creativeaudit.functions.text import tag_key
@@ -79,9 +79,10 @@ def audit_by_key(audit: DataFrame, keys: DataFrame) -> DataFrame:
         F.sum("analyses").alias("analyses"), F.sum("cache_hits").alias("cache_hits"))
 
 
-def _violations(rows: DataFrame, table: str, name: str) -> DataFrame:
-    return rows.select(F.lit(table).alias("table_name"), F.lit(name).alias("constraint_name"),
-                       F.coalesce("n", F.lit(0)).cast("bigint").alias("violations"))
+def _key(cols: Sequence[str]) -> Column:
+    """Values as one text; long ones as their digest."""
+    text = F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)]))
+    return F.when(F.octet_length(text) > 64, F.sha2(text, 256)).otherwise(text)
 
 
 def integrity_checks(tables: dict[str, DataFrame], *,
@@ -89,27 +90,42 @@ def integrity_checks(tables: dict[str, DataFrame], *,
                      not_null: Sequence[tuple[str, Sequence[str]]] = (),
                      foreign: Sequence[tuple[str, str, str, str]] = (),
                      singleton: Sequence[str] = ()) -> DataFrame:
-    """One row per constraint with the number of offending rows or keys."""
-    found = []
+    """One row per constraint with the number of offending rows or keys.
+
+    Each table is scanned once. A row gives one fact (constraint, key, whether it stands on the parent's side)
+    for each constraint that it is under; all facts are counted by key in one shuffle, combined before it, so that a
+    value held by a third of the rows travels once per task. What offends is read off the counts.
+    """
+    rules: list[tuple[str, str, str]] = []  # table, name, kind
+    facts: dict[str, list[Column]] = {}
+
+    def add(table: str, name: str, kind: str, key: Column, when: Column | None = None, parent: str | None = None, parent_key: Column | None = None) -> None:
+        def fact(k: Column, held: bool, where: Column | None) -> Column:
+            one = F.struct(F.lit(len(rules)).alias("rule"), k.alias("key"), F.lit(held).alias("held"))
+            return one if where is None else F.when(where, one)
+
+        facts.setdefault(table, []).append(fact(key, False, when))
+        if parent is not None:
+            facts.setdefault(parent, []).append(fact(parent_key, True, None))
+        rules.append((table, name, kind))
+
     for table, cols in unique:
-        per = tables[table].groupBy(*cols).count().filter("count > 1")
-        found.append(_violations(per.agg(F.count(F.lit(1)).alias("n")), table,
-                                 "unique " + ",".join(cols)))
+        add(table, "unique " + ",".join(cols), "keys", _key(cols))
     for table, cols in not_null:
         for col in cols:
-            n = tables[table].agg(F.count_if(F.col(col).isNull()).alias("n"))
-            found.append(_violations(n, table, f"not null {col}"))
+            add(table, f"not null {col}", "rows", F.lit(""), F.col(col).isNull())
     for table, col, parent, parent_col in foreign:
-        # Counted per value first: a value held by a third of the rows joins once.
-        child = tables[table].filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).count()
-        held = tables[parent].select(F.col(parent_col).alias("v")).distinct()
-        orphans = child.join(held, "v", "left_anti")
-        found.append(_violations(orphans.agg(F.sum("count").alias("n")), table,
-                                 f"foreign {col} -> {parent}.{parent_col}"))
+        add(table, f"foreign {col} -> {parent}.{parent_col}", "orphans", _key([col]), F.col(col).isNotNull(), parent, _key([parent_col]))
     for table in singleton:
-        n = tables[table].agg(F.greatest(F.lit(0), F.count(F.lit(1)) - 1).alias("n"))
-        found.append(_violations(n, table, "single row"))
-    out = found[0]
-    for df in found[1:]:
-        out = out.unionByName(df)
-    return out
+        add(table, "single row", "more than one", F.lit(""))
+    rows = None
+    for table, found in facts.items():
+        part = tables[table].select(F.inline(F.filter(F.array(*found), lambda f: f.isNotNull())))
+        rows = part if rows is None else rows.unionByName(part)
+    per = rows.groupBy("rule", "key").agg(F.count_if(~F.col("held")).alias("n"), F.bool_or("held").alias("held"))
+    names = per.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rules)], "rule int, table_name string, constraint_name string, kind string")
+    offends = (F.when(F.col("kind") == "keys", (F.col("n") > 1).cast("bigint")).when(F.col("kind") == "rows", F.col("n"))
+               .when(F.col("kind") == "orphans", F.when(~F.col("held"), F.col("n"))).otherwise(F.greatest(F.lit(0), F.col("n") - 1)))
+    counted = per.join(F.broadcast(names.select("rule", "kind")), "rule").groupBy("rule").agg(F.sum(offends).alias("n"))  # a row per rule
+    return names.join(F.broadcast(counted), "rule", "left").select(
+        "table_name", "constraint_name", F.coalesce("n", F.lit(0)).cast("bigint").alias("violations"))

@@ -130,6 +130,20 @@ def verdict_json(verdicts: DataFrame, by: str = "creative_id") -> DataFrame:
     return grouped.select(by, text.alias("body_json"))
 
 
+#: What stands before the results of a response, in this order.
+HEADER = ("request_id", "image_hash", "image_bytes", "model", "packs_version", "decision_version", "cached", "latency_ms")
+
+
+def response_json(requests: DataFrame, verdicts: DataFrame, by: str = "request_id") -> DataFrame:
+    """The whole response of each request: its header, then the body of ``verdict_json``.
+
+    ``requests`` has the columns of HEADER, null ones are written as null. A request without verdicts gets no response.
+    """
+    head = F.to_json(F.struct(*HEADER), {"ignoreNullFields": "false"})
+    joined = requests.select(by, head.alias("head")).join(verdict_json(verdicts, by), by)
+    return joined.select(by, F.concat(F.expr("left(head, length(head) - 1)"), F.lit(","), F.expr("substring(body_json, 2)")).alias("response_json"))
+
+
 def decision_version(thresholds: DataFrame, rule: str, scorer_rule: str = "") -> DataFrame:
     """Fingerprint of the rule and of every field of every threshold row.
 

@@ -221,6 +221,16 @@ SELECT creative_id, '{"results":[' || string_agg('{"tag":"' || tag || '","presen
        CASE WHEN any_value(n) > 4 THEN ',"media":{"kind":"video","duration_s":' || (any_value(n) * 0.5::DOUBLE) || ',"frames_analyzed":' || any_value(n) ||
             ',"frames_considered":' || any_value(n) || '}' ELSE '' END || '}' AS body_json
 FROM v_collapsed JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) s ON conv_id = creative_id GROUP BY creative_id""")
+oracle("response_json", """
+SELECT r.request_id, '{"request_id":' || r.request_id || ',"image_hash":"' || sha256(CAST(r.creative_id AS VARCHAR)) || '","image_bytes":' || (r.creative_id * 1000 + 512) ||
+       ',"model":"vlm","packs_version":"' || any_value(r.packs_version) || '","decision_version":' || CASE WHEN any_value(r.packs_version) = 'v2' THEN '"rule-1"' ELSE 'null' END ||
+       ',"cached":' || any_value(r.cached) || ',"latency_ms":' || any_value(r.latency_ms) || ',"results":[' ||
+       string_agg('{"tag":"' || tag || '","present":' || coalesce(CAST(present AS VARCHAR), 'null') || ',"score":' || score ||
+         ',"confidence":"' || confidence || '","decided_by":"vlm","calibrated":' || calibrated_effective || ',"evidence":{"top_phrase":"' || role ||
+         ' turn","crop":null,"sigmoid":null}}', ',' ORDER BY tag) || ']' ||
+       coalesce(',"uncalibrated_tags":[' || string_agg('"' || tag || '"', ',' ORDER BY tag) FILTER (WHERE NOT calibrated_effective) || ']', '') || '}' AS response_json
+FROM v_requests r JOIN v_collapsed c ON c.creative_id = r.creative_id AND list_contains(string_split(r.tags, ','), c.tag)
+GROUP BY r.request_id, r.creative_id""")
 oracle("decision_version", """
 SELECT substr(sha256('rule-1|0.85|0.6|6|0.35|8.0|' || string_agg(b || h, '' ORDER BY b) || '|fallback:=false:~:~:~'), 1, 12) AS decision_version
 FROM (SELECT substr(d, 1, 3) AS b, sha256(string_agg(d, '' ORDER BY d)) AS h

@@ -115,6 +115,16 @@ def verdict_json(spark, sf):
     return verdicts.verdict_json(_collapsed(spark, sf).join(media, "creative_id"))
 
 
+@query
+def response_json(spark, sf):
+    """Responses with their headers: each request has the verdicts of its own tags."""
+    rows = intake.normalise_tags(I.requests(spark, sf))
+    asked = rows.select("request_id", "creative_id", F.explode("tags").alias("tag")).join(_collapsed(spark, sf), ["creative_id", "tag"])
+    still = asked.withColumns({"kind": F.lit("image"), "duration_s": F.lit(None).cast("double"), "analyzed": F.lit(1), "considered": F.lit(1)})
+    head = rows.withColumns({"image_bytes": F.col("creative_id") * 1000 + 512, "model": F.lit("vlm"), "decision_version": F.when(F.col("packs_version") == I.LIVE, "rule-1")})
+    return verdicts.response_json(head, still)
+
+
 @query
 def decision_version(spark, sf):
     return verdicts.decision_version(I.part_thresholds(spark, sf), "rule-1")

@@ -279,6 +279,33 @@ def test_catalogs_below_their_cap_are_judged_slug_by_slug(spark, monkeypatch, sl
     assert jobs[1] <= jobs[0] + 10  # plans adapt to sizes; the fold took a round or more for each of the 36 further blocks
 
 
+def test_integrity_checks_scan_each_table_once(spark, tmp_path):
+    long = "x" * 100
+    child = [(1, 1, "a"), (1, 1, "a"), (2, 5, None), (3, None, long), (4, 9, long), (5, 9, "b"), (None, 1, "c"), (None, 1, "c")]
+    spark.createDataFrame(child, "id long, p long, t string").write.parquet(f"{tmp_path}/child")
+    spark.createDataFrame([(1,), (5,), (5,)], "id long").write.parquet(f"{tmp_path}/parent")
+    tables = {t: spark.read.parquet(f"{tmp_path}/{t}") for t in ("child", "parent")}
+    got = audit.integrity_checks(tables, unique=[("child", ["id", "p"]), ("child", ["t"]), ("parent", ["id"])], not_null=[("child", ["t", "p"])],
+                                 foreign=[("child", "p", "parent", "id")], singleton=["parent"])
+    assert {(r["table_name"], r["constraint_name"]): r["violations"] for r in got.collect()} == {
+        ("child", "unique id,p"): 2, ("child", "unique t"): 3, ("parent", "unique id"): 1, ("child", "not null t"): 1, ("child", "not null p"): 1,
+        ("child", "foreign p -> parent.id"): 2, ("parent", "single row"): 2}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2
+
+
+def test_response_header_keeps_nulls_and_skips_unanswered(spark):
+    one = dict(request_id=1, kind="image", tag="dog", present=None, score=.5, confidence="low", decided_by="vlm", calibrated_effective=True,
+               top_phrase="a dog", frame_index=0, timestamp_s=None, first_position=0, duration_s=None, analyzed=1, considered=1)
+    kinds = ("request_id long, kind string, tag string, present boolean, score double, confidence string, decided_by string, calibrated_effective boolean, "
+             "top_phrase string, frame_index int, timestamp_s double, first_position int, duration_s double, analyzed int, considered int")
+    head = spark.createDataFrame([(1, "h", None, "m", "v", None, True, 7), (2, "h", 1, "m", "v", "d", False, 7)],
+                                 "request_id long, image_hash string, image_bytes long, model string, packs_version string, decision_version string, cached boolean, latency_ms int")
+    got = {r["request_id"]: json.loads(r["response_json"]) for r in verdicts.response_json(head, spark.createDataFrame([one], kinds)).collect()}
+    assert list(got) == [1] and list(got[1]) == [*verdicts.HEADER, "results"]
+    assert got[1]["image_bytes"] is None and got[1]["cached"] is True and got[1]["results"][0]["tag"] == "dog"
+
+
 # ---------------------------------------------------------------- sequential rules
 
 
