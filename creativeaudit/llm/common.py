@@ -53,6 +53,18 @@ def stored(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def parts(df: DataFrame, amount: Column, per_part: int) -> int:
     """How many parts of about ``per_part`` hold the sum of ``amount``."""
     total = df.agg(F.sum(amount).alias("n")).first()["n"] or 0

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creativeaudit.llm.common import blocked, loaded, mixed, pack, packed, pieces_of, small, stored, unpacked
+from creativeaudit.llm.common import blocked, loaded, mixed, pack, packed, pieces_of, small, stored, unpacked, unused
 
 #: Four UTF-16 units make 64 bits, so a gram is its own key.
 ORDER = 4
@@ -86,7 +86,9 @@ class Model:
         n1, n2, n3, n4 = table.agg(*[F.count_if(F.col("n") == i) for i in (1, 2, 3, 4)]).first()
         y = n1 / (n1 + 2 * n2) if n1 else 0.0
         raw = [i - (i + 1) * y * b / a if a else i / 2 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-        return tuple(min(max(d, 0.0), float(i)) for i, d in enumerate(raw, 1))
+        if min(raw) <= 0:  # odd counts of counts: nothing would be left to shorter contexts, and some probabilities were 0
+            return (y if 0 < y < 1 else 0.5,) * 3
+        return tuple(min(d, float(i)) for i, d in enumerate(raw, 1))
 
     def probabilities(self, wanted: DataFrame) -> DataFrame:
         """(gram, p) of the distinct grams in ``wanted``; all joins are on keys of grams, which are many and even."""
@@ -177,13 +179,12 @@ def _scored(docs, model):
     for batch in unpacked(docs.column("body")):
         for piece in pieces_of([batch]):
             length, found = grams(piece.column(piece.schema.get_field_index("text")))
-            sums = np.zeros(1)
+            sums, some = np.zeros(len(length)), np.flatnonzero(length)
             if len(found):
                 own, back = np.unique(found, return_inverse=True)
-                sums = np.concatenate((sums, np.cumsum(bits[np.searchsorted(key, own)][back])))
-            end = np.cumsum(length)
+                sums[some] = np.add.reduceat(bits[np.searchsorted(key, own)][back], (np.cumsum(length) - length)[some])
             out.append(pa.table([piece.column(i) for i, c in enumerate(piece.schema.names) if c in KEYS]
-                                + [pa.array(length), pa.array(sums[end] - sums[end - length])], names=[*KEYS, "units", "bits"]))
+                                + [pa.array(length), pa.array(sums)], names=[*KEYS, "units", "bits"]))
     return pa.concat_tables(out) if out else pa.table(
         [pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())],
         names=[*KEYS, "units", "bits"])
@@ -295,6 +296,7 @@ def keep_good(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, doc_i
               text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs``, whole and unchanged, that ``classified`` keeps."""
     bad = classified(docs, trusted, quantile, doc_id, text, lang).filter("NOT kept")
-    bad = stored(bad.select(F.col("doc_id").alias("bad_id"), F.col("mark").alias("bad_mark")).distinct(), "rejected")
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64(F.col(lang), F.col(text)) == F.col("bad_mark"))
+    bad_id, bad_mark = unused(docs, "bad_id", "bad_mark")
+    bad = stored(bad.select(F.col("doc_id").alias(bad_id), F.col("mark").alias(bad_mark)).distinct(), "rejected")
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col(bad_id)) & (F.xxhash64(F.col(lang), F.col(text)) == F.col(bad_mark))
     return docs.join(small(bad, IDS), same, "left_anti")

@@ -33,7 +33,7 @@ class Plain:
             of = Counter(c.values())
             y = of[1] / (of[1] + 2 * of[2]) if of[1] else 0
             d = [i - (i + 1) * y * of[i + 1] / of[i] if of[i] else i / 2 for i in (1, 2, 3)]
-            self.discount[n] = [min(max(x, 0), i) for i, x in enumerate(d, 1)]
+            self.discount[n] = [min(x, i) for i, x in enumerate(d, 1)] if min(d) > 0 else [y if 0 < y < 1 else .5] * 3
             for g, k in c.items():
                 self.follow[n][g[:-1]].append(k)
 
@@ -64,6 +64,24 @@ def test_bits_equal_the_plain_model(spark, monkeypatch):
     assert got == Counter((r[0], len(units(r[1])) - 3, round(plain.bits(r[1]), 6)) for r in rows)
 
 
+def test_odd_counts_of_counts_leave_no_probability_of_zero(spark):
+    """A discount of 0 gave infinite bits, and through the running sum no number for the next texts."""
+    trusted = [(i, t, "en") for i, t in enumerate(["ab", "ab", "ac", "ac", "ad", "ad", "ae", "ae", "ae", "af", "af", "af", "ag", "ag", "ag"] * 3)]
+    model = quality.Model(quality.gram_counts(spark.createDataFrame(trusted, "doc_id long, text string, lang string")))
+    assert all(d > 0 for ds in model.discounts.values() for d in ds)
+    docs = spark.createDataFrame([(1, "mz", "en"), (2, "ab", "en"), (3, "", "en"), (4, "zzzz", "en")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["bits"] for r in quality.bits_of(quality._rows_of(docs, "doc_id", "text", "lang"), model).collect()}
+    assert all(math.isfinite(b) for b in got.values()) and got[3] == 0 and got[2] < got[1]
+
+
+def test_columns_may_have_any_names(spark):
+    rows = [(i, "plain words of text " * 3 if i < 20 else "zq#x" * 9, "en", "a", "b") for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, bad_id string, bad_mark string")
+    trusted = spark.createDataFrame([(i,) for i in range(20)], "doc_id long")
+    got = quality.keep_good(docs, trusted)
+    assert got.columns == docs.columns and {tuple(r) for r in got.collect()} <= set(rows)
+
+
 def test_grams_of_a_column():
     length, keys = quality.grams(pa.array(["ab", None, "", "é"]))
     assert list(length) == [2, 0, 0, 1] and [int(k) & 0xFFFF for k in keys] == [97, 98, 233]
