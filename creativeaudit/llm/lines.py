@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creativeaudit.llm.common import NO_ID, stored
+from creativeaudit.llm.common import NO_ID, stored, unused
 from creativeaudit.session import fresh_path
 
 #: Lines from which a repeated run counts.
@@ -50,7 +50,8 @@ def _dense(groups: DataFrame, keys: list[str]) -> DataFrame:
     spark = groups.sparkSession
     path = fresh_path(spark, "ranks")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups.repartitionByRange(n, *keys).sortWithinPartitions(*keys).write.parquet(path)
+    # A file for each range, whatever the session says about rows of a file.
+    groups.repartitionByRange(n, *keys).sortWithinPartitions(*keys).write.option("maxRecordsPerFile", 0).parquet(path)
     rows = spark.read.schema(groups.schema).parquet(path).select(
         "*", F.split(F.col("_metadata.file_name"), "-")[1].cast("int").alias("file"), F.col("_metadata.row_index").alias("nth"))
     # One row per file of the table just written.
@@ -118,11 +119,13 @@ def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, doc_id: str
     no rows; other columns are kept, a former n_lines_removed is replaced.
     """
     gone = later_copies(docs, min_lines, doc_id, text).groupBy("doc", "mark").agg(F.collect_set("at").alias("gone"))
-    keys = ["__doc", "__mark"]
-    gone = gone.select(F.col("doc").alias(keys[0]), F.col("mark").alias(keys[1]), F.col("gone").alias("__gone"))
-    keyed = docs.withColumns({keys[0]: F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), keys[1]: _mark(F.col(text))})
-    numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    kept = F.array_join(F.transform(F.filter(numbered, lambda y: ~F.array_contains("__gone", y["i"])), lambda y: y["x"]), "\n")
-    return keyed.join(gone, keys, "left").withColumns({
-        text: F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept),
-        "n_lines_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")}).drop(*keys, "__gone")
+    doc, mark, at, whole = unused(docs, "doc", "mark", "gone", "whole")
+    gone = gone.select(F.col("doc").alias(doc), F.col("mark").alias(mark), F.col("gone").alias(at))
+    keyed = docs.withColumns({doc: F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), mark: _mark(F.col(text))})
+    # A column of its own: inside the function below the text would be split again for every line.
+    cut = keyed.join(gone, [doc, mark], "left").withColumn(whole, F.explode(F.array(F.when(F.col(at).isNotNull(), F.split(text, "\n")))))
+    left = F.array_except(F.sequence(F.lit(0), F.size(whole) - 1), at)  # by a hash set: work in proportion to the lines
+    kept = F.array_join(F.transform(left, lambda i: F.get(whole, i)), "\n")
+    return cut.withColumns({
+        text: F.when(F.col(at).isNull(), F.col(text)).otherwise(kept),
+        "n_lines_removed": F.coalesce(F.size(at), F.lit(0)).cast("long")}).drop(doc, mark, at, whole)

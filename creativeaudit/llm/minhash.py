@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creativeaudit.llm.common import Words, mixed, packed, pieces_of, small, stored
+from creativeaudit.llm.common import Words, mixed, packed, pieces_of, small, stored, unused
 
 #: 40 bands of 6 minima: two sets of similarity 0.85 share no band with probability 6e-9, of 0.8 with 6e-6.
 BANDS, ROWS = 40, 6
@@ -310,5 +310,6 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def without(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The documents whose id isn't in ``ids`` (doc_id); those without an id stay."""
-    ids = stored(ids.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(small(ids, IDS), F.col(doc_id) == F.col("__gone"), "left_anti")
+    gone, = unused(docs, "gone")
+    ids = stored(ids.select(F.col("doc_id").alias(gone)).distinct(), "gone")
+    return docs.join(small(ids, IDS), F.col(doc_id) == F.col(gone), "left_anti")

@@ -1,6 +1,7 @@
 """Line and substring dedup against plain Python."""
 
 import hashlib
+import time
 from collections import Counter, defaultdict
 
 import messy
@@ -41,6 +42,27 @@ def test_repeated_lines(spark, depth):
     assert "extra mark" in {r["mark"] for r in got.select("mark").collect()}
 
 
+def test_ranks_hold_when_files_are_cut(spark):
+    docs = spark.createDataFrame([(i, "\n".join(f"line {(i * 7 + j) % 50}" for j in range(20))) for i in range(60)], "doc_id long, text string")
+    want = sorted(tuple(r) for r in lines.drop_repeated_lines(docs).collect())
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "20")
+    try:
+        assert sorted(tuple(r) for r in lines.drop_repeated_lines(docs).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
+def test_very_many_lines_and_any_names_of_columns(spark):
+    text = "\n".join(f"line {i}" for i in range(60_000))
+    docs = spark.createDataFrame([(i, text, "x", "y", "z", "u", "v", "w") for i in (1, 2)], "doc_id long, text string, doc string, mark string, gone string, __doc string, __mark string, __gone string")
+    began = time.monotonic()
+    got = lines.drop_repeated_lines(docs)
+    assert got.columns == [*docs.columns, "n_lines_removed"]
+    assert [(r["doc_id"], r["text"] == text, r["n_lines_removed"], r["__gone"], r["gone"]) for r in got.orderBy("doc_id").collect()] == [
+        (1, True, 0, "w", "z"), (2, False, 60_000, "w", "z")]
+    assert time.monotonic() - began < 60
+
+
 def test_runs_are_maximal(spark):
     rows = [(1, "a\nb\nc\nd", "en", "s", 1), (2, "x\na\nb\nc\ny\nc\nd", "en", "s", 1)]
     got = sorted(map(tuple, lines.repeated_runs(messy.frame(spark, rows)).collect()))

@@ -81,3 +81,9 @@ def test_nothing_in_nothing_out(spark):
 def test_without_keeps_the_rest(spark):
     got = minhash.without(messy.frame(spark), spark.createDataFrame([(1,), (2,)], "doc_id long"))
     assert got.count() == len([r for r in messy.documents() if r[0] not in (1, 2)])
+
+
+def test_columns_may_have_any_names(spark):
+    docs = spark.createDataFrame([(1, "a", "b"), (2, "c", "d"), (None, "e", "f")], "doc_id long, __gone string, gone string")
+    gone = spark.createDataFrame([(1,)], "doc_id long")
+    assert sorted(map(tuple, minhash.without(docs, gone).collect()), key=str) == [(2, "c", "d"), (None, "e", "f")]
