@@ -44,9 +44,9 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: the ids of every text."""
-    out = pieces.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path(MODEL), keep_text=False)
-    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Operator 2: the ids of every text, and the digest of what they decode to."""
+    out = pieces.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path(MODEL), keep_text=False, digest="decoded_sha256")
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [("quality classifier", good_text), ("line dedup", new_lines), ("near-duplicates", one_of_each),
