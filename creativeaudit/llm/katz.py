@@ -310,16 +310,12 @@ def _asked(n_buckets: int, hot: np.ndarray, common):
 
 # ---------------------------------------------------------------- pairs
 
-PAIRS = "bucket int, pairs binary, seen array<long>, blocks array<int>, sizes array<int>, asks binary"
+PAIRS = "bucket int, pairs binary, lower binary, seen array<long>"
 
 
 def _merged(asks: pa.Table) -> pa.Table:
-    """The distinct pairs of training text in a bucket with their counts, how many have the counts 1 to TOP + 1, and what was asked."""
-    one = np.argsort(np.asarray(asks.column("block")), kind="stable")
-    bodies = [asks.column("asks")[i] for i in one.tolist()]
-    v, w, c, r, hot = _loaded(bodies, ["v", "w", "c", "r", "hot"])
-    sizes = [len(_loaded([body], ["hot"])[0]) for body in bodies]
-    asked = _body(v=v, w=w, c=c)
+    """The distinct pairs of training text in a bucket with their counts, and how many have the counts 1 to TOP + 1."""
+    v, w, c, r, hot = _loaded(asks.column("asks"), ["v", "w", "c", "r", "hot"])
     by = np.flatnonzero(r > 0)
     by = by[np.lexsort((w[by], v[by]))]
     v, w, c, r, hot = (x[by] for x in (v, w, c, r, hot))
@@ -327,10 +323,9 @@ def _merged(asks: pa.Table) -> pa.Table:
     r = np.add.reduceat(r, start) if len(start) else r
     v, w, c, hot = (x[start] for x in (v, w, c, hot))
     seen = np.bincount(np.minimum(r, TOP + 2), minlength=TOP + 3)[1:TOP + 2]
-    return pa.table([pa.array([asks.column("bucket")[0].as_py()], pa.int32()), pa.array([_body(v=v, w=w, c=c, r=r, hot=hot)], pa.binary()),
-                     pa.array([seen.tolist()], pa.list_(pa.int64())), pa.array([np.asarray(asks.column("block"))[one].tolist()], pa.list_(pa.int32())),
-                     pa.array([sizes], pa.list_(pa.int32())), pa.array([asked], pa.binary())],
-                    names=["bucket", "pairs", "seen", "blocks", "sizes", "asks"])
+    pa.default_memory_pool().release_unused()
+    return pa.table([pa.array([asks.column("bucket")[0].as_py()], pa.int32()), pa.array([_body(v=v, w=w, r=r)], pa.binary()),
+                     pa.array([_body(c=c, hot=hot)], pa.binary()), pa.array([seen.tolist()], pa.list_(pa.int64()))], names=["bucket", "pairs", "lower", "seen"])
 
 
 WEIGHTS = "bucket int, weights binary, v long, count long, kept double, lower double"
@@ -345,8 +340,9 @@ def _weighed(order: Discounted, lower: Unigrams):
     """Weights of the contexts that a bucket holds in full, and the bucket's part of each hot one as a row."""
     def run(batches):
         for batch in batches:
-            for bucket, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                v, c, r, hot = _loaded([body], ["v", "c", "r", "hot"])
+            for bucket, body, rest in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                v, r = _loaded([body], ["v", "r"])
+                c, hot = _loaded([rest], ["c", "hot"])
                 start = _runs(v)
                 count, kept, below = (np.add.reduceat(x, start) if len(start) else x.astype(float) for x in (r, order.kept(r), lower.p(c)))
                 v, hot = v[start], hot[start].astype(bool)
@@ -379,26 +375,27 @@ def _answered(order: Discounted, lower: Unigrams, hot: dict[int, tuple[float, fl
     hot_v = np.array(sorted(hot), np.int64)
     hot_total, hot_weight = (np.array([hot[int(v)][i] for v in hot_v], float) for i in (0, 1))
 
-    def run(rows: pa.Table, weights: pa.Table) -> pa.Table:
-        out = []
-        if rows.num_rows:
-            pv, pw, pr = _loaded(rows.column("pairs"), ["v", "w", "r"])
-            contexts, totals, shares = _loaded(weights.column("weights"), ["v", "total", "weight"])
-            # What was never a context leaves all to the order below.
-            contexts, totals, shares = np.concatenate((contexts, hot_v)), np.concatenate((totals, hot_total)), np.concatenate((shares, hot_weight))
-            by = np.argsort(contexts)
-            contexts, totals, shares = contexts[by], np.append(totals[by], 1.0), np.append(shares[by], 1.0)
-            p = np.append(np.log10(order.kept(pr) / totals[_at((contexts,), (pv,))]), 0.0)
-            v, w, c = _loaded(rows.column("asks"), ["v", "w", "c"])
-            at = _at((pv, pw), (v, w))
-            logs = np.where(at < len(pv), p[at], np.log10(lower.p(c)) + np.log10(shares[_at((contexts,), (v,))]))
-            a = 0
-            for block, n in zip(rows.column("blocks")[0].as_py(), rows.column("sizes")[0].as_py()):
-                # The same few values come again and again: they are sent once, and their numbers.
-                value, nth = np.unique(logs[a:a + n], return_inverse=True)
-                out.append((block, rows.column("bucket")[0].as_py(), _body(nth=nth, c=c[a:a + n]), _body(value=value)))
-                a += n
+    def run(asks: pa.Table, model: pa.Table) -> pa.Table:
+        pv, pw, pr = _loaded(model.column("pairs").drop_null(), ["v", "w", "r"])
+        contexts, totals, shares = _loaded(model.column("weights").drop_null(), ["v", "total", "weight"])
+        # What was never a context leaves all to the order below.
+        contexts, totals, shares = np.concatenate((contexts, hot_v)), np.concatenate((totals, hot_total)), np.concatenate((shares, hot_weight))
+        by = np.argsort(contexts)
+        contexts, totals, shares = contexts[by], np.append(totals[by], 1.0), np.append(shares[by], 1.0)
+        p = np.append(np.log10(order.kept(pr) / totals[_at((contexts,), (pv,))]), 0.0)
+        bodies = list(asks.column("asks"))
+        v, w, c = _loaded(bodies, ["v", "w", "c"])
+        at = _at((pv, pw), (v, w))
+        logs = np.where(at < len(pv), p[at], np.log10(lower.p(c)) + np.log10(shares[_at((contexts,), (v,))]))
+        out, a = [], 0
+        for block, bucket, body in zip(asks.column("block").to_pylist(), asks.column("bucket").to_pylist(), bodies):
+            own = slice(a, a + len(_loaded([body], ["hot"])[0]))
+            # The same few values come again and again: they are sent once, and their numbers.
+            value, nth = np.unique(logs[own], return_inverse=True)
+            out.append((block, bucket, _body(nth=nth, c=c[own]), _body(value=value)))
+            a = own.stop
         cols = list(zip(*out)) if out else [[]] * 4
+        pa.default_memory_pool().release_unused()
         return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())],
                         names=["block", "bucket", "nth", "logs"])
 
@@ -455,16 +452,18 @@ def scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     texts = pack(rows.select("block", "doc_id", "taught", "text"))
     share = (lower.tokens + n_taught) / HOT
     hot_words = np.array(sorted(r["hash"] for r in words.filter(F.col("n") > share).select("hash").collect()), np.int64)  # fewer than HOT
-    n_buckets = max(1, n // 4)
-    asks = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_asked(n_buckets, hot_words, common), "block int, bucket int, asks binary")
+    n_buckets = max(1, n // 2)
+    asks = stored(texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_asked(n_buckets, hot_words, common), "block int, bucket int, asks binary"), "asks", tidy=True)
     pairs = stored(asks.groupBy("bucket").applyInArrow(_merged, PAIRS), "pairs", tidy=True)
     seen = pairs.agg(*[F.sum(F.col("seen")[i]).alias(f"n{i}") for i in range(TOP + 1)]).first()
     order = Discounted([x or 0 for x in seen])
-    weights = stored(pairs.select("bucket", "pairs").mapInArrow(_weighed(order, lower), WEIGHTS), "weights", tidy=True)
+    weights = stored(pairs.select("bucket", "pairs", "lower").mapInArrow(_weighed(order, lower), WEIGHTS), "weights", tidy=True)
     # One row for each context that more than a share of all tokens follow, and for the start: HOT at most.
     hot = weights.filter("v IS NOT NULL").groupBy("v").agg(F.sum("count").alias("count"), F.sum("kept").alias("kept"), F.sum("lower").alias("lower")).collect()
     hot = {r["v"]: (float(total(r["count"], r["kept"])), float(_weigh(r["count"], r["kept"], r["lower"]))) for r in hot}
-    answers = stored(pairs.groupBy("bucket").cogroup(weights.filter("weights IS NOT NULL").groupBy("bucket")).applyInArrow(
+    none = F.lit(None).cast("binary")
+    model = pairs.select("bucket", "pairs", none.alias("weights")).unionByName(weights.filter("weights IS NOT NULL").select("bucket", none.alias("pairs"), "weights"))
+    answers = stored(asks.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(
         _answered(order, lower, hot), "block int, bucket int, nth binary, logs binary"), "answers", tidy=True)
     out = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(n_buckets, hot_words, lower), SCORES)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(lower.tokens).cast("long").alias("train_tokens"), "base_score", "score")
