@@ -327,8 +327,22 @@ def _as_list(carry) -> list[int]:
 # ------------------------------------------------------------------ frames
 
 
+#: Parts of a signature whose sums are compared before the signature itself.
+SEGMENTS = 8
+
+
+def _sums(signature: np.ndarray) -> np.ndarray:
+    """Sums of up to SEGMENTS parts. Two signatures differ at least as much as the sums of their parts do."""
+    n = len(signature)
+    out = np.zeros(SEGMENTS)
+    if n:
+        parts = min(SEGMENTS, n)
+        out[:parts] = np.add.reduceat(signature, np.arange(parts) * n // parts)
+    return out
+
+
 class _Kept:
-    """The frames kept so far: instants, ids, and per signature length a growing matrix with the means of its rows."""
+    """The frames kept so far: instants, ids, and per signature length a growing matrix with the sums of parts of its rows."""
 
     def __init__(self) -> None:
         self.at: list[float] = []
@@ -337,11 +351,11 @@ class _Kept:
         self.by_length: dict[int, list] = {}
 
     def add(self, at: float, frame_id: int, signature: np.ndarray) -> None:
-        held = self.by_length.setdefault(len(signature), [np.empty((8, len(signature))), np.empty(8), [], 0])
-        matrix, means, places, n = held
-        if n == len(means):
-            held[0], held[1] = np.concatenate((matrix, matrix)), np.concatenate((means, means))
-        held[0][n], held[1][n] = signature, signature.mean() if len(signature) else 0.0
+        held = self.by_length.setdefault(len(signature), [np.empty((8, len(signature))), np.empty((8, SEGMENTS)), [], 0])
+        matrix, sums, places, n = held
+        if n == len(sums):
+            held[0], held[1] = np.concatenate((matrix, matrix)), np.concatenate((sums, sums))
+        held[0][n], held[1][n] = signature, _sums(signature)
         places.append(len(self.ids))
         held[3] = n + 1
         self.at.append(at)
@@ -349,11 +363,15 @@ class _Kept:
         self.signatures.append(signature)
 
     def first_alike(self, signature: np.ndarray, max_mad: float) -> tuple[int, float] | None:
-        """(place, difference) of the earliest kept frame within ``max_mad``. Means differ by no more than the frames do."""
+        """(place, difference) of the earliest kept frame within ``max_mad``."""
         if not len(signature) or len(signature) not in self.by_length:
             return None
-        matrix, means, places, n = self.by_length[len(signature)]
-        near = np.flatnonzero(np.abs(means[:n] - signature.mean()) <= max_mad + 1e-9)
+        matrix, sums, places, n = self.by_length[len(signature)]
+        own = _sums(signature)
+        most = max_mad * len(signature) + 1e-9 * (1 + np.abs(signature).sum())
+        near = np.arange(n)
+        for parts in (1, 2, SEGMENTS):  # few columns first, the others for what they leave
+            near = near[np.abs(sums[near, :parts] - own[:parts]).sum(axis=1) <= most]
         for i in range(0, len(near), 256):
             part = near[i:i + 256]
             mad = np.abs(matrix[part] - signature).sum(axis=1) / len(signature)
