@@ -45,14 +45,22 @@ def small_batches(spark: SparkSession, **more: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def stored(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, tidy: bool = False, **options: str) -> DataFrame:
     """``df`` as a table in the shared folder: later steps read it and don't repeat what made it."""
     path = fresh_path(df.sparkSession, name)
     with small_batches(df.sparkSession, **TIDY if tidy else {}):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(table: DataFrame) -> None:
+    """Deletes a ``stored`` table that nothing still to be computed reads."""
+    spark = table.sparkSession
+    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Names like these that no column of ``df`` has, in any case of letters."""
     taken = {c.lower() for c in df.columns}

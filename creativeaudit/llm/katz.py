@@ -5,8 +5,8 @@ the words that never followed it, in proportion to the order below, with a
 weight that makes the probabilities of a context add up to one exactly. The
 lowest order knows each word of the training text and one class for all others.
 
-The model is three tables: words (hash, id, n), pairs by bucket of their
-context, and weights by bucket. Texts are cut into blocks. A block sends each
+The model is two tables: words (hash, id, n), and pairs by bucket of their
+context, from which the bucket's weights follow. Texts are cut into blocks. A block sends each
 of its distinct pairs once, with its count in training text, to the pair's
 bucket, and gets one logarithm back for it, in an order that the block's texts
 alone determine. So a shuffle holds distinct pairs, as small numbers, and not
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creativeaudit.llm.common import Words, blocked, mixed, pack, parts, pieces_of, stored, unpacked
+from creativeaudit.llm.common import Words, blocked, mixed, pack, parts, pieces_of, removed, stored, unpacked
 
 BLOCK_BYTES = 4_000_000
 #: Words whose ids are given out in one window.
@@ -310,11 +310,14 @@ def _asked(n_buckets: int, hot: np.ndarray, common):
 
 # ---------------------------------------------------------------- pairs
 
-PAIRS = "bucket int, pairs binary, lower binary, seen array<long>"
+#: A row per bucket. It holds what its blocks asked, about as much as two blocks have, whatever the size of the input.
+BUCKETS = "bucket int, blocks array<int>, asks array<binary>, pairs binary, lower binary, seen array<long>"
+#: Row groups of a few such rows: a reader holds one of them.
+FEW_ROWS = {"parquet.block.size": str(32 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 
 
 def _merged(asks: pa.Table) -> pa.Table:
-    """The distinct pairs of training text in a bucket with their counts, and how many have the counts 1 to TOP + 1."""
+    """The distinct pairs of training text in a bucket with their counts, how many have the counts 1 to TOP + 1, and what was asked, as it came."""
     v, w, c, r, hot = _loaded(asks.column("asks"), ["v", "w", "c", "r", "hot"])
     by = np.flatnonzero(r > 0)
     by = by[np.lexsort((w[by], v[by]))]
@@ -324,11 +327,10 @@ def _merged(asks: pa.Table) -> pa.Table:
     v, w, c, hot = (x[start] for x in (v, w, c, hot))
     seen = np.bincount(np.minimum(r, TOP + 2), minlength=TOP + 3)[1:TOP + 2]
     pa.default_memory_pool().release_unused()
-    return pa.table([pa.array([asks.column("bucket")[0].as_py()], pa.int32()), pa.array([_body(v=v, w=w, r=r)], pa.binary()),
-                     pa.array([_body(c=c, hot=hot)], pa.binary()), pa.array([seen.tolist()], pa.list_(pa.int64()))], names=["bucket", "pairs", "lower", "seen"])
-
-
-WEIGHTS = "bucket int, weights binary, v long, count long, kept double, lower double"
+    one = lambda column: pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column.combine_chunks())
+    return pa.table([pa.array([asks.column("bucket")[0].as_py()], pa.int32()), one(asks.column("block")), one(asks.column("asks")),
+                     pa.array([_body(v=v, w=w, r=r)], pa.binary()), pa.array([_body(c=c, hot=hot)], pa.binary()),
+                     pa.array([seen.tolist()], pa.list_(pa.int64()))], names=["bucket", "blocks", "asks", "pairs", "lower", "seen"])
 
 
 def _weigh(count, kept, lower):
@@ -336,24 +338,25 @@ def _weigh(count, kept, lower):
     return (1 - kept / total(count, kept)) / (1 - lower)
 
 
-def _weighed(order: Discounted, lower: Unigrams):
-    """Weights of the contexts that a bucket holds in full, and the bucket's part of each hot one as a row."""
+def _contexts(v, r, rest, order: Discounted, lower: Unigrams):
+    """Of the pairs of a bucket: contexts, their counts, what is kept of those, what the order below gives to the same words, and which are dealt out."""
+    c, hot = _loaded([rest], ["c", "hot"])
+    start = _runs(v)
+    count, kept, below = (np.add.reduceat(x, start) if len(start) else x.astype(float) for x in (r, order.kept(r), lower.p(c)))
+    return v[start], count, kept, below, hot[start].astype(bool)
+
+
+HOT_PARTS = "v long, count long, kept double, lower double"
+
+
+def _hot_parts(order: Discounted, lower: Unigrams):
+    """Each bucket's part of the contexts that are dealt out."""
     def run(batches):
         for batch in batches:
-            for bucket, body, rest in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                v, r = _loaded([body], ["v", "r"])
-                c, hot = _loaded([rest], ["c", "hot"])
-                start = _runs(v)
-                count, kept, below = (np.add.reduceat(x, start) if len(start) else x.astype(float) for x in (r, order.kept(r), lower.p(c)))
-                v, hot = v[start], hot[start].astype(bool)
-                own = ~hot
-                rows = np.flatnonzero(hot)
-                n = len(rows)
-                body = _body(v=v[own], total=total(count[own], kept[own]), weight=_weigh(count[own], kept[own], below[own]))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([bucket] * (n + 1), pa.int32()), pa.array([body] + [None] * n, pa.binary()), pa.array([None, *v[rows].tolist()], pa.int64()),
-                    pa.array([None, *count[rows].tolist()], pa.int64()), pa.array([None, *kept[rows].tolist()], pa.float64()),
-                    pa.array([None, *below[rows].tolist()], pa.float64())], names=["bucket", "weights", "v", "count", "kept", "lower"])
+            for body, rest in zip(batch.column(0), batch.column(1)):
+                v, count, kept, below, hot = _contexts(*_loaded([body], ["v", "r"]), rest, order, lower)
+                yield pa.RecordBatch.from_arrays([pa.array(v[hot], pa.int64()), pa.array(count[hot], pa.int64()), pa.array(kept[hot], pa.float64()),
+                                                  pa.array(below[hot], pa.float64())], names=["v", "count", "kept", "lower"])
 
     return run
 
@@ -375,29 +378,36 @@ def _answered(order: Discounted, lower: Unigrams, hot: dict[int, tuple[float, fl
     hot_v = np.array(sorted(hot), np.int64)
     hot_total, hot_weight = (np.array([hot[int(v)][i] for v in hot_v], float) for i in (0, 1))
 
-    def run(asks: pa.Table, model: pa.Table) -> pa.Table:
-        pv, pw, pr = _loaded(model.column("pairs").drop_null(), ["v", "w", "r"])
-        contexts, totals, shares = _loaded(model.column("weights").drop_null(), ["v", "total", "weight"])
+    def answer(bucket: int, blocks, bodies, pairs, rest) -> pa.RecordBatch:
+        pv, pw, pr = _loaded([pairs], ["v", "w", "r"])
+        contexts, count, kept, below, dealt = _contexts(pv, pr, rest, order, lower)
+        contexts, count, kept, below = (x[~dealt] for x in (contexts, count, kept, below))
         # What was never a context leaves all to the order below.
-        contexts, totals, shares = np.concatenate((contexts, hot_v)), np.concatenate((totals, hot_total)), np.concatenate((shares, hot_weight))
+        contexts = np.concatenate((contexts, hot_v))
+        totals, shares = np.concatenate((total(count, kept), hot_total)), np.concatenate((_weigh(count, kept, below), hot_weight))
         by = np.argsort(contexts)
         contexts, totals, shares = contexts[by], np.append(totals[by], 1.0), np.append(shares[by], 1.0)
         p = np.append(np.log10(order.kept(pr) / totals[_at((contexts,), (pv,))]), 0.0)
-        bodies = list(asks.column("asks"))
         v, w, c = _loaded(bodies, ["v", "w", "c"])
         at = _at((pv, pw), (v, w))
         logs = np.where(at < len(pv), p[at], np.log10(lower.p(c)) + np.log10(shares[_at((contexts,), (v,))]))
-        out, a = [], 0
-        for block, bucket, body in zip(asks.column("block").to_pylist(), asks.column("bucket").to_pylist(), bodies):
+        nths, values, a = [], [], 0
+        for body in bodies:
             own = slice(a, a + len(_loaded([body], ["hot"])[0]))
             # The same few values come again and again: they are sent once, and their numbers.
             value, nth = np.unique(logs[own], return_inverse=True)
-            out.append((block, bucket, _body(nth=nth, c=c[own]), _body(value=value)))
+            nths.append(_body(nth=nth, c=c[own]))
+            values.append(_body(value=value))
             a = own.stop
-        cols = list(zip(*out)) if out else [[]] * 4
         pa.default_memory_pool().release_unused()
-        return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())],
-                        names=["block", "bucket", "nth", "logs"])
+        return pa.RecordBatch.from_arrays([blocks, pa.array([bucket] * len(blocks), pa.int32()), pa.array(nths, pa.binary()), pa.array(values, pa.binary())],
+                                          names=["block", "bucket", "nth", "logs"])
+
+    def run(batches):
+        for batch in batches:
+            bucket, blocks, asks, pairs, rest = (batch.column(batch.schema.get_field_index(c)) for c in ("bucket", "blocks", "asks", "pairs", "lower"))
+            for i in range(batch.num_rows):
+                yield answer(bucket[i].as_py(), blocks[i].values, list(asks[i].values), pairs[i], rest[i])
 
     return run
 
@@ -453,17 +463,17 @@ def scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     share = (lower.tokens + n_taught) / HOT
     hot_words = np.array(sorted(r["hash"] for r in words.filter(F.col("n") > share).select("hash").collect()), np.int64)  # fewer than HOT
     n_buckets = max(1, n // 2)
-    asks = stored(texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_asked(n_buckets, hot_words, common), "block int, bucket int, asks binary"), "asks", tidy=True)
-    pairs = stored(asks.groupBy("bucket").applyInArrow(_merged, PAIRS), "pairs", tidy=True)
-    seen = pairs.agg(*[F.sum(F.col("seen")[i]).alias(f"n{i}") for i in range(TOP + 1)]).first()
+    asks = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_asked(n_buckets, hot_words, common), "block int, bucket int, asks binary")
+    # What is asked is shuffled once: its bucket keeps it next to the counts that answer it.
+    buckets = stored(asks.groupBy("bucket").applyInArrow(_merged, BUCKETS), "buckets", tidy=True, **FEW_ROWS)
+    seen = buckets.agg(*[F.sum(F.col("seen")[i]).alias(f"n{i}") for i in range(TOP + 1)]).first()
     order = Discounted([x or 0 for x in seen])
-    weights = stored(pairs.select("bucket", "pairs", "lower").mapInArrow(_weighed(order, lower), WEIGHTS), "weights", tidy=True)
     # One row for each context that more than a share of all tokens follow, and for the start: HOT at most.
-    hot = weights.filter("v IS NOT NULL").groupBy("v").agg(F.sum("count").alias("count"), F.sum("kept").alias("kept"), F.sum("lower").alias("lower")).collect()
+    parts_of_hot = stored(buckets.select("pairs", "lower").mapInArrow(_hot_parts(order, lower), HOT_PARTS), "hot-contexts")
+    hot = parts_of_hot.groupBy("v").agg(F.sum("count").alias("count"), F.sum("kept").alias("kept"), F.sum("lower").alias("lower")).collect()
     hot = {r["v"]: (float(total(r["count"], r["kept"])), float(_weigh(r["count"], r["kept"], r["lower"]))) for r in hot}
-    none = F.lit(None).cast("binary")
-    model = pairs.select("bucket", "pairs", none.alias("weights")).unionByName(weights.filter("weights IS NOT NULL").select("bucket", none.alias("pairs"), "weights"))
-    answers = stored(asks.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(
+    answers = stored(buckets.select("bucket", "blocks", "asks", "pairs", "lower").mapInArrow(
         _answered(order, lower, hot), "block int, bucket int, nth binary, logs binary"), "answers", tidy=True)
+    removed(buckets)
     out = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(n_buckets, hot_words, lower), SCORES)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(lower.tokens).cast("long").alias("train_tokens"), "base_score", "score")
