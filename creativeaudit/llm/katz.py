@@ -311,26 +311,31 @@ def _asked(n_buckets: int, hot: np.ndarray, common):
 # ---------------------------------------------------------------- pairs
 
 #: A row per bucket. It holds what its blocks asked, about as much as two blocks have, whatever the size of the input.
-BUCKETS = "bucket int, blocks array<int>, asks array<binary>, pairs binary, lower binary, seen array<long>"
+BUCKETS = "bucket int, blocks array<int>, places array<binary>, pairs binary, lower binary, seen array<long>"
 #: Row groups of a few such rows: a reader holds one of them.
 FEW_ROWS = {"parquet.block.size": str(32 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 
 
 def _merged(asks: pa.Table) -> pa.Table:
-    """The distinct pairs of training text in a bucket with their counts, how many have the counts 1 to TOP + 1, and what was asked, as it came."""
-    v, w, c, r, hot = _loaded(asks.column("asks"), ["v", "w", "c", "r", "hot"])
-    by = np.flatnonzero(r > 0)
-    by = by[np.lexsort((w[by], v[by]))]
-    v, w, c, r, hot = (x[by] for x in (v, w, c, r, hot))
-    start = _runs(v, w)
-    r = np.add.reduceat(r, start) if len(start) else r
-    v, w, c, hot = (x[start] for x in (v, w, c, hot))
+    """The distinct pairs of a bucket with their counts in training text, how many have the counts 1 to TOP + 1, and for each block the places of its pairs among them."""
+    bodies = list(asks.column("asks"))
+    v, w, c, r, hot = _loaded(bodies, ["v", "w", "c", "r", "hot"])
+    by = np.lexsort((w, v))
+    start = _runs(v[by], w[by])
+    place = np.empty(len(by), np.int64)
+    place[by] = np.repeat(np.arange(len(start)), np.diff(start, append=len(by)))
+    r = np.add.reduceat(r[by], start) if len(start) else r
+    v, w, c, hot = (x[by[start]] for x in (v, w, c, hot))
     seen = np.bincount(np.minimum(r, TOP + 2), minlength=TOP + 3)[1:TOP + 2]
+    places, a = [], 0
+    for body in bodies:
+        own = slice(a, a + len(_loaded([body], ["hot"])[0]))
+        places.append(_body(v=place[own]))  # they mostly rise, by small steps
+        a = own.stop
     pa.default_memory_pool().release_unused()
-    one = lambda column: pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column.combine_chunks())
-    return pa.table([pa.array([asks.column("bucket")[0].as_py()], pa.int32()), one(asks.column("block")), one(asks.column("asks")),
-                     pa.array([_body(v=v, w=w, r=r)], pa.binary()), pa.array([_body(c=c, hot=hot)], pa.binary()),
-                     pa.array([seen.tolist()], pa.list_(pa.int64()))], names=["bucket", "blocks", "asks", "pairs", "lower", "seen"])
+    return pa.table([pa.array([asks.column("bucket")[0].as_py()], pa.int32()), pa.array([asks.column("block").to_pylist()], pa.list_(pa.int32())),
+                     pa.array([places], pa.list_(pa.binary())), pa.array([_body(v=v, w=w, r=r)], pa.binary()), pa.array([_body(c=c, hot=hot)], pa.binary()),
+                     pa.array([seen.tolist()], pa.list_(pa.int64()))], names=["bucket", "blocks", "places", "pairs", "lower", "seen"])
 
 
 def _weigh(count, kept, lower):
@@ -338,9 +343,9 @@ def _weigh(count, kept, lower):
     return (1 - kept / total(count, kept)) / (1 - lower)
 
 
-def _contexts(v, r, rest, order: Discounted, lower: Unigrams):
+def _contexts(v, r, c, hot, order: Discounted, lower: Unigrams):
     """Of the pairs of a bucket: contexts, their counts, what is kept of those, what the order below gives to the same words, and which are dealt out."""
-    c, hot = _loaded([rest], ["c", "hot"])
+    v, r, c, hot = (x[r > 0] for x in (v, r, c, hot))
     start = _runs(v)
     count, kept, below = (np.add.reduceat(x, start) if len(start) else x.astype(float) for x in (r, order.kept(r), lower.p(c)))
     return v[start], count, kept, below, hot[start].astype(bool)
@@ -354,23 +359,16 @@ def _hot_parts(order: Discounted, lower: Unigrams):
     def run(batches):
         for batch in batches:
             for body, rest in zip(batch.column(0), batch.column(1)):
-                v, count, kept, below, hot = _contexts(*_loaded([body], ["v", "r"]), rest, order, lower)
+                v, count, kept, below, hot = _contexts(*_loaded([body], ["v", "r"]), *_loaded([rest], ["c", "hot"]), order, lower)
                 yield pa.RecordBatch.from_arrays([pa.array(v[hot], pa.int64()), pa.array(count[hot], pa.int64()), pa.array(kept[hot], pa.float64()),
                                                   pa.array(below[hot], pa.float64())], names=["v", "count", "kept", "lower"])
 
     return run
 
 
-def _at(keys: tuple[np.ndarray, ...], wanted: tuple[np.ndarray, ...]) -> np.ndarray:
+def _at(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """The place of each wanted key among sorted distinct ones, or their number."""
-    n = len(keys[0])
-    both = [np.concatenate(x) for x in zip(keys, wanted)]
-    by = np.lexsort(both[::-1])  # stable: a key comes before its equals
-    start = _runs(*(x[by] for x in both))
-    head = np.repeat(by[start], np.diff(np.append(start, len(by))))
-    out = np.empty(len(by), np.int64)
-    out[by] = head
-    return np.minimum(out[n:], n)
+    return np.where(_has(keys, wanted), np.searchsorted(keys, wanted), len(keys))
 
 
 def _answered(order: Discounted, lower: Unigrams, hot: dict[int, tuple[float, float]]):
@@ -378,36 +376,36 @@ def _answered(order: Discounted, lower: Unigrams, hot: dict[int, tuple[float, fl
     hot_v = np.array(sorted(hot), np.int64)
     hot_total, hot_weight = (np.array([hot[int(v)][i] for v in hot_v], float) for i in (0, 1))
 
-    def answer(bucket: int, blocks, bodies, pairs, rest) -> pa.RecordBatch:
-        pv, pw, pr = _loaded([pairs], ["v", "w", "r"])
-        contexts, count, kept, below, dealt = _contexts(pv, pr, rest, order, lower)
+    def answer(bucket: int, blocks, places, pairs, rest) -> pa.RecordBatch:
+        v, r = _loaded([pairs], ["v", "r"])
+        c, spread = _loaded([rest], ["c", "hot"])
+        contexts, count, kept, below, dealt = _contexts(v, r, c, spread, order, lower)
         contexts, count, kept, below = (x[~dealt] for x in (contexts, count, kept, below))
         # What was never a context leaves all to the order below.
         contexts = np.concatenate((contexts, hot_v))
         totals, shares = np.concatenate((total(count, kept), hot_total)), np.concatenate((_weigh(count, kept, below), hot_weight))
         by = np.argsort(contexts)
         contexts, totals, shares = contexts[by], np.append(totals[by], 1.0), np.append(shares[by], 1.0)
-        p = np.append(np.log10(order.kept(pr) / totals[_at((contexts,), (pv,))]), 0.0)
-        v, w, c = _loaded(bodies, ["v", "w", "c"])
-        at = _at((pv, pw), (v, w))
-        logs = np.where(at < len(pv), p[at], np.log10(lower.p(c)) + np.log10(shares[_at((contexts,), (v,))]))
-        nths, values, a = [], [], 0
-        for body in bodies:
-            own = slice(a, a + len(_loaded([body], ["hot"])[0]))
+        at = _at(contexts, v)
+        known = r > 0
+        logs = np.log10(np.where(known, order.kept(r) / totals[at], lower.p(c)))
+        logs[~known] += np.log10(shares[at[~known]])
+        nths, values = [], []
+        for body in places:
+            own, = _loaded([body], ["v"])
             # The same few values come again and again: they are sent once, and their numbers.
             value, nth = np.unique(logs[own], return_inverse=True)
             nths.append(_body(nth=nth, c=c[own]))
             values.append(_body(value=value))
-            a = own.stop
         pa.default_memory_pool().release_unused()
         return pa.RecordBatch.from_arrays([blocks, pa.array([bucket] * len(blocks), pa.int32()), pa.array(nths, pa.binary()), pa.array(values, pa.binary())],
                                           names=["block", "bucket", "nth", "logs"])
 
     def run(batches):
         for batch in batches:
-            bucket, blocks, asks, pairs, rest = (batch.column(batch.schema.get_field_index(c)) for c in ("bucket", "blocks", "asks", "pairs", "lower"))
+            bucket, blocks, places, pairs, rest = (batch.column(batch.schema.get_field_index(c)) for c in ("bucket", "blocks", "places", "pairs", "lower"))
             for i in range(batch.num_rows):
-                yield answer(bucket[i].as_py(), blocks[i].values, list(asks[i].values), pairs[i], rest[i])
+                yield answer(bucket[i].as_py(), blocks[i].values, list(places[i].values), pairs[i], rest[i])
 
     return run
 
@@ -472,7 +470,7 @@ def scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     parts_of_hot = stored(buckets.select("pairs", "lower").mapInArrow(_hot_parts(order, lower), HOT_PARTS), "hot-contexts")
     hot = parts_of_hot.groupBy("v").agg(F.sum("count").alias("count"), F.sum("kept").alias("kept"), F.sum("lower").alias("lower")).collect()
     hot = {r["v"]: (float(total(r["count"], r["kept"])), float(_weigh(r["count"], r["kept"], r["lower"]))) for r in hot}
-    answers = stored(buckets.select("bucket", "blocks", "asks", "pairs", "lower").mapInArrow(
+    answers = stored(buckets.select("bucket", "blocks", "places", "pairs", "lower").mapInArrow(
         _answered(order, lower, hot), "block int, bucket int, nth binary, logs binary"), "answers", tidy=True)
     removed(buckets)
     out = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(n_buckets, hot_words, lower), SCORES)
