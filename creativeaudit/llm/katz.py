@@ -131,7 +131,9 @@ def word_table(texts: DataFrame) -> DataFrame:
         before += r["count"]
     offsets = dealt.sparkSession.createDataFrame(offsets, "part int, before long")
     nth = F.row_number().over(Window.partitionBy("part").orderBy("hash"))
-    return stored(dealt.withColumn("nth", nth).join(F.broadcast(offsets), "part").select("hash", (F.col("before") + F.col("nth")).alias("id"), "n"), "numbered-words", tidy=True)
+    numbered = stored(dealt.withColumn("nth", nth).join(F.broadcast(offsets), "part").select("hash", (F.col("before") + F.col("nth")).alias("id"), "n"), "numbered-words", tidy=True)
+    removed(counted)
+    return numbered
 
 
 def unigrams(words: DataFrame) -> Unigrams:
@@ -464,6 +466,7 @@ def scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     asks = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_asked(n_buckets, hot_words, common), "block int, bucket int, asks binary")
     # What is asked is shuffled once: its bucket keeps it next to the counts that answer it.
     buckets = stored(asks.groupBy("bucket").applyInArrow(_merged, BUCKETS), "buckets", tidy=True, **FEW_ROWS)
+    removed(words)
     seen = buckets.agg(*[F.sum(F.col("seen")[i]).alias(f"n{i}") for i in range(TOP + 1)]).first()
     order = Discounted([x or 0 for x in seen])
     # One row for each context that more than a share of all tokens follow, and for the start: HOT at most.
